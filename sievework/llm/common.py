@@ -35,7 +35,13 @@ def settled(df: DataFrame, name: str = "part") -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps don't depend on lost executors or recompute it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sievework-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the shuffles behind a written table are of no more use
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,15 +68,16 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
 
 # --- a fixed-size bitmap of keys, to keep rows without partner out of a shuffle ---
 
-BITMAP_BITS = 24
+BITMAP_LEAST, BITMAP_MOST = 20, 27
 
 
 def bitmap(df: DataFrame, hash_col: str) -> np.ndarray:
-    """2^24 bits (2 MB) that mark the 64-bit hashes in a column. Its size doesn't grow with the data; false hits only cost work."""
-    slot = F.shiftrightunsigned(F.col(hash_col), 64 - BITMAP_BITS)
-    words = df.select(F.shiftrightunsigned(slot, 5).cast("int").alias("w"), F.expr("1").cast("long").alias("one"), slot.bitwiseAND(F.lit(31)).cast("int").alias("b"))
+    """Marks the 64-bit hashes in a column, about 16 bits for each, 16 MB at most for any number; false hits only cost work."""
+    bits = min(BITMAP_MOST, max(BITMAP_LEAST, int(np.ceil(np.log2(16 * (df.count() + 1))))))
+    slot = F.shiftrightunsigned(F.col(hash_col), 64 - bits)
+    words = df.select(F.shiftrightunsigned(slot, 5).cast("int").alias("w"), F.expr("1L").alias("one"), slot.bitwiseAND(F.lit(31)).cast("int").alias("b"))
     words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("v"))
-    out = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
+    out = np.zeros(1 << (bits - 5), np.uint32)
     for batch in _arrow_batches(words):
         out[batch.column("w").to_numpy()] = batch.column("v").to_numpy().astype(np.uint32)
     return out
@@ -82,7 +89,7 @@ def _arrow_batches(df: DataFrame) -> list[pa.RecordBatch]:
 
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes.astype(np.int64).view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    slot = hashes.astype(np.int64).view(np.uint64) >> np.uint64(64 - int(len(bits)).bit_length() + 1 - 5)
     return (bits[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1 == 1
 
 

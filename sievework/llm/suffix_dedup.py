@@ -7,7 +7,9 @@ hash (leftmost on ties) is its anchor, so equal windows have equal anchors at eq
 pass 1 groups anchors by their digit; a digit that occurs once ends there.
 pass 2 groups an anchor's context (all windows that it anchors). Equal contexts, as in copies, make every window in them a
        repeated one, so whole runs of suffixes leave the sort together.
-pass 3 and 4 take the windows of the remaining contexts one by one, by their first and their second digit.
+pass 3 groups the remaining contexts by the quarter window before and after the anchor. A window has one of them whole, so
+       those whose quarter occurs once end there.
+pass 4 takes the windows that are left one by one, by the anchor's digit and that of the whole window.
 The groups of the last pass are exactly the repeated windows. Groups are never gathered: only counts per digit are.
 
 Results: rows with null or empty text have 0 bytes and nothing removed; repeated rows count as separate places; rows of one
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 class _Kernel:
@@ -33,7 +35,7 @@ class _Kernel:
 
     def __init__(self, threshold: int) -> None:
         self.n, self.k = threshold, threshold // 2
-        self.span = threshold - self.k + 1
+        self.span, self.side = threshold - self.k + 1, (threshold - self.k) // 2
         self.one, self.two = common.Rolling(11), common.Rolling(12)
 
     def _least(self, key: np.ndarray) -> np.ndarray:
@@ -47,9 +49,9 @@ class _Kernel:
         return np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
 
     def anchors(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """row, digit, context digest, first and last window start (both within the row) of every anchor."""
+        """row, digit, context digest, first and last window start, anchor (all three within the row), digests of both sides (0: none)."""
         if len(data) < self.n:
-            return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return tuple(np.zeros(0, np.int64 if i in (0, 3, 4, 5) else np.uint64) for i in range(8))
         s1, s2 = self.one.prefix(data), self.two.prefix(data)
         place = np.arange(len(data) - self.k + 1)
         digit = self.one.ranges(s1, place, place + self.k)
@@ -65,17 +67,20 @@ class _Kernel:
         lo, hi, a, r = inside[new], inside[last], a[new], r[new]
         shape = (a - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64)
         context = common.mix(self.one.ranges(s1, lo, hi + self.n) + shape) ^ (self.two.ranges(s2, lo, hi + self.n) + shape * np.uint64(0x9E3779B97F4A7C15))
-        return r, digit[a], context, lo - at[r], hi - at[r]
-
-    def windows(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For ranges of starts in one row: the range, the start and both digits of each window."""
+        left, right, side = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64), self.side
+        has = lo <= a - side
+        left[has] = self.two.ranges(s2, a[has] - side, a[has]) | np.uint64(1)
+        has, far = hi >= a - side, self.n - self.k - side
+        right[has] = self.two.ranges(s2, a[has] + self.k, a[has] + self.k + far) | np.uint64(1)
+        # the least of many hashes isn't even over all values, so it is mixed again
+        return r, common.mix(digit[a]), context, lo - at[r], hi - at[r], a - at[r], left, right
+
+    def windows(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For ranges of starts in one row: the range, the start and the digest of each window."""
         which = np.repeat(np.arange(len(lo)), hi - lo + 1)
         start = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1) + lo[which]
         s1, s2 = self.one.prefix(data), self.two.prefix(data)
-        mid, end = start + self.k, start + self.n
-        first = self.one.ranges(s1, start, mid) ^ common.mix(self.two.ranges(s2, start, mid))
-        second = self.one.ranges(s1, mid, end) ^ common.mix(self.two.ranges(s2, mid, end))
-        return which, start, first, second
+        return which, start, self.one.ranges(s1, start, start + self.n) ^ common.mix(self.two.ranges(s2, start, start + self.n))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -88,11 +93,12 @@ def _anchor_rows(docs: DataFrame, threshold: int) -> DataFrame:
         for whole in batches:
             for b in common.slices(whole, "_text", CHUNK):
                 data, at = common.text_buffer(b.column("_text"))
-                row, digit, context, lo, hi = kernel.anchors(data, at)
-                yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(row)), b.column("_h").take(pa.array(row)), _signed(digit), _signed(context), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["_id", "_h", "digit", "context", "lo", "hi"])
+                row, digit, context, lo, hi, anchor, left, right = kernel.anchors(data, at)
+                columns = [b.column("_id").take(pa.array(row)), b.column("_h").take(pa.array(row)), _signed(digit), _signed(context), *(pa.array(x.astype(np.int32)) for x in (lo, hi, anchor)), _signed(left), _signed(right)]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "_h", "digit", "context", "lo", "hi", "anchor", "before", "after"])
 
     id_type = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_id {id_type}, _h long, digit long, context long, lo int, hi int")
+    return docs.mapInArrow(run, f"_id {id_type}, _h long, digit long, context long, lo int, hi int, anchor int, before long, after long")
 
 
 def _window_rows(docs: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
@@ -107,34 +113,39 @@ def _window_rows(docs: DataFrame, parts: DataFrame, threshold: int) -> DataFrame
                 ranges = b.column("ranges").to_pylist()
                 for i in range(b.num_rows):
                     data, _ = common.text_buffer(b.column("_text").slice(i, 1))
-                    lo, hi = (np.array([r[k] for r in ranges[i]], np.int64) for k in ("lo", "hi"))
-                    _, start, first, second = kernel.windows(data, lo, hi)
+                    lo, hi, digit = (np.array([r[k] for r in ranges[i]], np.int64) for k in ("lo", "hi", "digit"))
+                    which, start, whole = kernel.windows(data, lo, hi)
                     same = pa.array(np.zeros(len(start), np.int64))
-                    yield pa.RecordBatch.from_arrays([b.column("_id").slice(i, 1).take(same), b.column("_h").slice(i, 1).take(same), pa.array(start.astype(np.int32)), _signed(first), _signed(second)], ["_id", "_h", "start", "first", "second"])
+                    yield pa.RecordBatch.from_arrays([b.column("_id").slice(i, 1).take(same), b.column("_h").slice(i, 1).take(same), pa.array(start.astype(np.int32)), pa.array(digit[which]), _signed(whole)], ["_id", "_h", "start", "digit", "whole"])
 
-    return joined.mapInArrow(run, f"_id {id_type}, _h long, start int, first long, second long")
+    return joined.mapInArrow(run, f"_id {id_type}, _h long, start int, digit long, whole long")
 
 
 def repeated_windows(docs: DataFrame, threshold: int = 400) -> DataFrame:
     """(_id, _h, lo, hi): ranges of starts of windows that also start elsewhere; docs as from common.keyed."""
     anchors = _anchor_rows(docs, threshold)
-    pairs = anchors.groupBy("digit", "context").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("_id", "_h", "lo", "hi"), F.struct("_h", "lo")).alias("one"))
-    pairs = common.settled(pairs, "contexts")
-    digits = pairs.groupBy("digit").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("rows")).where("rows > 1")
+    # pass 1
+    often = anchors.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit")
+    anchors = common.settled(common.keep_marked(anchors, "digit", common.bitmap(common.settled(often, "digits"), "digit")), "anchors")
     # pass 2: contexts that occur twice or more
-    copied = pairs.where("n > 1").select("digit", "context")
-    whole = anchors.join(copied, ["digit", "context"]).select("_id", "_h", "lo", "hi")
-    # passes 3 and 4: one window at a time, one copy of each context, where a digit has several contexts
-    mixed = pairs.join(digits.where("contexts > 1").select("digit"), "digit").select("one.*", (F.col("n") > 1).alias("known"))
+    pairs = anchors.groupBy("digit", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_h", "_id", "lo", "hi", "anchor", "before", "after")).alias("one"))
+    pairs = common.settled(pairs.select("digit", "context", "n", "one.*"), "contexts")
+    whole = anchors.select("digit", "context", "_id", "_h", "lo", "hi").join(pairs.where("n > 1").select("digit", "context"), ["digit", "context"]).select("_id", "_h", "lo", "hi")
+    # pass 3, with one copy of each context
+    def alike(side: str) -> DataFrame:
+        return pairs.where(f"{side} <> 0").groupBy("digit", side).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digit", side, F.lit(True).alias(f"{side}_alike"))
+
+    mid = F.col("anchor") - (threshold - threshold // 2) // 2
+    ahead, behind = F.coalesce("before_alike", F.lit(False)), F.coalesce("after_alike", F.lit(False))
+    mixed = pairs.join(alike("before"), ["digit", "before"], "left").join(alike("after"), ["digit", "after"], "left").where(ahead | behind)
+    mixed = mixed.select("_id", "_h", "digit", F.when(ahead, F.col("lo")).otherwise(F.greatest("lo", mid)).alias("lo"), F.when(behind, F.col("hi")).otherwise(F.least("hi", mid)).alias("hi")).where("lo <= hi")
     mixed = common.settled(mixed, "mixed")
-    parts = mixed.groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    wanted = common.keep_marked(docs, "_h", common.bitmap(mixed, "_h"))
-    # rows that are repeated as a whole have one context each in `mixed`, so one of them stands for all
+    parts = mixed.groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi", "digit")).alias("ranges"))
+    wanted = common.keep_marked(docs, "_h", common.bitmap(mixed.select("_h").distinct(), "_h"))
+    # pass 4; rows that are repeated as a whole have one context each here, so one of them stands for all
     windows = common.settled(_window_rows(wanted.dropDuplicates(["_id", "_h"]), parts, threshold), "windows")
-    first = windows.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first")
-    deeper = windows.join(first, "first")
-    second = deeper.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first", "second")
-    single = deeper.join(second, ["first", "second"]).select("_id", "_h", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    again = windows.groupBy("digit", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit", "whole")
+    single = windows.join(again, ["digit", "whole"]).select("_id", "_h", F.col("start").alias("lo"), F.col("start").alias("hi"))
     return common.settled(whole.unionByName(single), "repeated")
 
 
@@ -158,7 +169,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = common.keyed(docs, id_col, text_col)
     id_type = docs.schema["_id"].dataType.simpleString()
     found = repeated_windows(docs, threshold)
-    bits = common.bitmap(found, "_h")
+    bits = common.bitmap(found.select("_h").distinct(), "_h")
     ranges = found.groupBy("_id", "_h").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")).select(F.col("_id").alias("p_id"), F.col("_h").alias("p_h"), "ranges")
     touched = common.keep_marked(docs, "_h", bits).join(ranges, (F.col("_h") == F.col("p_h")) & F.col("_id").eqNullSafe(F.col("p_id")), "left").select("_id", "_text", "ranges")
 
