@@ -76,11 +76,29 @@ def contaminated_windows(docs: DataFrame, items: DataFrame) -> list[tuple[DataFr
     return out
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+    """The rows without a shared window, all columns as they are."""
+    keyed = common.keyed(docs, id_col, text_col)
+    hits = None
+    for found, _ in contaminated_windows(keyed, _items(benchmark, item_col, item_text_col, window)):
+        part = found.select(F.col("_id").alias("__sw_k"), F.col("_h").alias("__sw_h"))
+        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        return docs
+    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    hits = _small(common.settled(hits.distinct(), "hits"))
+    return docs.join(hits, (key == F.col("__sw_h")) & F.col(id_col).eqNullSafe(F.col("__sw_k")), "left_anti")
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> DataFrame:
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), common.word_array(F.col(item_text_col).cast("string")).alias("words"))
+    return items.where(F.size("words") > 0).withColumn("width", F.least(F.lit(window), F.size("words")))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
     """id, n_words, n_hit (words within a shared window), n_items, items (sorted strings), contaminated, for every row."""
     keyed = common.keyed(docs, id_col, text_col)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), common.word_array(F.col(item_text_col).cast("string")).alias("words"))
-    items = items.where(F.size("words") > 0).withColumn("width", F.least(F.lit(window), F.size("words")))
+    items = _items(benchmark, item_col, item_text_col, window)
     base = keyed.select("_id", "_h", F.size(common.word_array(F.col("_text"))).cast("long").alias("n_words"))
     places = names = None
     for hits, ours in contaminated_windows(keyed, items):

@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK = 2 << 20
-#: Counters of the frequency sketch (4 MB), whatever the size of the corpus.
-SKETCH = 1 << 20
+CHUNK = 1 << 19
+#: Counters of the frequency sketch (32 MB), whatever the size of the corpus; more of them tell rare shingles from frequent ones better.
+SKETCH_BITS = 22
+SKETCH = 1 << SKETCH_BITS
 SKETCH_PARTS = 64
 SMALL = 8
 MOST_MATCHES = 6
@@ -86,20 +87,24 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        kernel, counts = _Shingles(words), np.zeros(SKETCH, np.int64)
+        kernel, counts, waiting = _Shingles(words), np.zeros(SKETCH, np.int64), []
         for whole in batches:
             for b in common.slices(whole, "_text", CHUNK):
                 sets = kernel.rows(*common.text_buffer(b.column("_text")))
-                if len(sets):
-                    counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+                waiting += [(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32) for s in sets]
+                if sum(map(len, waiting)) > SKETCH:
+                    counts += np.bincount(np.concatenate(waiting), minlength=SKETCH)
+                    waiting = []
                 none = pa.nulls(len(sets), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), none, pa.nulls(len(sets), pa.list_(pa.int64()))], ["id", "n", "digest", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), none, pa.nulls(len(sets), pa.list_(pa.int32()))], ["id", "h", "n", "digest", "part", "counts"])
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=SKETCH)
         if counts.any():
-            parts = counts.reshape(SKETCH_PARTS, -1)
+            parts = counts.astype(np.int32).reshape(SKETCH_PARTS, -1)
             id_arrow = pa.nulls(SKETCH_PARTS, whole.schema.field("_id").type)
-            yield pa.RecordBatch.from_arrays([id_arrow, pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(list(parts), pa.list_(pa.int64()))], ["id", "n", "digest", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([id_arrow, pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(list(parts), pa.list_(pa.int32()))], ["id", "h", "n", "digest", "part", "counts"])
 
-    return docs.mapInArrow(run, f"id {id_type}, n long, digest binary, part int, counts array<long>")
+    return docs.mapInArrow(run, f"id {id_type}, h long, n long, digest binary, part int, counts array<int>")
 
 
 def _sketch(scan: DataFrame) -> np.ndarray:
@@ -147,7 +152,7 @@ def _prefixes(docs: DataFrame, words: int, threshold: tuple[int, int], sketch: n
                     if not len(s):
                         continue
                     n = len(s)
-                    freq = counts[(s >> np.uint64(44)).astype(np.int64)]
+                    freq = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     order = np.lexsort((s, freq))
                     need = -(-num * n // den)
                     other = np.maximum(0, freq[order] - noise)
@@ -260,12 +265,11 @@ def _within_leaders(stars: DataFrame, sets: DataFrame, threshold: tuple[int, int
     return tasks.groupBy("b", "block", "against").applyInArrow(run, "a binary, b binary")
 
 
-def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
-    """id, n_shingles, digest of the set, component (a digest; null without words) and component_id (its smallest id)."""
-    docs = common.keyed(docs, id_col, text_col)
+def _joined(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """id, h, n, digest, root and component_id of every row; docs as from common.keyed."""
     num, den = threshold
     scan = common.settled(_scan(docs, words), "scan")
-    base = scan.where("part is null").select("id", "n", "digest")
+    base = scan.where("part is null").select("id", "h", "n", "digest")
     entries = common.settled(_prefixes(docs, words, threshold, _sketch(scan)), "prefixes")
     flat = entries.select("digest", "n", "matches", "central", F.explode("keys").alias("key"))
     counts = flat.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max_by("digest", F.struct("central", "digest")).alias("leader")).where("docs > 1")
@@ -288,5 +292,29 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = least.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.select("digest", "root").join(smallest, "root")
-    out = base.join(of, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "digest", F.col("root").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
-    return out
+    return base.join(of, "digest", "left").select("id", "h", "n", "digest", "root", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: tuple[int, int] = (9, 10)) -> DataFrame:
+    """id, n_shingles, digest of the set, component (a digest; null without words) and component_id (its smallest id)."""
+    rows = _joined(common.keyed(docs, id_col, text_col), words, threshold)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "digest", F.col("root").alias("component"), "component_id")
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
+    """The rows of docs, one of each component: that of the smallest id (nulls last), then of the smallest hash of id and text. Of
+    repeated rows one stays; rows without words all stay. Texts of rows that no other row resembles aren't shuffled."""
+    rows = common.settled(_joined(common.keyed(docs, id_col, text_col), words, threshold).where("root is not null").select("id", "h", "root"), "groups")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    grouped = rows.join(first, "root")
+    mine = (F.col("h") == F.col("first.h")) & F.col("id").eqNullSafe(F.col("first.id"))
+    # what each key of a group of several rows is: the one that stays, or not
+    keys = common.settled(grouped.select("id", "h", mine.alias("stays")).distinct(), "decided")
+    bits = common.bitmap(keys.select("h").distinct(), "h")
+    marked = docs.withColumn("__sw_h", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    alone = common.keep_marked(marked, "__sw_h", bits, inverse=True)
+    k = keys.select(F.col("id").alias("__sw_k"), F.col("h").alias("__sw_kh"), F.col("stays").alias("__sw_stays"))
+    several = common.keep_marked(marked, "__sw_h", bits).join(k, (F.col("__sw_h") == F.col("__sw_kh")) & F.col(id_col).eqNullSafe(F.col("__sw_k")), "left")
+    other = several.where("__sw_stays is null")
+    stay = several.where("__sw_stays").dropDuplicates(["__sw_h", id_col])
+    return alone.select(*docs.columns).unionByName(other.select(*docs.columns)).unionByName(stay.select(*docs.columns))

@@ -267,3 +267,24 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     scored = source.mapInArrow(run, f"id {id_type}, score double, evidence string")
     out = F.crc32(F.col("id").cast("string").cast("binary")) % folds == 0
     return scored.select(F.col("id").alias(id_col), F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 0.5) -> DataFrame:
+    """The rows with a score below `most`, all columns as they are; texts are neither shuffled nor joined."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
+    marked = docs.withColumn("__sw_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+    def run(batches):
+        model, grams = held.value, _Grams()
+        index = model.index
+        for b, (data, at) in _chunks(batches, "__sw_text"):
+            keep = np.full(b.num_rows, model.final(model.empty) < most)
+            if index:
+                row, term, count = index.lookup.rows(*grams.rows(data, at))
+                cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]) if len(row) else np.zeros(1, np.int64)
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    keep[row[i]] = model.final(index.vote(*index.nearest(term[i:j], count[i:j]), model.prior)) < most
+            kept = b.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
+
+    return marked.mapInArrow(run, docs.schema)
