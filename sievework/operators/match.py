@@ -1,0 +1,132 @@
+"""Matching of documents with jobs, ranking, and role suggestion. Features are computed once per document and job, then joined."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+
+#: Weights of the parts of a match, and those without required skills.
+WEIGHTS = {"semantic": 0.25, "skills": 0.40, "projects": 0.15, "experience": 0.10, "education": 0.10}
+NO_SKILLS = {"semantic": 0.55, "skills": 0.0, "projects": 0.25, "experience": 0.10, "education": 0.10}
+#: Weights of the nullable dimensions.
+DIMENSIONS = {"semantic": 0.30, "skills": 0.35, "experience": 0.15, "education": 0.10, "responsibility": 0.10}
+
+
+def skill_overlap(own: Column, needed: Column) -> tuple[Column, Column]:
+    """matched and missing, sorted."""
+    return F.sort_array(F.array_intersect(own, needed)), F.sort_array(F.array_except(needed, own))
+
+
+def experience(have: Column, need: Column) -> Column:
+    return F.when(F.coalesce(need, F.lit(0.0)) <= 0, 1.0).otherwise(F.least(F.lit(1.0), have / need))
+
+
+def education(section: Column, words: list[str]) -> Column:
+    return F.when(F.lower(F.coalesce(section, F.lit(""))).rlike("|".join(words)), 1.0).otherwise(0.75)
+
+
+def projects(section: Column, semantic: Column) -> Column:
+    """The section's own similarity, else a share of the document's."""
+    return F.coalesce(section, 0.8 * semantic)
+
+
+def score(pairs: DataFrame) -> DataFrame:
+    """pairs: semantic, projects, experience, education, matched, needed (arrays), blank. Adds skills, raw, final, percent."""
+    none = F.size("needed") == 0
+    skills = F.when(none, 0.0).otherwise(F.size("matched") / F.size("needed"))
+    out = pairs.withColumn("skills", skills)
+    raw = F.lit(0.0)
+    for part in WEIGHTS:
+        raw = raw + F.when(none, NO_SKILLS[part]).otherwise(WEIGHTS[part]) * F.col(part)
+    final = F.when(F.col("blank"), 0.0).otherwise(C.clamp(C.sigmoid(raw), 0.10, 0.98))
+    return out.withColumn("raw", F.when(F.col("blank"), 0.0).otherwise(raw)).withColumn("final", F.bround(final, 3)).withColumn("percent", (F.col("final") * 100 + 1e-9).cast("int"))
+
+
+def explain(scored: DataFrame) -> DataFrame:
+    """Lists of strengths, improvements and recommendations by thresholds."""
+    strong = F.array_compact(F.array(F.when(F.col("semantic") >= 0.6, "content fits"), F.when(F.col("skills") >= 0.7, "most skills are there"), F.when(F.col("experience") >= 1, "enough experience"), F.when(F.col("education") >= 1, "degree named")))
+    weak = F.array_compact(F.array(F.when(F.col("semantic") < 0.3, "content differs"), F.when((F.size("needed") > 0) & (F.col("skills") < 0.4), "many skills are missing"), F.when(F.col("experience") < 1, "experience is short")))
+    return scored.withColumn("strengths", F.when(F.size(strong) == 0, F.array(F.lit("none stands out"))).otherwise(strong)).withColumn("improvements", weak)
+
+
+def recommend(scored: DataFrame, most: int = 5) -> DataFrame:
+    """The first missing skills, the experience gap and advice without any match."""
+    skills = F.transform(F.slice("missing", 1, most), lambda s: F.concat(F.lit("learn "), s))
+    rest = F.array_compact(F.array(F.when(F.col("experience") < 1, "gain experience"), F.when((F.size("needed") > 0) & (F.size("matched") == 0), "no required skill is there")))
+    return scored.withColumn("recommendations", F.concat(skills, rest))
+
+
+def sufficiency(text: Column, skills: Column, signals: dict[str, list[str]]) -> tuple[Column, Column]:
+    """Whether a job text says enough, and why not: signals by substring, word counts."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = F.lit(0)
+    for words in signals.values():
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(low, F.lit(w))
+        found = found + hit.cast("int")
+    n = C.word_count(text)
+    reason = F.when(F.trim(low) == "", "blank").when((n < 12) & (F.size(skills) == 0), "short").when((n < 25) & (found < 2), "few signals")
+    return reason.isNull(), reason
+
+
+def dimensions(pairs: DataFrame) -> DataFrame:
+    """Percentages; null where the job gives no signal. pairs: cosine, matched, needed, have, need, degree (null: not asked), duties."""
+    return pairs.select("*", F.bround(100 * C.clamp((F.col("cosine") - 0.10) / 0.75, 0.05, 0.98), 0).alias("d_semantic"), F.when(F.size("needed") > 0, F.bround(100.0 * F.size("matched") / F.size("needed"), 0)).alias("d_skills"), F.when(F.col("need") > 0, F.bround(100 * F.least(F.lit(1.0), F.col("have") / F.col("need")), 0)).alias("d_experience"), F.when(F.col("degree").isNotNull(), F.when(F.col("degree"), 100.0).otherwise(40.0)).alias("d_education"), F.col("duties").alias("d_responsibility"))
+
+
+def overall(dims: DataFrame) -> DataFrame:
+    """Weights re-normalised over the dimensions that are there; null if none is."""
+    num, den = F.lit(0.0), F.lit(0.0)
+    for d, w in DIMENSIONS.items():
+        num, den = num + w * F.coalesce(f"d_{d}", F.lit(0.0)), den + F.when(F.col(f"d_{d}").isNotNull(), w).otherwise(0.0)
+    names = F.array_compact(F.array(*(F.when(F.col(f"d_{d}").isNotNull(), F.lit(d)) for d in DIMENSIONS)))
+    return dims.withColumn("overall", F.when(den > 0, F.round(num / den, 2))).withColumn("applicable", F.array_join(names, ","))
+
+
+def composite(match: Column, quality: Column, sufficient: Column) -> Column:
+    return F.round(F.when(sufficient, 0.7 * match + 0.3 * quality).otherwise(quality), 1)
+
+
+def rank(results: DataFrame, group: str, value: str, key: str, least: float = 0.0) -> DataFrame:
+    w = Window.partitionBy(group).orderBy(F.desc(value), key)
+    return results.where(F.col(value) >= least).withColumn("rank", F.row_number().over(w))
+
+
+def tier(value: Column) -> Column:
+    return F.when(value >= 0.90, "excellent").when(value >= 0.75, "strong").when(value >= 0.60, "good").when(value >= 0.40, "fair").otherwise("poor")
+
+
+def role_scores(docs: DataFrame, key: str, text: str, roles: DataFrame) -> DataFrame:
+    """(key, ord, name, hits, ratio, score) for documents and roles that share a word.
+
+    roles: ord, name, skills; names and skills are single words. Documents meet roles over exploded words, so no document
+    is paired with a role of which it has nothing.
+    """
+    terms = roles.select("ord", "name", F.size("skills").alias("needed"), F.explode(F.concat(F.array(F.struct(F.lower("name").alias("term"), F.lit(True).alias("is_name"))), F.transform("skills", lambda s: F.struct(F.lower(s).alias("term"), F.lit(False).alias("is_name"))))).alias("t")).select("ord", "name", "needed", "t.*")
+    words = docs.select(key, F.explode(F.array_distinct(C.words(F.lower(F.col(text))))).alias("term"))
+    hits = words.join(terms, "term").groupBy(key, "ord", "name", "needed").agg(F.max(F.col("is_name").cast("int")).alias("named"), F.count_if(~F.col("is_name")).alias("hits"))
+    ratio = F.when(F.col("needed") > 0, F.col("hits") / F.col("needed")).otherwise(0.0)
+    return hits.select(key, "ord", "name", "hits", F.round(ratio, 6).alias("ratio"), F.round(35.0 * F.col("named") + 8.0 * F.col("hits") + 35.0 * ratio, 4).alias("score"))
+
+
+def suggest_roles(scored: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """The k best roles of each document with a calibrated percentage; catalogue order on ties."""
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "ord")
+    share = F.least("score", F.lit(60.0)) / 60 * 36
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "rank", "name", "score", F.when(F.col("score") > 0, F.least(F.lit(96.0), F.bround(60 + share, 0))).otherwise(55.0).alias("percent"))
+
+
+def specific_role(scored: DataFrame, docs: DataFrame, key: str, cls: str, classes: DataFrame, enough: float = 8.0, other: float = 43.0) -> DataFrame:
+    """The best role of the document's class; below `enough` the best of all classes if it has `other` or more; else the class's
+    first role. classes: ord, class."""
+    of = scored.join(classes, "ord").join(docs.select(key, F.col(cls).alias("own")), key)
+    best = lambda rows, n: rows.groupBy(key).agg(F.max_by(F.struct("name", "score"), F.struct(F.col("score"), -F.col("ord"))).alias(n))
+    inside, every = best(of.where("class = own"), "i"), best(of, "e")
+    first = classes.join(scored.select("ord", "name").distinct(), "ord").groupBy("class").agg(F.min_by("name", "ord").alias("default"))
+    out = docs.select(key, F.col(cls).alias("class")).join(inside, key, "left").join(every, key, "left").join(first, "class", "left")
+    name = F.when(F.col("i.score") >= enough, F.col("i.name")).when(F.col("e.score") >= other, F.col("e.name")).otherwise(F.col("default"))
+    sure = F.when(F.col("i.score") >= enough, F.col("i.score")).when(F.col("e.score") >= other, F.col("e.score"))
+    return out.select(key, name.alias("role"), F.coalesce(F.least(F.lit(0.96), F.round(0.55 + F.least(sure, F.lit(80.0)) / 80 * 0.40, 2)), F.lit(0.50)).alias("confidence"))
