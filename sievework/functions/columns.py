@@ -56,7 +56,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def csv_items(text: Column) -> Column:
     """A comma-separated list as trimmed, non-blank items."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def years_of_experience(text: Column) -> Column:

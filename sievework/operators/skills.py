@@ -24,7 +24,12 @@ def exact(df: DataFrame, key: str, text: str, skills: DataFrame, longest: int =
     t = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[^\s,;:()\[\]!?\"']+"), 0)
     clean = F.transform(t, lambda x: F.regexp_replace(x, r"[.]+$", ""))
     rows = df.select(key, clean.alias("t")).where(F.size("t") > 0)
-    grams = F.flatten(F.array(*(F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i, n=n: F.array_join(F.slice(F.col("t"), i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1))))
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice(F.col("t"), i, F.lit(n)), " "))
+        return F.when(F.size("t") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*(runs(n) for n in range(1, longest + 1))))
     found = rows.select(key, F.explode(F.array_distinct(grams)).alias("g"))
     return found.join(skills.select("skill", F.lower("skill").alias("g")), "g").select(key, "skill").distinct()
 

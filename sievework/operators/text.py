@@ -115,7 +115,7 @@ def paragraphs(df: DataFrame, key: str, text: str, size: int = 500, overlap: int
     """Paragraph-greedy chunks of at most `size` characters; long paragraphs are split at words, the tail carried on; every chunk
     begins with the last `overlap` characters of its predecessor. One fold per row, no shuffle."""
     kind = "struct<done:array<string>,open:string>"
-    blocks = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), F.trim), lambda p: p != "")
+    blocks = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
     def add(state: Column, piece: Column, glue: str) -> Column:
         joined = F.when(state["open"] == "", piece).otherwise(F.concat(state["open"], F.lit(glue), piece))

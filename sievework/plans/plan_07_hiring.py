@@ -225,7 +225,7 @@ def ats_profile_upsert(s, d):
     return H.patch(c, ch, "candidate_id", ["name", "year"])
 
 
-_RANKED = "r AS (SELECT app_id, job_id, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, app_id)::INT AS rank, CASE WHEN score >= 0.9 THEN 'excellent' WHEN score >= 0.75 THEN 'strong' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.4 THEN 'fair' ELSE 'poor' END AS tier FROM apps WHERE score >= 0.2)"
+_RANKED = "r AS (SELECT app_id, job_id, candidate_id, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, app_id)::INT AS rank, CASE WHEN score >= 0.9 THEN 'excellent' WHEN score >= 0.75 THEN 'strong' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.4 THEN 'fair' ELSE 'poor' END AS tier FROM apps WHERE score >= 0.2)"
 
 
 def _ranked(s, d):
@@ -239,7 +239,7 @@ def rnk_candidates(s, d):
     return _ranked(s, d).where("rank between 11 and 20").select("app_id", "job_id", "score", "rank")
 
 
-@query("rnk_rankings", f"WITH {VIEWS}, {_RANKED} SELECT r.app_id, r.job_id, name, r.score, rank FROM r JOIN apps USING (app_id) LEFT JOIN cands USING (candidate_id)")
+@query("rnk_rankings", f"WITH {VIEWS}, {_RANKED} SELECT app_id, job_id, name, score, rank FROM r LEFT JOIN cands USING (candidate_id)")
 def rnk_rankings(s, d):
     return _ranked(s, d).join(cands(s, d), "candidate_id", "left").select("app_id", "job_id", "name", "score", "rank")
 
