@@ -34,7 +34,7 @@ CHUNK = 1 << 19
 SKETCH_BITS = 22
 SKETCH = 1 << SKETCH_BITS
 SKETCH_PARTS = 64
-SMALL = 8
+SMALL = 16
 MOST_MATCHES = 6
 #: Size classes are this power of 1/threshold wide.
 WIDTH = 3
@@ -126,14 +126,15 @@ def _sketch(scan: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _matches(freq: np.ndarray, base: int) -> int:
-    """The l of least estimated cost: entries that are looked up, and candidates to verify, of which l matches are asked."""
-    most = min(MOST_MATCHES, len(freq) - base)
+def _matches(others: np.ndarray, base: int) -> int:
+    """The l of least estimated cost. A prefix shingle costs an entry; a candidate costs a whole set. Any two documents share a
+    rare shingle now and then, but rarely several, so each further match asked for divides the candidates by a factor."""
+    most = min(MOST_MATCHES, len(others) - base)
     if most <= 1:
         return 1
-    reach = np.cumsum(freq)[base : base + most]
     l = np.arange(1, most + 1)
-    return int(np.argmin(reach + (base + l) + reach / l**2 * 4)) + 1
+    candidates = (0.1 + np.cumsum(others)[base : base + most] / (base + l)) * (base + l) / 20.0 ** (l - 1)
+    return int(np.argmin(3 * (base + l) + len(others) * candidates)) + 1
 
 
 def _prefixes(docs: DataFrame, words: int, threshold: tuple[int, int], sketch: np.ndarray) -> DataFrame:
@@ -168,6 +169,22 @@ def _prefixes(docs: DataFrame, words: int, threshold: tuple[int, int], sketch: n
     return rows.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "matches", "central", "keys")))
 
 
+def _often(entries: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The entries with those keys only that the bitmap marks."""
+    held = entries.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for b in batches:
+            keys = b.column("keys")
+            hit = common.in_bitmap(held.value, keys.values.to_numpy()[keys.offsets[0].as_py() : keys.offsets[-1].as_py()]) if b.num_rows else np.zeros(0, bool)
+            flat = keys.flatten().filter(pa.array(hit))
+            ends = np.r_[0, np.cumsum(hit)][keys.offsets.to_numpy() - keys.offsets[0].as_py()]
+            kept = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("digest", "n", "matches", "central")), kept], ["digest", "n", "matches", "central", "keys"])
+
+    return entries.select("digest", "n", "matches", "central", "keys").mapInArrow(run, "digest binary, n long, matches int, central long, keys array<long>")
+
+
 def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """digest, n and the whole set of the wanted digests, one row each."""
     bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(wanted.select(_head("digest").alias("h")), "h"))
@@ -271,15 +288,18 @@ def _joined(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFram
     scan = common.settled(_scan(docs, words), "scan")
     base = scan.where("part is null").select("id", "h", "n", "digest")
     entries = common.settled(_prefixes(docs, words, threshold, _sketch(scan)), "prefixes")
-    flat = entries.select("digest", "n", "matches", "central", F.explode("keys").alias("key"))
-    counts = flat.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max_by("digest", F.struct("central", "digest")).alias("leader")).where("docs > 1")
+    counts = entries.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    counts = common.settled(counts, "keys")
+    flat = _often(entries, common.bitmap(counts, "key")).select("digest", "n", "matches", "central", F.explode("keys").alias("key"))
     shared = common.settled(flat.join(counts, "key"), "shared")
     few = shared.where(F.col("docs") <= SMALL)
     x, y = (few.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("digest", "n", "matches"))) for p in "xy")
     pairs = x.join(y, "key").where(F.expr(f"x_digest < y_digest and x_n * {den} >= y_n * {num} and y_n * {den} >= x_n * {num}"))
     pairs = pairs.groupBy(F.col("x_digest").alias("a"), F.col("y_digest").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("x_matches", "y_matches")).alias("l")).where("m >= l").select("a", "b")
     pairs = common.settled(pairs, "pairs")
-    stars = shared.where(F.col("docs") > SMALL).select(F.col("digest").alias("a"), F.col("leader").alias("b"), "n").distinct()
+    many = shared.where(F.col("docs") > SMALL)
+    leaders = many.groupBy("key").agg(F.max_by("digest", F.struct("central", "digest")).alias("leader"))
+    stars = many.join(leaders, "key").select(F.col("digest").alias("a"), F.col("leader").alias("b"), "n").distinct()
     stars = common.settled(stars, "stars")
     wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).unionByName(stars.select(F.col("a").alias("digest"))).distinct()
     sets = common.settled(_sets(docs, words, wanted), "sets")
