@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_ID = Window.partitionBy("id")
+def by_id():
+    """Windows need a session, so this one is made when used."""
+    return Window.partitionBy("id")
 
 
 def align(p: DataFrame, classes: DataFrame) -> DataFrame:
     """The canonical classes only, re-normalised; a row without mass becomes uniform."""
     kept = p.join(classes, "class")
-    total = F.sum("p").over(_ID)
-    return kept.select("id", "class", F.when(total > 0, F.col("p") / total).otherwise(1.0 / F.count(F.lit(1)).over(_ID)).alias("p"))
+    total = F.sum("p").over(by_id())
+    return kept.select("id", "class", F.when(total > 0, F.col("p") / total).otherwise(1.0 / F.count(F.lit(1)).over(by_id())).alias("p"))
 
 
 def top2(p: DataFrame, digits: int = 4) -> DataFrame:
@@ -41,8 +43,8 @@ def product_of_experts(p: DataFrame, weights: dict[str, tuple[float, float]], fl
     for model, (w, t) in weights.items():
         factor = F.when(F.col("model") == model, w / t).otherwise(factor)
     score = p.groupBy("id", "class").agg(F.sum(factor * F.log(F.greatest("p", F.lit(floor)))).alias("s"))
-    shifted = score.select("id", "class", F.exp(F.col("s") - F.max("s").over(_ID)).alias("e"))
-    return shifted.select("id", "class", (F.col("e") / F.sum("e").over(_ID)).alias("p"))
+    shifted = score.select("id", "class", F.exp(F.col("s") - F.max("s").over(by_id())).alias("e"))
+    return shifted.select("id", "class", (F.col("e") / F.sum("e").over(by_id())).alias("p"))
 
 
 def gate(a: DataFrame, b: DataFrame, below: float = 0.50, above: float = 0.40) -> DataFrame:
@@ -56,8 +58,8 @@ def gate(a: DataFrame, b: DataFrame, below: float = 0.50, above: float = 0.40) -
 def override(p: DataFrame, forced: DataFrame, lead: float = 0.05) -> DataFrame:
     """forced (id, class): its p becomes the largest plus `lead`; all are re-normalised."""
     joined = p.join(forced.select("id", F.col("class").alias("f")), "id", "left")
-    raised = joined.select("id", "class", F.when(F.col("class") == F.col("f"), F.max("p").over(_ID) + lead).otherwise(F.col("p")).alias("p"))
-    return raised.select("id", "class", (F.col("p") / F.sum("p").over(_ID)).alias("p"))
+    raised = joined.select("id", "class", F.when(F.col("class") == F.col("f"), F.max("p").over(by_id()) + lead).otherwise(F.col("p")).alias("p"))
+    return raised.select("id", "class", (F.col("p") / F.sum("p").over(by_id())).alias("p"))
 
 
 def argmax(p: DataFrame) -> DataFrame:

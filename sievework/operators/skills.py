@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 TOKEN = r"[a-zA-Z0-9.+#]+"
 
@@ -34,7 +35,7 @@ def exact(df: DataFrame, key: str, text: str, skills: DataFrame, longest: int =
     return found.join(skills.select("skill", F.lower("skill").alias("g")), "g").select(key, "skill").distinct()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * 2 LCS / (len + len): insertions and deletions only."""
 

@@ -37,7 +37,7 @@ def _model(s, d, sharp: float, even: bool = False):
     centroids = c.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda v: v["c"]).alias("c"))
     # one row per class on the right
     scored = table(s, d, "embeddings").crossJoin(F.broadcast(centroids)).select(F.col("vec_id").alias("id"), "class", F.exp(sharp * C.dot(F.col("embedding"), F.col("c"))).alias("s"))
-    return scored.select("id", "class", F.round(F.col("s") / F.sum("s").over(D._ID), 9).alias("p"))
+    return scored.select("id", "class", F.round(F.col("s") / F.sum("s").over(D.by_id()), 9).alias("p"))
 
 
 def _a(s, d):
