@@ -118,15 +118,18 @@ def paragraphs(df: DataFrame, key: str, text: str, size: int = 500, overlap: int
     kind = "struct<done:array<string>,open:string>"
     blocks = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
+    def closed(state: Column) -> Column:
+        return F.when(state["open"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
+
     def add(state: Column, piece: Column, glue: str) -> Column:
         joined = F.when(state["open"] == "", piece).otherwise(F.concat(state["open"], F.lit(glue), piece))
-        fits = F.length(joined) <= size
-        closed = F.when(state["open"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
-        return F.when(fits, F.struct(state["done"].alias("done"), joined.alias("open"))).otherwise(F.struct(closed.alias("done"), piece.alias("open"))).cast(kind)
+        fits = F.length(state["open"]) + F.length(piece) + 1 <= size
+        return F.when(fits, F.struct(state["done"].alias("done"), joined.alias("open"))).otherwise(F.struct(closed(state).alias("done"), piece.alias("open"))).cast(kind)
 
     def block(state: Column, p: Column) -> Column:
-        long = F.length(p) > size
-        return F.when(long, F.aggregate(C.words(p), state, lambda s, w: add(s, w, " "))).otherwise(add(state, p, "\n\n"))
+        # a paragraph beyond the size starts anew, word by word; its last part stays open for the next paragraph
+        fresh = F.struct(closed(state).alias("done"), F.lit("").alias("open")).cast(kind)
+        return F.when(F.length(p) > size, F.aggregate(C.words(p), fresh, lambda s, w: add(s, w, " "))).otherwise(add(state, p, "\n"))
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")).cast(kind)
     chunks = F.aggregate(blocks, start, block, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
