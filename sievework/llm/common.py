@@ -31,17 +31,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settled(df: DataFrame, name: str = "part") -> DataFrame:
+#: Rows in an Arrow batch while a table is written: long texts and sets count, as a batch is held whole.
+RECORDS = 1000
+
+
+def settled(df: DataFrame, name: str = "part", records: int = RECORDS) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps don't depend on lost executors or recompute it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sievework-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the shuffles behind a written table are of no more use
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    # the shuffles behind a written table are of no more use
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(records)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -38,8 +38,10 @@ SMALL = 16
 MOST_MATCHES = 6
 #: Size classes are this power of 1/threshold wide.
 WIDTH = 3
-#: A block of the comparison within a leader's group holds about so many shingles.
-BLOCK = 400_000
+#: A block of the comparison within a leader's group holds about so many shingles, and about so many documents at most.
+BLOCK, BLOCK_ROWS = 400_000, 1000
+#: Rows of two whole sets in an Arrow batch.
+PAIR_RECORDS = 100
 
 
 class _Shingles:
@@ -123,7 +125,7 @@ def _sketch(scan: DataFrame) -> np.ndarray:
     for b in common._arrow_batches(parts):
         for p, c in zip(b.column("part"), b.column("counts"), strict=True):
             out[p.as_py()] = c.values.to_numpy()
-    return out.ravel()
+    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
 
 def _matches(others: np.ndarray, base: int) -> int:
@@ -263,7 +265,7 @@ def _block_edges(left: list, right: list, threshold: tuple[int, int]) -> list[tu
 
 def _within_leaders(stars: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Edges between documents of one leader of which at least one isn't linked with it. stars: a, b (the leader), linked, n."""
-    total = stars.groupBy("b").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count_if(~F.col("linked")).alias("open")).where("open > 0").select("b", "blocks")
+    total = stars.groupBy("b").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"), F.count_if(~F.col("linked")).alias("open")).where("open > 0").select("b", "blocks")
     rows = stars.join(total, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     free = rows.where("not linked")
     probe = free.select("a", "b", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("against"), F.lit(True).alias("probe"))
@@ -303,10 +305,10 @@ def _joined(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFram
     stars = common.settled(stars, "stars")
     wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).unionByName(stars.select(F.col("a").alias("digest"))).distinct()
     sets = common.settled(_sets(docs, words, wanted), "sets")
-    checked = common.settled(_linked(pairs.unionByName(stars.where("a <> b").select("a", "b")).distinct(), sets, threshold), "checked")
+    checked = common.settled(_linked(pairs.unionByName(stars.where("a <> b").select("a", "b")).distinct(), sets, threshold), "checked", PAIR_RECORDS)
     edges = checked.where("linked").select("a", "b")
     around = stars.join(checked, ["a", "b"], "left").select("a", "b", "n", F.coalesce("linked", F.lit(True)).alias("linked"))
-    edges = edges.unionByName(_within_leaders(around, sets, threshold))
+    edges = edges.unionByName(common.settled(_within_leaders(around, sets, threshold), "inner", PAIR_RECORDS))
     roots = common.components(edges, "a", "b").withColumnRenamed("node", "digest")
     least = base.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"))
     named = least.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
