@@ -50,10 +50,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     Words are runs of non-whitespace. The cluster of a document is a hash of its lower-cased words.
     """
-    text = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"\s+", " "))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text.alias("t"))
-    n_words = F.when(F.col("t") == "", 0).otherwise(F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
-    rows = rows.select("id", "source", F.xxhash64("t").alias("cluster"), n_words.cast("long").alias("n"), F.xxhash64("id", "t").alias("h")).where("n > 0")
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"\s+"), lambda w: w != "")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("w"))
+    rows = rows.select("id", "source", F.xxhash64("w").alias("cluster"), F.size("w").cast("long").alias("n"), F.xxhash64("id", "w").alias("h")).where("n > 0")
     full = rows.where(F.col("n") >= capacity).select("id", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / capacity) - 1)).alias("piece"))
     whole = full.select("id", "piece", (F.col("piece") * capacity).alias("first_word"), F.lit(capacity).cast("long").alias("n_words"), F.concat(F.lit("full-"), F.hex("h"), F.lit("-"), F.col("piece")).alias("bin"), F.lit(0).cast("long").alias("offset"))
     rest = rows.select("id", "source", "cluster", "h", F.floor(F.col("n") / capacity).alias("piece"), (F.col("n") % capacity).alias("size")).where("size > 0")
