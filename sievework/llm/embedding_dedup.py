@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCKS, EXPECTED, LEAST, BUCKET = 4, 12, 8, 512
+#: Buckets are small, so a task takes those of about so many rows together.
+TASK_ROWS = 4000
 
 
 class Caps:
@@ -148,19 +150,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     against = there.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tasks = against.select("node", "weight", "vector", "filters", "group", "filter", "part", F.least("part", "o").alias("a"), F.greatest("part", "o").alias("b"))
 
+    bins = max(1, flat.count() // TASK_ROWS)
+    tasks = tasks.withColumn("bin", F.pmod(F.xxhash64("group", "filter", "a", "b"), F.lit(bins)).cast("long"))
+
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        this, a, b = (k.as_py() for k in key[1:])
-        sides: tuple[list, list] = ([], [])
+        buckets: dict[tuple, tuple[list, list]] = {}
         for t in batches:
-            for node, weight, vector, filters, part in zip(t.column("node").to_pylist(), t.column("weight").to_pylist(), t.column("vector"), t.column("filters").to_pylist(), t.column("part").to_pylist(), strict=True):
-                sides[part != a].append({"node": node, "weight": weight, "vector": vector.values.to_numpy(), "filters": filters})
-        links, edges = ([], [])
-        if a == b and len(sides[0]) > 1 or a != b and sides[0] and sides[1]:
-            links, edges = _compare(sides[0], sides[1] if a != b else None, this, threshold)
+            for node, weight, vector, filters, *where, part in zip(*(t.column(c).to_pylist() for c in ("node", "weight")), t.column("vector"), *(t.column(c).to_pylist() for c in ("filters", "group", "filter", "a", "b", "part")), strict=True):
+                sides = buckets.setdefault(tuple(where), ([], []))
+                sides[part != where[2]].append({"node": node, "weight": weight, "vector": vector.values.to_numpy(), "filters": filters})
+        links, edges = [], []
+        for (_, this, a, b), (left, right) in buckets.items():
+            if a == b and len(left) > 1 or a != b and left and right:
+                one, two = _compare(left, right if a != b else None, this, threshold)
+                links += one
+                edges += two
         names = [x for x, _ in links] + [x for x, _ in edges]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([None] * len(links) + [y for _, y in edges], pa.binary()), pa.array([n for _, n in links] + [0] * len(edges), pa.int64())], ["x", "y", "n"])
 
-    found = common.settled(tasks.groupBy("group", "filter", "a", "b").applyInArrow(run, "x binary, y binary, n long"), "found")
+    found = common.settled(tasks.groupBy("bin").applyInArrow(run, "x binary, y binary, n long"), "found")
     links = found.where("y is null").groupBy("x").agg(F.sum("n").alias("others"))
     roots = common.components(found.where("y is not null").select("x", "y"), "x", "y").withColumnRenamed("node", "x")
     named = nodes.select(F.col("node").alias("x"), "weight", "least").join(roots, "x", "left").join(links, "x", "left").withColumn("root", F.coalesce("root", "x"))
