@@ -1,7 +1,9 @@
 """License scan, in DataFrame functions only.
 
 Base: the places where the words of a license phrase stand consecutively.
-Method: an exact set-similarity join of text blocks (lines) with license templates. Template tokens have a global order, rarest
+Method: an exact set-similarity join of text blocks with license templates. Blocks are the lines, and, as sentences are usually
+wrapped, in texts of several lines also overlapping windows of twice the longest template's words, which start at every multiple
+of its length: a run of words as long as any template stands in one of them whole. Template tokens have a global order, rarest
 in the corpus first, by document counts over all documents. A block that holds a share `threshold` of a template's tokens
 holds one of its prefix, the first size - need + 1 tokens; the length filter drops blocks with fewer template tokens than
 needed, the positional filter drops matches after which too few tokens are left on either side, and the rest is verified.
@@ -38,10 +40,11 @@ TEMPLATES = [
 ]
 
 
-def _template_rows(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[int, str, list[str]]]:
-    """Number, label and distinct words of each template, by the words' own definition. As many rows as templates."""
+def _template_rows(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[int, str, list[str], int]]:
+    """Number, label, distinct words and count of words of each template, by the words' own definition. As many rows as templates."""
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, label string, text string")
-    return [(r.template, r.label, r.tokens) for r in rows.select("template", "label", F.array_distinct(common.word_array(F.col("text"))).alias("tokens")).collect()]
+    words = rows.select("template", "label", common.word_array(F.col("text")).alias("words"))
+    return [(r.template, r.label, r.tokens, r.n) for r in words.select("template", "label", F.array_distinct("words").alias("tokens"), F.size("words").alias("n")).collect()]
 
 
 def _strings(values: list[str]) -> Column:
@@ -64,18 +67,20 @@ def _all(conditions: list[Column]) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, phrases: list | None = None, templates: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Two frames. Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest share of a
-    template that a block holds; 1 for a phrase). Per match: _id, _h, line, label, template, score."""
+    template that a block holds; 1 for a phrase). Per match: _id, _h, line (null for a window), label, template,
+    score."""
     spark = docs.sparkSession
     phrases = [(p.split(" "), label) for p, label in (phrases or PHRASES)]
     rows = _template_rows(spark, templates or TEMPLATES)
-    need = {t: max(1, ceil(threshold * len(tokens) - 1e-9)) for t, _, tokens in rows}
-    vocabulary = sorted({w for _, _, tokens in rows for w in tokens} | {w for p, _ in phrases for w in p})
+    need = {t: max(1, ceil(threshold * len(tokens) - 1e-9)) for t, _, tokens, _ in rows}
+    step = max([1, *(n for *_, n in rows)])
+    vocabulary = sorted({w for _, _, tokens, _ in rows for w in tokens} | {w for p, _ in phrases for w in p})
     keyed = common.keyed(docs, id_col, text_col)
     words = keyed.withColumn("words", common.word_array(F.col("_text"))).withColumn("present", F.array_intersect("words", _strings(vocabulary)))
     words = words.select("_id", "_h", "_text", "present", F.size("words").cast("long").alias("n_words"), *(_places(F.col("words"), F.col("present"), p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)))
     # a block can't hold more of a template than its document does
     may = F.lit(False)
-    for t, _, tokens in rows:
+    for t, _, tokens, _ in rows:
         may = may | (F.size(F.array_intersect("present", _strings(tokens))) >= need[t])
     all_places = F.concat(*(F.col(f"p{i}") for i in range(len(phrases))))
     labels = F.array_distinct(F.concat(*(F.when(F.size(f"p{i}") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for i, (_, label) in enumerate(phrases))))
@@ -86,13 +91,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     counts = seen.select(F.explode("present").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     df = {r.token: r.df for r in counts.collect()}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (df.get(w, 0), w)))}
-    ordered = spark.createDataFrame([(t, label, sorted(tokens, key=rank.get), need[t]) for t, label, tokens in rows], "template int, label string, tokens array<string>, need int")
+    ordered = spark.createDataFrame([(t, label, sorted(tokens, key=rank.get), need[t]) for t, label, tokens, _ in rows], "template int, label string, tokens array<string>, need int")
     prefix = ordered.select("template", "label", "tokens", "need", F.posexplode(F.expr("slice(tokens, 1, size(tokens) - need + 1)")).alias("i", "token"))
     by_rank = _strings(sorted(vocabulary, key=rank.get))
 
-    lines = seen.where("_text is not null").select("_id", "_h", F.posexplode(F.split("_text", r"\R")).alias("line", "block")).distinct()
+    texts = seen.where("_text is not null")
     # array_intersect keeps the order of its first argument, so the block's tokens come in the global order
-    blocks = lines.select("_id", "_h", "line", F.array_intersect(by_rank, common.word_array(F.col("block"))).alias("block")).where(F.size("block") >= min(need.values()))
+    held = lambda words: F.array_intersect(by_rank, words)
+    lines = texts.select("_id", "_h", F.posexplode(F.split("_text", r"\R")).alias("line", "block")).distinct().select("_id", "_h", "line", held(common.word_array(F.col("block"))).alias("block"))
+    wrapped = texts.where(F.col("_text").rlike(r"\R")).select("_id", "_h", common.word_array(F.col("_text")).alias("words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - step), F.lit(step))
+    windows = wrapped.select("_id", "_h", F.explode(F.transform(starts, lambda i: held(F.slice("words", i, 2 * step)))).alias("block")).distinct()
+    blocks = lines.unionByName(windows.select("_id", "_h", F.lit(None).cast("int").alias("line"), "block")).where(F.size("block") >= min(need.values()))
     probes = blocks.select("_id", "_h", "line", "block", F.posexplode("block").alias("j", "token"))
     candidates = probes.join(F.broadcast(prefix), "token").where((F.size("block") >= F.col("need")) & (F.lit(1) + F.least(F.size("tokens") - F.col("i") - 1, F.size("block") - F.col("j") - 1) >= F.col("need")))
     verified = candidates.select("_id", "_h", "line", "label", "template", "need", (F.size(F.array_intersect("block", "tokens"))).alias("common"), F.size("tokens").alias("size")).where("common >= need")

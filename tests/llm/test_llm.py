@@ -116,6 +116,18 @@ def test_license_scan(spark):
     assert tuple(out[1])[1:] == (0, 0, None, None, "", "", 0.0) and out[None].base_labels == "cc-by"
 
 
+def test_license_sentences_across_lines(spark):
+    filler = " ".join(f"w{i}" for i in range(45))
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal"
+    gpl = "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General Public\r\n\r\nLicense as published by the Free Software Foundation"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    rows = [(i * 3 + j, pre + t) for i, t in enumerate((mit, gpl, bsd)) for j, pre in enumerate(("", filler + "\n", f"{filler} {filler}\n{filler} a b c\n"))]
+    far = mit.replace("copy\n", f"copy\n{filler} {filler} {filler}\n")
+    out = {r.doc_id: r for r in license_scan.scan(clashing(spark.createDataFrame([*rows, (90, far)], DOC)))[0].collect()}
+    assert all(out[j].labels == "mit" and out[6 + j].labels == "bsd" and "gpl" in out[3 + j].labels.split(",") and out[3 + j].score == 1.0 for j in range(3))
+    assert out[90].labels == "" and out[90].score == 0.0
+
+
 def test_near_vectors(spark):
     rng = np.random.Generator(np.random.PCG64(4))
     base = rng.standard_normal((60, 16))
