@@ -188,6 +188,20 @@ def test_learnt_formats_find_unannounced_secrets(spark):
     assert out[1000] == "format:4:26" and out[1001] == ""
 
 
+def test_short_and_long_learnt_secrets_without_digits(spark):
+    rnd = random.Random(4)
+    pick = lambda of, n: "".join(rnd.choice(of) for _ in range(n))
+    upper, word = "QXZJKVWYGH", lambda: pick("aeiourstlnm", rnd.randint(3, 11))
+    rows = [(i, f"{' '.join(word() for _ in range(20))} password={pick(upper, 10)}") for i in range(300)]
+    short = pick(upper, 10)
+    out = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame([*rows, (1000, f"see {short}. Then {word()}"), (1001, "ordinary sentences remain untouched")], DOC)).collect()}
+    assert out[1000] == "format:4:14" and out[1001] == ""
+    assert sum("format" in out[i] for i in range(300)) == 0
+    keys = [(i, f"words here token={'aX12' * 100}{i % 10}") for i in range(50)] + [(60, "only ordinary words here, ordinary"), (61, f"key {'aX12' * 100}7")]
+    out = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(keys, DOC)).collect()}
+    assert out[61] == "format:4:405"
+
+
 def test_packing(spark):
     rnd = random.Random(6)
     rows = [(i, " ".join(["w"] * rnd.randint(0, 70) + [str(i % 40)]), f"s{i % 5}") for i in range(300)] + [(1, None, "s1"), (2, "", None), (3, "same text", None), (3, "same text", None)]
