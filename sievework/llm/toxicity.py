@@ -1,15 +1,15 @@
 """Toxicity scores from the nearest labelled examples.
 
-Method: exact TF-IDF cosine search with block-max inverted indexes. Terms are runs of five bytes within a lower-cased word and
-its edges, so inflected forms share terms; document frequencies are counted over all documents. Examples lie in blocks of
-`BLOCK`; for each term the index keeps the largest weight in each block, so a document's bound for a block is one small product.
-The blocks with the highest bounds are scored in full, then all others whose bound reaches the K-th best score: the result is
-that of a full search. Neighbours vote by their cosine, and a logistic curve fitted to left-one-out votes of the examples
-calibrates the score.
+Method: exact TF-IDF cosine search with a block-max inverted index. Terms are all runs of five bytes within a lower-cased word
+and its edges that an example holds, so inflected forms share terms; document frequencies are counted over all documents. A
+term's weight also has a smooth factor of its chi-squared between the classes, which no term lacks and which has no cut. Examples
+lie in blocks of `BLOCK`. Terms that many examples hold are dense rows and summed by one matrix product; for all others the index
+keeps postings and the largest weight in each block, and the postings are read in blocks only whose bound reaches the K-th best
+sum: the result is that of a full search. Neighbours vote by their cosine, and a logistic curve fitted to left-one-out votes of
+the examples (without their own share in chi-squared) calibrates the score.
 
-Bounded, and on documented parameters: the labelled examples (`EXAMPLES` of each class, the least by hash of the id) and the
-terms (`TERMS`, those most associated with a class by chi-squared over the examples). Only rows with crc32(id as text) mod
-`folds` <> 0 are examples. Everything else covers all documents.
+Bounded, and on documented parameters: the labelled examples (`EXAMPLES` of each class, the least by hash of the id). Only rows
+with crc32(id as text) mod `folds` <> 0 are examples. Everything else covers all documents and all terms of the examples.
 
 Results: null and empty texts have no terms and the calibrated score of texts without terms; without labelled rows every score is
 the share of toxic rows, 0 if there are none. Repeated rows get equal scores. Empty tables give empty results; ties between
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 4000, 1024, 64, 25
-#: A term is taken if at least so many examples hold it and chi-squared is at least so much.
-LEAST_EXAMPLES, LEAST_CHI2 = 8, 30.0
+EXAMPLES, BLOCK, NEIGHBOURS = 4000, 64, 25
+#: At most so many terms are dense rows, if a `SHARE`-th of the examples holds them; only speed depends on both.
+DENSE, SHARE = 4096, 16
+#: Chi-squared at which a term weighs about half, and what a term without association has of it.
+HALF, LITTLE = 30.0, 0.1
 #: Weight of the prior among the votes.
 PRIOR = 0.5
 CHUNK = 1 << 19
@@ -95,12 +97,13 @@ class _Lookup:
     """Term numbers of grams: a small table rejects nearly all others at once."""
 
     def __init__(self, terms: np.ndarray) -> None:
-        self.terms, self.table = np.sort(terms), np.zeros(1 << 16, bool)
+        self.terms = np.sort(terms)
+        self.shift = np.uint64(64 - min(24, max(16, int(4 * len(terms) + 1).bit_length())))
+        self.table = np.zeros(1 << (64 - int(self.shift)), bool)
         self.table[self._slot(self.terms)] = True
 
-    @staticmethod
-    def _slot(gram: np.ndarray) -> np.ndarray:
-        return ((gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    def _slot(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def rows(self, gram: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, count) in order of row."""
@@ -113,44 +116,89 @@ class _Lookup:
         return both // len(self.terms), both % len(self.terms), count
 
 
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, and the range of each."""
+    size = stop - start
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + start[which], which
+
+
 class Index:
-    """Block-max inverted index over the examples."""
+    """Block-max inverted index over the examples; `idf` has the whole weight of a term."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list, toxic: np.ndarray, worth: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> None:
+        order = np.lexsort((row, term))
+        least = lambda x: x[order].astype(np.min_scalar_type(int(x.max(initial=0))))
+        self._build(terms, idf, ids, toxic, worth, np.searchsorted(term[order], np.arange(len(terms) + 1)), least(row), least(count))
+
+    def _build(self, terms: np.ndarray, idf: np.ndarray, ids: list, toxic: np.ndarray, worth: np.ndarray, at: np.ndarray, doc: np.ndarray, count: np.ndarray) -> None:
+        self.given = (terms, idf, ids, toxic, worth, at, doc, count)
         self.lookup, self.idf, self.ids, self.toxic, self.worth = _Lookup(terms), idf, ids, toxic, worth
         self.n, self.blocks = len(ids), max(1, -(-len(ids) // BLOCK))
-        weight = self.weights(term, count)
-        norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=self.n))
-        self.weight = np.zeros((self.blocks, len(terms), BLOCK), np.float32)
-        self.weight[row // BLOCK, term, row % BLOCK] = weight / norm[row]
-        self.most = self.weight.max(axis=2).T.copy() if len(terms) else np.zeros((0, self.blocks), np.float32)
+        self.doc, term = doc.astype(np.int32), np.repeat(np.arange(len(terms), dtype=np.int32), np.diff(at))
+        weight = self.weights(term, count.astype(np.float32)).astype(np.float32)
+        norm = np.sqrt(np.bincount(self.doc, weights=weight.astype(float) ** 2, minlength=self.n))
+        self.weight, self.at = weight / norm[self.doc].astype(np.float32), at
+        # the groups of a term's postings by block
+        key = term.astype(np.int64) * self.blocks + self.doc // BLOCK
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        self.group = np.r_[first, len(key)]
+        self.block, self.most = (key[first] % self.blocks).astype(np.int32), np.maximum.reduceat(self.weight, first)
+        self.group_at = np.searchsorted(term[first], np.arange(len(terms) + 1))
+        held = np.diff(self.at)
+        many = np.argsort(-held, kind="stable")[:DENSE]
+        self.dense = many[held[many] * SHARE >= self.n]
+        self.slot = np.full(len(terms), -1, np.int32)
+        self.slot[self.dense] = np.arange(len(self.dense))
+        self.matrix = None
+
+    def __getstate__(self) -> tuple:
+        """Postings only, as each executor keeps a copy on disk; the rest is built again from them."""
+        return self.given
+
+    def __setstate__(self, given: tuple) -> None:
+        self._build(*given)
 
     def weights(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         return (1 + np.log(count)) * self.idf[term]
 
     def nearest(self, term: np.ndarray, count: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the NEIGHBOURS best with a cosine above 0, best first, without example `but`."""
-        q = self.weights(term, count)
-        q = (q / np.sqrt((q**2).sum())).astype(np.float32)
-        bound = q @ self.most[term]
-        order = np.argsort(-bound, kind="stable")
-        first = -(-2 * NEIGHBOURS // BLOCK) + 1
-        ids, score, done = self._score(order[:first], term, q, but), None, first
-        ids, score = ids
-        kth = np.partition(score, -NEIGHBOURS)[-NEIGHBOURS] if len(score) >= NEIGHBOURS else 0.0
-        rest = order[done:][bound[order[done:]] >= max(kth - 1e-5, 1e-9)]
-        if len(rest):
-            more, scores = self._score(rest, term, q, but)
-            ids, score = np.r_[ids, more], np.r_[score, scores]
-        some = np.flatnonzero(score > 1e-6)
-        best = some[np.lexsort((ids[some], -np.round(score[some], 6)))][:NEIGHBOURS]
-        return ids[best], score[best].astype(float)
-
-    def _score(self, blocks: np.ndarray, term: np.ndarray, q: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        score = np.concatenate([q @ self.weight[b][term] for b in blocks]) if len(blocks) else np.zeros(0, np.float32)
-        ok = (ids < self.n) & (ids != but)
-        return ids[ok], score[ok]
+        return self.search([(term, count, but, None)])[0]
+
+    def search(self, queries: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of many: terms, counts, an example to leave out, and factors of the terms' products or None."""
+        if self.matrix is None:
+            self.matrix = np.zeros((len(self.dense), self.n), np.float32)
+            place, which = _ranges(self.at[self.dense], self.at[self.dense + 1])
+            self.matrix[which, self.doc[place]] = self.weight[place]
+        weights = []
+        for term, count, _, factor in queries:
+            w = self.weights(term, count)
+            q = w if factor is None else w * factor
+            weights.append((q / np.sqrt(max((q * w).sum(), 1e-300))).astype(np.float32))
+        q = np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, (term, *_) in enumerate(queries):
+            slot = self.slot[term]
+            q[i, slot[slot >= 0]] = weights[i][slot >= 0]
+        sums = q @ self.matrix
+        return [self._best(sums[i], term[self.slot[term] < 0], weights[i][self.slot[term] < 0], but) for i, (term, _, but, _) in enumerate(queries)]
+
+    def _best(self, score: np.ndarray, term: np.ndarray, q: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
+        if but >= 0:
+            score[but] = -1
+        kth = max(np.partition(score, -NEIGHBOURS)[-NEIGHBOURS], 0.0) if self.n >= NEIGHBOURS else 0.0
+        group, which = _ranges(self.group_at[term], self.group_at[term + 1])
+        bound = np.maximum.reduceat(score, np.arange(0, self.n, BLOCK)) + np.bincount(self.block[group], weights=self.most[group] * q[which], minlength=self.blocks)
+        some = np.flatnonzero(bound[self.block[group]] >= kth - 1e-5)
+        place, owner = _ranges(self.group[group[some]], self.group[group[some] + 1])
+        score = score + np.bincount(self.doc[place], weights=self.weight[place] * q[which[some]][owner], minlength=self.n)
+        if but >= 0:
+            score[but] = -1
+        floor = np.partition(score, -NEIGHBOURS)[-NEIGHBOURS] - 1e-5 if self.n >= NEIGHBOURS else 0.0
+        some = np.flatnonzero(score >= max(floor, 1e-6))
+        best = some[np.lexsort((some, -np.round(score[some], 6)))][:NEIGHBOURS]
+        return best, score[best].astype(float)
 
     def vote(self, ids: np.ndarray, cosine: np.ndarray, prior: float) -> float:
         w = cosine * self.worth[ids]
@@ -204,10 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     n1, n0 = (texts.where(F.col("toxic") == c).count() for c in (1, 0))
     if not n1 or not n0:
         return Model(None, prior, prior, 1.0, 0.0)
-    a, b, n = F.col("yes").cast("double"), F.col("no").cast("double"), float(n1 + n0)
-    chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * (a + b) * (n - a - b + 1e-9))
-    picked = counted.where(F.col("yes") + F.col("no") >= LEAST_EXAMPLES).select("gram", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
-    terms = np.array(sorted(r.gram for r in picked.orderBy(F.desc("chi2"), "gram").limit(TERMS).collect()), np.int64)
+    held = counted.orderBy("gram").toArrow()  # bounded: the terms of the examples
+    terms, yes, no = (held.column(c).to_numpy() for c in ("gram", "yes", "no"))
     lookup = source.sparkSession.sparkContext.broadcast(terms)
 
     def frequencies(batches):
@@ -219,29 +265,74 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             rows += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.arange(len(df)), -1]), pa.array(np.r_[df, rows])], ["term", "df"])
 
-    found = {r.term: r.df for r in source.select("_text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    idf = np.log((1 + found.get(-1, 0)) / (1 + np.array([found.get(i, 0) for i in range(len(terms))], float))) + 1
+    counts = source.select("_text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(terms) + 1)
+    df[counts.column("term").to_numpy()] = counts.column("df").to_numpy()  # the last, -1, has the rows
+    factor = association(yes, no, n1, n0)
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * factor
+    # without an example of a class, as share of the factor, for both sides of a product
+    without = {c: (association(np.maximum(yes - c, 0), np.maximum(no - 1 + c, 0), n1 - c, n0 - 1 + c) / factor).astype(np.float32) ** 2 for c in (0, 1)}
 
     def vectors(batches):
         grams, find = _Grams(), _Lookup(lookup.value)
         for b, (data, at) in _chunks(batches):
             row, term, count = find.rows(*grams.rows(data, at))
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
-            lists = [[x[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)] for x in (term, count)]
-            yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.string()), b.column("toxic"), pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.int64()))], ["id", "toxic", "term", "count"])
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (term, count)]
+            yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.string()), b.column("toxic"), *lists], ["id", "toxic", "term", "count"])
 
-    rows = sorted(texts.mapInArrow(vectors, "id string, toxic int, term array<long>, count array<long>").collect(), key=lambda r: (len(r.id), r.id))
+    rows = common.settled(texts.mapInArrow(vectors, "id string, toxic int, term array<int>, count array<int>"), "vectors")
+    bare = {r.toxic: r.n for r in rows.where(F.size("term") == 0).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    full = rows.where(F.size("term") > 0).toArrow().combine_chunks()  # bounded: the examples
+    full = full.take(pa.array(sorted(range(full.num_rows), key=[(len(i), i) for i in full.column("id").to_pylist()].__getitem__), pa.int64()))
     share = {1: totals[1] / n1, 0: totals[0] / n0}
-    bare, full = [r for r in rows if not r.term], [r for r in rows if r.term]
-    worth_of = lambda rs: np.array([share[r.toxic] for r in rs])
-    toxic_of = lambda rs: np.array([float(r.toxic) for r in rs])
-    empty = float((worth_of(bare) @ toxic_of(bare) + prior) / (worth_of(bare).sum() + 1)) if bare else prior
-    if not full:
+    bare_worth = sum(share[c] * k for c, k in bare.items())
+    empty = (share[1] * bare.get(1, 0) + prior) / (bare_worth + 1) if bare else prior
+    if not full.num_rows:
         return Model(None, prior, empty, 1.0, 0.0)
-    index = Index(terms, idf, [r.id for r in full], toxic_of(full), worth_of(full), np.repeat(np.arange(len(full)), [len(r.term) for r in full]), np.concatenate([np.array(r.term, np.int64) for r in full]), np.concatenate([np.array(r["count"], np.int64) for r in full]))
-    votes = [index.vote(*index.nearest(np.array(r.term, np.int64), np.array(r["count"], np.int64), but=i), prior) for i, r in enumerate(full)]
-    vote = np.r_[votes, [empty] * len(bare)]
-    return Model(index, prior, empty, *calibrate(vote, np.r_[toxic_of(full), toxic_of(bare)], np.r_[worth_of(full), worth_of(bare)]))
+    ids, toxic = full.column("id").to_pylist(), full.column("toxic").to_numpy().astype(float)
+    term, count = (full.column(c).combine_chunks() for c in ("term", "count"))
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(term.offsets.to_numpy()))
+    term, count = term.flatten().to_numpy(), count.flatten().to_numpy()
+    worth = np.where(toxic > 0, share[1], share[0])
+    index = Index(terms, idf, ids, toxic, worth, row, term, count)
+    del full, row, term, count
+    shared = source.sparkSession.sparkContext.broadcast((index, without, {x: i for i, x in enumerate(ids)}))
+
+    def left_out(batches):
+        index, without, number = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                who = [number[x] for x in b.column("id").to_pylist()]
+                vectors = [(b.column("term")[i].values.to_numpy(), b.column("count")[i].values.to_numpy()) for i in range(b.num_rows)]
+                found = index.search([(t, c, i, without[int(index.toxic[i])][t]) for (t, c), i in zip(vectors, who, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array([index.vote(*f, prior) for f in found], pa.float64())], ["row", "vote"])
+
+    votes = np.zeros(len(ids))
+    for r in rows.where(F.size("term") > 0).select("id", "term", "count").repartition(24).mapInArrow(left_out, "row long, vote double").collect():
+        votes[r.row] = r.vote
+    shared.destroy()
+    alone = [(c, share[c]) for c, k in bare.items() for _ in range(k)]
+    return Model(index, prior, empty, *calibrate(np.r_[votes, [empty] * len(alone)], np.r_[toxic, [float(c) for c, _ in alone]], np.r_[worth, [w for _, w in alone]]))
+
+
+def association(yes: np.ndarray, no: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The factor of a term's weight: above 0, rising with chi-squared between the classes, at most 1."""
+    a, b, n = yes.astype(float), no.astype(float), float(n1 + n0)
+    chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (max(n1, 1) * max(n0, 1) * np.maximum(a + b, 1) * np.maximum(n - a - b, 1))
+    return (chi2 + LITTLE) / (chi2 + HALF)
+
+
+def _found(index: Index, grams: _Grams, data: np.ndarray, at: np.ndarray):
+    """(row, examples, cosines) of the rows with terms."""
+    row, term, count = index.lookup.rows(*grams.rows(data, at))
+    cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]) if len(row) else np.zeros(1, np.int64)
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+    for k in range(0, len(parts), 256):
+        some = parts[k : k + 256]
+        for (i, _), found in zip(some, index.search([(term[i:j], count[i:j], -1, None) for i, j in some]), strict=True):
+            yield row[i], *found
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> DataFrame:
@@ -256,12 +347,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for b, (data, at) in _chunks(batches):
             score, evidence = np.full(b.num_rows, model.final(model.empty)), [""] * b.num_rows
             if index:
-                row, term, count = index.lookup.rows(*grams.rows(data, at))
-                cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]) if len(row) else np.zeros(1, np.int64)
-                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    ids, cosine = index.nearest(term[i:j], count[i:j])
-                    score[row[i]] = model.final(index.vote(ids, cosine, model.prior))
-                    evidence[row[i]] = ",".join(f"{index.ids[x]}:{int(index.toxic[x])}:{c:.3f}" for x, c in zip(ids[:3], cosine[:3], strict=True))
+                for i, ids, cosine in _found(index, grams, data, at):
+                    score[i] = model.final(index.vote(ids, cosine, model.prior))
+                    evidence[i] = ",".join(f"{index.ids[x]}:{int(index.toxic[x])}:{c:.3f}" for x, c in zip(ids[:3], cosine[:3], strict=True))
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(score, pa.float64()), pa.array(evidence, pa.string())], ["id", "score", "evidence"])
 
     scored = source.mapInArrow(run, f"id {id_type}, score double, evidence string")
@@ -280,10 +368,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for b, (data, at) in _chunks(batches, "__sw_text"):
             keep = np.full(b.num_rows, model.final(model.empty) < most)
             if index:
-                row, term, count = index.lookup.rows(*grams.rows(data, at))
-                cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]) if len(row) else np.zeros(1, np.int64)
-                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                    keep[row[i]] = model.final(index.vote(*index.nearest(term[i:j], count[i:j]), model.prior)) < most
+                for i, ids, cosine in _found(index, grams, data, at):
+                    keep[i] = model.final(index.vote(ids, cosine, model.prior)) < most
             kept = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 

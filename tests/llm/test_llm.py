@@ -244,6 +244,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == d.columns and kept.count() == sum(r.predicted == 0 for r in out.values())
 
 
+def test_toxicity_learns_rare_words_and_from_few_examples(spark):
+    rnd = random.Random(3)
+    fill = lambda: " ".join(rnd.choice("abcdefgh") + rnd.choice("xyz") + str(rnd.randint(0, 50)) for _ in range(12))
+    marks = ["vileness", "nastyword", "grimthing", "foulmouth", "hateful"]
+    rows = [(i, f"{fill()} {marks[i // 2 % 5]} {marks[i // 2 % 5]}" if i % 2 else fill()) for i in range(24)]
+    labels = [(i, i % 2) for i in range(24)]
+    asked = [(100 + i, f"{fill()} {m} {m}") for i, m in enumerate(marks)] + [(200 + i, fill()) for i in range(5)]
+    out = {r.doc_id: r for r in toxicity.score_documents(spark.createDataFrame(rows + asked, DOC), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(out[100 + i].evidence.split(",")[0].split(":")[1] == "1" for i in range(5))
+    assert np.mean([out[100 + i].score for i in range(5)]) > np.mean([out[200 + i].score for i in range(5)])
+
+
 def test_block_max_search_equals_full_search():
     rng = np.random.Generator(np.random.PCG64(8))
     n, terms = 700, 80
