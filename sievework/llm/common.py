@@ -151,7 +151,7 @@ class Rolling:
     def __init__(self, seed: int) -> None:
         rng = np.random.Generator(np.random.PCG64(seed))
         self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1, 2**62)) * 8 + 5
+        self.base = (int(rng.integers(1, 2**62)) * 8 + 5) % 2**64
         self.inverse = pow(self.base, -1, 2**64)
         self.up = self.down = np.ones(1, np.uint64)
 

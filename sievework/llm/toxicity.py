@@ -1,19 +1,21 @@
 """Toxicity scores from the nearest labelled examples.
 
-Method: exact TF-IDF cosine search with a block-max inverted index. Terms are all runs of five bytes within a lower-cased word
-and its edges that an example holds, so inflected forms share terms; document frequencies are counted over all documents. A
-term's weight also has a smooth factor of its chi-squared between the classes, which no term lacks and which has no cut. Examples
-lie in blocks of `BLOCK`. Terms that many examples hold are dense rows and summed by one matrix product; for all others the index
-keeps postings and the largest weight in each block, and the postings are read in blocks only whose bound reaches the K-th best
-sum: the result is that of a full search. Neighbours vote by their cosine, and a logistic curve fitted to left-one-out votes of
-the examples (without their own share in chi-squared) calibrates the score.
+Method: exact TF-IDF cosine search with a block-max inverted index. Terms are the words of a text and, for words of more than
+`STEM` bytes, their first `STEM` bytes, so inflected forms share terms; all terms that an example holds are in the index, and
+document frequencies are counted over all documents. A term's weight also has a smooth factor of its chi-squared between the
+classes, which no term lacks and which has no cut. Examples lie in blocks of `BLOCK`. Terms that many examples hold are dense
+rows and summed by one matrix product; for all others the index keeps postings and the largest weight in each block, and the
+postings are read in blocks only whose bound reaches the K-th best sum: the result is that of a full search. Neighbours vote by
+their cosine, and a logistic curve fitted to left-one-out votes of the examples (without their own share in chi-squared)
+calibrates the score.
 
 Bounded, and on documented parameters: the labelled examples (`EXAMPLES` of each class, the least by hash of the id). Only rows
 with crc32(id as text) mod `folds` <> 0 are examples. Everything else covers all documents and all terms of the examples.
 
 Results: null and empty texts have no terms and the calibrated score of texts without terms; without labelled rows every score is
-the share of toxic rows, 0 if there are none. Repeated rows get equal scores. Empty tables give empty results; ties between
-neighbours go to the smaller id. Extra columns are ignored; null labels and null ids teach nothing.
+the share of toxic rows, 0 if there are none. Repeated rows get equal scores; of an id with several texts the least text is the
+example. Empty tables give empty results; ties between neighbours go to the smaller id. Extra columns are ignored; null labels and
+null ids teach nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EXAMPLES, BLOCK, NEIGHBOURS = 4000, 64, 25
+EXAMPLES, BLOCK, NEIGHBOURS = 1500, 64, 25
 #: At most so many terms are dense rows, if a `SHARE`-th of the examples holds them; only speed depends on both.
 DENSE, SHARE = 4096, 16
 #: Chi-squared at which a term weighs about half, and what a term without association has of it.
@@ -33,40 +35,35 @@ HALF, LITTLE = 30.0, 0.1
 #: Weight of the prior among the votes.
 PRIOR = 0.5
 CHUNK = 1 << 19
-GRAM = 5
+STEM = 6
 
 
-class _Grams:
-    """Runs of five bytes of each row as numbers; spaces stand for all separators and only at an end."""
+class _Terms:
+    """Words and stems of each row as 64-bit hashes; made once in each task."""
 
     def __init__(self) -> None:
-        fold = np.full(256, 32, np.uint8)
+        self.fold = np.arange(256, dtype=np.uint8)
+        self.fold[65:91] += 32
+        self.inner = np.zeros(256, bool)
         for lo, hi in ((48, 57), (97, 122), (128, 255)):
-            fold[lo : hi + 1] = np.arange(lo, hi + 1)
-        fold[65:91] = np.arange(97, 123)
-        self.fold = fold
+            self.inner[lo : hi + 1] = True
+        self.word, self.stem = common.Rolling(31), common.Rolling(32)
 
     def rows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The grams and the row of each, in order."""
-        n = len(at) - 1
-        # a space before each row and after the last
-        text = np.full(len(data) + n + 1, 32, np.uint8)
-        shift = np.repeat(np.arange(n), np.diff(at)) + 1
-        text[np.arange(len(data)) + shift] = self.fold[data]
-        space = text == 32
-        keep = np.r_[True, ~(space[1:] & space[:-1])]
-        row = np.cumsum(np.bincount(at[:-1] + np.arange(n), minlength=len(text)))[keep] - 1
-        text, space = text[keep], space[keep]
-        if len(text) < GRAM:
+        """The terms and the row of each."""
+        if not len(data):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        m = len(text) - GRAM + 1
-        inner = ~(space[1 : m + 1] | space[2 : m + 2] | space[3 : m + 3])
-        place = np.flatnonzero(inner)
-        gram = np.zeros(len(place), np.int64)
-        for i in range(GRAM):
-            gram = (gram << 8) | text[place + i]
-        # a gram belongs to the row of its second byte, as the first may be the space that closes the row before
-        return gram, row[place + 1]
+        data = self.fold[data]
+        inner = self.inner[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[at] = True
+        first = np.flatnonzero(inner & (edge[:-1] | np.r_[True, ~inner[:-1]]))
+        last = np.flatnonzero(inner & (edge[1:] | np.r_[~inner[1:], True])) + 1
+        row = np.searchsorted(at, first, "right") - 1
+        long = last - first > STEM
+        words = self.word.ranges(self.word.prefix(data), first, last)
+        stems = self.stem.ranges(self.stem.prefix(data), first[long], first[long] + STEM)
+        return np.concatenate([words, stems]).view(np.int64), np.concatenate([row, row[long]])
 
 
 def _chunks(batches, column: str = "_text"):
@@ -79,7 +76,7 @@ def _term_counts(texts: DataFrame) -> DataFrame:
     """By gram: examples that hold it, of each class. texts: _text, toxic."""
 
     def run(batches):
-        grams = _Grams()
+        grams = _Terms()
         for b, (data, at) in _chunks(batches):
             gram, row = grams.rows(data, at)
             toxic = b.column("toxic").to_numpy(zero_copy_only=False)
@@ -110,8 +107,9 @@ class _Lookup:
         if not len(self.terms):
             return row[:0], row[:0], row[:0]
         some = np.flatnonzero(self.table[self._slot(gram)])
-        term = np.minimum(np.searchsorted(self.terms, gram[some]), len(self.terms) - 1)
-        hit = self.terms[term] == gram[some]
+        found = gram[some]
+        term = np.minimum(np.searchsorted(self.terms, found), len(self.terms) - 1)
+        hit = self.terms[term] == found
         both, count = np.unique(row[some][hit] * len(self.terms) + term[hit], return_counts=True)
         return both // len(self.terms), both % len(self.terms), count
 
@@ -152,12 +150,12 @@ class Index:
         self.slot[self.dense] = np.arange(len(self.dense))
         self.matrix = None
 
-    def __getstate__(self) -> tuple:
-        """Postings only, as each executor keeps a copy on disk; the rest is built again from them."""
-        return self.given
-
-    def __setstate__(self, given: tuple) -> None:
-        self._build(*given)
+    @classmethod
+    def of(cls, given: tuple) -> Index:
+        """From plain arrays, as they are broadcast: executors need no class of this package, and keep postings only."""
+        out = cls.__new__(cls)
+        out._build(*given)
+        return out
 
     def weights(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         return (1 + np.log(count)) * self.idf[term]
@@ -236,6 +234,14 @@ class Model:
     def final(self, vote: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * _logit(np.array(vote)) + self.offset, -30, 30)))) if self.index else vote
 
+    def plain(self) -> tuple:
+        """What is broadcast: arrays and numbers."""
+        return self.index and self.index.given, self.prior, self.empty, self.slope, self.offset
+
+    @classmethod
+    def of(cls, plain: tuple) -> Model:
+        return cls(plain[0] and Index.of(plain[0]), *plain[1:])
+
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "toxic", folds: int = 5) -> Model:
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -247,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         return Model(None, prior, prior, 1.0, 0.0)
     drawn = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(EXAMPLES) for c in (0, 1)]
     drawn = drawn[0].unionByName(drawn[1])
-    texts = common.settled(source.join(F.broadcast(drawn), "_id").select("_id", "_text", "toxic").dropDuplicates(["_id"]), "examples")
+    texts = common.settled(source.join(F.broadcast(drawn), "_id").groupBy("_id", "toxic").agg(F.min("_text").alias("_text")), "examples")
     counted = _term_counts(texts)
     n1, n0 = (texts.where(F.col("toxic") == c).count() for c in (1, 0))
     if not n1 or not n0:
@@ -257,13 +263,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     lookup = source.sparkSession.sparkContext.broadcast(terms)
 
     def frequencies(batches):
-        grams, find = _Grams(), _Lookup(lookup.value)
+        grams, find = _Terms(), _Lookup(lookup.value)
         df, rows = np.zeros(len(find.terms), np.int64), 0
         for b, (data, at) in _chunks(batches):
             _, term, _ = find.rows(*grams.rows(data, at))
             df += np.bincount(term, minlength=len(df))
             rows += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.arange(len(df)), -1]), pa.array(np.r_[df, rows])], ["term", "df"])
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[held, -1]), pa.array(np.r_[df[held], rows])], ["term", "df"])
 
     counts = source.select("_text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(terms) + 1)
@@ -274,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     without = {c: (association(np.maximum(yes - c, 0), np.maximum(no - 1 + c, 0), n1 - c, n0 - 1 + c) / factor).astype(np.float32) ** 2 for c in (0, 1)}
 
     def vectors(batches):
-        grams, find = _Grams(), _Lookup(lookup.value)
+        grams, find = _Terms(), _Lookup(lookup.value)
         for b, (data, at) in _chunks(batches):
             row, term, count = find.rows(*grams.rows(data, at))
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
@@ -297,10 +304,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     worth = np.where(toxic > 0, share[1], share[0])
     index = Index(terms, idf, ids, toxic, worth, row, term, count)
     del full, row, term, count
-    shared = source.sparkSession.sparkContext.broadcast((index, without, {x: i for i, x in enumerate(ids)}))
+    shared = source.sparkSession.sparkContext.broadcast((index.given, without, {x: i for i, x in enumerate(ids)}))
 
     def left_out(batches):
-        index, without, number = shared.value
+        given, without, number = shared.value
+        index = Index.of(given)
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
@@ -310,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
                 yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array([index.vote(*f, prior) for f in found], pa.float64())], ["row", "vote"])
 
     votes = np.zeros(len(ids))
-    for r in rows.where(F.size("term") > 0).select("id", "term", "count").repartition(24).mapInArrow(left_out, "row long, vote double").collect():
+    for r in rows.where(F.size("term") > 0).select("id", "term", "count").repartition(12).mapInArrow(left_out, "row long, vote double").collect():
         votes[r.row] = r.vote
     shared.destroy()
     alone = [(c, share[c]) for c, k in bare.items() for _ in range(k)]
@@ -324,7 +332,7 @@ def association(yes: np.ndarray, no: np.ndarray, n1: int, n0: int) -> np.ndarray
     return (chi2 + LITTLE) / (chi2 + HALF)
 
 
-def _found(index: Index, grams: _Grams, data: np.ndarray, at: np.ndarray):
+def _found(index: Index, grams: _Terms, data: np.ndarray, at: np.ndarray):
     """(row, examples, cosines) of the rows with terms."""
     row, term, count = index.lookup.rows(*grams.rows(data, at))
     cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]) if len(row) else np.zeros(1, np.int64)
@@ -338,11 +346,11 @@ def _found(index: Index, grams: _Grams, data: np.ndarray, at: np.ndarray):
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> DataFrame:
     """id, held_out, score, predicted, evidence (nearest examples as `id:label:cosine`, best first) of every row."""
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    held = source.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, folds))
+    held = source.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, folds).plain())
     id_type = source.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        model, grams = held.value, _Grams()
+        model, grams = Model.of(held.value), _Terms()
         index = model.index
         for b, (data, at) in _chunks(batches):
             score, evidence = np.full(b.num_rows, model.final(model.empty)), [""] * b.num_rows
@@ -359,11 +367,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 0.5) -> DataFrame:
     """The rows with a score below `most`, all columns as they are; texts are neither shuffled nor joined."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col).plain())
     marked = docs.withColumn("__sw_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
     def run(batches):
-        model, grams = held.value, _Grams()
+        model, grams = Model.of(held.value), _Terms()
         index = model.index
         for b, (data, at) in _chunks(batches, "__sw_text"):
             keep = np.full(b.num_rows, model.final(model.empty) < most)

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import sys
+import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -256,6 +258,40 @@ def test_toxicity_learns_rare_words_and_from_few_examples(spark):
     assert np.mean([out[100 + i].score for i in range(5)]) > np.mean([out[200 + i].score for i in range(5)])
 
 
+def test_toxicity_scores_equal_a_full_search(spark):
+    """The whole chain of terms, weights, neighbours and votes against a dense version of it."""
+    rnd = random.Random(12)
+    word = lambda: rnd.choice(["vile", "kind", "é", "stone"]) + rnd.choice(["", "ness", "lings", "ly"]) + str(rnd.randint(0, 9))
+    rows = [(i, " ".join(word() for _ in range(rnd.randint(1, 30)))) for i in range(160)] + [(900, None), (901, "!!"), (7, "vileness0")]
+    known = {i: int("vile" in t) for i, t in rows[:120]}
+    labels = list(known.items())
+    model = toxicity.fit(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id", "text")
+    out = {(r.doc_id, r.text): r for r in toxicity.score_documents(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, toxic int")).join(spark.createDataFrame(rows, DOC), "doc_id").collect()}
+    assert out[900, None].score == out[901, "!!"].score and len({r.score for r in out.values()}) > 100
+    texts = {}
+    for i, t in rows:
+        if i in known and zlib.crc32(str(i).encode()) % 5:
+            texts[i] = min(t, texts.get(i, t))
+    assert sorted(map(int, model.index.ids)) == sorted(texts)
+    bag = lambda t: Counter(x for w in brute.WORD.findall(brute.lower(t)) for x in ([("w", w)] + [("s", w.encode()[:6])] * (len(w.encode()) > 6)))
+    bags, df = {i: bag(t) for i, t in texts.items()}, Counter(x for _, t in rows for x in bag(t))
+    n1 = sum(known[i] for i in bags)
+    n0, weight = len(bags) - n1, {}
+    for x in {x for b in bags.values() for x in b}:
+        yes, no = (sum(x in b for i, b in bags.items() if known[i] == c) for c in (1, 0))
+        weight[x] = (np.log((1 + len(rows)) / (1 + df[x])) + 1) * float(toxicity.association(np.array([yes]), np.array([no]), n1, n0)[0])
+    vector = lambda b: {x: (1 + np.log(c)) * weight[x] for x, c in b.items() if x in weight}
+    unit = lambda v: {x: w / np.sqrt(sum(y * y for y in v.values())) for x, w in v.items()}
+    vectors, place = {i: unit(vector(b)) for i, b in bags.items()}, {int(i): k for k, i in enumerate(model.index.ids)}
+    for i, t in rows[:40] + rows[120:150]:
+        v = unit(vector(bag(t)))
+        best = sorted(((-round(sum(w * e.get(x, 0) for x, w in v.items()), 6), place[j]) for j, e in vectors.items()))[: toxicity.NEIGHBOURS]
+        best = [(k, -c) for c, k in best if -c > 1e-6]
+        vote = model.index.vote(np.array([k for k, _ in best]), np.array([c for _, c in best]), model.prior)
+        if i != 7:
+            assert abs(model.final(vote) - out[i, t].score) < 1e-3
+
+
 def test_block_max_search_equals_full_search():
     rng = np.random.Generator(np.random.PCG64(8))
     n, terms = 700, 80
