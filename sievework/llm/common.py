@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +68,20 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(F.col(id_col), text).alias("_h"))
 
 
-def same_key(a: DataFrame, b: DataFrame) -> Column:
-    return (a["_h"] == b["_h"]) & a["_id"].eqNullSafe(b["_id"])
+#: A key with more rows than this, and than a 2^20th of all rows, is matched by broadcast instead of in one task.
+FREQUENT = 1000
+
+
+def having(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in counts, which has the number of rows `n` of each. Very frequent keys, of which there are at most 2^20
+    for any number of rows, are broadcast, so none of them is a hot task; the others are shuffled."""
+    most = max(FREQUENT, (counts.agg(F.sum("n")).first()[0] or 0) >> 20)
+    hot = counts.where(F.col("n") > most).select(*keys)
+    cold = counts.where(F.col("n") <= most).select(*keys)
+    if not hot.limit(1).count():
+        return rows.join(cold, keys, "left_semi")
+    rare = rows.join(F.broadcast(hot), keys, "left_anti").join(cold, keys, "left_semi")
+    return rows.join(F.broadcast(hot), keys, "left_semi").unionByName(rare)
 
 
 # --- a fixed-size bitmap of keys, to keep rows without partner out of a shuffle ---
@@ -207,7 +218,3 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         left = settled(left, "edges")
     return found if found is not None else left.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
-
-def by_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInArrow with the columns it needs only."""
-    return df.mapInArrow(run, schema)

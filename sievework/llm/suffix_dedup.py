@@ -1,16 +1,18 @@
 """Removal of byte strings that occur more than once in a corpus.
 
-Method: a depth-limited most-significant-digit radix sort of suffixes. A window of `threshold` bytes is two digits of half
-that length. Only suffixes that can matter are sorted: of the half-length strings inside a window, the one with the least
-hash (leftmost on ties) is its anchor, so equal windows have equal anchors at equal places.
-
-pass 1 groups anchors by their digit; a digit that occurs once ends there.
-pass 2 groups an anchor's context (all windows that it anchors). Equal contexts, as in copies, make every window in them a
-       repeated one, so whole runs of suffixes leave the sort together.
-pass 3 groups the remaining contexts by the quarter window before and after the anchor. A window has one of them whole, so
-       those whose quarter occurs once end there.
-pass 4 takes the windows that are left one by one, by the anchor's digit and that of the whole window.
-The groups of the last pass are exactly the repeated windows. Groups are never gathered: only counts per digit are.
+Method: a depth-limited most-significant-digit radix sort of suffixes, each by its first `threshold` bytes (its window). A radix
+sort may take the digits of a key in any fixed order; here the first digit of a window is the half of it with the least hash
+(leftmost on ties), its anchor. Equal windows have equal anchors at equal places, and neighbouring suffixes mostly have one
+anchor in common, so they go through the first passes together, as one row with a range of starts (a context).
+
+pass 1 groups contexts by the anchor's digit; a digit that occurs once leaves.
+pass 2 groups by the whole context. Equal contexts, as in copies, make every window in them a repeated one; all but one leave.
+pass 3 groups by the quarter before or after the anchor, whichever a window has whole; groups of one leave.
+pass 4 sorts the suffixes of a group of pass 3 one by one, by their bytes: the anchor's place first, then digits of a quarter
+       window from left to right. Groups of one leave after each digit; the groups after the last digit are exactly the repeated
+       windows, equal byte for byte.
+Groups of pass 3 with more than `GROUP` contexts don't meet in a task: their suffixes are dealt by digests of whole windows and
+only counted. Digests of passes 1 to 3 have 64 bits for each digit, 128 for a context.
 
 Results: rows with null or empty text have 0 bytes and nothing removed; repeated rows count as separate places; rows of one
 id and text get the same result; ids may be null or repeated; an empty table gives an empty result. Extra columns are ignored.
@@ -19,6 +21,7 @@ id and text get the same result; ids may be null or repeated; an empty table giv
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CHUNK = 1 << 19
+#: Contexts of a group that one task sorts; bytes of the groups that a task takes together.
+GROUP, TASK_BYTES = 2000, 24 << 20
 
 
 class _Kernel:
@@ -101,9 +106,15 @@ def _anchor_rows(docs: DataFrame, threshold: int) -> DataFrame:
     return docs.mapInArrow(run, f"_id {id_type}, _h long, digit long, context long, lo int, hi int, anchor int, before long, after long")
 
 
+def _ranged(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The distinct rows that have contexts in parts, with these as an array."""
+    of = parts.groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi", "anchor", "digit", "name")).alias("ranges")).select(F.col("_id").alias("p_id"), F.col("_h").alias("p_h"), "ranges")
+    wanted = common.keep_marked(docs, "_h", common.bitmap(parts.select("_h").distinct(), "_h")).dropDuplicates(["_id", "_h"])
+    return wanted.join(of, (F.col("_h") == F.col("p_h")) & F.col("_id").eqNullSafe(F.col("p_id"))).select("_id", "_h", "_text", "ranges")
+
+
 def _window_rows(docs: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
-    """The windows of the given contexts, which are grouped by row."""
-    joined = docs.join(parts.withColumnRenamed("_id", "p_id").withColumnRenamed("_h", "p_h"), (F.col("_h") == F.col("p_h")) & F.col("_id").eqNullSafe(F.col("p_id"))).select("_id", "_h", "_text", "ranges")
+    """The windows of the given contexts, each with a digest."""
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def run(batches):
@@ -118,7 +129,75 @@ def _window_rows(docs: DataFrame, parts: DataFrame, threshold: int) -> DataFrame
                     same = pa.array(np.zeros(len(start), np.int64))
                     yield pa.RecordBatch.from_arrays([b.column("_id").slice(i, 1).take(same), b.column("_h").slice(i, 1).take(same), pa.array(start.astype(np.int32)), pa.array(digit[which]), _signed(whole)], ["_id", "_h", "start", "digit", "whole"])
 
-    return joined.mapInArrow(run, f"_id {id_type}, _h long, start int, digit long, whole long")
+    return _ranged(docs, parts).mapInArrow(run, f"_id {id_type}, _h long, start int, digit long, whole long")
+
+
+def _context_bytes(docs: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
+    """The given contexts with their bytes; `at` is the anchor's place in the first window, `count` the number of windows."""
+    id_type = docs.schema["_id"].dataType.simpleString()
+
+    def run(batches):
+        for whole in batches:
+            for b in common.slices(whole, "_text", CHUNK):
+                owner, texts, rows = [], [], []
+                for i, ranges in enumerate(b.column("ranges").to_pylist()):
+                    data = b.column("_text")[i].as_py().encode()
+                    rows += ranges
+                    owner += [i] * len(ranges)
+                    texts += [data[r["lo"] : r["hi"] + threshold] for r in ranges]
+                column = lambda f, kind: pa.array([f(r) for r in rows], kind)
+                keys = [b.column(c).take(pa.array(owner, pa.int64())) for c in ("_id", "_h")]
+                yield pa.RecordBatch.from_arrays([*keys, column(lambda r: r["digit"], pa.int64()), column(lambda r: r["name"], pa.int64()), column(lambda r: r["lo"], pa.int32()), column(lambda r: r["anchor"] - r["lo"], pa.int32()), column(lambda r: r["hi"] - r["lo"] + 1, pa.int32()), pa.array(texts, pa.binary())], ["_id", "_h", "digit", "name", "lo", "at", "count", "bytes"])
+
+    return _ranged(docs, parts).mapInArrow(run, f"_id {id_type}, _h long, digit long, name long, lo int, at int, count int, bytes binary")
+
+
+def equal_windows(contexts: list[tuple[bytes, int, int]], threshold: int) -> list[list[int]]:
+    """By context, the sorted numbers of its windows that another window of the group equals. contexts: bytes, place of the anchor in
+    the first window, number of windows."""
+    digit = max(1, threshold // 4)
+    first: dict[int, list[tuple[int, int]]] = {}
+    for i, (_, at, count) in enumerate(contexts):
+        for j in range(count):
+            first.setdefault(at - j, []).append((i, j))
+    todo, found = [(g, 0) for g in first.values() if len(g) > 1], [[] for _ in contexts]
+    while todo:
+        group, depth = todo.pop()
+        if depth >= threshold:
+            for i, j in group:
+                found[i].append(j)
+            continue
+        stop = min(depth + digit, threshold)
+        dealt: dict[bytes, list[tuple[int, int]]] = {}
+        for i, j in group:
+            dealt.setdefault(contexts[i][0][j + depth : j + stop], []).append((i, j))
+        todo += [(g, stop) for g in dealt.values() if len(g) > 1]
+    return [sorted(x) for x in found]
+
+
+def _sorted_groups(contexts: DataFrame, threshold: int, bins: int) -> DataFrame:
+    """(_id, _h, lo, hi): ranges of repeated starts within the groups (digit, name)."""
+    id_type = contexts.schema["_id"].dataType.simpleString()
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[int, int], list] = {}
+        for b in batches:
+            id_arrow = b.schema.field("_id").type
+            for digit, name, *row in zip(*(b.column(c).to_pylist() for c in ("digit", "name", "_id", "_h", "lo", "at", "count", "bytes")), strict=True):
+                groups.setdefault((digit, name), []).append(row)
+        out = []
+        for rows in groups.values():
+            for (i, h, lo, *_), starts in zip(rows, equal_windows([(r[5], r[3], r[4]) for r in rows], threshold), strict=True):
+                for k, j in enumerate(starts):
+                    if k and starts[k - 1] == j - 1:
+                        out[-1][3] = lo + j
+                    else:
+                        out.append([i, h, lo + j, lo + j])
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_arrow), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])], ["_id", "_h", "lo", "hi"])
+
+    dealt = contexts.withColumn("bin", F.pmod(F.xxhash64("digit", "name"), F.lit(bins)).cast("long"))
+    return dealt.groupBy("bin").applyInArrow(run, f"_id {id_type}, _h long, lo int, hi int")
 
 
 def repeated_windows(docs: DataFrame, threshold: int = 400) -> DataFrame:
@@ -130,25 +209,29 @@ def repeated_windows(docs: DataFrame, threshold: int = 400) -> DataFrame:
     # pass 2: contexts that occur twice or more
     pairs = anchors.groupBy("digit", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_h", "_id", "lo", "hi", "anchor", "before", "after")).alias("one"))
     pairs = common.settled(pairs.select("digit", "context", "n", "one.*"), "contexts")
-    whole = anchors.select("digit", "context", "_id", "_h", "lo", "hi").join(pairs.where("n > 1").select("digit", "context"), ["digit", "context"]).select("_id", "_h", "lo", "hi")
+    whole = common.having(anchors.select("digit", "context", "_id", "_h", "lo", "hi"), pairs.where("n > 1").select("digit", "context", "n"), ["digit", "context"]).select("_id", "_h", "lo", "hi")
     # pass 3, with one copy of each context
-    def alike(side: str) -> DataFrame:
-        return pairs.where(f"{side} <> 0").groupBy("digit", side).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digit", side, F.lit(True).alias(f"{side}_alike"))
-
-    mid = F.col("anchor") - (threshold - threshold // 2) // 2
-    ahead, behind = F.coalesce("before_alike", F.lit(False)), F.coalesce("after_alike", F.lit(False))
-    mixed = pairs.join(alike("before"), ["digit", "before"], "left").join(alike("after"), ["digit", "after"], "left").where(ahead | behind)
-    mixed = mixed.select("_id", "_h", "digit", F.when(ahead, F.col("lo")).otherwise(F.greatest("lo", mid)).alias("lo"), F.when(behind, F.col("hi")).otherwise(F.least("hi", mid)).alias("hi")).where("lo <= hi")
-    mixed = common.settled(mixed, "mixed")
-    parts = mixed.groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi", "digit")).alias("ranges"))
-    wanted = common.keep_marked(docs, "_h", common.bitmap(mixed.select("_h").distinct(), "_h"))
-    # pass 4; rows that are repeated as a whole have one context each here, so one of them stands for all
-    windows = common.settled(_window_rows(wanted.dropDuplicates(["_id", "_h"]), parts, threshold), "windows")
-    again = windows.groupBy("digit", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit", "whole")
-    single = windows.join(again, ["digit", "whole"]).select("_id", "_h", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    middle = F.col("anchor") - (threshold - threshold // 2) // 2
+    left = F.struct(F.xxhash64(F.lit("before"), "before").alias("name"), F.col("lo").alias("lo"), F.least("hi", middle).alias("hi"))
+    right = F.struct(F.xxhash64(F.lit("after"), "after").alias("name"), F.greatest("lo", middle + 1).alias("lo"), F.col("hi").alias("hi"))
+    sides = pairs.select("_id", "_h", "digit", "anchor", F.explode(F.array(left, right)).alias("s")).select("_id", "_h", "digit", "anchor", "s.*").where("lo <= hi")
+    counts = common.settled(sides.groupBy("digit", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "quarters")
+    few = common.settled(sides.join(counts.where(F.col("n") <= GROUP).select("digit", "name"), ["digit", "name"], "left_semi"), "groups")
+    size = few.agg(F.sum(F.col("hi") - F.col("lo") + threshold)).first()[0] or 0
+    # pass 4
+    contexts = common.settled(_context_bytes(docs, few, threshold), "bytes")
+    single = _sorted_groups(contexts, threshold, max(1, -(-size // TASK_BYTES))).unionByName(_large_groups(docs, sides, counts.where(F.col("n") > GROUP), threshold))
     return common.settled(whole.unionByName(single), "repeated")
 
 
+def _large_groups(docs: DataFrame, sides: DataFrame, counts: DataFrame, threshold: int) -> DataFrame:
+    """As _sorted_groups, for groups of more than GROUP contexts."""
+    large = common.settled(common.having(sides, counts, ["digit", "name"]), "large")
+    windows = common.settled(_window_rows(docs, large, threshold), "windows")
+    again = common.settled(windows.groupBy("digit", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    return common.having(windows, again, ["digit", "whole"]).select("_id", "_h", F.col("start").alias("lo"), F.col("start").alias("hi"))
+
+
 def _cut(text: bytes, ranges: list[tuple[int, int]], threshold: int) -> tuple[int, int, str]:
     """Bytes and runs removed, and the digest of what is left."""
     kept, removed, spans, at, stop = hashlib.sha256(), 0, 0, 0, -1
@@ -165,7 +248,7 @@ def _cut(text: bytes, ranges: list[tuple[int, int]], threshold: int) -> tuple[in
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 400) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
+    """id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) of every row."""
     docs = common.keyed(docs, id_col, text_col)
     id_type = docs.schema["_id"].dataType.simpleString()
     found = repeated_windows(docs, threshold)

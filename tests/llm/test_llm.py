@@ -55,6 +55,15 @@ def test_repeated_windows_in_one_long_text(spark):
     assert got(suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOC), threshold=40)) == want
 
 
+def test_repeated_windows_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 2)
+    monkeypatch.setattr(common, "FREQUENT", 3)
+    rnd, line = random.Random(8), "the same passage of some length stands in many documents, "
+    rows = [(i, "".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 30))) + line + str(rnd.randint(0, 9)) * rnd.randint(0, 40)) for i in range(60)] + corpus(6, 60)
+    want = sorted(((r[0], *b) for r, b in zip(rows, brute.repeats([r[1] for r in rows], 40), strict=True)), key=repr)
+    assert got(suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOC), threshold=40)) == want
+
+
 def near_copies(seed):
     rnd = random.Random(seed)
     words = [f"w{i}" for i in range(60)]
