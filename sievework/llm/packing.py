@@ -45,25 +45,27 @@ def pack_shard(sizes: list[int], sources: list[int], clusters: list[int], capaci
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = 2048, shard_items: int = 4096) -> DataFrame:
-    """id, piece, first_word, n_words, bin (`shard-number`; full pieces have the id's hash), offset: one row per placed piece.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = 2048, shard_items: int = 4096, cluster_col: str | None = None) -> DataFrame:
+    """id, piece, first_word, n_words, bin (`shard-number`; full pieces have one of their own), offset: one row per placed piece.
 
-    Words are runs of non-whitespace. The cluster of a document is a hash of its lower-cased words.
+    Words are runs of non-whitespace. The cluster of a document is the value of `cluster_col`, as of a near-duplicate search, or where
+    there is none a hash of its lower-cased words.
     """
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"\s+"), lambda w: w != "")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("w"))
-    rows = rows.select("id", "source", F.xxhash64("w").alias("cluster"), F.size("w").cast("long").alias("n"), F.xxhash64("id", "w").alias("h")).where("n > 0")
-    full = rows.where(F.col("n") >= capacity).select("id", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / capacity) - 1)).alias("piece"))
-    whole = full.select("id", "piece", (F.col("piece") * capacity).alias("first_word"), F.lit(capacity).cast("long").alias("n_words"), F.concat(F.lit("full-"), F.hex("h"), F.lit("-"), F.col("piece")).alias("bin"), F.lit(0).cast("long").alias("offset"))
-    rest = rows.select("id", "source", "cluster", "h", F.floor(F.col("n") / capacity).alias("piece"), (F.col("n") % capacity).alias("size")).where("size > 0")
-    # a row number of its own deals even equal rows apart; written once, it stays what it is
-    rest = common.settled(rest.withColumn("salt", F.monotonically_increasing_id()), "items")
+    copies = F.xxhash64("w") if cluster_col is None else F.coalesce(F.xxhash64("given"), F.xxhash64("w"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("w"), *([F.col(cluster_col).cast("string").alias("given")] if cluster_col else []))
+    rows = rows.select("id", "source", copies.alias("cluster"), F.size("w").cast("long").alias("n"), F.xxhash64("id", "w").alias("h"))
+    # a row number of its own tells even equal rows apart; written once, it stays what it is, and texts are split once
+    rows = common.settled(rows.where("n > 0").withColumn("salt", F.monotonically_increasing_id()), "items")
+    full = rows.where(F.col("n") >= capacity).select("id", "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / capacity) - 1)).alias("piece"))
+    whole = full.select("id", "piece", (F.col("piece") * capacity).alias("first_word"), F.lit(capacity).cast("long").alias("n_words"), F.concat(F.lit("full-"), F.col("salt"), F.lit("-"), F.col("piece")).alias("bin"), F.lit(0).cast("long").alias("offset"))
+    rest = rows.select("id", "source", "cluster", "h", "salt", F.floor(F.col("n") / capacity).alias("piece"), (F.col("n") % capacity).alias("size")).where("size > 0")
     shards = max(1, -(-rest.count() // shard_items))
     rest = rest.withColumn("shard", F.pmod(F.xxhash64("h", "salt"), F.lit(shards)).cast("long"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["size", "h", "id"], ascending=[False, True, True], kind="stable", na_position="last")
+        items = items.sort_values(["size", "h", "id", "salt"], ascending=[False, True, True, True], kind="stable", na_position="last")
         sources, clusters = pd.factorize(items["source"])[0].tolist(), pd.factorize(items["cluster"])[0].tolist()
         placed = pack_shard(items["size"].tolist(), sources, clusters, capacity)
         name = f"{items['shard'].iloc[0]}-"
