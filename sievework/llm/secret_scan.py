@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -259,13 +261,13 @@ def learn(source: DataFrame) -> Model | None:
         return None
     other = seen.where("kind = 'format'").select("value", "n")
     model = Model({kind: Automaton(words) for kind, words in fitted.items()}, Words(_pairs(other)), {})
-    held = source.sparkSession.sparkContext.broadcast(model)
+    held = source.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches):
-        counts: Counter = Counter()
+        counts, model = Counter(), pickle.loads(held.value)
         for b in batches:
             for word, n in zip(b.column("value").to_pylist(), b.column("n").to_pylist(), strict=True):
-                for k, v in held.value.scores(word).items():
+                for k, v in model.scores(word).items():
                     counts[k, math.floor(v / STEP)] += n
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts], pa.string()), pa.array([v for _, v in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["kind", "step", "n"])
 
@@ -281,10 +283,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """id, n_assign, n_access, n_hex, base_sha256, spans (`kind:start:end`, comma-joined), best (the highest format score)."""
     source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
-    held = source.sparkSession.sparkContext.broadcast(learn(source.select("_text")))
+    # by value, so executors don't need the package
+    held = source.sparkSession.sparkContext.broadcast(cloudpickle.dumps(learn(source.select("_text"))))
 
     def run(batches):
-        model = held.value
+        model = pickle.loads(held.value)
         for b in batches:
             counts, digests, joined, best = defaultdict(list), [], [], []
             for text in b.column("_text"):
