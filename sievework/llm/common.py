@@ -72,16 +72,32 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 FREQUENT = 1000
 
 
-def having(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys are in counts, which has the number of rows `n` of each. Very frequent keys, of which there are at most 2^20
-    for any number of rows, are broadcast, so none of them is a hot task; the others are shuffled."""
+def _hot_and_cold(counts: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """counts split by its number of rows `n`; the first part has at most 2^20 keys for any number of rows, and is None if empty."""
     most = max(FREQUENT, (counts.agg(F.sum("n")).first()[0] or 0) >> 20)
-    hot = counts.where(F.col("n") > most).select(*keys)
-    cold = counts.where(F.col("n") <= most).select(*keys)
-    if not hot.limit(1).count():
+    hot = counts.where(F.col("n") > most)
+    return (hot if hot.limit(1).count() else None), counts.where(F.col("n") <= most)
+
+
+def having(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in counts, which has the number of rows `n` of each and is written. Very frequent keys are broadcast, so
+    none of them is a hot task; the others are shuffled."""
+    hot, cold = _hot_and_cold(counts)
+    cold = cold.select(*keys)
+    if hot is None:
         return rows.join(cold, keys, "left_semi")
-    rare = rows.join(F.broadcast(hot), keys, "left_anti").join(cold, keys, "left_semi")
-    return rows.join(F.broadcast(hot), keys, "left_semi").unionByName(rare)
+    hot = F.broadcast(hot.select(*keys))
+    return rows.join(hot, keys, "left_semi").unionByName(rows.join(hot, keys, "left_anti").join(cold, keys, "left_semi"))
+
+
+def attached(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows with the other columns of values (written; one row for each key, with its number of rows `n`, which is dropped), as an inner
+    join, dealt like having()."""
+    hot, cold = _hot_and_cold(values)
+    if hot is None:
+        return rows.join(cold.drop("n"), key)
+    names = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot.drop("n")), key).unionByName(rows.join(names, key, "left_anti").join(cold.drop("n"), key))
 
 
 # --- a fixed-size bitmap of keys, to keep rows without partner out of a shuffle ---

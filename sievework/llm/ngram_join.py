@@ -85,7 +85,8 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _scan(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document with its digest and set size, and the partial sketch of each task in SKETCH_PARTS rows."""
+    """One row per document with its digest and set size, and the partial sketch of each task in SKETCH_PARTS rows of
+    slots, then counts."""
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def run(batches):
@@ -102,9 +103,11 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
         if waiting:
             counts += np.bincount(np.concatenate(waiting), minlength=SKETCH)
         if counts.any():
-            parts = counts.astype(np.int32).reshape(SKETCH_PARTS, -1)
+            # only what a task has counted, so small tasks write little
+            slots = [np.flatnonzero(x) for x in counts.reshape(SKETCH_PARTS, -1)]
+            parts = [np.r_[k, x[k]].astype(np.int32) for k, x in zip(slots, counts.reshape(SKETCH_PARTS, -1), strict=True)]
             id_arrow = pa.nulls(SKETCH_PARTS, whole.schema.field("_id").type)
-            yield pa.RecordBatch.from_arrays([id_arrow, pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(list(parts), pa.list_(pa.int32()))], ["id", "h", "n", "digest", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([id_arrow, pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(parts, pa.list_(pa.int32()))], ["id", "h", "n", "digest", "part", "counts"])
 
     return docs.mapInArrow(run, f"id {id_type}, h long, n long, digest binary, part int, counts array<int>")
 
@@ -117,7 +120,8 @@ def _sketch(scan: DataFrame) -> np.ndarray:
         total = np.zeros(per, np.int64)
         for t in batches:
             for row in t.column("counts"):
-                total += row.values.to_numpy()
+                slots, more = row.values.to_numpy().reshape(2, -1)
+                total[slots] += more
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total], pa.list_(pa.int64()))], ["part", "counts"])
 
     parts = scan.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts array<long>")
@@ -293,15 +297,15 @@ def _joined(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFram
     counts = entries.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     counts = common.settled(counts, "keys")
     flat = _often(entries, common.bitmap(counts, "key")).select("digest", "n", "matches", "central", F.explode("keys").alias("key"))
-    shared = common.settled(flat.join(counts, "key"), "shared")
+    shared = common.settled(common.attached(flat, counts.select("key", "docs", F.col("docs").alias("n")), "key"), "shared")
     few = shared.where(F.col("docs") <= SMALL)
     x, y = (few.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("digest", "n", "matches"))) for p in "xy")
     pairs = x.join(y, "key").where(F.expr(f"x_digest < y_digest and x_n * {den} >= y_n * {num} and y_n * {den} >= x_n * {num}"))
     pairs = pairs.groupBy(F.col("x_digest").alias("a"), F.col("y_digest").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("x_matches", "y_matches")).alias("l")).where("m >= l").select("a", "b")
     pairs = common.settled(pairs, "pairs")
     many = shared.where(F.col("docs") > SMALL)
-    leaders = many.groupBy("key").agg(F.max_by("digest", F.struct("central", "digest")).alias("leader"))
-    stars = many.join(leaders, "key").select(F.col("digest").alias("a"), F.col("leader").alias("b"), "n").distinct()
+    leaders = common.settled(many.groupBy("key").agg(F.max_by("digest", F.struct("central", "digest")).alias("leader"), F.count(F.lit(1)).alias("n")), "leaders")
+    stars = common.attached(many.select("key", "digest", F.col("n").alias("size")), leaders, "key").select(F.col("digest").alias("a"), F.col("leader").alias("b"), F.col("size").alias("n")).distinct()
     stars = common.settled(stars, "stars")
     wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).unionByName(stars.select(F.col("a").alias("digest"))).distinct()
     sets = common.settled(_sets(docs, words, wanted), "sets")
@@ -312,8 +316,9 @@ def _joined(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFram
     roots = common.components(edges, "a", "b").withColumnRenamed("node", "digest")
     least = base.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"))
     named = least.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("digest", "root").join(smallest, "root")
+    named = common.settled(named, "named")
+    smallest = common.settled(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest")
+    of = common.attached(named.select("digest", "root"), smallest, "root")
     return base.join(of, "digest", "left").select("id", "h", "n", "digest", "root", F.coalesce("component_id", "id").alias("component_id"))
 
 
