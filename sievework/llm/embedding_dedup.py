@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCKS, EXPECTED, LEAST, BUCKET = 4, 12, 8, 512
+#: Filters for each vector; with more, fewer vectors share one by chance.
+FILTERS = 8
 #: Buckets are small, so a task takes those of about so many rows together.
 TASK_ROWS = 4000
 
@@ -142,7 +144,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = common.settled(_nodes(vectors, id_col, vector_col, label_col), "vectors")
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("group").alias("group"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("weight"), F.min("id").alias("least"))
     nodes = common.settled(nodes, "nodes")
-    code = int(min(64, max(8, round((nodes.count() + 1) ** (1 / BLOCKS)))))
+    code = max(8, round((FILTERS * (nodes.count() + 1)) ** (1 / BLOCKS)))
     spread = _bucketed(nodes, code)
     flat = common.settled(spread.select("node", "group", "weight", "vector", "filters", F.explode("filters").alias("filter")), "filters")
     sizes = flat.groupBy("group", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "filter", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
@@ -172,7 +174,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = found.where("y is null").groupBy("x").agg(F.sum("n").alias("others"))
     roots = common.components(found.where("y is not null").select("x", "y"), "x", "y").withColumnRenamed("node", "x")
     named = nodes.select(F.col("node").alias("x"), "weight", "least").join(roots, "x", "left").join(links, "x", "left").withColumn("root", F.coalesce("root", "x"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(smallest, "root").select(F.col("x").alias("node"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    named = common.settled(named, "named")
+    smallest = common.settled(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest")
+    of = common.attached(named, smallest, "root").select(F.col("x").alias("node"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     out = rows.select("id", "node").join(of, "node", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
