@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CHUNK = 1 << 19
-#: Contexts of a group that one task sorts; bytes of the groups that a task takes together.
-GROUP, TASK_BYTES = 2000, 24 << 20
+#: Contexts of a group that are sorted together.
+GROUP = 1000
 
 
 class _Kernel:
@@ -175,8 +175,11 @@ def equal_windows(contexts: list[tuple[bytes, int, int]], threshold: int) -> lis
     return [sorted(x) for x in found]
 
 
-def _sorted_groups(contexts: DataFrame, threshold: int, bins: int) -> DataFrame:
-    """(_id, _h, lo, hi): ranges of repeated starts within the groups (digit, name)."""
+def _sorted_groups(contexts: DataFrame, threshold: int, size: int) -> DataFrame:
+    """(_id, _h, lo, hi): ranges of repeated starts within the groups (digit, name). Tasks have about 1 MB each, or 64 MB where that
+    would be more than a thousand tasks; a bin of groups is taken at a time, 8 MB at most."""
+    parts = max(1, min(size >> 20, 1000), size >> 26)
+    bins = max(parts, size >> 23)
     id_type = contexts.schema["_id"].dataType.simpleString()
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +200,7 @@ def _sorted_groups(contexts: DataFrame, threshold: int, bins: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_arrow), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])], ["_id", "_h", "lo", "hi"])
 
     dealt = contexts.withColumn("bin", F.pmod(F.xxhash64("digit", "name"), F.lit(bins)).cast("long"))
-    return dealt.groupBy("bin").applyInArrow(run, f"_id {id_type}, _h long, lo int, hi int")
+    return dealt.repartition(parts, "bin").groupBy("bin").applyInArrow(run, f"_id {id_type}, _h long, lo int, hi int")
 
 
 def repeated_windows(docs: DataFrame, threshold: int = 400) -> DataFrame:
@@ -220,7 +223,7 @@ def repeated_windows(docs: DataFrame, threshold: int = 400) -> DataFrame:
     size = few.agg(F.sum(F.col("hi") - F.col("lo") + threshold)).first()[0] or 0
     # pass 4
     contexts = common.settled(_context_bytes(docs, few, threshold), "bytes")
-    single = _sorted_groups(contexts, threshold, max(1, -(-size // TASK_BYTES))).unionByName(_large_groups(docs, sides, counts.where(F.col("n") > GROUP), threshold))
+    single = _sorted_groups(contexts, threshold, size).unionByName(_large_groups(docs, sides, counts.where(F.col("n") > GROUP), threshold))
     return common.settled(whole.unionByName(single), "repeated")
 
 
