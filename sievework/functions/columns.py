@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def strip(text: Column) -> Column:
+    """Without whitespace of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def word_count(text: Column) -> Column:
     return F.size(words(text))
 
@@ -65,9 +72,25 @@ def years_of_experience(text: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(found, lambda x: x.cast("double"))), F.lit(0.0))
 
 
+def years_mentioned(text: Column) -> Column:
+    """As years_of_experience, for numbers that `years` or `yrs` follow at once, whatever comes after."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\d+(?:\.\d+)?)\+?\s*(?:years?|yrs?)"), 1)
+    return F.coalesce(F.array_max(F.transform(found, lambda x: x.cast("double"))), F.lit(0.0))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for each row, also where use() has lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hash_embedding(text: Column, dims: int = 768) -> Column:
-    """Offline embedding: dimension i is the sum of code points of word i, mod 100, in hundredths; L2-normalised."""
-    raw = F.transform(F.slice(words(text), 1, dims), lambda w: (F.aggregate(F.transform(F.filter(F.split(w, ""), lambda c: c != ""), lambda c: F.ascii(c)), F.lit(0), lambda s, c: s + c) % 100) / 100.0)
-    padded = F.slice(F.concat(raw, F.array_repeat(F.lit(0.0), dims)), 1, dims)
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(padded, lambda x: x / length)).otherwise(padded)
+    """Offline embedding: dimension i is the sum of code points of word i, lower-cased, mod 100, in hundredths; L2-normalised."""
+    raw = F.transform(F.slice(words(F.lower(text)), 1, dims), lambda w: (F.aggregate(F.transform(F.filter(F.split(w, ""), lambda c: c != ""), lambda c: F.ascii(c)), F.lit(0), lambda s, c: s + c) % 100) / 100.0)
+
+    def padded(r: Column) -> Column:
+        return F.slice(F.concat(r, F.array_repeat(F.lit(0.0), dims)), 1, dims)
+
+    def scaled(r: Column) -> Column:
+        return let(F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n > 0, F.transform(padded(r), lambda x: x / n)).otherwise(padded(r)))
+
+    return let(raw, scaled)

@@ -23,8 +23,17 @@ def experience(have: Column, need: Column) -> Column:
     return F.when(F.coalesce(need, F.lit(0.0)) <= 0, 1.0).otherwise(F.least(F.lit(1.0), have / need))
 
 
-def education(section: Column, words: list[str]) -> Column:
-    return F.when(F.lower(F.coalesce(section, F.lit(""))).rlike("|".join(words)), 1.0).otherwise(0.75)
+#: Words of a degree in an education section.
+DEGREES = ["bachelor", "master", "phd", "b.tech", "b.e", "m.tech", "degree", "bs", "ms"]
+
+
+def _any(text: Column, words: list[str]) -> Column:
+    return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
+
+
+def education(section: Column) -> Column:
+    """section: the education section, null without one."""
+    return F.when(_any(F.lower(F.coalesce(section, F.lit(""))), DEGREES), 1.0).otherwise(0.75)
 
 
 def projects(section: Column, semantic: Column) -> Column:
@@ -32,43 +41,99 @@ def projects(section: Column, semantic: Column) -> Column:
     return F.coalesce(section, 0.8 * semantic)
 
 
-def score(pairs: DataFrame) -> DataFrame:
-    """pairs: semantic, projects, experience, education, matched, needed (arrays), blank. Adds skills, raw, final, percent."""
+def score(pairs: DataFrame, config: str | None = None) -> DataFrame:
+    """pairs: semantic, projects, experience, education, matched, needed (arrays), blank. Adds skills, raw, calibrated, final, percent.
+
+    config names a map of weights by part, which replaces the usual weights where it isn't null and skills are needed; a part that
+    it lacks has its usual weight.
+    """
     none = F.size("needed") == 0
-    skills = F.when(none, 0.0).otherwise(F.size("matched") / F.size("needed"))
+    skills = F.when(none, 0.0).otherwise(F.least(F.lit(1.0), F.size("matched") / F.size("needed")))
     out = pairs.withColumn("skills", skills)
     raw = F.lit(0.0)
-    for part in WEIGHTS:
-        raw = raw + F.when(none, NO_SKILLS[part]).otherwise(WEIGHTS[part]) * F.col(part)
-    final = F.when(F.col("blank"), 0.0).otherwise(C.clamp(C.sigmoid(raw), 0.10, 0.98))
-    return out.withColumn("raw", F.when(F.col("blank"), 0.0).otherwise(raw)).withColumn("final", F.bround(final, 3)).withColumn("percent", (F.col("final") * 100 + 1e-9).cast("int"))
+    for part, usual in WEIGHTS.items():
+        own = F.coalesce(F.element_at(config, F.lit(part)), F.lit(usual)) if config else F.lit(usual)
+        raw = raw + F.when(none, NO_SKILLS[part]).otherwise(own) * F.col(part)
+    out = out.withColumn("raw", F.when(F.col("blank"), 0.0).otherwise(raw))
+    out = out.withColumn("calibrated", F.when(F.col("blank"), 0.0).otherwise(C.clamp(C.sigmoid(F.col("raw")), 0.10, 0.98)))
+    return out.withColumn("final", F.bround("calibrated", 3)).withColumn("percent", (F.col("calibrated") * 100).cast("int"))
+
+
+def _list(*parts: Column) -> Column:
+    return F.array_compact(F.array(*parts))
+
+
+def _first(items: Column, n: int) -> Column:
+    return F.array_join(F.slice(items, 1, n), ", ")
+
+
+def _or(items: Column, default: str) -> Column:
+    return F.when(F.size(items) == 0, F.array(F.lit(default))).otherwise(items)
 
 
 def explain(scored: DataFrame) -> DataFrame:
-    """Lists of strengths, improvements and recommendations by thresholds."""
-    strong = F.array_compact(F.array(F.when(F.col("semantic") >= 0.6, "content fits"), F.when(F.col("skills") >= 0.7, "most skills are there"), F.when(F.col("experience") >= 1, "enough experience"), F.when(F.col("education") >= 1, "degree named")))
-    weak = F.array_compact(F.array(F.when(F.col("semantic") < 0.3, "content differs"), F.when((F.size("needed") > 0) & (F.col("skills") < 0.4), "many skills are missing"), F.when(F.col("experience") < 1, "experience is short")))
-    return scored.withColumn("strengths", F.when(F.size(strong) == 0, F.array(F.lit("none stands out"))).otherwise(strong)).withColumn("improvements", weak)
+    """Adds summary, strengths, improvements, advice, match_ratio and meets_requirement. scored: as from score(), with have and need."""
+    c = F.col
+    hits, gaps, have, need = F.size("matched"), F.size("missing"), F.format_string("%.1f", c("have")), c("need").cast("int").cast("string")
+    say = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    # fixed values: texts and thresholds
+    strong = _list(
+        F.when(hits >= 6, say("Excellent skill coverage: matches ", hits, " required competencies including ", _first(c("matched"), 4), "."))
+        .when(hits >= 4, say("Strong skill match: ", _first(c("matched"), 4), "."))
+        .when(hits > 0, say("Matches key skills: ", F.array_join("matched", ", "), ".")),
+        F.when(c("semantic") >= 0.8, "Very high contextual relevance — resume content closely aligns with role requirements.").when(c("semantic") >= 0.7, "High semantic relevance to role requirements."),
+        F.when((c("need") > 0) & (c("have") >= c("need")), say("Meets experience criteria (", have, " years detected vs ", need, " required).")),
+    )
+    near = c("have") >= c("need") * 0.7
+    weak = _list(
+        F.when(c("semantic") >= 0.7, None).when(c("semantic") >= 0.5, "Moderate semantic alignment — consider tailoring resume language to match the job description more closely.").otherwise("Low semantic alignment — resume may need significant restructuring to match the target role."),
+        F.when((c("need") > 0) & (c("have") < c("need")), F.when(near, say("Experience is slightly below target (", have, " years vs ", need, " required). Consider highlighting project or freelance experience.")).otherwise(say("Experience gap: ", have, " years detected vs ", need, " required."))),
+        F.when(gaps > 5, say("Significant skill gaps: missing ", gaps, " desired competencies including ", _first(c("missing"), 4), ".")).when(gaps > 0, say("Missing desired competencies: ", _first(c("missing"), 4), ".")),
+    )
+    advice = _list(
+        F.when((c("need") > 0) & (c("have") < c("need")) & ~near, "Gain experience through open-source contributions, freelance projects, or relevant certifications."),
+        F.when(gaps > 5, say("Prioritize learning: ", _first(c("missing"), 3), " to improve match score.")).when(gaps > 0, say("Consider adding coursework or projects in: ", _first(c("missing"), 3), ".")),
+        F.when(c("calibrated") < 0.5, "This role may not be the strongest fit. Consider roles that better align with your current skill set.").when(c("calibrated") < 0.7, "Good potential — addressing the skill gaps identified above could significantly improve your match."),
+    )
+    return scored.withColumns(
+        {
+            "summary": say("Candidate achieved a ", c("percent"), "% match. Matched ", hits, " core skills with ", gaps, " skill gaps identified."),
+            "strengths": _or(strong, "Basic role eligibility met."),
+            "improvements": _or(weak, "Profile closely aligns with the job profile."),
+            "advice": _or(advice, "Continue refining your resume for ATS optimization."),
+            "match_ratio": F.bround(hits / F.greatest(hits + gaps, F.lit(1)), 2),
+            "meets_requirement": F.when(c("need") > 0, c("have") >= c("need")).otherwise(True),
+        }
+    )
 
 
 def recommend(scored: DataFrame, most: int = 5) -> DataFrame:
     """The first missing skills, the experience gap and advice without any match."""
-    skills = F.transform(F.slice("missing", 1, most), lambda s: F.concat(F.lit("learn "), s))
-    rest = F.array_compact(F.array(F.when(F.col("experience") < 1, "gain experience"), F.when((F.size("needed") > 0) & (F.size("matched") == 0), "no required skill is there")))
-    return scored.withColumn("recommendations", F.concat(skills, rest))
+    rest = _list(
+        F.when(F.size("missing") > 0, F.concat(F.lit("Consider acquiring or highlighting experience in: "), _first(F.col("missing"), most), F.lit("."))),
+        F.when((F.col("need") > 0) & (F.col("have") < F.col("need")), F.format_string("Target role requests %d years; resume indicates approximately %.1f years.", F.col("need").cast("int"), F.col("have"))),
+        F.when((F.size("needed") > 0) & (F.size("matched") == 0), "Align the technical terms in your experience sections directly with the target job keywords."),
+    )
+    return scored.withColumn("recommendations", rest)
+
 
+#: Words that signal a role, duties, experience and education in a job's text.
+SIGNALS = {
+    "role": "developer engineer analyst manager specialist consultant lead architect executive associate administrator designer coordinator officer intern scientist accountant director technician programmer".split(),
+    "duties": "responsibilities duties develop building build create analyze manage maintain collaborate coordinate lead design implement oversee execute handle support deliver architect deploy optimize test writing".split(),
+    "experience": ["year", "years", "yrs", "experience", "exp", "fresher", "freshers", "entry level", "entry-level", "senior", "junior"],
+    "education": ["bachelor", "master", "phd", "b.tech", "b.e", "m.tech", "degree", "bs", "ms", "mba", "diploma", "graduate"],
+}
 
-def sufficiency(text: Column, skills: Column, signals: dict[str, list[str]]) -> tuple[Column, Column]:
-    """Whether a job text says enough, and why not: signals by substring, word counts."""
+
+def sufficiency(text: Column, found: Column, asked: Column) -> tuple[Column, Column]:
+    """Whether a job text says enough, and why not. found: skills found in the text; asked: the job's own list of skills."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.lit(0)
-    for words in signals.values():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(low, F.lit(w))
-        found = found + hit.cast("int")
+    signals = ((F.size(found) > 0) | (F.size(asked) > 0)).cast("int")
+    for words in SIGNALS.values():
+        signals = signals + _any(low, words).cast("int")
     n = C.word_count(text)
-    reason = F.when(F.trim(low) == "", "blank").when((n < 12) & (F.size(skills) == 0), "short").when((n < 25) & (found < 2), "few signals")
+    reason = F.when(C.strip(low) == "", "blank").when((n < 12) & (F.size(asked) == 0), "short").when((n < 25) & (signals < 2), "few signals")
     return reason.isNull(), reason
 
 
@@ -78,55 +143,143 @@ def dimensions(pairs: DataFrame) -> DataFrame:
 
 
 def overall(dims: DataFrame) -> DataFrame:
-    """Weights re-normalised over the dimensions that are there; null if none is."""
+    """Weights re-normalised over the dimensions that are there, as a whole number; null if none is."""
     num, den = F.lit(0.0), F.lit(0.0)
     for d, w in DIMENSIONS.items():
         num, den = num + w * F.coalesce(f"d_{d}", F.lit(0.0)), den + F.when(F.col(f"d_{d}").isNotNull(), w).otherwise(0.0)
     names = F.array_compact(F.array(*(F.when(F.col(f"d_{d}").isNotNull(), F.lit(d)) for d in DIMENSIONS)))
-    return dims.withColumn("overall", F.when(den > 0, F.round(num / den, 2))).withColumn("applicable", F.array_join(names, ","))
+    return dims.withColumn("overall", F.when(den > 0, F.bround(F.round(num / den, 6), 0))).withColumn("applicable", F.array_join(names, ","))
 
 
 def composite(match: Column, quality: Column, sufficient: Column) -> Column:
     return F.round(F.when(sufficient, 0.7 * match + 0.3 * quality).otherwise(quality), 1)
 
 
+def improvements(analysed: DataFrame) -> Column:
+    """Suggestions in order, each once. analysed: sufficient, missing_skills, d_experience, d_responsibility, d_education, advice (of
+    the issues, all of them) and general (taken while there are fewer than ten)."""
+    c = F.col
+    skills = F.transform(F.slice("missing_skills", 1, 4), lambda x: F.concat(F.lit("Add experience or projects demonstrating required skill: "), x))
+    # fixed values: texts and thresholds
+    of_match = _list(
+        F.when(c("d_experience") < 70, "Highlight direct years of experience and leadership responsibilities aligned with the role expectations."),
+        F.when(c("d_responsibility") < 75, "Align your bullet points with the core duties in the job description using industry action verbs."),
+        F.when(c("d_education") < 70, "Clarify your relevant degree, certifications, or specialized coursework in your education section."),
+    )
+    none = F.array().cast("array<string>")
+    first = F.array_distinct(F.concat(F.when(c("sufficient"), F.concat(skills, of_match)).otherwise(none), "advice"))
+    more = F.slice(F.array_except("general", first), F.lit(1), F.greatest(F.lit(0), 10 - F.size(first)))
+    both = F.concat(first, more)
+    usual = ["Tailor your professional summary to mirror the primary objectives of the target role.", "Quantify achievements in work experience with metrics, percentages, or measurable impact.", "Ensure standard ATS section headers (Summary, Skills, Experience, Education) are clearly visible."]
+    return F.when(F.size(both) == 0, F.array(*map(F.lit, usual))).otherwise(both)
+
+
 def rank(results: DataFrame, group: str, value: str, key: str, least: float = 0.0) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc(value), key)
     return results.where(F.col(value) >= least).withColumn("rank", F.row_number().over(w))
 
 
+def rank_page(ranked: DataFrame, group: str, value: str, page: int = 1, per_page: int = 50) -> DataFrame:
+    """A page of each group of rank()'s rows with the page's statistics; `total` and `pages` are those of the whole group. A group
+    without rows on the page has none."""
+    total = Window.partitionBy(group)
+    here = ranked.withColumn("total", F.max("rank").over(total)).where(F.col("rank").between((page - 1) * per_page + 1, page * per_page))
+    stats = {"avg_score": F.round(F.avg(value).over(total), 3), "max_score": F.round(F.max(value).over(total), 3), "min_score": F.round(F.min(value).over(total), 3), "above_80": F.count_if(F.col(value) >= 0.80).over(total)}
+    return here.withColumns(stats).withColumn("pages", F.ceil(F.col("total") / per_page).cast("int"))
+
+
 def tier(value: Column) -> Column:
-    return F.when(value >= 0.90, "excellent").when(value >= 0.75, "strong").when(value >= 0.60, "good").when(value >= 0.40, "fair").otherwise("poor")
+    return F.when(value >= 0.90, "excellent").when(value >= 0.75, "strong").when(value >= 0.60, "moderate").when(value >= 0.40, "below_average").otherwise("poor")
 
 
-def role_scores(docs: DataFrame, key: str, text: str, roles: DataFrame) -> DataFrame:
-    """(key, ord, name, hits, ratio, score) for documents and roles that share a word.
+# --- roles: a catalogue is a list of (name, class, aliases, skills); every role is scored in one projection, without a join ---
 
-    roles: ord, name, skills; names and skills are single words. Documents meet roles over exploded words, so no document
-    is paired with a role of which it has nothing.
-    """
-    terms = roles.select("ord", "name", F.size("skills").alias("needed"), F.explode(F.concat(F.array(F.struct(F.lower("name").alias("term"), F.lit(True).alias("is_name"))), F.transform("skills", lambda s: F.struct(F.lower(s).alias("term"), F.lit(False).alias("is_name"))))).alias("t")).select("ord", "name", "needed", "t.*")
-    words = docs.select(key, F.explode(F.array_distinct(C.words(F.lower(F.col(text))))).alias("term"))
-    hits = words.join(terms, "term").groupBy(key, "ord", "name", "needed").agg(F.max(F.col("is_name").cast("int")).alias("named"), F.count_if(~F.col("is_name")).alias("hits"))
-    ratio = F.when(F.col("needed") > 0, F.col("hits") / F.col("needed")).otherwise(0.0)
-    return hits.select(key, "ord", "name", "hits", F.round(ratio, 6).alias("ratio"), F.round(35.0 * F.col("named") + 8.0 * F.col("hits") + 35.0 * ratio, 4).alias("score"))
-
-
-def suggest_roles(scored: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """The k best roles of each document with a calibrated percentage; catalogue order on ties."""
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "ord")
-    share = F.least("score", F.lit(60.0)) / 60 * 36
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "rank", "name", "score", F.when(F.col("score") > 0, F.least(F.lit(96.0), F.bround(60 + share, 0))).otherwise(55.0).alias("percent"))
-
-
-def specific_role(scored: DataFrame, docs: DataFrame, key: str, cls: str, classes: DataFrame, enough: float = 8.0, other: float = 43.0) -> DataFrame:
-    """The best role of the document's class; below `enough` the best of all classes if it has `other` or more; else the class's
-    first role. classes: ord, class."""
-    of = scored.join(classes, "ord").join(docs.select(key, F.col(cls).alias("own")), key)
-    best = lambda rows, n: rows.groupBy(key).agg(F.max_by(F.struct("name", "score"), F.struct(F.col("score"), -F.col("ord"))).alias(n))
-    inside, every = best(of.where("class = own"), "i"), best(of, "e")
-    first = classes.join(scored.select("ord", "name").distinct(), "ord").groupBy("class").agg(F.min_by("name", "ord").alias("default"))
-    out = docs.select(key, F.col(cls).alias("class")).join(inside, key, "left").join(every, key, "left").join(first, "class", "left")
-    name = F.when(F.col("i.score") >= enough, F.col("i.name")).when(F.col("e.score") >= other, F.col("e.name")).otherwise(F.col("default"))
-    sure = F.when(F.col("i.score") >= enough, F.col("i.score")).when(F.col("e.score") >= other, F.col("e.score"))
-    return out.select(key, name.alias("role"), F.coalesce(F.least(F.lit(0.96), F.round(0.55 + F.least(sure, F.lit(80.0)) / 80 * 0.40, 2)), F.lit(0.50)).alias("confidence"))
+Role = tuple[str, str, list[str], list[str]]
+#: What an empty document is offered, and the role of a text that fits none.
+DEFAULT_ROLES, DEFAULT_ROLE = [("Software Engineer", 75), ("Full Stack Developer", 72), ("Data Analyst", 70)], "Software Engineer"
+
+
+def _strings(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)).cast("array<string>")
+
+
+def _whole(word: str) -> str:
+    return r"(?U)\b\Q" + word + r"\E\b"
+
+
+def role_terms(text: Column, roles: list[Role]) -> tuple[Column, Column]:
+    """The catalogue's terms that a text holds: names and aliases anywhere, and names, aliases and skills as whole words."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    names = sorted({t.lower() for n, _, aliases, _ in roles for t in [n, *aliases]})
+    every = sorted({*names, *(t.lower() for *_, skills in roles for t in skills)})
+    held = F.filter(_strings(every), lambda t: F.contains(low, t))
+    whole = _list(*(F.when(low.rlike(_whole(t)), t) for t in every))
+    return F.array_intersect(_strings(names), held), whole
+
+
+def _in_order(terms: list[str], there: Column) -> Column:
+    return F.filter(_strings(terms), lambda t: F.array_contains(there, F.lower(t)))
+
+
+def score_roles(held: Column, whole: Column, roles: list[Role]) -> Column:
+    """An array of (ord, name, class, hits, score) for all roles, from role_terms(): 3.5 for the name, 2.5 for each alias, 1.2 for each
+    skill and 3.0 for the share of skills."""
+    out = []
+    for i, (name, cls, aliases, skills) in enumerate(roles):
+        hits = F.size(_in_order(skills, whole))
+        points = F.when(F.array_contains(held, name.lower()), 3.5).otherwise(0.0) + 2.5 * F.size(_in_order(aliases, held)) + 1.2 * hits + (3.0 * hits / len(skills) if skills else F.lit(0.0))
+        out.append(F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"), F.lit(cls).alias("class"), hits.alias("hits"), F.round(points, 6).alias("score")))
+    return F.array(*out)
+
+
+def best_role(scores: Column) -> Column:
+    """The (name, score) of the highest score above 0, the earliest on ties; null without one."""
+    kind = "struct<name:string,score:double>"
+    return F.aggregate(scores, F.lit(None).cast(kind), lambda b, x: F.when(x["score"] > F.coalesce(b["score"], F.lit(0.0)), F.struct(x["name"].alias("name"), x["score"].alias("score")).cast(kind)).otherwise(b))
+
+
+def _confidence(score: Column) -> Column:
+    return F.least(F.lit(0.96), F.bround(0.55 + F.least(score, F.lit(8.0)) / 8.0 * 0.40, 2))
+
+
+def infer_role(text: Column, scores: Column, least: float = 1.0) -> Column:
+    """(role, confidence): the best of all roles from `least` on, else the default."""
+    best = best_role(scores)
+    sure = best.isNotNull() & (best["score"] >= least)
+    return F.struct(F.when(sure, best["name"]).otherwise(DEFAULT_ROLE).alias("role"), F.when(sure, _confidence(best["score"])).otherwise(0.50).alias("confidence"))
+
+
+def specific_role(text: Column, cls: Column, scores: Column, roles: list[Role], enough: float = 2.0, other: float = 3.0) -> Column:
+    """(role, confidence): the best role of the class; below `enough` the best of all classes if it has `other`; else the class's first
+    role, else the default. A blank text or class is a General Professional."""
+    own_class = F.upper(C.strip(cls))
+    inside, every = best_role(F.filter(scores, lambda x: x["class"] == own_class)), best_role(scores)
+    weak = F.coalesce(inside["score"], F.lit(0.0)) < enough
+    best = F.when(weak & (F.coalesce(every["score"], F.lit(0.0)) >= other), every).otherwise(inside)
+    first = F.get(F.filter(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).alias("class")) for n, c, *_ in roles)), lambda x: x["class"] == own_class), 0)["name"]
+    none = (F.coalesce(text, F.lit("")) == "") | (F.coalesce(cls, F.lit("")) == "")
+    role = F.when(none, "General Professional").otherwise(F.coalesce(best["name"], first, F.lit(DEFAULT_ROLE)))
+    return F.struct(role.alias("role"), F.when(none, 0.0).when(best.isNotNull(), _confidence(best["score"])).otherwise(0.50).alias("confidence"))
+
+
+def suggest_roles(text: Column, whole: Column, own_skills: Column, roles: list[Role], k: int = 5) -> Column:
+    """The k best roles (role, score, skills): 35 for the name, 20 for an alias, 8 for each skill and 35 for the share of skills, as a
+    percentage from 55 to 96; catalogue order on ties. own_skills: the skills found in the text. Names that begin with `general ` are
+    left out; blank texts get defaults."""
+    kind = "array<struct<role:string,score:int,skills:array<string>>>"
+
+    def judged(have: Column) -> Column:
+        out = []
+        for i, (name, _, aliases, skills) in enumerate(roles):
+            if name.lower().startswith("general "):
+                continue
+            hits = _in_order(skills, have)
+            raw = F.when(F.array_contains(whole, name.lower()), 35.0).otherwise(0.0) + F.when(F.size(_in_order(aliases, whole)) > 0, 20.0).otherwise(0.0) + 8.0 * F.size(hits) + (35.0 * F.size(hits) / len(skills) if skills else F.lit(0.0))
+            out.append(F.struct((-raw).alias("order"), F.lit(i).alias("ord"), F.lit(name).alias("role"), F.slice(hits, 1, 6).alias("skills")))
+        return F.slice(F.array_sort(F.array(*out)), 1, k)
+
+    percent = lambda x: F.when(x["order"] < 0, F.least(F.lit(96), F.bround(F.round(60 + F.least(-x["order"], F.lit(60.0)) / 60.0 * 36, 6), 0).cast("int"))).otherwise(55)
+    have = C.let(F.array_union(whole, F.transform(own_skills, lambda x: F.lower(x))), judged)
+    best = F.transform(have, lambda x: F.struct(x["role"].alias("role"), percent(x).alias("score"), x["skills"].alias("skills"))).cast(kind)
+    usual = F.array(*(F.struct(F.lit(n).alias("role"), F.lit(v).alias("score"), F.array().cast("array<string>").alias("skills")) for n, v in DEFAULT_ROLES)).cast(kind)
+    return F.when(C.strip(F.coalesce(text, F.lit(""))) == "", usual).otherwise(best)

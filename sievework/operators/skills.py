@@ -20,19 +20,47 @@ def by_synonym(toks: DataFrame, key: str, synonyms: DataFrame) -> DataFrame:
     return toks.join(synonyms, F.col("token") == F.lower("synonym")).select(key, "skill").distinct()
 
 
-def exact(df: DataFrame, key: str, text: str, skills: DataFrame, longest: int = 3) -> DataFrame:
-    """Skills of up to `longest` words, found as runs of tokens by an equi-join; no document meets all skills."""
-    t = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[^\s,;:()\[\]!?\"']+"), 0)
+def _runs(text: Column, longest: int) -> Column:
+    """Distinct runs of 1 to `longest` tokens of a text."""
+    t = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\s,;:()\[\]!?\"']+"), 0)
     clean = F.transform(t, lambda x: F.regexp_replace(x, r"[.]+$", ""))
-    rows = df.select(key, clean.alias("t")).where(F.size("t") > 0)
 
-    def runs(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice(F.col("t"), i, F.lit(n)), " "))
-        return F.when(F.size("t") >= n, every).otherwise(F.array().cast("array<string>"))
+    def runs(t: Column, n: int) -> Column:
+        if n == 1:
+            return t
+        every = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+        return F.when(F.size(t) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(clean), lambda t: F.flatten(F.array(*(runs(t, n) for n in range(1, longest + 1))))), 1)
+
+
+def found(text: Column, skills: list[str], synonyms: list[tuple[str, str]], longest: int = 3) -> Column:
+    """The sorted skills of a text by both dictionaries, in one projection without a shuffle; for dictionaries that fit a plan."""
+    names = F.create_map(*(F.lit(x) for s in skills for x in (s.lower(), s)))
+    exact_ones = F.transform(F.array_intersect(_runs(text, longest), F.array(*(F.lit(s.lower()) for s in skills))), lambda g: F.element_at(names, g))
+    own = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
+    meant = F.create_map(*(F.lit(x) for a, b in synonyms for x in (a.lower(), b)))
+    other = F.transform(F.array_intersect(own, F.array(*(F.lit(a.lower()) for a, _ in synonyms))), lambda t: F.element_at(meant, t))
+    return F.sort_array(F.array_union(exact_ones, other))
 
-    grams = F.flatten(F.array(*(runs(n) for n in range(1, longest + 1))))
-    found = rows.select(key, F.explode(F.array_distinct(grams)).alias("g"))
-    return found.join(skills.select("skill", F.lower("skill").alias("g")), "g").select(key, "skill").distinct()
+
+#: A dictionary of up to so many rows is looked up inside the scan.
+SMALL = 4096
+
+
+def exact(df: DataFrame, key: str, text: str, skills: DataFrame, longest: int = 3) -> DataFrame:
+    """Skills of up to `longest` words, found as runs of tokens. A dictionary that is counted small goes into the projection, so only hits
+    leave a row; a larger one is joined."""
+    known = skills.select("skill", F.lower("skill").alias("g"))
+    few = known.limit(SMALL + 1).collect()  # bounded by SMALL
+    runs = _runs(F.col(text), longest)
+    if len(few) <= SMALL:
+        if not few:
+            return df.select(key, F.lit(None).cast("string").alias("skill")).where("false")
+        runs = F.array_intersect(runs, F.array(*(F.lit(r.g) for r in few)))
+        known = F.broadcast(known)
+    hits = df.select(key, F.explode(F.array_distinct(runs)).alias("g"))
+    return hits.join(known, "g").select(key, "skill").distinct()
 
 
 @F.pandas_udf(DoubleType())
@@ -52,18 +80,24 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def fuzzy(toks: DataFrame, key: str, skills: DataFrame, least: float = 92.0, min_chars: int = 4) -> DataFrame:
-    """The most similar skill of each distinct token. Candidates share two neighbouring characters and have a length that the ratio
-    allows; distinct tokens are compared once for all documents."""
+def fuzzy(toks: DataFrame, key: str, skills: DataFrame, least: float = 92.0, min_chars: int = 4, found: DataFrame | None = None, enough: int = 3) -> DataFrame:
+    """The most similar skill of each distinct token, for rows of which the other layers found fewer than `enough` skills (found: key,
+    skill). Case counts, as tokens are lower-case and skills are taken as they are written. Candidates share two neighbouring
+    characters and have a length that the ratio allows; distinct tokens are compared once for all documents."""
+    if found is not None:
+        rich = found.groupBy(key).agg(F.count_distinct("skill").alias("n")).where(F.col("n") >= enough).select(key)
+        toks = toks.join(rich, key, "left_anti")
 
     def bigrams(c: Column) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))))
 
     names = toks.where(F.length("token") >= min_chars).select("token").distinct().select("token", F.explode(bigrams(F.col("token"))).alias("b"))
-    known = skills.select("skill", F.explode(bigrams(F.lower("skill"))).alias("b"))
+    known = skills.select("skill", F.explode(bigrams(F.col("skill"))).alias("b"))
     ratio = least / 100 / (2 - least / 100)
     near = names.join(known, "b").where((F.length("skill") >= F.length("token") * ratio) & (F.length("token") >= F.length("skill") * ratio)).select("token", "skill").distinct()
-    scored = near.withColumn("r", indel_ratio("token", F.lower("skill"))).where(F.col("r") >= least)
+    # an indel distance is at least the Levenshtein distance, which the JVM knows
+    most = (1 - least / 100) * (F.length("token") + F.length("skill"))
+    scored = near.where(F.levenshtein("token", "skill") <= most + 1e-9).withColumn("r", indel_ratio("token", "skill")).where(F.col("r") >= least)
     best = scored.withColumn("n", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("r"), "skill"))).where("n = 1").select("token", "skill")
     return toks.join(best, "token").select(key, "skill").distinct()
 

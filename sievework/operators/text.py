@@ -15,9 +15,23 @@ from ..functions import columns as C
 TYPOGRAPHY = [("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), (" ", " "), ("﻿", ""), ("•", " "), ("…", "...")]
 
 #: Masks of contact data.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,7}"
-PHONE = r"(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}"
-URL = r"https?://[^\s<>\"']+"
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,7}\b"
+PHONE = r"\(?\b[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b"
+#: The first e-mail, phone number and all links of a text.
+FIRST_EMAIL, FIRST_PHONE, URL = r"[\w.+-]+@[\w-]+\.[\w.-]+", r"[+]?[\d\s()-]{10,15}", r"https?://[^\s)\]>]+"
+#: Headers that extraction repeats.
+HEADERS = "SKILLS|EXPERIENCE|EDUCATION|PROJECTS|SUMMARY|OBJECTIVE|CERTIFICATIONS"
+#: Artifacts of extraction and what they become, in order.
+ARTIFACTS = [
+    (r"[•·▪▸►▶◆★☆○●]{3,}", " "),
+    (r"\r\n", "\n"),
+    (r"\r", "\n"),
+    (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""),
+    (r"[-_=]{5,}", " "),
+    (r"([~`!@$%^&*()+={}\[\]|\\:;\"'<>,.?/])\1{4,}", "$1"),
+    (r"[ \t]{2,}", " "),
+    (r"\n{3,}", "\n\n"),
+]
 
 
 @F.pandas_udf(StringType())
@@ -43,17 +57,16 @@ def unicode_clean(text: Column, compose: bool = True) -> Column:
 
 
 def remove_artifacts(text: Column) -> Column:
-    """Line ends first, then control characters, rules of marks, runs of marks, blanks and empty lines."""
-    out = F.regexp_replace(text, r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    out = F.regexp_replace(out, r"(?m)^[ \t]*[-_=*#~]{5,}[ \t]*$", "")
-    out = F.regexp_replace(out, r"([!?.,;:*#$%&@~=_-])\1{4,}", "$1")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    return F.regexp_replace(out, r"\n{3,}", "\n\n")
+    """Repeated headers once, then runs of bullets, line ends, control characters, rules, runs of marks, blanks and empty lines."""
+    out = F.regexp_replace(text, rf"(?iU)({HEADERS})(\s*[:\-•]?\s*\1)+", "$1")
+    for pattern, by in ARTIFACTS:
+        out = F.regexp_replace(out, pattern, by)
+    return out
 
 
 def mask_contacts(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, EMAIL, "[EMAIL]"), PHONE, "[PHONE]")
+    """Boundaries are those of Unicode words."""
+    return F.regexp_replace(F.regexp_replace(text, f"(?U){EMAIL}", "[EMAIL]"), f"(?U){PHONE}", "[PHONE]")
 
 
 def flag(text: Column, min_chars: int = 100) -> Column:
@@ -90,15 +103,16 @@ def first_match(text: Column, pattern: str) -> Column:
 
 
 def email(text: Column) -> Column:
-    return F.lower(first_match(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"))
+    return F.lower(first_match(text, f"(?U){FIRST_EMAIL}"))
 
 
 def phone(text: Column) -> Column:
-    return first_match(text, r"\+?[0-9(][0-9 ().-]{8,13}[0-9]")
+    """The first 10 to 15 characters of digits, blanks, brackets and dashes, without blanks at the ends."""
+    return C.strip(first_match(text, f"(?U){FIRST_PHONE}"))
 
 
 def urls(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(URL), 0)
+    return F.regexp_extract_all(text, F.lit(f"(?U){URL}"), 0)
 
 
 def snippet(text: Column, n: int) -> Column:
@@ -138,31 +152,68 @@ def paragraphs(df: DataFrame, key: str, text: str, size: int = 500, overlap: int
     return rows.select(key, "chunk", F.when(tail.isNotNull(), F.concat(tail, F.lit(" "), F.col("body"))).otherwise(F.col("body")).alias("chunk_text"))
 
 
-def sections(df: DataFrame, key: str, text: str, synonyms: dict[str, list[str]]) -> DataFrame:
-    """A map of section to text by a line state machine: a line that starts with a synonym opens its section and is dropped; a
-    later section of the same name replaces the earlier one. The order of `synonyms` decides between several."""
-    pattern = F.lit(None).cast("string")
-    line = F.lower(F.trim(F.col("l")))
-    for name in reversed(list(synonyms)):
-        words = "|".join(f"\\Q{w.lower()}\\E" for w in synonyms[name])
-        pattern = F.when(line.rlike(f"^(?:{words})(?:$|[^\\p{{L}}])") | line.rlike(f"(?:{words}):"), F.lit(name)).otherwise(pattern)
-    kind = "struct<open:string,found:map<string,string>>"
-    as_lines = df.select(key, F.split(F.coalesce(F.col(text), F.lit("")), r"\R").alias("ls"))
-    heads = as_lines.select(key, F.posexplode("ls").alias("pos", "l")).withColumn("head", pattern)
-    grouped = heads.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "l", "head"))).alias("ls"))
+#: Sections and the words that open them.
+SECTIONS = {
+    "skills": ["skills", "technical skills", "technologies", "competencies", "core competencies", "tools"],
+    "experience": ["experience", "work experience", "employment", "professional experience", "work history"],
+    "education": ["education", "academic background", "qualifications", "academics"],
+    "projects": ["projects", "personal projects", "academic projects", "key projects"],
+}
 
-    def step(s: Column, x: Column) -> Column:
-        empty = F.create_map(x["head"], F.lit(""))
-        rest = F.map_filter(s["found"], lambda k, v: k != x["head"])
-        more = F.transform_values(s["found"], lambda k, v: F.when(k == s["open"], F.when(v == "", x["l"]).otherwise(F.concat(v, F.lit("\n"), x["l"]))).otherwise(v))
-        return F.when(x["head"].isNotNull(), F.struct(x["head"].alias("open"), F.map_concat(rest, empty).alias("found"))).otherwise(F.struct(s["open"].alias("open"), F.when(s["open"].isNull(), s["found"]).otherwise(more).alias("found"))).cast(kind)
 
-    start = F.struct(F.lit(None).cast("string").alias("open"), F.create_map().cast("map<string,string>").alias("found")).cast(kind)
-    return grouped.select(key, F.aggregate("ls", start, step, lambda s: s["found"]).alias("sections"))
+def sections(text: Column, synonyms: dict[str, list[str]] | None = None) -> Column:
+    """A map of section to text by a fold over the lines: a line that starts with a synonym, or holds one before a colon, opens its
+    section and is dropped; lines before the first are `general`; a later section of the same name replaces the earlier one, unless
+    no line follows its header. The order of `synonyms` decides between several. No shuffle."""
+    synonyms = synonyms or SECTIONS
+    kind = "struct<open:string,body:array<string>,found:map<string,string>>"
 
+    def head(line: Column) -> Column:
+        low, out = C.strip(F.lower(line)), F.lit(None).cast("string")
+        for name in reversed(list(synonyms)):
+            words = "|".join(f"\\Q{w.lower()}\\E" for w in synonyms[name])
+            out = F.when(low.rlike(f"^(?:{words})|(?:{words}):"), F.lit(name)).otherwise(out)
+        return out
 
-def profile_fields(text: Column, title_words: list[str]) -> tuple[Column, Column]:
-    """The first of the first six lines with a title word, and the first line with a year range."""
-    lines = F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: F.trim(x) != ""), 1, 6)
-    words = "|".join(title_words)
-    return F.get(F.filter(lines, lambda x: x.rlike(f"(?i)(?:{words})")), 0), F.get(F.filter(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: x.rlike(r"(?:19|20)[0-9]{2}\s*-\s*(?:19|20)[0-9]{2}")), 0)
+    def closed(s: Column) -> Column:
+        rest = F.map_filter(s["found"], lambda k, v: k != s["open"])
+        return F.when(F.size(s["body"]) == 0, s["found"]).otherwise(F.map_concat(rest, F.create_map(s["open"], C.strip(F.array_join(s["body"], "\n")))))
+
+    def step(s: Column, x: Column) -> Column:
+        opened = F.struct(x["head"].alias("open"), F.array().cast("array<string>").alias("body"), closed(s).alias("found"))
+        more = F.struct(s["open"].alias("open"), F.concat(s["body"], F.array(x["line"])).alias("body"), s["found"].alias("found"))
+        return F.when(x["head"].isNotNull(), opened.cast(kind)).otherwise(more.cast(kind))
+
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\R\z", "")
+    as_lines = F.transform(F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\R", -1)), lambda x: F.struct(x.alias("line"), head(x).alias("head")))
+    start = F.struct(F.lit("general").alias("open"), F.array().cast("array<string>").alias("body"), F.create_map().cast("map<string,string>").alias("found")).cast(kind)
+    return F.aggregate(as_lines, start, step, closed)
+
+
+#: Words of titles; what opens and what ends each field.
+TITLES = ["director", "manager", "engineer", "specialist", "analyst", "consultant", "officer", "coordinator", "instructor", "teacher", "attorney", "chef", "nurse", "artist"]
+FIELDS = {
+    "skills": (r"skills|core competencies|expertise|technical skills", r"experience|employment|work history|education"),
+    "education": (r"education|academic background|degree", r"experience|employment|skills|certifications"),
+    "experience": (r"experience|work history|employment history", r"education|skills|certifications"),
+}
+
+
+def profile_fields(text: Column) -> dict[str, Column]:
+    """title: the first of the first six lines with a title word, else the first line; skills: six of up to eight items of three or more
+    characters; education: two lines, 150 characters; experience: three lines, 250 characters. Each has a default."""
+    t = F.coalesce(text, F.lit(""))
+    body = {n: F.regexp_extract(t, rf"(?isU)(?:{a})[\s:]+(.*?)(?:{b}|\z)", 1) for n, (a, b) in FIELDS.items()}
+    stripped = lambda x, by: F.transform(F.split(x, by), C.strip)
+    full = lambda x: F.filter(stripped(x, "\n"), lambda v: v != "")
+    lines = full(t)
+    titled = F.get(F.filter(F.slice(lines, 1, 6), lambda x: F.lower(x).rlike("|".join(TITLES))), 0)
+    skills = F.slice(F.filter(stripped(C.strip(body["skills"]), r"[,•\n|;]+"), lambda v: F.length(v) > 2), 1, 6)
+    joined = lambda n, k, most: F.substring(F.array_join(F.slice(full(body[n]), 1, k), " | "), 1, most)
+    or_else = lambda x, default: F.when(x == "", default).otherwise(x)
+    return {
+        "title": F.coalesce(titled, F.get(lines, 0), F.lit("Unknown")),
+        "skills": or_else(F.array_join(skills, ", "), "Demonstrated domain skills in resume body"),
+        "education": or_else(joined("education", 2, 150), "Not explicitly stated"),
+        "experience": or_else(joined("experience", 3, 250), "Experienced professional"),
+    }

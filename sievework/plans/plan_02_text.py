@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import profile as P
 from ..operators import text as X
-from .base import registrar, table
+from .base import PROFILES, profiles, registrar, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -31,7 +31,23 @@ def cln_unicode(s, d):
     return _docs(s, d).select("doc_id", F.md5(X.unicode_clean(F.col("text"))).alias("cleaned"))
 
 
-@query("cln_artifacts")
+def _artifacts_sql(text: str) -> str:
+    """The same in RE2, which has no back-references: one replacement for each header and for each mark."""
+    for h in X.HEADERS.split("|"):
+        text = f"regexp_replace({text}, '({h})(\\s*[:\\-•]?\\s*{h})+', '\\1', 'gi')"
+    for pattern, by in X.ARTIFACTS:
+        if "\\1" in pattern:
+            for c in "~`!@$%^&*()+={}[]|\\:;\"'<>,.?/":
+                q = "''" if c == "'" else c
+                esc = "\\" + q if not c.isalnum() and c != "'" else q
+                text = f"regexp_replace({text}, '{esc}{{5,}}', '{chr(92) * 2 if c == chr(92) else q}', 'g')"
+        else:
+            by = by.replace("\n", "' || chr(10) || '")
+            text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+@query("cln_artifacts", f"SELECT doc_id, md5({_artifacts_sql('text')}) AS cleaned FROM documents")
 def cln_artifacts(s, d):
     return _docs(s, d).select("doc_id", F.md5(X.remove_artifacts(F.col("text"))).alias("cleaned"))
 
@@ -86,19 +102,23 @@ def txt_chunk_window(s, d):
     return X.windows(_docs(s, d), "doc_id", "text")
 
 
-@query("txt_email", r"SELECT doc_id, lower(nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), '')) AS email FROM documents")
+#: The word characters of Unicode in RE2.
+_WORD = r"\p{L}\p{N}_"
+
+
+@query("txt_email", f"SELECT doc_id, lower(nullif(regexp_extract(text, '[{_WORD}.+-]+@[{_WORD}-]+\\.[{_WORD}.-]+'), '')) AS email FROM documents")
 def txt_email(s, d):
     return _docs(s, d).select("doc_id", X.email(F.col("text")).alias("email"))
 
 
-@query("txt_phone", r"SELECT doc_id, nullif(regexp_extract(text, '\+?[0-9(][0-9 ().-]{8,13}[0-9]'), '') AS phone FROM documents")
+@query("txt_phone", r"SELECT doc_id, CASE WHEN regexp_matches(text, '[+]?[\d\s()-]{10,15}') THEN regexp_replace(regexp_extract(text, '[+]?[\d\s()-]{10,15}'), '^\s+|\s+$', '', 'g') END AS phone FROM documents")
 def txt_phone(s, d):
     return _docs(s, d).select("doc_id", X.phone(F.col("text")).alias("phone"))
 
 
-@query("txt_urls", r"""SELECT page_id, unnest(regexp_extract_all(url, 'https?://[^\s<>"'']+')) AS found FROM pages""")
+@query("txt_urls", r"""SELECT page_id, unnest(regexp_extract_all(html, 'https?://[^\s)\]>]+')) AS found FROM pages""")
 def txt_urls(s, d):
-    return table(s, d, "pages").select("page_id", F.explode(X.urls(F.col("url"))).alias("found"))
+    return table(s, d, "pages").select("page_id", F.explode(X.urls(F.col("html"))).alias("found"))
 
 
 @query("txt_years_experience", r"SELECT p_partkey, coalesce(list_max(list_transform(regexp_extract_all(t, '(\d+(?:\.\d+)?)\s*\+?\s*(?:years|year|yrs|yr)\b', 1), lambda x: x::DOUBLE)), 0.0) AS years FROM (SELECT p_partkey, p_name || ' ' || p_size || '+ years, ' || (p_partkey % 30) || ' yrs' AS t FROM part)")
@@ -117,15 +137,22 @@ def txt_file_hash(s, d):
     return table(s, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("file_hash"))
 
 
-@query("sec_segment")
+_NL = "chr(10)"
+_HEADS = "CASE " + " ".join(f"WHEN regexp_matches(trim(lower(l)), '^(?:{w})|(?:{w}):') THEN '{n}'" for n, w in ((n, "|".join(ws)) for n, ws in X.SECTIONS.items())) + " END"
+_SEGMENTS = rf"""{PROFILES}, ls AS (SELECT doc_id, unnest(l) AS l, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM profiles)),
+ hd AS (SELECT doc_id, l, pos, {_HEADS} AS head FROM ls), sg AS (SELECT *, count(head) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM hd),
+ nm AS (SELECT doc_id, seg, coalesce(max(head), 'general') AS section, string_agg(l, chr(10) ORDER BY pos) FILTER (head IS NULL) AS body FROM sg GROUP BY doc_id, seg)
+ SELECT doc_id, section, regexp_replace(body, '^\s+|\s+$', '', 'g') AS body FROM nm WHERE body IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY seg DESC) = 1"""
+
+
+@query("sec_segment", f"WITH {_SEGMENTS.replace(chr(92) * 2, chr(92))}")
 def sec_segment(s, d):
-    return X.sections(_docs(s, d), "doc_id", "text", {"skills": ["the", "die"], "experience": ["and", "les"], "education": ["is", "el"]}).select("doc_id", F.to_json("sections").alias("sections"))
+    return profiles(s, d).select("doc_id", F.explode(X.sections(F.col("text"))).alias("section", "body"))
 
 
 @query("txt_profile_fields")
 def txt_profile_fields(s, d):
-    title, dates = X.profile_fields(F.col("text"), ["the", "and"])
-    return _docs(s, d).select("doc_id", title.alias("title"), dates.alias("dates"))
+    return profiles(s, d).select("doc_id", *(c.alias(n) for n, c in X.profile_fields(F.col("text")).items()))
 
 
 @query("txt_snippet", f"SELECT doc_id, array_to_string({WL.format(t='text')}[1:30], ' ') AS snippet FROM documents")
