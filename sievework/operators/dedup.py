@@ -2,63 +2,146 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import tables as T
+from . import text as X
 
 
 def exact(df: DataFrame, key: str, text: str) -> DataFrame:
     """Adds `_dup_hash`, `_exact_dup`, `_exact_dup_of`: the least id of a hash is canonical. Blank, null and `nan` texts are exempt.
 
-    The canonical id comes from an aggregate, which combines before the shuffle, so a text with very many copies is no hot task.
+    Only ids and hashes are shuffled, and of these only repeated ones are joined; texts stay where they are if the repeated hashes
+    are few, and go to a task by id, not by hash, otherwise. Nulls have no hash and aren't shuffled by it.
     """
     t = F.trim(F.coalesce(F.col(text), F.lit("")))
     hashed = df.withColumn("_dup_hash", F.when((t != "") & (t != "nan"), C.content_hash(F.col(text))))
-    first = hashed.where("_dup_hash is not null").groupBy("_dup_hash").agg(F.min(key).alias("_first"))
-    out = hashed.join(first, "_dup_hash", "left")
+    slim = hashed.select(F.col(key).alias("_k"), "_dup_hash").where("_dup_hash is not null")
+    groups = slim.groupBy("_dup_hash").agg(F.min("_k").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    groups = T.stored(groups, "copies").drop("_n")
+    few = groups.limit(SMALL + 1).count() <= SMALL
+    out = hashed.join(F.broadcast(groups) if few else groups, "_dup_hash", "left")
     dup = F.coalesce(F.col(key) != F.col("_first"), F.lit(False))
     return out.withColumn("_exact_dup", dup).withColumn("_exact_dup_of", F.when(dup, F.col("_first"))).select(*df.columns, "_dup_hash", "_exact_dup", "_exact_dup_of")
 
 
-def tfidf(df: DataFrame, key: str, text: str, max_terms: int = 10_000, stop: DataFrame | None = None, min_df: int = 1) -> DataFrame:
-    """(key, term, weight): sublinear, smooth idf, L2-normalised; the vocabulary is the most frequent terms, ties by term."""
-    tokens = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("term"))
-    tf = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    if stop is not None:
-        tf = tf.join(F.broadcast(stop), "term", "left_anti")
-    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_terms)
-    n = df.agg(F.count(F.lit(1)).alias("docs"))
-    idf = vocabulary.crossJoin(n).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row on the right
-    raw = tf.join(F.broadcast(idf), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))  # at most max_terms rows
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(length, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+#: Rows of a table that is broadcast after it was counted.
+SMALL = 1 << 18
+#: Rows of a term that are paired; more are compared in blocks of `BLOCK` rows.
+PAIRED, BLOCK = 64, 500
+
 
+def vectors(df: DataFrame, key: str, text: str, max_terms: int = 10_000, stop: list[str] | None = None) -> DataFrame:
+    """(key, terms, weights): TF-IDF with sublinear counts and smooth idf, L2-normalised, from the `max_terms` most frequent terms (ties
+    by term) without stop words. Texts are lower-cased and lose their accents first. Terms are numbers, the rarest first.
 
-def near(df: DataFrame, key: str, text: str, threshold: float = 0.95, max_terms: int = 10_000) -> DataFrame:
+    Rows are dealt by key once; counts, weights and packing follow without another shuffle of the terms.
+    """
+    plain = X.without_accents(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    found = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    if stop:
+        found = F.filter(found, lambda x: ~x.isin(*stop))
+    tf = df.select(F.col(key).alias("k"), found.alias("t")).repartition("k").select("k", F.explode("t").alias("term")).groupBy("k", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = T.stored(tf, "counts")
+    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("total"), "term").limit(max_terms)
+    n = df.count()
+    numbered = vocabulary.select("term", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"), F.struct("df", "term").alias("o"))
+    ordered = numbered.groupBy().agg(F.array_sort(F.collect_list(F.struct("o", "term", "idf"))).alias("v")).select(F.posexplode("v").alias("number", "v")).select("number", "v.term", "v.idf")  # max_terms rows at most
+    weighed = tf.join(F.broadcast(ordered), "term").select("k", "number", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    packed = weighed.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("number", "w"))).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    return packed.select("k", F.transform("v", lambda x: x["number"]).alias("terms"), "v", length.alias("length")).select(F.col("k").alias(key), "terms", F.transform("v", lambda x: x["w"] / F.col("length")).alias("weights"))
+
+
+def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Of pairs (a, b, cosine), one index for each a: the highest cosine, the smallest b on ties."""
+    order = np.lexsort((b, -np.round(s, 9), a))
+    return order[np.r_[True, a[order][1:] != a[order][:-1]]] if len(order) else order
+
+
+def _compared(rows: list[tuple], other: list[tuple] | None, threshold: float) -> list[tuple]:
+    """(key, parent, cosine): for each row of two blocks (or of one) the best earlier row of the other."""
+    every = rows + (other or [])
+    place = {k: i for i, k in enumerate(sorted(r[0] for r in every))}
+    at = np.array([place[r[0]] for r in every])
+    names, column = np.unique(np.concatenate([r[1] for r in every]), return_inverse=True)
+    owner = np.repeat(np.arange(len(every)), [len(r[1]) for r in every])
+    weight = np.concatenate([r[2] for r in every])
+    m = len(rows)
+    left, right = (slice(0, m), slice(0, m)) if other is None else (slice(0, m), slice(m, len(every)))
+    cosine = np.zeros((len(at[left]), len(at[right])))
+    for start in range(0, len(names), 4096):  # a bounded part of the terms at a time
+        here = (column >= start) & (column < start + 4096)
+        x = np.zeros((len(every), min(4096, len(names) - start)))
+        x[owner[here], column[here] - start] = weight[here]
+        cosine += x[left] @ x[right].T
+    i, j = np.nonzero(cosine >= threshold)
+    s, i, j = cosine[i, j], at[left][i], at[right][j]
+    late, early = np.maximum(i, j), np.minimum(i, j)
+    keep = np.flatnonzero(late != early)
+    late, early, s = late[keep], early[keep], s[keep]
+    key = {v: k for k, v in place.items()}
+    return [(key[late[k]], key[early[k]], float(s[k])) for k in _best(late, early, s)]
+
+
+def near(df: DataFrame, key: str, text: str, threshold: float = 0.95, max_terms: int = 10_000, stop: list[str] | None = None) -> DataFrame:
     """(key, parent, score): the most similar earlier row with a TF-IDF cosine of at least the threshold, first on ties.
 
     All-pairs prefix filter: with terms from rare to frequent, two unit vectors of cosine t or more share a term within the
-    shortest prefix whose remainder has a norm below t. Only prefix terms are joined, so frequent terms form no pairs;
-    candidates are then scored in full.
+    shortest prefix whose remainder has a norm below t. Rows of equal vectors are one row. Only prefix terms meet: a term of up to
+    `PAIRED` rows gives pairs, which are verified once; the rows of a more frequent one are compared in blocks by matrix products
+    that return one parent for each row, so no group is multiplied out and none meets in one task.
     """
-    weights = tfidf(df, key, text, max_terms)
-    order = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = weights.join(F.broadcast(order), "term")  # at most max_terms rows
-    w = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = ranked.withColumn("suffix", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w))).where(F.col("suffix") >= threshold - 1e-9).select(key, "term")
-    a, b = prefix.select(F.col(key).alias("a"), "term"), prefix.select(F.col(key).alias("b"), "term")
-    pairs = a.join(b, "term").where("a > b").select("a", "b").distinct()
-    left, right = weights.select(F.col(key).alias("a"), "term", F.col("weight").alias("wa")), weights.select(F.col(key).alias("b"), "term", F.col("weight").alias("wb"))
-    scored = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s")).where(F.col("s") >= threshold)
-    best = scored.groupBy("a").agg(F.max_by(F.struct("b", "s"), F.struct(F.round("s", 9), -F.col("b"))).alias("m"))
-    return best.select(F.col("a").alias(key), F.col("m.b").alias("parent"), F.round("m.s", 4).alias("score"))
-
-
-def annotate(df: DataFrame, key: str, text: str, threshold: float = 0.95) -> DataFrame:
+    kind = df.schema[key].dataType.simpleString()
+    packed = T.stored(vectors(df, key, text, max_terms, stop).groupBy("terms", "weights").agg(F.array_sort(F.collect_set(key)).alias("keys")).select(F.col("keys")[0].alias("k"), "keys", "terms", "weights"), "vectors")
+    same = packed.where(F.size("keys") > 1).select(F.explode(F.expr("slice(keys, 2, size(keys) - 1)")).alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("s"))
+    tail = F.aggregate(F.reverse("weights"), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda p, x: F.struct((p["s"] + x * x).alias("s"), (p["n"] + (F.sqrt(p["s"] + x * x) < threshold - 1e-9).cast("int")).alias("n")))
+    prefix = T.stored(packed.select("k", F.explode(F.slice("terms", F.lit(1), F.size("terms") - tail["n"])).alias("term")), "prefixes")
+    sizes = prefix.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # max_terms rows at most
+    met = prefix.join(F.broadcast(sizes), "term")
+    few = met.where(F.col("n") <= PAIRED)
+    pairs = few.select(F.col("k").alias("a"), "term").join(few.select(F.col("k").alias("b"), "term"), "term").where("a > b").select("a", "b").distinct()
+    side = lambda c: packed.select(F.col("k").alias(c), F.col("terms").alias(f"t{c}"), F.col("weights").alias(f"w{c}"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            out = []
+            for ta, wa, tb, wb in zip(*(x.column(c) for c in ("ta", "wa", "tb", "wb")), strict=True):
+                _, i, j = np.intersect1d(ta.values.to_numpy(), tb.values.to_numpy(), assume_unique=True, return_indices=True)
+                out.append(float(wa.values.to_numpy()[i] @ wb.values.to_numpy()[j]))
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(out, pa.float64())], ["a", "b", "s"])
+
+    checked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "wa", "tb", "wb").mapInArrow(verify, f"a {kind}, b {kind}, s double")
+
+    many = met.where(F.col("n") > PAIRED).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("k", "term"), F.col("parts")).cast("int"))
+    tasks = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("k", "term", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
+    tasks = tasks.join(packed.select("k", "terms", "weights"), "k")
+
+    def block(names: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j, sides = names[1].as_py(), names[2].as_py(), ([], [])
+        for x in batches:
+            for k, part, terms, weights in zip(x.column("k").to_pylist(), x.column("part").to_pylist(), x.column("terms"), x.column("weights"), strict=True):
+                sides[part != i].append((k, terms.values.to_numpy(), weights.values.to_numpy()))
+        found = _compared(sides[0], sides[1] if i != j else None, threshold) if sides[0] and (i == j or sides[1]) else []
+        id_arrow = x.schema.field("k").type
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], id_arrow), pa.array([f[1] for f in found], id_arrow), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "s"])
+
+    blocks = tasks.groupBy("term", "i", "j").applyInArrow(block, f"a {kind}, b {kind}, s double")
+    found = same.unionByName(checked.where(F.col("s") >= threshold)).unionByName(blocks)
+    top = found.groupBy("a").agg(F.min(F.struct((-F.round("s", 9)).alias("o"), "b", "s")).alias("m"))
+    return top.select(F.col("a").alias(key), F.col("m.b").alias("parent"), F.round("m.s", 4).alias("score"))
+
+
+def annotate(df: DataFrame, key: str, text: str, threshold: float = 0.95, stop: list[str] | None = None) -> DataFrame:
     """df with the exact and near annotations and `_dup_action`: exact_remove, near_dup_flag or keep."""
     marked = exact(df, key, text)
-    found = near(marked.where("not _exact_dup and _dup_hash is not null"), key, text, threshold)
+    found = near(marked.where("not _exact_dup and _dup_hash is not null"), key, text, threshold, stop=stop)
     out = marked.join(found.select(key, F.col("parent").alias("_near_dup_of"), F.col("score").alias("_near_dup_score")), key, "left")
     out = out.withColumn("_near_dup", F.col("_near_dup_of").isNotNull())
     return out.withColumn("_dup_action", F.when(F.col("_exact_dup"), "exact_remove").when(F.col("_near_dup"), "near_dup_flag").otherwise("keep"))
@@ -77,14 +160,13 @@ def summary(annotated: DataFrame) -> DataFrame:
 def clusters(links: DataFrame, key: str, parent: str) -> DataFrame:
     """(key, cluster): the root of each row's chain of parents; parents are always smaller, so pointers halve each round.
 
-    The small link table is checkpointed between rounds, as executors may be lost.
+    The small link table is written between rounds, as executors may be lost.
     """
-    spark = links.sparkSession
     at = links.select(F.col(key).alias("k"), F.coalesce(parent, key).alias("p"))
     while True:
         up = at.select(F.col("k").alias("p"), F.col("p").alias("q"))
         step = at.join(up, "p", "left").select("k", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved"))
-        step = step.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else step.cache()
+        step = T.stored(step, "links")
         if not step.where("moved").limit(1).count():
             return step.select(F.col("k").alias(key), F.col("p").alias("cluster"))
         at = step.drop("moved")

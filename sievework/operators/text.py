@@ -44,6 +44,12 @@ def _nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
 
 
+def without_accents(text: Column) -> Column:
+    """NFKD without combining marks; ASCII rows skip the UDF by a null."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.regexp_replace(F.coalesce(_nfkd(F.when(~ascii_only, text)), text), r"\p{Mn}", "")
+
+
 def unicode_clean(text: Column, compose: bool = True) -> Column:
     """NFC, then plain typography. The UDF sees rows outside ASCII only in effect: ASCII rows skip it by a null."""
     ascii_only = F.octet_length(text) == F.char_length(text)

@@ -14,9 +14,12 @@ query = registrar(QUERIES, ORACLE)
 
 HASH = r"CASE WHEN trim(text) <> '' AND trim(text) <> 'nan' THEN md5(array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''), ' ')) END"
 EXACT = f"e AS (SELECT doc_id, text, source, h, min(doc_id) OVER (PARTITION BY h) AS first, h IS NOT NULL AND doc_id <> min(doc_id) OVER (PARTITION BY h) AS dup FROM (SELECT doc_id, text, source, {HASH} AS h FROM documents))"
+#: Stop words of the near-duplicate search.
+STOP = "a an and are as at be by for from has he in is it its of on that the to was were will with".split()
+_STOPPED = ", ".join(f"'{w}'" for w in STOP)
 #: TF-IDF weights over the 10,000 most frequent terms of the rows that aren't exact copies, and the best earlier row.
-NEAR = EXACT + r""", k AS (SELECT doc_id, text FROM e WHERE NOT dup AND h IS NOT NULL),
- tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM k),
+NEAR = EXACT + rf""", k AS (SELECT doc_id, text FROM e WHERE NOT dup AND h IS NOT NULL),
+ tk AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM k), tok AS (SELECT * FROM tk WHERE term NOT IN ({_STOPPED})),
  tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
  voc AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 10000),
  raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM k)) / (1 + df)) + 1) AS w FROM tf JOIN voc USING (term)),
@@ -38,27 +41,27 @@ def ded_exact(s, d):
 @query("ded_near", f"WITH {NEAR} SELECT * FROM nr")
 def ded_near(s, d):
     rows = D.exact(_docs(s, d), "doc_id", "text").where("not _exact_dup and _dup_hash is not null")
-    return D.near(rows, "doc_id", "text")
+    return D.near(rows, "doc_id", "text", stop=STOP)
 
 
 @query("ded_action", f"WITH {ACTION} SELECT doc_id, action AS _dup_action FROM ac")
 def ded_action(s, d):
-    return D.annotate(_docs(s, d), "doc_id", "text").select("doc_id", "_dup_action")
+    return D.annotate(_docs(s, d), "doc_id", "text", stop=STOP).select("doc_id", "_dup_action")
 
 
 @query("ded_report", f"WITH {ACTION} SELECT doc_id, CASE WHEN dup THEN first ELSE parent END AS parent, CASE WHEN dup THEN 'exact' ELSE 'near' END AS kind, CASE WHEN dup THEN 1.0::DOUBLE ELSE score END AS similarity, CASE WHEN dup THEN 'REMOVE' ELSE 'REVIEW' END AS action FROM ac WHERE action <> 'keep'")
 def ded_report(s, d):
-    return D.report(D.annotate(_docs(s, d), "doc_id", "text"), "doc_id")
+    return D.report(D.annotate(_docs(s, d), "doc_id", "text", stop=STOP), "doc_id")
 
 
 @query("ded_summary", f"WITH {ACTION} SELECT count(*) AS total, count(*) FILTER (action = 'exact_remove') AS exact_remove, count(*) FILTER (action = 'near_dup_flag') AS near_dup_flag, count(*) FILTER (action = 'keep') AS keep FROM ac")
 def ded_summary(s, d):
-    return D.summary(D.annotate(_docs(s, d), "doc_id", "text"))
+    return D.summary(D.annotate(_docs(s, d), "doc_id", "text", stop=STOP))
 
 
 @query("ded_cluster", f"WITH RECURSIVE {NEAR}, link AS (SELECT e.doc_id, coalesce(CASE WHEN dup THEN first END, nr.parent) AS parent FROM e LEFT JOIN nr USING (doc_id)), walk AS (SELECT doc_id, doc_id AS pos FROM link UNION ALL SELECT w.doc_id, l.parent FROM walk w JOIN link l ON w.pos = l.doc_id WHERE l.parent IS NOT NULL) SELECT doc_id, min(pos) AS cluster FROM walk GROUP BY doc_id")
 def ded_cluster(s, d):
-    a = D.annotate(_docs(s, d), "doc_id", "text")
+    a = D.annotate(_docs(s, d), "doc_id", "text", stop=STOP)
     return D.clusters(a.select("doc_id", F.coalesce("_exact_dup_of", "_near_dup_of").alias("parent")), "doc_id", "parent")
 
 
