@@ -101,12 +101,27 @@ def near(df: DataFrame, key: str, text: str, threshold: float = 0.95, max_terms:
     kind = df.schema[key].dataType.simpleString()
     packed = T.stored(vectors(df, key, text, max_terms, stop).groupBy("terms", "weights").agg(F.array_sort(F.collect_set(key)).alias("keys")).select(F.col("keys")[0].alias("k"), "keys", "terms", "weights"), "vectors")
     same = packed.where(F.size("keys") > 1).select(F.explode(F.expr("slice(keys, 2, size(keys) - 1)")).alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("s"))
-    tail = F.aggregate(F.reverse("weights"), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda p, x: F.struct((p["s"] + x * x).alias("s"), (p["n"] + (F.sqrt(p["s"] + x * x) < threshold - 1e-9).cast("int")).alias("n")))
-    prefix = T.stored(packed.select("k", F.explode(F.slice("terms", F.lit(1), F.size("terms") - tail["n"])).alias("term")), "prefixes")
+
+    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The terms of each prefix, with the norm of what is left from each on."""
+        for x in batches:
+            owner, terms, left = [], [], []
+            for i, (t, w) in enumerate(zip(x.column("terms"), x.column("weights"), strict=True)):
+                rest = np.sqrt(np.cumsum(w.values.to_numpy()[::-1] ** 2)[::-1])
+                n = int((rest >= threshold - 1e-9).sum())
+                owner.append(np.full(n, i))
+                terms.append(t.values.to_numpy()[:n])
+                left.append(rest[:n])
+            flat = [np.concatenate(v) if v else np.zeros(0) for v in (owner, terms, left)]
+            yield pa.RecordBatch.from_arrays([x.column("k").take(pa.array(flat[0].astype(np.int64))), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(float))], ["k", "term", "left"])
+
+    prefix = T.stored(packed.select("k", "terms", "weights").mapInArrow(shortest, f"k {kind}, term int, left double"), "prefixes")
     sizes = prefix.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # max_terms rows at most
     met = prefix.join(F.broadcast(sizes), "term")
     few = met.where(F.col("n") <= PAIRED)
-    pairs = few.select(F.col("k").alias("a"), "term").join(few.select(F.col("k").alias("b"), "term"), "term").where("a > b").select("a", "b").distinct()
+    # from their first common term on, two rows can't have a cosine above the product of what is left of both
+    pairs = few.select(F.col("k").alias("a"), "term", F.col("left").alias("la")).join(few.select(F.col("k").alias("b"), "term", F.col("left").alias("lb")), "term")
+    pairs = pairs.where((F.col("a") > F.col("b")) & (F.col("la") * F.col("lb") >= threshold - 1e-9)).select("a", "b").distinct()
     side = lambda c: packed.select(F.col("k").alias(c), F.col("terms").alias(f"t{c}"), F.col("weights").alias(f"w{c}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
