@@ -85,8 +85,8 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _scan(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document with its digest and set size, and the partial sketch of each task in SKETCH_PARTS rows of
-    slots, then counts."""
+    """One row per document with its digest and set size, and the partial sketch of each task in SKETCH_PARTS rows: all
+    counts, or, where that is shorter, slots and then their counts."""
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def run(batches):
@@ -105,7 +105,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
         if counts.any():
             # only what a task has counted, so small tasks write little
             slots = [np.flatnonzero(x) for x in counts.reshape(SKETCH_PARTS, -1)]
-            parts = [np.r_[k, x[k]].astype(np.int32) for k, x in zip(slots, counts.reshape(SKETCH_PARTS, -1), strict=True)]
+            parts = [(np.r_[k, x[k]] if 2 * len(k) < len(x) else x).astype(np.int32) for k, x in zip(slots, counts.reshape(SKETCH_PARTS, -1), strict=True)]
             id_arrow = pa.nulls(SKETCH_PARTS, whole.schema.field("_id").type)
             yield pa.RecordBatch.from_arrays([id_arrow, pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(parts, pa.list_(pa.int32()))], ["id", "h", "n", "digest", "part", "counts"])
 
@@ -120,8 +120,12 @@ def _sketch(scan: DataFrame) -> np.ndarray:
         total = np.zeros(per, np.int64)
         for t in batches:
             for row in t.column("counts"):
-                slots, more = row.values.to_numpy().reshape(2, -1)
-                total[slots] += more
+                x = row.values.to_numpy()
+                if len(x) == per:
+                    total += x
+                else:
+                    slots, more = x.reshape(2, -1)
+                    total[slots] += more
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total], pa.list_(pa.int64()))], ["part", "counts"])
 
     parts = scan.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts array<long>")
@@ -269,12 +273,15 @@ def _block_edges(left: list, right: list, threshold: tuple[int, int]) -> list[tu
 
 def _within_leaders(stars: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Edges between documents of one leader of which at least one isn't linked with it. stars: a, b (the leader), linked, n."""
-    total = stars.groupBy("b").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"), F.count_if(~F.col("linked")).alias("open")).where("open > 0").select("b", "blocks")
-    rows = stars.join(total, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    total = stars.groupBy("b").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"), F.count_if(~F.col("linked")).alias("open"), F.count(F.lit(1)).alias("n")).where("open > 0")
+    total = common.settled(total.select("b", "blocks", "n", F.col("n").alias("size")), "groups")
+    rows = common.attached(stars.select("a", "b", "linked"), total, "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    rows = common.settled(rows, "blocks")
     free = rows.where("not linked")
     probe = free.select("a", "b", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("against"), F.lit(True).alias("probe"))
     # a block is needed against those blocks only that have an open document
-    target = rows.select("a", "b", F.col("block").alias("against")).join(free.select("b", "block").distinct(), "b").select("a", "b", "block", "against", F.lit(False).alias("probe"))
+    opened = common.settled(free.groupBy("b").agg(F.collect_set("block").alias("opened"), F.max("size").alias("n")), "opened")
+    target = common.attached(rows.select("a", "b", F.col("block").alias("against")), opened, "b").select("a", "b", F.explode("opened").alias("block"), "against", F.lit(False).alias("probe"))
     tasks = probe.select("a", "b", "block", "against", "probe").unionByName(target)
     tasks = tasks.join(sets.select(F.col("digest").alias("a"), "members"), "a")
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
