@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables
+
 #: The separators of the word form `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`: ASCII but for digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage; a temporary one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = made.get() if made.isDefined() else None
-    if not folder:
-        holder = tempfile.TemporaryDirectory(prefix="sievework-")
-        atexit.register(holder.cleanup)
-        folder = f"file://{holder.name}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 #: Rows in an Arrow batch while a table is written: long texts and sets count, as a batch is held whole.
 RECORDS = 1000
 
@@ -37,7 +21,7 @@ RECORDS = 1000
 def settled(df: DataFrame, name: str = "part", records: int = RECORDS) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps don't depend on lost executors or recompute it."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/sievework-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = tables.new_path(spark, name)
     # the shuffles behind a written table are of no more use
     settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(records)}
     before = {k: spark.conf.get(k, None) for k in settings}
