@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small fixtures."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -128,3 +129,43 @@ def judged(u, rules):
         if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[1] + best[2])):
             best = (v, h, p)
     return host, path, best and best[1] + best[2], best[0] if best else "allow"
+
+
+def licensed(t, phrases, templates, threshold=0.9):
+    """Base places and labels, and all labels and the score, by sets of words in windows."""
+    w, starts, base, labels, score = WORD.findall(lower(t)), [], set(), set(), 0.0
+    for p, label in phrases:
+        p = p.split(" ")
+        here = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+        starts += here
+        base |= {label} if here else set()
+    for label, text in templates:
+        own = WORD.findall(lower(text))
+        size, tokens = 8, set(own)
+        while size < len(own):
+            size *= 2
+        need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
+        for i in range(0, max(1, len(w) - size), size):
+            both = len(tokens & set(w[i : i + 2 * size]))
+            if both >= need:
+                labels.add(label)
+                score = max(score, both / len(tokens))
+    return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if starts else score
+
+
+def packed(items, capacity):
+    """Best fit by looking at every bin; items: size, source (negative: none), cluster."""
+    bins, out = [], []
+    for size, source, cluster in items:
+        fits = [(b["left"], i) for i, b in enumerate(bins) if b["left"] >= size and (source < 0 or source not in b["s"]) and cluster not in b["c"]]
+        if fits:
+            i = min(fits)[1]
+        else:
+            bins.append({"left": capacity, "s": set(), "c": set()})
+            i = len(bins) - 1
+        b = bins[i]
+        out.append((i, capacity - b["left"]))
+        b["left"] -= size
+        b["s"] |= {source} if source >= 0 else set()
+        b["c"].add(cluster)
+    return out

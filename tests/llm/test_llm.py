@@ -1,7 +1,9 @@
 """Every operator against a plain version, with nulls, empties, ties, repeated rows, empty tables and clashing extra columns."""
 
 import hashlib
+import os
 import random
+import subprocess
 import sys
 import zlib
 from collections import Counter
@@ -139,6 +141,24 @@ def test_license_sentences_across_lines(spark):
     assert out[90].labels == "" and out[90].score == 0.0
 
 
+def test_license_scan_equals_a_plain_one(spark):
+    rnd = random.Random(14)
+    words = sorted({w for _, t in license_scan.TEMPLATES for w in brute.WORD.findall(brute.lower(t))})
+    rows = [(1, None), (2, "")]
+    for i in range(3, 160):
+        parts = [rnd.choice(words) for _ in range(rnd.randint(0, 60))]
+        for _ in range(rnd.randint(0, 2)):
+            t = rnd.choice([t for _, t in license_scan.TEMPLATES] + [p for p, _ in license_scan.PHRASES]).split()
+            for _ in range(rnd.randint(0, 3)):
+                t[rnd.randrange(len(t))] = rnd.choice(["other", "the", "x"])
+            k = rnd.randint(0, len(parts))
+            parts[k:k] = t
+        rows.append((i, "".join(w + rnd.choice([" ", "\n", "\n# ", "  "]) for w in parts)))
+    out = got(license_scan.scan(spark.createDataFrame(rows + rows[5:8], DOC))[0])
+    want = sorted(((i, *brute.licensed(t, license_scan.PHRASES, license_scan.TEMPLATES)) for i, t in rows + rows[5:8]), key=repr)
+    assert [x[:7] for x in out] == [x[:7] for x in want] and np.allclose([x[7] for x in out], [x[7] for x in want])
+
+
 def test_near_vectors(spark):
     rng = np.random.Generator(np.random.PCG64(4))
     base = rng.standard_normal((60, 16))
@@ -235,6 +255,42 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.pack_shard([3, 3, 3], [0, 0, -1], [0, 1, 2], 10) == [(0, 0), (1, 0), (0, 3)]
 
 
+def test_best_fit_equals_a_plain_one():
+    rnd = random.Random(15)
+    for _ in range(30):
+        items = sorted(((rnd.randint(1, 20), rnd.randint(-1, 6), rnd.randint(0, 25)) for _ in range(150)), key=lambda x: -x[0])
+        assert packing.pack_shard(*map(list, zip(*items, strict=True)), 20) == brute.packed(items, 20)
+
+
+def test_packing_of_repeated_rows_and_given_clusters(spark):
+    long = " ".join(["w"] * 70)
+    rows = [(1, long, "a", "c1"), (1, long, "a", "c1"), (None, long, None, None), (2, "x y", None, "c1"), (3, "z", None, "c1"), (4, "z z", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, near string")
+    bins = {}
+    for r in packing.pack(clashing(df), capacity=64, cluster_col="near").collect():
+        bins.setdefault(r.bin, []).append(r)
+    assert all(sum(r.n_words for r in b) <= 64 for b in bins.values()) and sum(len(b) for b in bins.values()) == 9
+    near = {i: c for i, _, _, c in rows}
+    assert all(len(x) == len(set(x)) for b in bins.values() for x in [[near[r.doc_id] for r in b if near[r.doc_id]]])
+
+
+def test_scoring_from_another_folder(tmp_path):
+    """Executors need not be able to import the package."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+from sievework.llm import secret_scan, toxicity
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+d = s.createDataFrame([(i, f"word{{i % 7}} token = abcd{{i}}efgh vile{{i % 2}}") for i in range(40)], "doc_id long, text string")
+assert toxicity.score_documents(d, d.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")).count() == 40
+assert secret_scan.scan(d).count() == 40
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_toxicity_on_held_out_rows(spark):
     rnd = random.Random(7)
     fill = lambda k: [rnd.choice("abcdefgh") + rnd.choice("xyz") + str(rnd.randint(0, 50)) for _ in range(k)]
