@@ -33,6 +33,8 @@ BLOCKS, EXPECTED, LEAST, BUCKET = 4, 12, 8, 512
 FILTERS = 8
 #: Buckets are small, so a task takes those of about so many rows together.
 TASK_ROWS = 4000
+#: Large buckets whose numbers of parts are broadcast; more are joined.
+LARGE = 1 << 18
 
 
 class Caps:
@@ -68,6 +70,8 @@ class Caps:
 
 def _nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """id, node (a digest of label and vector; null if it can't link), group (label and dimension), vector."""
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"  # which says all of them in half the room
+    item, kind = ("float", pa.float32()) if single else ("double", pa.float64())
     source = vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.col(label_col).cast("string").alias("_l"))
     id_type = source.schema["_id"].dataType.simpleString()
 
@@ -82,9 +86,9 @@ def _nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
                 nodes.append(None if x is None else hashlib.blake2b(x.tobytes() + group.encode(), digest_size=16).digest())
                 groups.append(group)
                 values.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(nodes, pa.binary()), pa.array(groups, pa.string()), pa.array(values, pa.list_(pa.float64()))], ["id", "node", "group", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(nodes, pa.binary()), pa.array(groups, pa.string()), pa.array(values, pa.list_(pa.float64())).cast(pa.list_(kind))], ["id", "node", "group", "vector"])
 
-    return source.mapInArrow(run, f"id {id_type}, node binary, group string, vector array<double>")
+    return source.mapInArrow(run, f"id {id_type}, node binary, group string, vector array<{item}>")
 
 
 def _bucketed(nodes: DataFrame, code: int) -> DataFrame:
@@ -93,19 +97,19 @@ def _bucketed(nodes: DataFrame, code: int) -> DataFrame:
         for b in batches:
             found = []
             for v in b.column("vector"):
-                x = v.values.to_numpy()
+                x = v.values.to_numpy().astype(float)
                 caps.setdefault(len(x), Caps(len(x), code)) if len(x) not in caps else None
                 found.append(caps[len(x)].decode(x / np.linalg.norm(x)))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("group"), b.column("weight"), b.column("vector"), pa.array(found, pa.list_(pa.int64()))], ["node", "group", "weight", "vector", "filters"])
 
-    return nodes.select("node", "group", "weight", "vector").mapInArrow(run, "node binary, group string, weight long, vector array<double>, filters array<long>")
+    return nodes.select("node", "group", "weight", "vector").mapInArrow(run, f"node binary, group string, weight long, vector {nodes.schema['vector'].dataType.simpleString()}, filters array<long>")
 
 
 def _compare(rows: list[dict], other: list[dict] | None, this: int, threshold: float) -> tuple[list, list]:
     """Links in a bucket (or between two parts of one): (node, linked weight) and spanning edges."""
     every = rows + (other or [])
     n, m = len(every), len(rows)
-    x = np.stack([r["vector"] for r in every])
+    x = np.stack([r["vector"] for r in every]).astype(float)
     norm = np.linalg.norm(x, axis=1)
     left, right = (slice(0, n), slice(0, n)) if other is None else (slice(0, m), slice(m, n))
     near = (x[left] @ x[right].T) / np.outer(norm[left], norm[right]) >= threshold
@@ -145,14 +149,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("group").alias("group"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("weight"), F.min("id").alias("least"))
     nodes = common.settled(nodes, "nodes")
     code = max(8, round((FILTERS * (nodes.count() + 1)) ** (1 / BLOCKS)))
-    spread = _bucketed(nodes, code)
-    flat = common.settled(spread.select("node", "group", "weight", "vector", "filters", F.explode("filters").alias("filter")), "filters")
-    sizes = flat.groupBy("group", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "filter", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
-    there = flat.join(sizes, ["group", "filter"]).withColumn("part", F.pmod(F.xxhash64("node", "filter"), F.col("parts")).cast("int"))
+    spread = common.settled(_bucketed(nodes, code), "filters")
+    bucket = F.xxhash64("group", "filter")
+    sizes = spread.select("group", F.explode("filters").alias("filter")).groupBy("group", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = common.settled(sizes.withColumn("bucket", bucket), "buckets")
+    # vectors of buckets of one aren't shuffled
+    flat = common.keep_marked(spread.select("node", "group", "weight", "vector", "filters", F.explode("filters").alias("filter")).withColumn("bucket", bucket), "bucket", common.bitmap(sizes, "bucket"))
+    large = sizes.where(F.col("n") > BUCKET).select("group", "filter", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
+    few = large.limit(LARGE + 1).count()
+    there = flat.join(F.broadcast(large) if few <= LARGE else large, ["group", "filter"], "left") if few else flat.withColumn("parts", F.lit(1))
+    there = there.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node", "filter"), F.col("parts")).cast("int"))
     against = there.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tasks = against.select("node", "weight", "vector", "filters", "group", "filter", "part", F.least("part", "o").alias("a"), F.greatest("part", "o").alias("b"))
 
-    bins = max(1, flat.count() // TASK_ROWS)
+    bins = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // TASK_ROWS)
     tasks = tasks.withColumn("bin", F.pmod(F.xxhash64("group", "filter", "a", "b"), F.lit(bins)).cast("long"))
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
