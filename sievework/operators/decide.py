@@ -88,10 +88,19 @@ def project(p: DataFrame, t: DataFrame) -> DataFrame:
     return p.join(t, p["class"] == t["i"]).groupBy("id", F.col("j").alias("class")).agg(F.sum(F.col("p") * F.col("t")).alias("p"))
 
 
-def thresholds(p: DataFrame, tau: DataFrame, shield_p: float = 0.55, shield_margin: float = 0.25) -> DataFrame:
-    """argmax of p / tau, unless the plain decision is confident enough."""
+def thresholds(p: DataFrame, tau: DataFrame, shield_p: float = 0.55, shield_margin: float = 0.25, kappa: DataFrame | None = None) -> DataFrame:
+    """argmax of p / tau, unless the plain decision is confident enough.
+
+    kappa (a, b, kappa): a wins over b only if its score is above kappa times that of b; else the best such b is taken.
+    """
     plain = top2(p).select("id", F.col("predicted").alias("plain"), "confidence", "margin")
-    scaled = argmax(p.join(tau, "class").select("id", "class", (F.col("p") / F.col("tau")).alias("p"))).select("id", F.col("predicted").alias("scaled"))
+    scores = p.join(tau, "class").select("id", "class", (F.col("p") / F.col("tau")).alias("p"))
+    scaled = argmax(scores).select("id", F.col("predicted").alias("scaled"))
+    if kappa is not None:
+        score = lambda c, n: scores.select("id", F.col("class").alias(c), F.col("p").alias(n))
+        held = scaled.withColumnRenamed("scaled", "a").join(score("a", "pa"), ["id", "a"]).join(kappa, "a").join(score("b", "pb"), ["id", "b"]).where(F.col("pa") <= F.col("kappa") * F.col("pb"))
+        other = held.groupBy("id").agg(F.max_by("b", F.struct("pb", -F.col("b"))).alias("b"))
+        scaled = scaled.join(other, "id", "left").select("id", F.coalesce("b", "scaled").alias("scaled"))
     shielded = (F.col("confidence") >= shield_p) & (F.col("margin") >= shield_margin)
     return plain.join(scaled, "id").select("id", F.when(shielded, F.col("plain")).otherwise(F.col("scaled")).alias("predicted"), shielded.alias("shielded"))
 

@@ -84,11 +84,16 @@ def candidate_dashboard(applications: DataFrame, latest: int = 10) -> DataFrame:
     return ranked.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("stage").isin("rejected", "hired")).alias("active"), F.count_if(F.col("stage") == "interview").alias("interviews"), F.array_join(F.transform(newest, lambda x: x["app_id"].cast("string")), ",").alias("latest"))
 
 
-def candidate_search(candidates: DataFrame, applications: DataFrame, text: str, limit: int = 200) -> DataFrame:
-    """Filters first, then the limit, in order of id; with the number of applications."""
-    found = candidates.where(F.contains(F.lower("name"), F.lit(text.lower()))).orderBy("candidate_id").limit(limit)
+def candidate_search(candidates: DataFrame, applications: DataFrame, text: str = "", skill: str = "", limit: int = 200) -> DataFrame:
+    """Candidates whose name, e-mail or role holds the text and one of whose skills holds `skill`, case-insensitively. Filters first, then
+    the limit, in order of id; with the number of applications."""
+    hit = F.lit(not text)
+    for c in ("name", "email", "role"):
+        hit = hit | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(text.lower()))
+    able = F.exists(F.coalesce("skills", F.array().cast("array<string>")), lambda x: F.contains(F.lower(x), F.lit(skill.lower()))) if skill else F.lit(True)
+    found = candidates.where(hit & able).orderBy("candidate_id").limit(limit)
     n = applications.join(found.select("candidate_id"), "candidate_id", "left_semi").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("applications"))
-    return found.join(n, "candidate_id", "left").select("candidate_id", "name", F.coalesce("applications", F.lit(0)).alias("applications"))
+    return found.join(n, "candidate_id", "left").select("candidate_id", "name", "email", F.coalesce("applications", F.lit(0)).alias("applications"))
 
 
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
@@ -110,6 +115,25 @@ def remap(parents: DataFrame, children: DataFrame, old: str, foreign: str, salt:
     return new, children.join(new.select(F.col(old).alias(foreign), F.col("new_id").alias("new_parent")), foreign)
 
 
+def migrate(users: DataFrame, existing: DataFrame, candidates: DataFrame, recruiters: DataFrame, jobs: DataFrame, applications: DataFrame) -> dict[str, DataFrame]:
+    """Five tables with new keys. Users take the id of an existing user of the same e-mail, else a hash; candidates and recruiters need their
+    user; jobs without a known recruiter go to the first one; applications need job and candidate, and go otherwise.
+
+    users, existing: user_id, email; candidates: candidate_id, user_id; recruiters: recruiter_id, user_id; jobs: job_id, recruiter_id;
+    applications: app_id, job_id, candidate_id.
+    """
+    key = lambda name, c: F.sha2(F.concat(F.lit(f"{name}:"), F.col(c).cast("string")), 256)
+    known = existing.groupBy(F.lower("email").alias("email")).agg(F.min("user_id").alias("old"))
+    u = users.join(known, F.lower(users["email"]) == known["email"], "left").select("user_id", F.coalesce(F.col("old").cast("string"), key("user", "user_id")).alias("new_user"))
+    c = candidates.join(u, "user_id").select("candidate_id", key("candidate", "candidate_id").alias("new_candidate"), "new_user")
+    r = recruiters.join(u, "user_id").select("recruiter_id", key("recruiter", "recruiter_id").alias("new_recruiter"), "new_user")
+    first = r.agg(F.min_by("new_recruiter", "recruiter_id").alias("first"))
+    j = jobs.join(r.select("recruiter_id", "new_recruiter"), "recruiter_id", "left").crossJoin(F.broadcast(first))  # one row on the right
+    j = j.select("job_id", key("job", "job_id").alias("new_job"), F.coalesce("new_recruiter", "first").alias("new_recruiter"))
+    a = applications.join(j.select("job_id", "new_job"), "job_id").join(c.select("candidate_id", "new_candidate"), "candidate_id").select("app_id", key("application", "app_id").alias("new_app"), "new_job", "new_candidate")
+    return {"users": u, "candidates": c, "recruiters": r, "jobs": j, "applications": a}
+
+
 def apply_new(existing: DataFrame, wanted: DataFrame, score: float = 0.85) -> DataFrame:
     """Existing applications and those wanted ones whose (job, candidate) isn't there."""
     fresh = wanted.select("job_id", "candidate_id").distinct().join(existing, ["job_id", "candidate_id"], "left_anti")
@@ -128,6 +152,16 @@ def versions(uploads: DataFrame, owner: str, order: list[str]) -> DataFrame:
     return uploads.withColumn("version", F.row_number().over(w)).withColumn("is_current", F.lead(order[0]).over(w).isNull())
 
 
+def write_versions(existing: DataFrame, uploads: DataFrame, owner: str, order: list[str]) -> DataFrame:
+    """existing (owner, order columns, version, is_current) with the uploads of the same owners and others added: versions go on from the
+    number of rows that an owner has, and only the last row of an owner with uploads stays current."""
+    have = existing.groupBy(owner).agg(F.count(F.lit(1)).alias("_have"))
+    fresh = versions(uploads, owner, order).join(have, owner, "left").withColumn("version", (F.coalesce("_have", F.lit(0)) + F.col("version")).cast("int"))
+    gone = existing.join(uploads.select(owner).distinct().withColumn("_new", F.lit(True)), owner, "left").withColumn("is_current", F.col("is_current") & F.col("_new").isNull())
+    columns = [owner, *(c for c in order if c != owner), "version", "is_current"]
+    return gone.select(*columns).unionByName(fresh.select(*columns))
+
+
 def patch(base: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Partial update: values that are there replace the old ones."""
     c = changes.select(key, *(F.col(f).alias(f"_new_{f}") for f in fields))

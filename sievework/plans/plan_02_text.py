@@ -67,7 +67,10 @@ def cln_drop_flagged(s, d):
     return _docs(s, d).where(X.flag(F.col("text")) == "ok").select("doc_id", "n_chars")
 
 
-@query("cln_pipeline")
+_MASKED = f"regexp_replace(regexp_replace({_artifacts_sql(_PLAIN.replace('(text)', '(text)'))}, '{X.EMAIL}', '[EMAIL]', 'g'), '{X.PHONE}', '[PHONE]', 'g')"
+
+
+@query("cln_pipeline", rf"SELECT doc_id, CASE WHEN length(c) = 0 THEN 'empty' WHEN length(c) < 100 THEN 'short' ELSE 'ok' END AS _text_clean_flag, md5(c) AS cleaned FROM (SELECT doc_id, regexp_replace({_MASKED}, '^\s+|\s+$', '', 'g') AS c FROM documents)")
 def cln_pipeline(s, d):
     return X.clean(_docs(s, d), "text", mask=True).select("doc_id", "_text_clean_flag", F.md5("text").alias("cleaned"))
 
@@ -116,9 +119,9 @@ def txt_phone(s, d):
     return _docs(s, d).select("doc_id", X.phone(F.col("text")).alias("phone"))
 
 
-@query("txt_urls", r"""SELECT page_id, unnest(regexp_extract_all(html, 'https?://[^\s)\]>]+')) AS found FROM pages""")
+@query("txt_urls", r"""SELECT page_id, unnest(regexp_extract_all(url, 'https?://[^\s)\]>]+')) AS found FROM pages""")
 def txt_urls(s, d):
-    return table(s, d, "pages").select("page_id", F.explode(X.urls(F.col("html"))).alias("found"))
+    return table(s, d, "pages").select("page_id", F.explode(X.urls(F.col("url"))).alias("found"))
 
 
 @query("txt_years_experience", r"SELECT p_partkey, coalesce(list_max(list_transform(regexp_extract_all(t, '(\d+(?:\.\d+)?)\s*\+?\s*(?:years|year|yrs|yr)\b', 1), lambda x: x::DOUBLE)), 0.0) AS years FROM (SELECT p_partkey, p_name || ' ' || p_size || '+ years, ' || (p_partkey % 30) || ' yrs' AS t FROM part)")

@@ -62,7 +62,8 @@ def skl_exact(s, d):
 
 @query("skl_fuzzy")
 def skl_fuzzy(s, d):
-    return S.fuzzy(S.tokens(_docs(s, d), "doc_id", "text"), "doc_id", s.createDataFrame([("thatining",), ("thereings",), ("ererthely",)], "skill string"), 85.0)
+    known = s.createDataFrame([("thanedbles",), ("attions",), ("keitheits",), ("The",)], "skill string")
+    return S.fuzzy(S.tokens(_docs(s, d), "doc_id", "text"), "doc_id", known, found=_found(s, d))
 
 
 @query("skl_extract", f"WITH {_ALL} SELECT doc_id, array_to_string(list_sort(list(DISTINCT skill)), ',') AS skills FROM al GROUP BY doc_id")
@@ -90,18 +91,15 @@ def skl_overlap(s, d):
     return table(s, d, "part").select("p_partkey", F.array_join(matched, ",").alias("matched"), F.array_join(missing, ",").alias("missing"))
 
 
-_EMB = r"""tw AS (SELECT {id} AS id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:64] AS w FROM {t}),
+_EMB = r"""tw AS (SELECT {id} AS id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')[1:768] AS w FROM {t}),
  te AS (SELECT id, list_transform(w, lambda x: (list_sum(list_transform(string_split(x, ''), lambda c: unicode(c)))::BIGINT % 100) / 100.0) AS v FROM tw)"""
 
 
-@query("emb_hash", "WITH " + _EMB.format(id="doc_id", t="documents") + " SELECT id AS doc_id, len(v)::INT AS words, round(list_sum(v), 4)::DOUBLE AS total FROM te WHERE len(v) > 0")
+@query("emb_hash", "WITH " + _EMB.format(id="doc_id", t="documents") + " SELECT id AS doc_id, len(v)::INT AS words, round(coalesce(list_sum(list_transform(v, lambda x: x::DOUBLE)) / nullif(l, 0), 0), 4) AS total, CASE WHEN l > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, list_transform(list_concat(v, [0.0, 0.0])[1:3], lambda x: round(coalesce(x::DOUBLE / nullif(l, 0), 0), 6)) AS first FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM te) WHERE len(v) > 0")
 def emb_hash(s, d):
-    e = _docs(s, d).select("doc_id", C.words(F.col("text")).alias("w"), C.hash_embedding(F.col("text"), 64).alias("e"), F.col("text"))
-    # the embedding is normalised; its raw sum is its sum over its first entry's scale
-    raw = F.transform(F.slice("w", 1, 64), lambda w: (F.aggregate(F.transform(F.filter(F.split(w, ""), lambda c: c != ""), lambda c: F.ascii(c)), F.lit(0), lambda a, c: a + c) % 100) / 100.0)
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    total = F.aggregate(F.transform("e", lambda x: x * length), F.lit(0.0), lambda a, x: a + x)
-    return e.where(F.size("w") > 0).select("doc_id", F.least(F.size("w"), F.lit(64)).alias("words"), F.round(total, 4).alias("total"))
+    e = _docs(s, d).select("doc_id", C.hash_embedding(F.col("text")).alias("e"), F.least(C.word_count(F.col("text")), F.lit(768)).alias("words"))
+    unit = F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)
+    return e.where("words > 0").select("doc_id", "words", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(F.sqrt(unit), 4).alias("norm"), F.transform(F.slice("e", 1, 3), lambda x: F.round(x, 6)).alias("first"))
 
 
 @query("vec_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -149,7 +147,7 @@ _LEX = _BM + ", lx AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY
 
 @query("ret_hybrid")
 def ret_hybrid(s, d):
-    semantic = R.topk(_docs(s, d).select(F.col("doc_id").alias("id"), C.hash_embedding(F.col("text"), 64).alias("vector")), table(s, d, "benchmark").select(F.col("item_id").alias("id"), C.hash_embedding(F.col("text"), 64).alias("vector")), 6)
+    semantic = R.topk(_docs(s, d).select(F.col("doc_id").alias("id"), C.hash_embedding(F.col("text")).alias("vector")), table(s, d, "benchmark").select(F.col("item_id").alias("id"), C.hash_embedding(F.col("text")).alias("vector")), 6)
     return R.hybrid(semantic, _bm(s, d))
 
 

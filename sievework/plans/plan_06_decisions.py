@@ -120,10 +120,13 @@ def fus_transition(s, d):
     return D.project(_a(s, d), t).withColumn("p", F.round("p", 5))
 
 
-@query("fus_thresholds", f"WITH {TOP}, sc AS (SELECT id, arg_max(class, (p / (1 + class % 3 * 0.25), -class)) AS scaled FROM pa GROUP BY id) SELECT id, CASE WHEN confidence >= 0.55 AND margin >= 0.25 THEN predicted ELSE scaled END AS predicted, confidence >= 0.55 AND margin >= 0.25 AS shielded FROM tp JOIN sc USING (id)")
+KAPPA = [(0, 1, 1.3), (1, 0, 1.1), (2, 5, 1.5), (5, 2, 1.2), (3, 4, 2.0), (4, 3, 1.05)]
+
+
+@query("fus_thresholds", f"WITH {TOP}, ts AS (SELECT id, class, p / (1 + class % 3 * 0.25) AS s FROM pa), sc AS (SELECT id, arg_max(class, (s, -class)) AS scaled FROM ts GROUP BY id), kp AS (SELECT sc.id, arg_max(b, (y.s, -b)) AS b FROM sc JOIN ts x ON x.id = sc.id AND x.class = scaled JOIN (VALUES " + ", ".join(map(str, KAPPA)) + ") k(a, b, kappa) ON a = scaled JOIN ts y ON y.id = sc.id AND y.class = b WHERE x.s <= kappa * y.s GROUP BY sc.id) SELECT id, CASE WHEN confidence >= 0.55 AND margin >= 0.25 THEN predicted ELSE coalesce(b, scaled) END AS predicted, confidence >= 0.55 AND margin >= 0.25 AS shielded FROM tp JOIN sc USING (id) LEFT JOIN kp USING (id)")
 def fus_thresholds(s, d):
     tau = s.range(10).select(F.col("id").cast("int").alias("class"), (1 + F.col("id") % 3 * 0.25).alias("tau"))
-    return D.thresholds(_a(s, d), tau)
+    return D.thresholds(_a(s, d), tau, kappa=s.createDataFrame(KAPPA, "a int, b int, kappa double"))
 
 
 @query("fus_meta_features", f"WITH {PROBS}, {_top('pa', 6)} SELECT id, round(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END), 5) AS entropy, any_value(predicted) AS predicted, any_value(confidence) AS confidence, any_value(margin) AS margin FROM pa JOIN tp USING (id) GROUP BY id")

@@ -132,9 +132,14 @@ def ats_candidate_dashboard(s, d):
     return H.candidate_dashboard(apps(s, d))
 
 
-@_q("ats_candidate_search", "SELECT c.candidate_id, name, (SELECT count(*) FROM apps a WHERE a.candidate_id = c.candidate_id) AS applications FROM (SELECT * FROM cands WHERE contains(lower(name), '1') ORDER BY candidate_id LIMIT 200) c")
+def _people(s, d):
+    c = table(s, d, "customer")
+    return c.select(F.col("c_custkey").alias("candidate_id"), F.col("c_name").alias("name"), F.concat(F.lit("mail"), F.col("c_custkey") % 97, F.lit("@x.org")).alias("email"), F.col("c_mktsegment").alias("role"), F.array(F.lower("c_mktsegment"), F.concat(F.lit("Skill"), F.col("c_nationkey"))).alias("skills"))
+
+
+@_q("ats_candidate_search", ", people AS (SELECT c_custkey AS candidate_id, c_name AS name, 'mail' || c_custkey % 97 || '@x.org' AS email, c_mktsegment AS role, [lower(c_mktsegment), 'Skill' || c_nationkey] AS skills FROM customer) SELECT c.candidate_id, name, email, (SELECT count(*) FROM apps a WHERE a.candidate_id = c.candidate_id) AS applications FROM (SELECT * FROM people WHERE (contains(lower(name), 'l1') OR contains(email, 'l1') OR contains(lower(role), 'l1')) AND len(list_filter(skills, lambda x: contains(lower(x), 'skill1'))) > 0 ORDER BY candidate_id LIMIT 200) c")
 def ats_candidate_search(s, d):
-    return H.candidate_search(cands(s, d), apps(s, d), "1")
+    return H.candidate_search(_people(s, d), apps(s, d), "L1", "skill1")
 
 
 @_q("ats_resume_versions", "SELECT candidate_id, app_id, row_number() OVER (PARTITION BY candidate_id ORDER BY created, app_id)::INT AS version, lead(app_id) OVER (PARTITION BY candidate_id ORDER BY created, app_id) IS NULL AS is_current FROM apps")
@@ -142,7 +147,15 @@ def ats_resume_versions(s, d):
     return H.versions(apps(s, d), "candidate_id", ["created", "app_id"]).select("candidate_id", "app_id", "version", "is_current")
 
 
-query("ats_resume_version_write", ORACLE["ats_resume_versions"])(ats_resume_versions)
+@_q("ats_resume_version_write", """, old AS (SELECT candidate_id, created, app_id, row_number() OVER (PARTITION BY candidate_id ORDER BY created, app_id) AS v, lead(app_id) OVER (PARTITION BY candidate_id ORDER BY created, app_id) IS NULL AS c FROM apps WHERE app_id % 3 <> 0),
+ new AS (SELECT candidate_id, app_id, row_number() OVER (PARTITION BY candidate_id ORDER BY created, app_id) AS v, lead(app_id) OVER (PARTITION BY candidate_id ORDER BY created, app_id) IS NULL AS c FROM apps WHERE app_id % 3 = 0)
+ SELECT candidate_id, app_id, v::INT AS version, c AND candidate_id NOT IN (SELECT candidate_id FROM new) AS is_current FROM old
+ UNION ALL SELECT candidate_id, app_id, (v + (SELECT count(*) FROM old o WHERE o.candidate_id = new.candidate_id))::INT, c FROM new""")
+def ats_resume_version_write(s, d):
+    # every third upload arrives after the others are stored
+    order = ["created", "app_id"]
+    stored = H.versions(apps(s, d).where("app_id % 3 <> 0"), "candidate_id", order)
+    return H.write_versions(stored, apps(s, d).where("app_id % 3 = 0"), "candidate_id", order).select("candidate_id", "app_id", "version", "is_current")
 
 
 @_q("mat_current_version", "SELECT candidate_id, max((created, app_id))[2] AS app_id FROM apps GROUP BY candidate_id".replace("max((created, app_id))[2]", "arg_max(app_id, (created, app_id))"))
@@ -179,10 +192,19 @@ def ats_orphan_jobs(s, d):
     return H.orphan_jobs(jobs(s, d), recs(s, d))
 
 
-@_q("ats_remap_keys", "SELECT app_id, sha256('cand:' || candidate_id) AS new_parent FROM apps WHERE candidate_id IN (SELECT candidate_id FROM cands WHERE candidate_id % 5 <> 0)")
+@_q("ats_remap_keys", """, us AS (SELECT c_custkey AS user_id, lower(c_name) AS email FROM customer UNION ALL SELECT 1000000 + s_suppkey, lower(s_name) FROM supplier WHERE s_suppkey % 4 <> 0), old AS (SELECT c_custkey + 5000 AS id, upper(c_name) AS email FROM customer WHERE c_custkey % 7 = 0),
+ u AS (SELECT user_id, coalesce(id::VARCHAR, sha256('user:' || user_id)) AS nu FROM us LEFT JOIN old ON lower(old.email) = us.email),
+ c AS (SELECT candidate_id, sha256('candidate:' || candidate_id) AS nc, nu FROM cands JOIN u ON u.user_id = candidate_id WHERE candidate_id % 5 <> 0),
+ r AS (SELECT recruiter_id, sha256('recruiter:' || recruiter_id) AS nr FROM recs JOIN u ON u.user_id = 1000000 + recruiter_id),
+ j AS (SELECT job_id, sha256('job:' || job_id) AS nj, coalesce(nr, (SELECT arg_min(nr, recruiter_id) FROM r)) AS nr FROM jobs LEFT JOIN r USING (recruiter_id))
+ SELECT app_id, sha256('application:' || app_id) AS new_app, nj AS new_job, nc AS new_candidate, nu AS new_user, nr AS new_recruiter FROM apps JOIN j USING (job_id) JOIN c USING (candidate_id)""")
 def ats_remap_keys(s, d):
-    _, children = H.remap(cands(s, d).where("candidate_id % 5 <> 0"), apps(s, d), "candidate_id", "candidate_id", "cand")
-    return children.select("app_id", "new_parent")
+    customers, suppliers = table(s, d, "customer"), table(s, d, "supplier")
+    users = customers.select(F.col("c_custkey").alias("user_id"), F.lower("c_name").alias("email")).unionByName(suppliers.where("s_suppkey % 4 <> 0").select((F.lit(1000000) + F.col("s_suppkey")).alias("user_id"), F.lower("s_name").alias("email")))
+    existing = customers.where("c_custkey % 7 = 0").select((F.col("c_custkey") + 5000).alias("user_id"), F.upper("c_name").alias("email"))
+    people = cands(s, d).where("candidate_id % 5 <> 0").withColumn("user_id", F.col("candidate_id"))
+    t = H.migrate(users, existing, people, recs(s, d).withColumn("user_id", F.lit(1000000) + F.col("recruiter_id")), jobs(s, d), apps(s, d))
+    return t["applications"].join(t["jobs"].drop("job_id"), "new_job").join(t["candidates"].drop("candidate_id"), "new_candidate").select("app_id", "new_app", "new_job", "new_candidate", "new_user", "new_recruiter")
 
 
 @_q("ats_apply", "SELECT job_id, candidate_id, stage, score FROM apps UNION ALL SELECT job_id, candidate_id, 'applied', 0.85::DOUBLE FROM (SELECT DISTINCT job_id + 1 AS job_id, candidate_id FROM apps WHERE stage = 'hired') w WHERE NOT EXISTS (SELECT 1 FROM apps a WHERE a.job_id = w.job_id AND a.candidate_id = w.candidate_id)")
@@ -224,7 +246,7 @@ def ats_profile_upsert(s, d):
     return H.patch(c, ch, "candidate_id", ["name", "year"])
 
 
-_RANKED = "r AS (SELECT app_id, job_id, candidate_id, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, app_id)::INT AS rank, CASE WHEN score >= 0.9 THEN 'excellent' WHEN score >= 0.75 THEN 'strong' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.4 THEN 'fair' ELSE 'poor' END AS tier FROM apps WHERE score >= 0.2)"
+_RANKED = "r AS (SELECT app_id, job_id, candidate_id, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, app_id)::INT AS rank, CASE WHEN score >= 0.9 THEN 'excellent' WHEN score >= 0.75 THEN 'strong' WHEN score >= 0.6 THEN 'moderate' WHEN score >= 0.4 THEN 'below_average' ELSE 'poor' END AS tier FROM apps WHERE score >= 0.2)"
 
 
 def _ranked(s, d):
@@ -233,9 +255,11 @@ def _ranked(s, d):
     return M.rank(apps(s, d), "job_id", "score", "app_id", 0.2).withColumn("tier", M.tier(F.col("score")))
 
 
-@query("rnk_candidates", f"WITH {VIEWS}, {_RANKED} SELECT app_id, job_id, score, rank FROM r WHERE rank BETWEEN 11 AND 20")
+@query("rnk_candidates", f"WITH {VIEWS}, {_RANKED}, tot AS (SELECT job_id, count(*) AS total FROM r GROUP BY job_id), pg AS (SELECT *, (rank - 1) // 10 + 1 AS page FROM r), st AS (SELECT job_id, round(avg(score), 3) AS avg_score, round(max(score), 3) AS max_score, round(min(score), 3) AS min_score, count(*) FILTER (score >= 0.8) AS above_80 FROM pg WHERE page = 2 GROUP BY job_id) SELECT app_id, job_id, score, rank, total::INT AS total, ceil(total / 10)::INT AS pages, avg_score, max_score, min_score, above_80 FROM pg JOIN st USING (job_id) JOIN tot USING (job_id) WHERE page = 2")
 def rnk_candidates(s, d):
-    return _ranked(s, d).where("rank between 11 and 20").select("app_id", "job_id", "score", "rank")
+    from ..operators import match as M
+
+    return M.rank_page(_ranked(s, d), "job_id", "score", 2, 10).select("app_id", "job_id", "score", "rank", "total", "pages", "avg_score", "max_score", "min_score", "above_80")
 
 
 @query("rnk_rankings", f"WITH {VIEWS}, {_RANKED} SELECT app_id, job_id, name, score, rank FROM r LEFT JOIN cands USING (candidate_id)")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..sources import files as S
 from ..streaming import streams as T
-from .base import registrar, table
+from .base import profiles, registrar, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -24,14 +23,24 @@ def str_ingest_dedup(s, d):
     return T.ingest_dedup(_events(s, d), ["user_id", "event_type"], "ts").select("user_id", "event_type")
 
 
+SKILLS, SYNONYMS = ["Python", "Java", "SQL", "Docker", "Kubernetes", "Machine Learning", "C++"], [("golang", "Go"), ("k8s", "Kubernetes")]
+CATEGORIES = {"Python": "Languages", "Java": "Languages", "SQL": "Data", "Machine Learning": "Data", "Docker": "Platforms", "Kubernetes": "Platforms"}
+
+
 @query("str_enrich")
 def str_enrich(s, d):
-    return T.enrich(table(s, d, "documents"), "text").select("doc_id", "words", "content_hash", "years")
+    out = T.enrich(profiles(s, d), "text", SKILLS, SYNONYMS, CATEGORIES)
+    return out.select("doc_id", "words", "content_hash", "years", F.array_join("skills", ",").alias("skills"), F.to_json("categories").alias("categories"), F.array_join(F.array_sort(F.map_keys("sections")), ",").alias("sections"))
 
 
-@query("str_screen", "SELECT user_id, count(*) AS events, round(max(value), 4) AS best FROM events GROUP BY user_id")
+@query("str_screen", "SELECT user_id, arg_max(event_type, (event_id % 3, ts, event_id)) AS result, arg_max(event_id, (event_id % 3, ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def str_screen(s, d):
-    return _events(s, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.round(F.max("value"), 4).alias("best"))
+    # three batches of all events, of which one comes twice
+    path = tables.new_path(s, "screened")
+    write = T.upsert_sink(path, "user_id", F.struct("ts", "event_id"))
+    for number in (0, 1, 2, 1):
+        write(_events(s, d).where(F.col("event_id") % 3 == number), number)
+    return T.read_upserts(s.read.parquet(path), "user_id").select("user_id", F.col("event_type").alias("result"), "event_id")
 
 
 @query("str_stage_window", "SELECT epoch_us(date_trunc('day', ts)) // 1000000 AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -57,16 +66,15 @@ def str_latest_stage(s, d):
 
 def _folder(s, name: str) -> str:
     """A new folder that driver and executors share."""
-    root = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/sievework-files-{name}-{uuid.uuid4().hex}"
+    return tables.new_path(s, name)
 
 
 @query("src_delimited", "SELECT doc_id, md5(text) AS h, lang FROM documents")
 def src_delimited(s, d):
-    path = _folder(s, "docs.csv") + ".csv"
-    table(s, d, "documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("text"), "lang").write.csv(path, header=True, escape='"')
+    path = _folder(s, "docs") + ".csv"
+    table(s, d, "documents").select("doc_id", "text", "lang").write.csv(path, header=True, escape='"', quoteAll=True, emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     back = S.load(s, path, "doc_id long, text string, lang string")
-    return back.select("doc_id", F.md5(F.unbase64("text")).alias("h"), "lang")
+    return back.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"), "lang")
 
 
 @query("src_json", "SELECT doc_id, md5(text) AS h, n_chars FROM documents")
@@ -110,31 +118,35 @@ def src_relational(s, d):
     return t["orders"].agg(F.count(F.lit(1)).alias("orders")).crossJoin(t["customer"].agg(F.count(F.lit(1)).alias("customers")))
 
 
-@query("src_text_docs", "SELECT count(*) AS files, count(DISTINCT text) AS texts FROM documents")
+@query("src_text_docs", "SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM (SELECT source, translate(text, chr(10) || chr(13), '  ') AS text FROM documents) GROUP BY source")
 def src_text_docs(s, d):
     path = _folder(s, "texts")
-    # one file per source and language, a document per line
-    table(s, d, "documents").select("source", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\r\n]", "").alias("value")).write.partitionBy("source").text(path)
-    rows = S.texts(s, path + "/source=*/*.txt").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-    return rows.agg(F.count(F.lit(1)).alias("files"), F.count_distinct("line").alias("texts"))
+    # documents are lines of files of bounded size
+    table(s, d, "documents").select("source", F.translate("text", "\n\r", "  ").alias("value")).write.partitionBy("source").option("maxRecordsPerFile", 500).text(path)
+    files = S.texts(s, path + "/source=*/*.txt").select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), F.explode(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("line"))
+    return files.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("line").cast("long")).alias("chars"))
 
 
-@query("src_encoding_fallback")
+@query("src_encoding_fallback", "SELECT coalesce(max(w), 'none') AS warning, count(*) AS n, sum(length(split_part(t, ',', 1)))::BIGINT AS chars FROM (SELECT doc_id || chr(9) || translate(text, chr(9) || chr(10) || chr(13), '   ') AS t, 'read as latin-1' AS w FROM documents)")
 def src_encoding_fallback(s, d):
-    path = _folder(s, "latin")
-    table(s, d, "documents").select("lang", F.translate(F.substring("text", 1, 200), "\n", " ").alias("value")).write.partitionBy("lang").option("encoding", "ISO-8859-1").text(path)
-    return S.texts(s, path + "/lang=*/*.txt").groupBy("encoding").agg(F.sum(F.length("text")).alias("chars"))
+    # a TSV in Latin-1, which the fallback reads with commas: what stands before the first one is the first column
+    path = _folder(s, "latin") + ".tsv"
+    rows = table(s, d, "documents").select("doc_id", F.translate("text", "\t\n\r", "   ").alias("text"))
+    rows.write.option("encoding", "ISO-8859-1").csv(path, sep="\t", header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back, warning = S.load_any_encoding(s, path, "first string")
+    return back.agg(F.lit(warning or "none").alias("warning"), F.count(F.lit(1)).alias("n"), F.sum(F.length("first").cast("long")).alias("chars"))
 
 
-@query("src_guard")
+@query("src_guard", "SELECT * FROM (VALUES ('documents.parquet', 'unsupported kind of file', NULL), ('written.csv', 'read', (SELECT count(*) FROM documents)), ('missing.csv', 'no such path', NULL)) v(name, result, n)")
 def src_guard(s, d):
-    kinds = [("a.csv", False), ("a.pdf", False)]
+    path = _folder(s, "written") + ".csv"
+    table(s, d, "documents").select("doc_id", "lang").write.csv(path, header=True)
     out = []
-    for name, _ in kinds:
+    for name, where in (("documents.parquet", f"{d}/documents.parquet"), ("written.csv", path), ("missing.csv", f"{d}/missing.csv")):
         try:
-            S.guard(s, f"{d}/{name}")
-            out.append((name, "read"))
+            S.guard(s, where)
+            read = S.load(s, where, "doc_id long, lang string", multi_line=False).agg(F.count(F.lit(1)).alias("n"))
+            out.append(read.select(F.lit(name).alias("name"), F.lit("read").alias("result"), "n"))
         except S.SourceError as e:
-            out.append((name, str(e).split(":")[0]))
-    n = table(s, d, "documents").agg(F.count(F.lit(1)).alias("rows"))
-    return s.createDataFrame(out, "name string, result string").crossJoin(n)
+            out.append(s.createDataFrame([(name, str(e).split(":")[0], None)], "name string, result string, n long"))
+    return out[0].unionByName(out[1]).unionByName(out[2])

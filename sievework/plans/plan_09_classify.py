@@ -23,7 +23,7 @@ def occ_features(s, d):
     from ..operators import classify as K
 
     docs = _docs(s, d)
-    out = K.features(500).fit(docs).transform(docs)
+    out = K.features().fit(docs).transform(docs)
     return out.select("doc_id", F.size(F.filter(vector_to_array("features"), lambda x: x != 0)).alias("terms"))
 
 
@@ -32,7 +32,7 @@ def occ_train(s, d):
     from ..operators import classify as K
 
     docs = _docs(s, d)
-    model = K.train(docs.where("doc_id % 5 <> 0"), "lang", "weight", 1000)
+    model = K.train(docs.where("doc_id % 5 <> 0"), "lang", "weight")
     best = K.predict(model, docs.where("doc_id % 5 = 0"), "doc_id").groupBy("id").agg(F.max_by("class", F.struct("p", "class")).alias("predicted"))
     return best.join(docs.select(F.col("doc_id").alias("id"), "lang"), "id").agg(F.count(F.lit(1)).alias("held_out"), F.count_if(F.col("predicted") == F.col("lang")).alias("right"))
 
@@ -42,7 +42,7 @@ def occ_batch(s, d):
     from ..operators import classify as K
 
     docs = _docs(s, d)
-    p = K.predict(K.train(docs, "lang", "weight", 1000), docs, "doc_id")
+    p = K.predict(K.train(docs, "lang", "weight"), docs, "doc_id")
     return p.groupBy("id").agg(F.max_by("class", F.struct("p", "class")).alias("predicted"))
 
 

@@ -35,18 +35,29 @@ def guard(spark: SparkSession, path: str) -> str:
     return path
 
 
-def load(spark: SparkSession, path: str, schema: StructType | str | None = None, max_rows: int | None = None) -> DataFrame:
-    """CSV or TSV by extension with quoted line ends, a JSON array or JSON lines. max_rows is the caller's preview limit."""
+def load(spark: SparkSession, path: str, schema: StructType | str | None = None, max_rows: int | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV or TSV by extension, a JSON array or JSON lines. max_rows is the caller's preview limit. With `multi_line` quoted line ends are
+    read, and a CSV file is one task; without it files are split."""
     kind = _suffix(guard(spark, path))
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind in SEPARATORS:
-        options = {"sep": SEPARATORS[kind], "header": True, "multiLine": True, "escape": '"', "quote": '"'}
+        options = {"sep": SEPARATORS[kind], "header": True, "multiLine": multi_line, "escape": '"', "quote": '"'}
         out = reader.options(**options, **({} if schema is not None else {"inferSchema": True})).csv(path)
     else:
         out = reader.option("multiLine", kind == ".json").json(path)
     return out if max_rows is None else out.limit(max_rows)
 
 
+def load_any_encoding(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, str | None]:
+    """A delimited source and a warning. If a file of it isn't UTF-8, all are read again as Latin-1, always with a comma as separator."""
+    kind = _suffix(guard(spark, path))
+    lines = spark.read.format("text").load(path).select(F.is_valid_utf8(F.col("value")).alias("valid"))
+    options = {"header": True, "escape": '"', "quote": '"'}
+    if not lines.where("not valid").limit(1).count():
+        return spark.read.schema(schema).options(sep=SEPARATORS[kind], **options).csv(path), None
+    return spark.read.schema(schema).options(sep=",", encoding="ISO-8859-1", **options).csv(path), "read as latin-1"
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole documents: path, text, encoding. Bytes that aren't UTF-8 are read as Latin-1, and the encoding says so."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -66,7 +77,7 @@ def relational_jdbc(spark: SparkSession, url: str, required: list[str], **option
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A report with a header, in one file: reports are aggregates."""
+    """A report with a header, in one file: reports are aggregates. Line ends and quotes in values are quoted."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import skills as S
+from ..operators import text as X
 
 
 def ingest_dedup(uploads: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
@@ -18,10 +20,14 @@ def ingest_dedup(uploads: DataFrame, keys: list[str], ts: str, late: str = "1 ho
     return uploads.dropDuplicates(keys)
 
 
-def enrich(docs: DataFrame, text: str) -> DataFrame:
-    """Stateless features of a document."""
+def enrich(docs: DataFrame, text: str, skills: list[str], synonyms: list[tuple[str, str]], categories: dict[str, str]) -> DataFrame:
+    """Stateless features of a document: words, content_hash, years, skills, categories (a map to skills) and sections."""
     t = F.col(text)
-    return docs.withColumns({"words": C.word_count(t), "content_hash": C.content_hash(t), "years": C.years_of_experience(t)})
+    of = F.create_map(*(F.lit(x) for kv in categories.items() for x in kv))
+    out = docs.withColumns({"words": C.word_count(t), "content_hash": C.content_hash(t), "years": C.years_of_experience(t), "skills": S.found(t, skills, synonyms), "sections": X.sections(t)})
+    named = F.transform("skills", lambda k: F.struct(F.coalesce(F.element_at(of, k), F.lit("Other Skills")).alias("category"), k.alias("skill")))
+    groups = F.array_sort(F.array_distinct(F.transform(named, lambda x: x["category"])))
+    return out.withColumn("categories", F.map_from_entries(F.transform(groups, lambda g: F.struct(g, F.transform(F.filter(named, lambda x: x["category"] == g), lambda x: x["skill"])))))
 
 
 def stage_windows(events: DataFrame, ts: str, stage: str, size: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
