@@ -1,8 +1,16 @@
 """Operators on small frames."""
 
+import math
+import random
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).parent))
+import plain  # noqa: E402
+
 from sievework.functions import columns as C
 from sievework.operators import audit, decide, dedup, evaluate, hiring, labels, match, profile, quality, retrieve, skills, text, validate
 
@@ -43,8 +51,8 @@ def test_chunks_and_sections(spark):
     out = text.paragraphs(df, "id", "t", size=20, overlap=3).collect()
     assert {r.id for r in out} == {1} and all(len(r.chunk_text) <= 24 for r in out) and out[0].chunk_text == "aaa bbb\nccc" and out[1].chunk_text == "ccc " + " ".join("w" * 10)
     assert rows(text.windows(spark.createDataFrame([(1, "a b c d e"), (2, " ")], "id int, t string"), "id", "t", 3, 2)) == [(1, 0, "a b c"), (1, 1, "c d e")]
-    sec = spark.createDataFrame([(1, "intro\nSkills\nspark\nsql\nExperience: x\nyears\nSkills\nagain")], "id int, t string")
-    assert text.sections(sec, "id", "t", {"skills": ["skills"], "experience": ["experience"]}).first().sections == {"experience": "years", "skills": "again"}
+    sec = spark.createDataFrame([("intro\nSkills\nspark\nsql\nExperience: x\nyears\nSkills\nagain\nProjects\nSkills:\n",), ("",), (None,)], "t string")
+    assert [r[0] for r in sec.select(text.sections(F.col("t"))).collect()] == [{"general": "intro", "experience": "years", "skills": "again"}, {}, {}]
 
 
 def test_expressions(spark):
@@ -111,7 +119,7 @@ def test_audit_rules_keep_their_order(spark):
 def test_dimensions_without_signal_drop_out(spark):
     df = spark.createDataFrame([(0.85, ["a"], [], 1.0, 0.0, None, None), (0.10, ["a"], ["a", "b"], 1.0, 2.0, True, 50.0)], "cosine double, matched array<string>, needed array<string>, have double, need double, degree boolean, duties double")
     out = match.overall(match.dimensions(df)).collect()
-    assert out[0].overall == 98.0 and out[0].applicable == "semantic"
+    assert out[0].overall == 98.0 and out[0].applicable == "semantic" and out[1].overall == 42.0
     assert out[1].d_skills == 50.0 and out[1].d_education == 100.0
 
 
@@ -119,7 +127,12 @@ def test_skills(spark):
     df = spark.createDataFrame([(1, "I know C++, machine learning and pyton"), (2, None)], "id int, t string")
     s = spark.createDataFrame([("C++",), ("Machine Learning",), ("Python",)], "skill string")
     assert rows(skills.exact(df, "id", "t", s)) == [(1, "C++"), (1, "Machine Learning")]
-    assert rows(skills.fuzzy(skills.tokens(df, "id", "t"), "id", s, 90.0)) == [(1, "Python")]
+    low = spark.createDataFrame([("python",), ("Pyton",)], "skill string")
+    toks = skills.tokens(df, "id", "t")
+    assert rows(skills.fuzzy(toks, "id", low, 90.0)) == [(1, "python")]
+    rich = spark.createDataFrame([(1, x) for x in "abc"], "id int, skill string")
+    assert rows(skills.fuzzy(toks, "id", low, 90.0, found=rich)) == [] and rows(skills.fuzzy(toks, "id", low, 90.0, found=rich.limit(2))) == [(1, "python")]
+    assert df.select(skills.found(F.col("t"), ["C++", "Machine Learning"], [("pyton", "Python")])).collect()[0][0] == ["C++", "Machine Learning", "Python"]
 
 
 def test_retrieval(spark):
@@ -140,11 +153,120 @@ def test_hiring_writes(spark):
     assert rows(hiring.update_stage(a, ch)) == [(1, "hired"), (2, "hired")]
 
 
-def test_quality_is_bounded(spark):
-    df = spark.createDataFrame([(1, ""), (2, None), (3, "me@x.org 555 123-4567\n- led 5 users and 20 %\n" * 20)], "id int, t string")
-    out = {r.id: r for r in quality.analyse(df, "t", {"a": ["led"]}, ["led"]).collect()}
-    assert out[1].overall == 0 and out[2].grade == "F" and 10 <= out[3].overall <= 100
-    assert text.sections(df, "id", "t", {"a": ["x"]}).count() == 3
+PROFILES = [
+    None,
+    "",
+    "four words are few",
+    "Jo Doe\nme@x.org 555 123-4567 github.com/jo\nSummary\nEngineer\nExperience\n- Develop things with a team in in Paris\n* Lead 12 users\n- managed databse 01/2020\n- Build it\nSkills\nPython, SQL\nEducation\nBachelor Jan 2020",
+    "Work history\n" + "• Test seperate parts of the the system and and report growth of 25% to 1,200 clients\n" * 9 + "Projects\nlead nothing\n2019 - 2021",
+    "word " * 70 + "\n\n" + "text " * 80 + "\n\n" + "more " * 1400 + "\nexperience\nManage " + "very " * 50 + "\n1. Create\n2. write on",
+    "Analyst\nExperience: Bank, 2010\nteam of six\nthird\nfourth\nEducation:\nMaster of Arts\nCity College\nskills: a, Excel; Word | PowerPoint, Access\nemployment",
+]
+
+
+def test_quality_equals_a_plain_version(spark):
+    df = spark.createDataFrame(list(enumerate(PROFILES)), "id int, t string")
+    analysed = quality.analyse(df, "t")
+    got = {r.id: r for r in analysed.withColumn("issues", quality.feedback()[0]).withColumn("good", quality.feedback()[1]).collect()}
+    for i, t in enumerate(PROFILES):
+        want = plain.analyse(t)
+        assert {k: got[i][k] for k in (*quality.WEIGHTS, "overall", "grade", "words", "pages")} == {k: want[k] for k in (*quality.WEIGHTS, "overall", "grade", "words", "pages")}, i
+        assert [x.problem for x in got[i].issues] == want["problems"] and len(got[i].good) == want["n_good"], i
+        assert [x.recommendation for x in got[i].issues if x.problem == "Possible grammar/tense issue"] == want["suggested"], i
+    assert quality.issues(analysed, "id").count() == sum(len(plain.analyse(t)["problems"]) for t in PROFILES)
+
+
+def test_profile_fields_equal_a_plain_version(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(PROFILES) if t], "id int, t string")
+    out = {r[0]: tuple(r[1:]) for r in df.select("id", *text.profile_fields(F.col("t")).values()).collect()}
+    assert out == {i: plain.fields(t) for i, t in enumerate(PROFILES) if t}
+
+
+def test_matches_and_explanations(spark):
+    cases = [(["a"] * k, [f"m{j}" for j in range(g)], h, n, s) for k, g in ((0, 0), (0, 2), (2, 0), (4, 3), (6, 7)) for h, n in ((0.0, 0), (5.0, 4), (3.0, 4), (1.0, 4)) for s in (0.3, 0.6, 0.75, 0.9)]
+    df = spark.createDataFrame([(i, m, g, m + g, h, n, s) for i, (m, g, h, n, s) in enumerate(cases)], "id int, matched array<string>, missing array<string>, needed array<string>, have double, need int, semantic double")
+    pairs = df.withColumn("experience", match.experience(F.col("have"), F.col("need"))).withColumn("education", F.lit(0.75)).withColumn("projects", match.projects(F.lit(None).cast("double"), F.col("semantic"))).withColumn("blank", F.col("id") == 0)
+    out = {r.id: r for r in match.explain(match.score(pairs)).collect()}
+    for i, (m, g, h, n, s) in enumerate(cases):
+        r, none = out[i], not m and not g
+        w = match.NO_SKILLS if none else match.WEIGHTS
+        raw = w["semantic"] * s + w["skills"] * (0 if none else len(m) / len(m + g)) + w["projects"] * 0.8 * s + w["experience"] * (1.0 if n <= 0 else min(1.0, h / n)) + w["education"] * 0.75
+        sure = 0.0 if i == 0 else min(0.98, max(0.10, 1 / (1 + math.exp(-8 * (raw - 0.35)))))
+        assert abs(r.calibrated - sure) < 1e-9 and r.percent == int(sure * 100) and abs(r.final - round(sure, 3)) < 1e-9
+        assert (len(r.strengths), len(r.improvements), len(r.advice)) == plain.lines_of_match(m, g, h, n, s, sure), cases[i]
+        assert r.match_ratio == round(len(m) / max(len(m + g), 1), 2) and r.meets_requirement == (h >= n if n > 0 else True)
+    own = pairs.where("id = 20").withColumn("w", F.create_map(F.lit("semantic"), F.lit(1.0)))
+    assert match.score(own, "w").first().raw > match.score(own).first().raw
+
+
+def test_suggestions_keep_their_order(spark):
+    df = spark.createDataFrame([(True, ["a", "b", "c", "d", "e"], 50.0, None, 90.0, ["x", "y", "x"], ["y", "z"]), (False, ["a"], 1.0, 1.0, 1.0, [], []), (False, [], None, None, None, [], [str(i) for i in range(20)])], "sufficient boolean, missing_skills array<string>, d_experience double, d_responsibility double, d_education double, advice array<string>, general array<string>")
+    one, two, three = (r[0] for r in df.select(match.improvements(df)).collect())
+    assert len(one) == 8 and one[0].endswith("skill: a") and one[3].endswith("skill: d") and one[5:] == ["x", "y", "z"]
+    assert len(two) == 3 and three == [str(i) for i in range(10)]
+
+
+def test_roles(spark):
+    roles = [("Data Engineer", "IT", ["ETL Developer"], ["Spark", "C#"]), ("Chef", "FOOD", ["Cook"], []), ("General Helper", "FOOD", [], ["Spark"])]
+    df = spark.createDataFrame([(1, "a data engineer with spark", "it"), (2, "the cooks", "food"), (3, "nothing", "none"), (4, "", "it"), (5, "a chef", "it")], "id int, t string, c string")
+    held, whole = match.role_terms(F.col("t"), roles)
+    df = df.withColumn("held", held).withColumn("whole", whole).withColumn("s", match.score_roles(F.col("held"), F.col("whole"), roles))
+    out = {r.id: r for r in df.select("id", "s", match.specific_role(F.col("t"), F.col("c"), F.col("s"), roles).alias("r"), match.infer_role(F.col("t"), F.col("s")).alias("i"), match.suggest_roles(F.col("t"), F.col("whole"), F.array().cast("array<string>"), roles, 2).alias("k")).collect()}
+    assert [x.score for x in out[1].s] == [6.2, 0.0, 4.2] and tuple(out[1].r) == ("Data Engineer", 0.86)
+    assert [x.score for x in out[2].s] == [0.0, 2.5, 0.0] and tuple(out[2].i) == ("Chef", 0.68)  # an alias counts inside a word
+    assert tuple(out[3].r) == ("Software Engineer", 0.5) and tuple(out[4].r) == ("General Professional", 0.0) and tuple(out[5].r) == ("Chef", 0.73)
+    assert [(x.role, x.score, x.skills) for x in out[1].k] == [("Data Engineer", 96, ["Spark"]), ("Chef", 55, [])] and len(out[4].k) == 3
+
+
+def test_artifacts_and_contacts(spark):
+    given = ["SKILLS: Skills - skills now", "•••••x ----- y\r\nz", "!!!!!!!a b   c\n\n\n\nd", "me.x@y.org and 555-123-4567 or 15551234567"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "id int, t string")
+    out = [r[0] for r in df.orderBy("id").select(text.mask_contacts(text.remove_artifacts(F.col("t")))).collect()]
+    assert out == ["SKILLS now", " x   y\nz".replace("   ", " "), "!a b c\n\nd", "[EMAIL] and [PHONE] or 15551234567"]
+    assert [tuple(r) for r in spark.createDataFrame([("ﬁ\x85  x\n\n\ny",), (None,)], "t string").select(text.compat_clean(F.col("t")), text.without_accents(F.lit("éñ"))).collect()] == [("fi x\n\ny", "en"), (None, "en")]
+
+
+def test_versions_go_on_and_keys_move(spark):
+    old = spark.createDataFrame([(1, 1, 1, False), (1, 2, 2, True), (2, 1, 1, True)], "o int, at int, version int, is_current boolean")
+    new = spark.createDataFrame([(1, 9), (1, 8), (3, 1)], "o int, at int")
+    assert rows(hiring.write_versions(old, new, "o", ["at"])) == [(1, 1, 1, False), (1, 2, 2, False), (1, 8, 3, False), (1, 9, 4, True), (2, 1, 1, True), (3, 1, 1, True)]
+
+
+def test_pairwise_thresholds(spark):
+    p = spark.createDataFrame([(1, 0, 0.40), (1, 1, 0.35), (1, 2, 0.25), (2, 0, 0.7), (2, 1, 0.3)], "id int, class int, p double")
+    tau = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 1.0)], "class int, tau double")
+    kappa = spark.createDataFrame([(0, 1, 1.2), (0, 2, 1.2)], "a int, b int, kappa double")
+    assert rows(decide.thresholds(p, tau, kappa=kappa), "id", "predicted") == [(1, 1), (2, 0)] and rows(decide.thresholds(p, tau), "id", "predicted") == [(1, 0), (2, 0)]
+
+
+def test_near_duplicates_by_blocks_equal_pairs(spark, monkeypatch):
+    rnd = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(40)]
+    base = [rnd.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for _ in range(50):
+        t = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            t[rnd.randrange(60)] = rnd.choice([*vocabulary, "café", "the"])
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    pairs = rows(dedup.near(df, "id", "t", 0.9, stop=["the"]))
+    monkeypatch.setattr(dedup, "PAIRED", 3)
+    monkeypatch.setattr(dedup, "BLOCK", 10)
+    assert rows(dedup.near(df, "id", "t", 0.9, stop=["the"])) == pairs and len(pairs) > 20
+    same = spark.createDataFrame([(1, "the café noir est bon"), (2, "CAFE the noir; est bon"), (3, "cafe noir est bon, the")], "id long, t string")
+    assert rows(dedup.near(same, "id", "t", stop=["the"])) == [(2, 1, 1.0), (3, 1, 1.0)]
+
+
+def test_classifier_on_held_out_rows(spark):
+    from sievework.operators import classify
+
+    rnd = random.Random(1)
+    words = {"a": ["red", "green", "blue"], "b": ["one", "two", "six"]}
+    df = spark.createDataFrame([(i, " ".join(rnd.choice(words["ab"[i % 2]]) for _ in range(8)), "ab"[i % 2], 1.0) for i in range(60)], "id int, text string, label string, w double")
+    out = classify.predict(classify.train(df.where("id < 40"), "label", "w", 100), df.where("id >= 40"), "id")
+    best = out.groupBy("id").agg(F.max_by("class", "p").alias("c"))
+    assert best.where(F.col("c") == F.when(F.col("id") % 2 == 0, "a").otherwise("b")).count() == 20
 
 
 def test_row_order_and_partitions_dont_matter(spark):
