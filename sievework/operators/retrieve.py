@@ -2,20 +2,56 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
 
+#: Queries and corpus rows of a block.
+QUERY_BLOCK, ROW_BLOCK = 1024, 50_000
+
+
 def topk(corpus: DataFrame, queries: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
-    """(query, id, score, rank): inner products. corpus and queries: id, vector. Stated queries against all rows, in blocks: the
-    queries are one array per block, so a row of the corpus is read once; each task keeps only k rows per query."""
-    q = queries.select(F.col("id").alias("query"), F.col("vector").alias("qv"))
-    pairs = corpus.join(q).select("query", "id", F.round(C.dot(F.col("vector"), F.col("qv")), 9).alias("score"))
+    """(query, id, score, rank): inner products, best first, the smaller id on ties. corpus and queries: id, vector.
+
+    Stated queries against all rows, in blocks: every block of queries meets every block of rows in a task of its own, as a matrix
+    product, and keeps k rows for each query; only these are merged. Nothing is broadcast. Null vectors, and vectors of another
+    length than the query's, have no score.
+    """
+    many, rows = queries.count(), corpus.count()
+    q_blocks = max(1, -(-many // QUERY_BLOCK))
+    r_blocks = max(1, -(-rows // ROW_BLOCK), min(corpus.sparkSession.sparkContext.defaultParallelism, rows // 1000))
+    full = lambda df: df.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = full(queries).withColumn("q", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("r", numbers(r_blocks))
+    right = full(corpus).withColumn("r", F.pmod(F.xxhash64("id"), F.lit(r_blocks)).cast("int")).withColumn("q", numbers(q_blocks))
+
+    def best(_: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        owner, ids, scores = [], [], []
+        names = held.column("id").to_numpy(zero_copy_only=False) if held.num_rows else np.zeros(0)
+        order = np.unique(names, return_inverse=True)[1]
+        sizes = [np.array([len(v) for v in t.column("vector")], np.int64) for t in (asked, held)]
+        for n in set(sizes[0]) & set(sizes[1]) - {0}:
+            some, there = (np.flatnonzero(x == n) for x in sizes)
+            x, y = (np.stack([t.column("vector")[int(i)].values.to_numpy(zero_copy_only=False) for i in at]) for t, at in ((asked, some), (held, there)))
+            score = np.round(x @ y.T, 9)
+            for i, row in zip(some, score, strict=True):
+                good = np.flatnonzero(~np.isnan(row))
+                top = good[np.lexsort((order[there[good]], -row[good]))][:k]
+                owner.append(np.full(len(top), i))
+                ids.append(there[top])
+                scores.append(row[top])
+        join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
+        return pa.table({"query": asked.column("id").take(join(owner, np.int64)), "id": held.column("id").take(join(ids, np.int64)), "score": join(scores, float)})
+
+    kinds = [df.schema["id"].dataType.simpleString() for df in (queries, corpus)]
+    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(best, f"query {kinds[0]}, id {kinds[1]}, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    out = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
