@@ -23,6 +23,8 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 MARK = "\x01"
 #: A range has about so many URLs; the number of ranges is bounded, and so are the keys drawn for each boundary.
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES, SAMPLED = 100_000, 64, 16_384, 16
+#: Characters of a boundary.
+CUT = 48
 
 
 def _host_path(df: DataFrame, url_col: str) -> DataFrame:
@@ -42,7 +44,8 @@ def host_key(host: Column) -> Column:
 def _boundaries(keys: DataFrame) -> list[str]:
     """Keys that cut the sorted keys into about even parts, drawn by hash. They only place work; results don't depend on them."""
     ranges = min(MOST_RANGES, max(LEAST_RANGES, keys.count() // RANGE_ROWS))
-    drawn = keys.select("key", F.xxhash64("_id", "key").alias("o")).orderBy("o", "key").limit(ranges * SAMPLED)
+    # the beginnings of keys do, so what is collected has a bound
+    drawn = keys.select(F.substring("key", 1, CUT).alias("key"), F.xxhash64("_id", "key").alias("o")).orderBy("o", "key").limit(ranges * SAMPLED)
     found = sorted(r.key for r in drawn.select("key").collect())
     return [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
 
@@ -83,24 +86,31 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     events = left.withColumn("what", F.lit(1)).unionByName(right.withColumn("key", F.col("low")).withColumn("what", F.lit(0)), allowMissingColumns=True)
     events = events.repartition("part").sortWithinPartitions("part", "key", "what", "high")
 
+    def fit(stack: list, host: str, path: str) -> tuple | None:
+        """The longest of the active rules whose path fits, of equal ones that of the longer host, then block."""
+        fits = [x for *_, rules in stack for x in rules if path.startswith(x[1]) and f".{host}".endswith(f".{x[0]}")]
+        return max(fits, key=lambda x: (len(x[0]) + len(x[1]), len(x[0]), x[2] == "block"), default=None)
+
     def sweep(batches):
-        part, stack = None, []
+        part, stack = None, []  # the stack holds (low, high, rules) of nested intervals
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if r["part"] != part:
-                    part, stack = r["part"], []
-                while stack and stack[-1]["high"] <= r["key"]:
+            ids, out = [], []
+            columns = (b.column(c).to_pylist() for c in ("part", "what", "key", "host", "path", "r_host", "r_path", "verdict", "high"))
+            for i, (p, what, key, host, path, r_host, r_path, verdict, high) in enumerate(zip(*columns, strict=True)):
+                if p != part:
+                    part, stack = p, []
+                while stack and stack[-1][1] <= key:
                     stack.pop()
-                if r["what"] == 0:
-                    if stack and stack[-1]["low"] == r["low"]:
-                        stack[-1]["rules"].append(r)
+                if what == 0:
+                    if stack and stack[-1][0] == key:
+                        stack[-1][2].append((r_host, r_path, verdict))
                     else:
-                        stack.append({"low": r["low"], "high": r["high"], "rules": [r]})
-                    continue
-                best = max((x for level in stack for x in level["rules"] if r["path"].startswith(x["r_path"]) and f".{r['host']}".endswith(f".{x['r_host']}")), key=lambda x: (len(x["r_host"]) + len(x["r_path"]), len(x["r_host"]), x["verdict"] == "block"), default=None)
-                out.append((r["_id"], r["host"], r["path"], best and best["r_host"] + best["r_path"], best["verdict"] if best else default))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema.field("_id").type), *(pa.array(c, pa.string()) for c in columns[1:])], ["id", "host", "path", "rule", "verdict"])
+                        stack.append((key, high, [(r_host, r_path, verdict)]))
+                else:
+                    best = fit(stack, host, path)
+                    ids.append(i)
+                    out.append((host, path, best and best[0] + best[1], best[2] if best else default))
+            rest = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(ids, pa.int64())), *(pa.array(c, pa.string()) for c in rest)], ["id", "host", "path", "rule", "verdict"])
 
     return events.mapInArrow(sweep, f"id {id_type}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
