@@ -187,6 +187,37 @@ def test_urls(spark):
     assert got(out) == sorted(((i, *brute.judged(u, url_filter.RULES)) for i, u in rows), key=repr)
 
 
+def test_urls_with_ties_between_rules_and_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "LEAST_RANGES", 5)
+    monkeypatch.setattr(url_filter, "CUT", 6)
+    rules = [("block", "b.org", "/a"), ("allow", "b.org", "/a"), ("allow", "org", "/a/bc"), ("block", "x.b.org", ""), ("allow", "com", "/"), ("block", "q.com", "/")]
+    hosts = ["b.org", "x.b.org", "y.x.b.org", "xb.org", "org", "q.com", "aq.com", "Q.COM", "c.net"]
+    rows = [(i, f"http://{hosts[i % 9]}{['', '/', '/a', '/a/b', '/a/bcd?x', '#f'][i % 6]}") for i in range(200)]
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "verdict string, host string, path string")).collect()}
+    for i, u in rows:
+        host, path, *_ = brute.judged(u, [])
+        fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert out[i] == (max(fits)[3:] if fits else (None, "allow")), u
+
+
+def test_long_texts(spark):
+    """Texts of some 60,000 bytes, twice, in the operators that read documents."""
+    rnd = random.Random(20)
+    long = " ".join(f"{rnd.choice('abcdefgh')}{rnd.randint(0, 3000)}é" for _ in range(9000))
+    rows = [(1, long), (2, long), (3, long[:30000] + " other"), (4, "short me@x.org token=abcdef123")]
+    df = spark.createDataFrame(rows, DOC)
+    assert got(suffix_dedup.remove_repeats(df)) == sorted(((r[0], *b) for r, b in zip(rows, brute.repeats([r[1] for r in rows], 400), strict=True)), key=repr)
+    assert got(ngram_join.shingle_components(df).select("doc_id", "n_shingles", "component_id")) == sorted(brute.shingle_components(rows)[0], key=repr)
+    item = " ".join(brute.WORD.findall(brute.lower(long))[5000:5012])
+    out = decontaminate.decontaminate(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got(out.select("doc_id", "n_words", "n_hit", F.array_join("items", ","), "contaminated")) == sorted(brute.contaminated(rows, [(1, item)]), key=repr)
+    assert got(pii.find(df).select("doc_id", "spans")) == [(1, ""), (2, ""), (3, ""), (4, "email:6:14")]
+    assert {r.doc_id: r.n_assign for r in secret_scan.scan(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert license_scan.scan(df)[0].where("n_words > 8000").count() == 2 and sum(r.n_words for r in packing.pack(df.withColumn("source", F.lit("s"))).collect()) == sum(len(t.split()) for _, t in rows)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.score_documents(df, labels).count() == 4
+
+
 def junk(seed, parts, n):
     rnd = random.Random(seed)
     return [(i, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25)))) for i in range(n)] + [(None, None), (1, "")]
