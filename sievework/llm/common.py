@@ -84,6 +84,20 @@ def attached(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot.drop("n")), key).unionByName(rows.join(names, key, "left_anti").join(cold.drop("n"), key))
 
 
+def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
+    """rows (written) joined with values, which has one row, of any size, for each key: a frequent key is dealt over several tasks by
+    `by`, and its value sent to each of them."""
+    counts = settled(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "counts")
+    hot, _ = _hot_and_cold(counts)
+    if hot is None:
+        return rows.join(values, key)
+    parts = F.broadcast(hot.select(key, F.ceil(F.col("n") / FREQUENT).cast("int").alias("__parts")))
+    n = F.coalesce("__parts", F.lit(1))
+    left = rows.join(parts, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), n).cast("int")).drop("__parts")
+    right = values.join(parts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("__parts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 # --- a fixed-size bitmap of keys, to keep rows without partner out of a shuffle ---
 
 BITMAP_LEAST, BITMAP_MOST = 20, 27

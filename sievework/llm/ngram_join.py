@@ -221,7 +221,8 @@ def _head(c: str):
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """pairs (a, b) with `linked`, by their whole sets."""
     num, den = threshold
-    joined = pairs.join(sets.select(F.col("digest").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("digest").alias("b"), F.col("members").alias("mb")), "b")
+    # a leader may stand in very many pairs
+    joined = common.spread_join(pairs, sets.select(F.col("digest").alias("b"), F.col("members").alias("mb")), "b", "a").join(sets.select(F.col("digest").alias("a"), F.col("members").alias("ma")), "a")
 
     def run(batches):
         for b in batches:
@@ -316,7 +317,7 @@ def _joined(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFram
     stars = common.settled(stars, "stars")
     wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).unionByName(stars.select(F.col("a").alias("digest"))).distinct()
     sets = common.settled(_sets(docs, words, wanted), "sets")
-    checked = common.settled(_linked(pairs.unionByName(stars.where("a <> b").select("a", "b")).distinct(), sets, threshold), "checked", PAIR_RECORDS)
+    checked = common.settled(_linked(common.settled(pairs.unionByName(stars.where("a <> b").select("a", "b")).distinct(), "compared"), sets, threshold), "checked", PAIR_RECORDS)
     edges = checked.where("linked").select("a", "b")
     around = stars.join(checked, ["a", "b"], "left").select("a", "b", "n", F.coalesce("linked", F.lit(True)).alias("linked"))
     edges = edges.unionByName(common.settled(_within_leaders(around, sets, threshold), "inner", PAIR_RECORDS))
