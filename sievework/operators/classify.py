@@ -1,29 +1,64 @@
-"""Text classification with MLlib: features, a weighted multinomial model, and its decisions for whole tables."""
+"""Text classification with MLlib: features, a weighted multinomial model, a calibrated linear SVC, and decisions for whole tables."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, Vector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..functions import tables as T
 
-def features(terms: int = 5000, least: float = 2.0) -> Pipeline:
-    """Words and pairs of words of `text`, weighted by idf, in `features`."""
+
+class Sublinear(Transformer):
+    """1 + ln of the counts of `_counts`, in `_tf`; only what is not 0 is touched."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        scaled = F.udf(lambda v: _log_counts(v), VectorUDT())
+        return dataset.withColumn("_tf", scaled("_counts"))
+
+
+def _log_counts(v: Vector) -> SparseVector:
+    v = v if isinstance(v, SparseVector) else SparseVector(len(v), [(i, x) for i, x in enumerate(v.toArray()) if x])
+    return SparseVector(v.size, v.indices, 1 + np.log(v.values))
+
+
+class Embedding(Transformer):
+    """The hash embedding of `text`, scaled, in `_embedding`."""
+
+    def __init__(self, scale: float) -> None:
+        super().__init__()
+        self.scale = scale
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn("_embedding", array_to_vector(F.transform(C.hash_embedding(F.col("text")), lambda x: x * self.scale)))
+
+
+def features(terms: int = 5000, least: float = 2.0, embedding: float = 0.3) -> Pipeline:
+    """In `features`: words and pairs of words of `text` with sublinear counts, weighted by idf, of length 1, and beside them the embedding
+    times `embedding` (none if that is 0)."""
     tokens = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
     both = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
     counts = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=terms, minDF=least)
-    return Pipeline(stages=[tokens, pairs, both, counts, IDF(inputCol="_counts", outputCol="_idf"), VectorAssembler(inputCols=["_idf"], outputCol="features")])
+    weighed = [Sublinear(), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_unit")]
+    parts = [Embedding(embedding), VectorAssembler(inputCols=["_unit", "_embedding"], outputCol="features")] if embedding else [VectorAssembler(inputCols=["_unit"], outputCol="features")]
+    return Pipeline(stages=[tokens, pairs, both, counts, *weighed, *parts])
+
+
+def _index(label: str) -> StringIndexer:
+    return StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
 
 
-def train(df: DataFrame, label: str, weight: str | None = None, terms: int = 5000, iterations: int = 20) -> PipelineModel:
+def train(df: DataFrame, label: str, weight: str | None = None, terms: int = 5000, iterations: int = 20, embedding: float = 0.3) -> PipelineModel:
     """df: text, the label, and a sample weight."""
-    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
     model = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=iterations, regParam=0.01, **({"weightCol": weight} if weight else {}))
-    return Pipeline(stages=[index, *features(terms).getStages(), model]).fit(df)
+    return Pipeline(stages=[_index(label), *features(terms, embedding=embedding).getStages(), model]).fit(df)
 
 
 def predict(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
@@ -34,3 +69,48 @@ def predict(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
         scored = stage.transform(scored)
     p = F.transform(vector_to_array("probability"), lambda x, i: F.struct(F.element_at(F.array(*map(F.lit, names)), i + 1).alias("class"), x.alias("p")))
     return scored.select(F.col(key).alias("id"), F.inline(p))
+
+
+class CalibratedSVC:
+    """One linear SVC for each class against the rest, rows weighted so that classes count alike; a logistic curve for each class, fitted on
+    the margins of rows that were held out in one of `folds` folds by hash, turns margins into probabilities."""
+
+    def __init__(self, label: str, terms: int = 2500, folds: int = 5, iterations: int = 20, embedding: float = 0.2) -> None:
+        self.label, self.terms, self.folds, self.iterations, self.embedding = label, terms, folds, iterations, embedding
+
+    def _svc(self, df: DataFrame):
+        one = LinearSVC(featuresCol="features", labelCol="_label", weightCol="_weight", maxIter=self.iterations, regParam=0.01)
+        return OneVsRest(classifier=one, featuresCol="features", labelCol="_label", weightCol="_weight").fit(df)
+
+    def fit(self, df: DataFrame) -> CalibratedSVC:
+        """df: text and the label."""
+        self.prepare = Pipeline(stages=[_index(self.label), *features(self.terms, embedding=self.embedding).getStages()]).fit(df)
+        self.names = self.prepare.stages[0].labels
+        # written, as each class of each fold reads them
+        rows = T.stored(self.prepare.transform(df).select("_label", "features", F.pmod(F.xxhash64("text"), F.lit(self.folds)).alias("_fold")), "features")
+        sizes = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each class
+        total, of = sum(sizes.values()), F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, 1.0 / (len(sizes) * n))))
+        rows = rows.withColumn("_weight", F.element_at(of, F.col("_label")) * total)
+        held = None
+        for fold in range(self.folds):
+            part = self._svc(rows.where(F.col("_fold") != fold)).transform(rows.where(F.col("_fold") == fold)).select("_label", "_weight", vector_to_array("rawPrediction").alias("margins"))
+            held = part if held is None else held.unionByName(part)
+        self.curves = []
+        held = T.stored(held, "margins")
+        for i in range(len(self.names)):
+            points = held.select((F.col("_label") == i).cast("double").alias("y"), "_weight", array_to_vector(F.array(F.col("margins")[i])).alias("x"))
+            curve = LogisticRegression(featuresCol="x", labelCol="y").fit(points)
+            self.curves.append((float(curve.coefficients[0]), float(curve.intercept)))
+        self.model = self._svc(rows)
+        return self
+
+    def predict(self, df: DataFrame, key: str) -> DataFrame:
+        """(id, class, p) for all rows and classes."""
+        scored = df.select(key, F.coalesce("text", F.lit("")).alias("text"))
+        for stage in self.prepare.stages[1:]:
+            scored = stage.transform(scored)
+        margins = vector_to_array("rawPrediction")
+        raw = [1 / (1 + F.exp(-(a * margins[i] + b))) for i, (a, b) in enumerate(self.curves)]
+        out = self.model.transform(scored).select(F.col(key).alias("id"), F.array(*raw).alias("p"))
+        total = F.aggregate("p", F.lit(1e-12), lambda s, x: s + x)
+        return out.select("id", F.inline(F.transform("p", lambda x, i: F.struct(F.element_at(F.array(*map(F.lit, self.names)), i + 1).alias("class"), (x / total).alias("p")))))
