@@ -60,7 +60,7 @@ def _windows(h: Column, window: int) -> Column:
 
 def _every(words: Column, widths: list[int], of: Callable[[Column, int], Column]) -> Column:
     """of() for all widths, from words that are hashed once."""
-    return _let(_hashes(words), lambda h: F.concat(*(of(h, w) for w in widths)))
+    return _let(_hashes(words), lambda h: of(h, widths[0]) if len(widths) == 1 else F.concat(*(of(h, w) for w in widths)))
 
 
 def _small(df: DataFrame) -> DataFrame:
