@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ CHUNK = 1 << 19
 SKETCH_BITS = 22
 SKETCH = 1 << SKETCH_BITS
 SKETCH_PARTS = 64
+#: Partial sketches that are summed at a time.
+FAN = 32
 SMALL = 16
 MOST_MATCHES = 6
 #: Size classes are this power of 1/threshold wide.
@@ -99,7 +102,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
                     counts += np.bincount(np.concatenate(waiting), minlength=SKETCH)
                     waiting = []
                 none = pa.nulls(len(sets), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), none, pa.nulls(len(sets), pa.list_(pa.int32()))], ["id", "h", "n", "digest", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), none, none, pa.nulls(len(sets), pa.list_(pa.int32()))], ["id", "h", "n", "digest", "part", "task", "counts"])
         if waiting:
             counts += np.bincount(np.concatenate(waiting), minlength=SKETCH)
         if counts.any():
@@ -107,13 +110,14 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
             slots = [np.flatnonzero(x) for x in counts.reshape(SKETCH_PARTS, -1)]
             parts = [(np.r_[k, x[k]] if 2 * len(k) < len(x) else x).astype(np.int32) for k, x in zip(slots, counts.reshape(SKETCH_PARTS, -1), strict=True)]
             id_arrow = pa.nulls(SKETCH_PARTS, whole.schema.field("_id").type)
-            yield pa.RecordBatch.from_arrays([id_arrow, pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(parts, pa.list_(pa.int32()))], ["id", "h", "n", "digest", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([id_arrow, pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(np.full(SKETCH_PARTS, TaskContext.get().partitionId(), np.int32)), pa.array(parts, pa.list_(pa.int32()))], ["id", "h", "n", "digest", "part", "task", "counts"])
 
-    return docs.mapInArrow(run, f"id {id_type}, h long, n long, digest binary, part int, counts array<int>")
+    return docs.mapInArrow(run, f"id {id_type}, h long, n long, digest binary, part int, task int, counts array<int>")
 
 
 def _sketch(scan: DataFrame) -> np.ndarray:
-    """The summed counters: SKETCH numbers, so bounded for any corpus. Tasks are summed on the executors."""
+    """The summed counters: SKETCH numbers, so bounded for any corpus. Tasks are summed on the executors, `FAN` at a time, so no
+    group reads more than FAN partial sketches of SKETCH / SKETCH_PARTS counters, however many tasks there were."""
     per = SKETCH // SKETCH_PARTS
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +130,23 @@ def _sketch(scan: DataFrame) -> np.ndarray:
                 else:
                     slots, more = x.reshape(2, -1)
                     total[slots] += more
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total], pa.list_(pa.int64()))], ["part", "counts"])
-
-    parts = scan.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts array<long>")
-    out = np.zeros((SKETCH_PARTS, per), np.int64)
-    for b in common._arrow_batches(parts):
-        for p, c in zip(b.column("part"), b.column("counts"), strict=True):
-            out[p.as_py()] = c.values.to_numpy()
-    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+        total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total], pa.list_(pa.int32()))], ["part", "task", "counts"])
+
+    parts = scan.where("part is not null").select("part", "task", "counts")
+    last = parts.agg(F.max("task")).first()[0]
+    out = np.zeros((SKETCH_PARTS, per), np.int32)
+    while last is not None:
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("part", "task").applyInArrow(add, "part int, task int, counts array<int>")
+        last //= FAN
+        if not last:
+            break
+        parts = common.settled(parts, "sketch")
+    if last is not None:
+        for b in common._arrow_batches(parts):
+            for p, c in zip(b.column("part"), b.column("counts"), strict=True):
+                out[p.as_py()] = c.values.to_numpy()
+    return out.ravel()
 
 
 def _matches(others: np.ndarray, base: int) -> int:
