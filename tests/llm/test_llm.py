@@ -83,6 +83,7 @@ def near_copies(seed):
 def test_shingle_components(spark, seed, monkeypatch):
     monkeypatch.setattr(common, "FREQUENT", [1000, 10][seed])
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", [1000, 20][seed])
+    monkeypatch.setattr(ngram_join, "FAN", [32, 2][seed])
     rows = near_copies(seed)
     out = ngram_join.shingle_components(clashing(spark.createDataFrame(rows, DOC)))
     assert got(out.select("doc_id", "n_shingles", "component_id")) == sorted(brute.shingle_components(rows)[0], key=repr)
