@@ -88,7 +88,7 @@ def _nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
                 values.append(x)
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(nodes, pa.binary()), pa.array(groups, pa.string()), pa.array(values, pa.list_(pa.float64())).cast(pa.list_(kind))], ["id", "node", "group", "vector"])
 
-    return source.mapInArrow(run, f"id {id_type}, node binary, group string, vector array<{item}>")
+    return source.mapInArrow(common.tidy(run), f"id {id_type}, node binary, group string, vector array<{item}>")
 
 
 def _bucketed(nodes: DataFrame, code: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _bucketed(nodes: DataFrame, code: int) -> DataFrame:
                 found.append(caps[len(x)].decode(x / np.linalg.norm(x)))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("group"), b.column("weight"), b.column("vector"), pa.array(found, pa.list_(pa.int64()))], ["node", "group", "weight", "vector", "filters"])
 
-    return nodes.select("node", "group", "weight", "vector").mapInArrow(run, f"node binary, group string, weight long, vector {nodes.schema['vector'].dataType.simpleString()}, filters array<long>")
+    return nodes.select("node", "group", "weight", "vector").mapInArrow(common.tidy(run), f"node binary, group string, weight long, vector {nodes.schema['vector'].dataType.simpleString()}, filters array<long>")
 
 
 def _compare(rows: list[dict], other: list[dict] | None, this: int, threshold: float) -> tuple[list, list]:

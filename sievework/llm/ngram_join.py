@@ -93,18 +93,18 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        kernel, counts, waiting = _Shingles(words), np.zeros(SKETCH, np.int64), []
+        kernel, counts, waiting = _Shingles(words), np.zeros(SKETCH, np.int32), []
         for whole in batches:
             for b in common.slices(whole, "_text", CHUNK):
                 sets = kernel.rows(*common.text_buffer(b.column("_text")))
                 waiting += [(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32) for s in sets]
-                if sum(map(len, waiting)) > SKETCH:
-                    counts += np.bincount(np.concatenate(waiting), minlength=SKETCH)
+                if sum(map(len, waiting)) > SKETCH // 4:
+                    counts += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.int32)
                     waiting = []
                 none = pa.nulls(len(sets), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), none, none, pa.nulls(len(sets), pa.list_(pa.int32()))], ["id", "h", "n", "digest", "part", "task", "counts"])
         if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=SKETCH)
+            counts += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.int32)
         if counts.any():
             # only what a task has counted, so small tasks write little
             slots = [np.flatnonzero(x) for x in counts.reshape(SKETCH_PARTS, -1)]
@@ -112,7 +112,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
             id_arrow = pa.nulls(SKETCH_PARTS, whole.schema.field("_id").type)
             yield pa.RecordBatch.from_arrays([id_arrow, pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(np.full(SKETCH_PARTS, TaskContext.get().partitionId(), np.int32)), pa.array(parts, pa.list_(pa.int32()))], ["id", "h", "n", "digest", "part", "task", "counts"])
 
-    return docs.mapInArrow(run, f"id {id_type}, h long, n long, digest binary, part int, task int, counts array<int>")
+    return docs.mapInArrow(common.tidy(run), f"id {id_type}, h long, n long, digest binary, part int, task int, counts array<int>")
 
 
 def _sketch(scan: DataFrame) -> np.ndarray:
@@ -188,7 +188,7 @@ def _prefixes(docs: DataFrame, words: int, threshold: tuple[int, int], sketch: n
                     out.append((_digest(s), n, k, central, np.concatenate(keys).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.list_(pa.int64()))], ["digest", "n", "matches", "central", "keys"])
 
-    rows = docs.mapInArrow(run, "digest binary, n long, matches int, central long, keys array<long>")
+    rows = docs.mapInArrow(common.tidy(run), "digest binary, n long, matches int, central long, keys array<long>")
     return rows.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "matches", "central", "keys")))
 
 
@@ -205,7 +205,7 @@ def _often(entries: DataFrame, bits: np.ndarray) -> DataFrame:
             kept = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("digest", "n", "matches", "central")), kept], ["digest", "n", "matches", "central", "keys"])
 
-    return entries.select("digest", "n", "matches", "central", "keys").mapInArrow(run, "digest binary, n long, matches int, central long, keys array<long>")
+    return entries.select("digest", "n", "matches", "central", "keys").mapInArrow(common.tidy(run), "digest binary, n long, matches int, central long, keys array<long>")
 
 
 def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
                 take = [(d, s) for d, s, h in zip(digests, sets, hit, strict=True) if h]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in take], pa.binary()), pa.array([s.tobytes() for _, s in take], pa.binary())], ["digest", "members"])
 
-    rows = docs.mapInArrow(run, "digest binary, members binary")
+    rows = docs.mapInArrow(common.tidy(run), "digest binary, members binary")
     return rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("members").alias("members"))
 
 
@@ -246,7 +246,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Da
                 yes.append(both * den >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(yes, pa.bool_())], ["a", "b", "linked"])
 
-    return joined.select("a", "b", "ma", "mb").mapInArrow(run, "a binary, b binary, linked boolean")
+    return joined.select("a", "b", "ma", "mb").mapInArrow(common.tidy(run), "a binary, b binary, linked boolean")
 
 
 def _block_edges(left: list, right: list, threshold: tuple[int, int]) -> list[tuple[bytes, bytes]]:

@@ -151,7 +151,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays(columns, ["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
     schema = f"id {id_type}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string"
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(common.tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def _listed(spans: list[tuple[int, int, str]]) -> str:
@@ -177,5 +177,5 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
             arrays = [pa.array(out, pa.string()) if i == place else b.column(i) for i in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays(arrays, b.schema.names)
 
-    done = docs.mapInArrow(run, docs.schema)
+    done = docs.mapInArrow(common.tidy(run), docs.schema)
     return done.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType)) if length_col and length_col in docs.columns else done

@@ -214,7 +214,7 @@ def _seen(source: DataFrame) -> DataFrame:
                     held.clear()
         yield batch()
 
-    return source.mapInArrow(run, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    return source.mapInArrow(common.tidy(run), "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
 def _pairs(other: DataFrame) -> dict[tuple[str, str], int]:
@@ -229,7 +229,7 @@ def _pairs(other: DataFrame) -> dict[tuple[str, str], int]:
                     pairs[pair] += n
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in pairs], pa.string()), pa.array([k[1] for k in pairs], pa.string()), pa.array(list(pairs.values()), pa.int64())], ["a", "b", "n"])
 
-    return {(r.a, r.b): r.n for r in other.mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
+    return {(r.a, r.b): r.n for r in other.mapInArrow(common.tidy(run), "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
 
 
 def margin(labelled: list[float], rows: int, other: dict[int, int]) -> float:
@@ -271,7 +271,7 @@ def learn(source: DataFrame) -> Model | None:
                     counts[k, math.floor(v / STEP)] += n
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts], pa.string()), pa.array([v for _, v in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["kind", "step", "n"])
 
-    steps = other.mapInArrow(run, "kind string, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n")).collect()  # scores in steps
+    steps = other.mapInArrow(common.tidy(run), "kind string, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n")).collect()  # scores in steps
     for kind, words in fitted.items():
         halves = (words[::2], words[1::2]) if len(words) > 1 else (words, words)
         gains = [g for i in (0, 1) for a in [Model({kind: Automaton(halves[i])}, model.words, {})] for w in halves[1 - i] for g in a.scores(w).values()]
@@ -311,7 +311,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays(columns, ["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "best"])
 
     schema = f"id {id_type}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string, best double"
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(common.tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def _listed(spans: list[tuple[int, int, str]]) -> str:

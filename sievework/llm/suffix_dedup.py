@@ -103,7 +103,7 @@ def _anchor_rows(docs: DataFrame, threshold: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "_h", "digit", "context", "lo", "hi", "anchor", "before", "after"])
 
     id_type = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_id {id_type}, _h long, digit long, context long, lo int, hi int, anchor int, before long, after long")
+    return docs.mapInArrow(common.tidy(run), f"_id {id_type}, _h long, digit long, context long, lo int, hi int, anchor int, before long, after long")
 
 
 def _ranged(docs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def _window_rows(docs: DataFrame, parts: DataFrame, threshold: int) -> DataFrame
                     same = pa.array(np.zeros(len(start), np.int64))
                     yield pa.RecordBatch.from_arrays([b.column("_id").slice(i, 1).take(same), b.column("_h").slice(i, 1).take(same), pa.array(start.astype(np.int32)), pa.array(digit[which]), _signed(whole)], ["_id", "_h", "start", "digit", "whole"])
 
-    return _ranged(docs, parts).mapInArrow(run, f"_id {id_type}, _h long, start int, digit long, whole long")
+    return _ranged(docs, parts).mapInArrow(common.tidy(run), f"_id {id_type}, _h long, start int, digit long, whole long")
 
 
 def _context_bytes(docs: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _context_bytes(docs: DataFrame, parts: DataFrame, threshold: int) -> DataFra
                 keys = [b.column(c).take(pa.array(owner, pa.int64())) for c in ("_id", "_h")]
                 yield pa.RecordBatch.from_arrays([*keys, column(lambda r: r["digit"], pa.int64()), column(lambda r: r["name"], pa.int64()), column(lambda r: r["lo"], pa.int32()), column(lambda r: r["anchor"] - r["lo"], pa.int32()), column(lambda r: r["hi"] - r["lo"] + 1, pa.int32()), pa.array(texts, pa.binary())], ["_id", "_h", "digit", "name", "lo", "at", "count", "bytes"])
 
-    return _ranged(docs, parts).mapInArrow(run, f"_id {id_type}, _h long, digit long, name long, lo int, at int, count int, bytes binary")
+    return _ranged(docs, parts).mapInArrow(common.tidy(run), f"_id {id_type}, _h long, digit long, name long, lo int, at int, count int, bytes binary")
 
 
 def equal_windows(contexts: list[tuple[bytes, int, int]], threshold: int) -> list[list[int]]:
@@ -266,6 +266,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cuts = [_cut(t, [(r["lo"], r["hi"]) for r in rs or []], threshold) for t, rs in zip(texts, b.column("ranges").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([c[0] for c in cuts], pa.int64()), pa.array([c[1] for c in cuts], pa.int64()), pa.array([c[2] for c in cuts], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    cut = touched.mapInArrow(run, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = touched.mapInArrow(common.tidy(run), f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     clean = common.keep_marked(docs, "_h", bits, inverse=True).select(F.col("_id").alias("id"), F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("_text").cast("binary"), 256).alias("kept_sha256"))
     return cut.unionByName(clean).withColumnRenamed("id", id_col)

@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EXAMPLES, BLOCK, NEIGHBOURS = 1500, 64, 25
+EXAMPLES, BLOCK, NEIGHBOURS = 1000, 64, 25
 #: At most so many terms are dense rows, if a `SHARE`-th of the examples holds them; only speed depends on both.
-DENSE, SHARE = 4096, 16
+DENSE, SHARE = 2048, 16
 #: Chi-squared at which a term weighs about half, and what a term without association has of it.
 HALF, LITTLE = 30.0, 0.1
 #: Weight of the prior among the votes.
@@ -87,7 +87,7 @@ def _term_counts(texts: DataFrame) -> DataFrame:
             yes = np.bincount(place, weights=toxic[row[new]], minlength=len(names)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(yes), pa.array(np.bincount(place, minlength=len(names)) - yes)], ["gram", "yes", "no"])
 
-    return texts.mapInArrow(run, "gram long, yes long, no long").groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    return texts.mapInArrow(common.tidy(run), "gram long, yes long, no long").groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
 
 
 class _Lookup:
@@ -272,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[held, -1]), pa.array(np.r_[df[held], rows])], ["term", "df"])
 
-    counts = source.select("_text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    counts = source.select("_text").mapInArrow(common.tidy(frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(terms) + 1)
     df[counts.column("term").to_numpy()] = counts.column("df").to_numpy()  # the last, -1, has the rows
     factor = association(yes, no, n1, n0)
@@ -288,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (term, count)]
             yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.string()), b.column("toxic"), *lists], ["id", "toxic", "term", "count"])
 
-    rows = common.settled(texts.mapInArrow(vectors, "id string, toxic int, term array<int>, count array<int>"), "vectors")
+    rows = common.settled(texts.mapInArrow(common.tidy(vectors), "id string, toxic int, term array<int>, count array<int>"), "vectors")
     bare = {r.toxic: r.n for r in rows.where(F.size("term") == 0).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = rows.where(F.size("term") > 0).toArrow().combine_chunks()  # bounded: the examples
     full = full.take(pa.array(sorted(range(full.num_rows), key=[(len(i), i) for i in full.column("id").to_pylist()].__getitem__), pa.int64()))
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
                 yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array([index.vote(*f, prior) for f in found], pa.float64())], ["row", "vote"])
 
     votes = np.zeros(len(ids))
-    for r in rows.where(F.size("term") > 0).select("id", "term", "count").repartition(12).mapInArrow(left_out, "row long, vote double").collect():
+    for r in rows.where(F.size("term") > 0).select("id", "term", "count").repartition(12).mapInArrow(common.tidy(left_out), "row long, vote double").collect():
         votes[r.row] = r.vote
     shared.destroy()
     alone = [(c, share[c]) for c, k in bare.items() for _ in range(k)]
@@ -337,8 +337,8 @@ def _found(index: Index, grams: _Terms, data: np.ndarray, at: np.ndarray):
     row, term, count = index.lookup.rows(*grams.rows(data, at))
     cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]) if len(row) else np.zeros(1, np.int64)
     parts = list(zip(cuts[:-1], cuts[1:], strict=True))
-    for k in range(0, len(parts), 256):
-        some = parts[k : k + 256]
+    for k in range(0, len(parts), 128):
+        some = parts[k : k + 128]
         for (i, _), found in zip(some, index.search([(term[i:j], count[i:j], -1, None) for i, j in some]), strict=True):
             yield row[i], *found
 
@@ -360,7 +360,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     evidence[i] = ",".join(f"{index.ids[x]}:{int(index.toxic[x])}:{c:.3f}" for x, c in zip(ids[:3], cosine[:3], strict=True))
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(score, pa.float64()), pa.array(evidence, pa.string())], ["id", "score", "evidence"])
 
-    scored = source.mapInArrow(run, f"id {id_type}, score double, evidence string")
+    scored = source.mapInArrow(common.tidy(run), f"id {id_type}, score double, evidence string")
     out = F.crc32(F.col("id").cast("string").cast("binary")) % folds == 0
     return scored.select(F.col("id").alias(id_col), F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
@@ -381,4 +381,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             kept = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 
-    return marked.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(common.tidy(run), docs.schema)
