@@ -11,7 +11,8 @@ from sievework.llm import common, decontaminate, ngram_join, packing, pii, toxic
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half."""
+    """Documents whose toxicity score is below one half. Null and empty texts have the score of texts without terms; without labels
+    of both classes every document has the share of toxic labels as its score. Repeated rows stay or go together."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -22,17 +23,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten words of a benchmark item."""
+    """Documents without a window of ten words of a benchmark item. Null, empty and word-less texts stay; an empty benchmark removes
+    nothing."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind and n_chars set anew; null and empty texts stay as they are."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequences: which words of which document stand where."""
+    """The training sequences: which words of which document stand where. Documents without words aren't placed; null sources never
+    conflict; repeated rows are items of their own."""
     return packing.pack(docs)
 
 
