@@ -88,7 +88,15 @@ def qlt_typos(s, d):
     return profiles(s, d).select("doc_id", F.array_join(found, ",").alias("typos"))
 
 
-@query("qlt_repeated_words")
+# a match is a word of letters, blanks, and the same word; of a run of equal words every second begins one
+_REPEATED = r"""rt AS (SELECT doc_id, unnest(t) AS t, generate_subscripts(t, 1) AS p FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS t FROM profiles)),
+ rn AS (SELECT *, lead(t) OVER w AS gap, lead(t, 2) OVER w AS next FROM rt WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+ rw AS (SELECT doc_id, t, p, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i, regexp_matches(t, '^[A-Za-z]{2,}$') AND regexp_matches(coalesce(gap, ''), '^\s+$') AND lower(t) = lower(coalesce(next, '')) AS same FROM rn WHERE regexp_matches(t, '^[\p{L}\p{N}_]')),
+ rg AS (SELECT doc_id, t, p, i - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM rw WHERE same),
+ rr AS (SELECT doc_id, t, p, row_number() OVER (PARTITION BY doc_id, g ORDER BY p) AS r FROM rg)"""
+
+
+@query("qlt_repeated_words", f"WITH {PROFILES}, {_REPEATED}, rs AS (SELECT doc_id, string_agg(t, ',' ORDER BY p) AS repeated FROM rr WHERE r % 2 = 1 GROUP BY doc_id) SELECT doc_id, coalesce(repeated, '') AS repeated FROM profiles LEFT JOIN rs USING (doc_id)")
 def qlt_repeated_words(s, d):
     return profiles(s, d).select("doc_id", F.array_join(Q.repeated_words(F.col("text")), ",").alias("repeated"))
 
@@ -122,12 +130,30 @@ def qlt_est_pages(s, d):
     return profiles(s, d).select("doc_id", Q.pages(C.word_count(F.col("text"))).alias("pages"))
 
 
-@query("qlt_subscores")
+def _count(text: str, by: str) -> str:
+    return f"CASE WHEN {text} = '' THEN 0 ELSE len(string_split({text}, '{by}')) END"
+
+
+_POINTS = {"Contact Information": 15, "Work Experience / History": 25, "Skills & Competencies": 25, "Education & Qualifications": 15, "Summary / Objective": 10}
+_SECTION_POINTS = " + ".join(f"CASE WHEN contains(detected, '{n}') THEN {p} ELSE 0 END" for n, p in _POINTS.items())
+_FEATURES = "SELECT * FROM (SELECT doc_id, len(" + W.format(t="text") + f") AS words FROM (WITH {PROFILES} SELECT * FROM profiles))" + "".join(f" JOIN ({ORACLE[f'qlt_{k}']}) USING (doc_id)" for k in ("contact", "sections", "bullets", "long_paragraphs", "typos", "repeated_words", "tense", "date_formats", "est_pages"))
+_SUBSCORES = f"""qf AS ({_FEATURES}), qc AS (SELECT *, {_count('repeated', ',')} AS d, {_count('suggested', ' | ')} AS t, {_count('typos', ',')} AS sp, {_count('styles', ',')} AS ds, length(marks) > 1 AS mixed FROM qf),
+ qs AS (SELECT doc_id, words, greatest(10, least(100, 85 - CASE WHEN words < 150 THEN 45 WHEN words < 300 OR words > 1500 THEN 20 ELSE 0 END - CASE WHEN long_paragraphs > 2 THEN 15 WHEN long_paragraphs = 1 THEN 5 ELSE 0 END + CASE WHEN bullets >= 8 THEN 15 WHEN bullets = 0 THEN -25 ELSE 0 END)) AS ats_readability,
+ 90 - CASE WHEN pages > 2 THEN 15 ELSE 0 END AS formatting_layout, least(100, 40 + {_SECTION_POINTS}) AS section_structure,
+ greatest(20, least(100, CASE WHEN bullets = 0 THEN 25 WHEN bullets < 4 THEN 55 WHEN bullets >= 8 THEN 95 ELSE 80 END - CASE WHEN mixed THEN 15 ELSE 0 END - CASE WHEN long_bullets > 2 THEN 10 ELSE 0 END)) AS bullet_quality, 90 AS typography,
+ greatest(20, 92 - 12 * sp - 10 * least(4, d + least(t, greatest(1, 3 - d)))) AS grammar_spelling, 88 - CASE WHEN mixed THEN 15 ELSE 0 END - CASE WHEN ds > 1 THEN 15 ELSE 0 END AS consistency,
+ 60 + CASE WHEN has_email THEN 20 ELSE 0 END + CASE WHEN has_phone THEN 15 ELSE 0 END + CASE WHEN has_linkedin OR has_github THEN 5 ELSE 0 END AS contact_information FROM qc),
+ qz AS (SELECT doc_id, words, {', '.join(f'CASE WHEN words < 5 THEN 0 ELSE {k} END::INT AS {k}' for k in Q.WEIGHTS)} FROM qs),
+ qo AS (SELECT doc_id, words, CASE WHEN words < 5 THEN 0 ELSE greatest(10, least(100, round_even(({' + '.join(f'{round(w * 100)} * {k}' for k, w in Q.WEIGHTS.items())}) / 100, 0)::INT)) END::INT AS overall FROM qz),
+ qg AS (SELECT doc_id, overall, CASE WHEN words < 5 THEN 'F' WHEN overall >= 90 THEN 'A+' WHEN overall >= 80 THEN 'A' WHEN overall >= 70 THEN 'B' WHEN overall >= 60 THEN 'C' ELSE 'Needs Improvement' END AS grade, overall >= 70 AS is_ats_friendly FROM qo)"""
+
+
+@query("qlt_subscores", f"WITH {_SUBSCORES} SELECT doc_id, {', '.join(Q.WEIGHTS)} FROM qz")
 def qlt_subscores(s, d):
     return _analysed(s, d).select("doc_id", *Q.WEIGHTS)
 
 
-@query("qlt_overall")
+@query("qlt_overall", f"WITH {_SUBSCORES} SELECT * FROM qg")
 def qlt_overall(s, d):
     return _analysed(s, d).select("doc_id", "overall", "grade", "is_ats_friendly")
 
@@ -137,7 +163,7 @@ def qlt_issues(s, d):
     return Q.issues(_analysed(s, d), "doc_id")
 
 
-@query("ats_quality_refresh")
+@query("ats_quality_refresh", f"""WITH {_SUBSCORES} SELECT doc_id, overall AS ats_score, '{{"lang":"' || lang || '","grade":"' || grade || '","score":"' || overall || '","is_ats_friendly":"' || is_ats_friendly || '"}}' AS health FROM qg JOIN documents USING (doc_id)""")
 def ats_quality_refresh(s, d):
     stored = table(s, d, "documents").select("doc_id", F.create_map(F.lit("lang"), F.col("lang"), F.lit("grade"), F.lit("?")).alias("m"))
     fresh = _analysed(s, d).select("doc_id", F.col("overall").alias("ats_score"), "grade", F.col("overall").cast("string").alias("score"), F.col("is_ats_friendly").cast("string").alias("friendly"))
@@ -258,7 +284,15 @@ def mat_education(s, d):
     return _pairs(s, d).select("doc_id", "education")
 
 
-@query("mat_explain")
+_PLURAL = "CASE WHEN len(matched) >= 6 THEN 'Excellent skill coverage: matches ' || len(matched) || ' required competencies including ' || array_to_string(matched[1:4], ', ') || '.' WHEN len(matched) >= 4 THEN 'Strong skill match: ' || array_to_string(matched[1:4], ', ') || '.' WHEN len(matched) > 0 THEN 'Matches key skills: ' || array_to_string(matched, ', ') || '.' END"
+_EXPLAIN = f"""ex AS (SELECT *, format('{{:.1f}}', have::DOUBLE) AS h, need::VARCHAR AS n FROM pf),
+ el AS (SELECT doc_id, calibrated, matched, missing, have, need, concat_ws(' ', {_PLURAL}, CASE WHEN semantic >= 0.8 THEN 'Very high contextual relevance — resume content closely aligns with role requirements.' WHEN semantic >= 0.7 THEN 'High semantic relevance to role requirements.' END, CASE WHEN need > 0 AND have >= need THEN 'Meets experience criteria (' || h || ' years detected vs ' || n || ' required).' END) AS strengths,
+ concat_ws(' ', CASE WHEN semantic >= 0.7 THEN NULL WHEN semantic >= 0.5 THEN 'Moderate semantic alignment — consider tailoring resume language to match the job description more closely.' ELSE 'Low semantic alignment — resume may need significant restructuring to match the target role.' END, CASE WHEN need > 0 AND have < need THEN CASE WHEN have >= need * 0.7 THEN 'Experience is slightly below target (' || h || ' years vs ' || n || ' required). Consider highlighting project or freelance experience.' ELSE 'Experience gap: ' || h || ' years detected vs ' || n || ' required.' END END, CASE WHEN len(missing) > 5 THEN 'Significant skill gaps: missing ' || len(missing) || ' desired competencies including ' || array_to_string(missing[1:4], ', ') || '.' WHEN len(missing) > 0 THEN 'Missing desired competencies: ' || array_to_string(missing[1:4], ', ') || '.' END) AS improvements,
+ concat_ws(' ', CASE WHEN need > 0 AND have < need * 0.7 THEN 'Gain experience through open-source contributions, freelance projects, or relevant certifications.' END, CASE WHEN len(missing) > 5 THEN 'Prioritize learning: ' || array_to_string(missing[1:3], ', ') || ' to improve match score.' WHEN len(missing) > 0 THEN 'Consider adding coursework or projects in: ' || array_to_string(missing[1:3], ', ') || '.' END, CASE WHEN calibrated < 0.5 THEN 'This role may not be the strongest fit. Consider roles that better align with your current skill set.' WHEN calibrated < 0.7 THEN 'Good potential — addressing the skill gaps identified above could significantly improve your match.' END) AS advice FROM ex)"""
+_ELSE = "CASE WHEN {c} = '' THEN '{d}' ELSE {c} END AS {c}"
+
+
+@query("mat_explain", f"WITH {_PAIRS}, {_EXPLAIN} SELECT doc_id, 'Candidate achieved a ' || floor(calibrated * 100)::INT || '% match. Matched ' || len(matched) || ' core skills with ' || len(missing) || ' skill gaps identified.' AS summary, {_ELSE.format(c='strengths', d='Basic role eligibility met.')}, {_ELSE.format(c='improvements', d='Profile closely aligns with the job profile.')}, {_ELSE.format(c='advice', d='Continue refining your resume for ATS optimization.')}, round_even(len(matched) / greatest(len(matched) + len(missing), 1), 2)::DOUBLE AS match_ratio, CASE WHEN need > 0 THEN have >= need ELSE true END AS meets_requirement FROM el")
 def mat_explain(s, d):
     out = M.explain(_scored(s, d))
     return out.select("doc_id", "summary", F.array_join("strengths", " ").alias("strengths"), F.array_join("improvements", " ").alias("improvements"), F.array_join("advice", " ").alias("advice"), "match_ratio", "meets_requirement")
