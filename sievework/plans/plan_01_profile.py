@@ -96,7 +96,7 @@ def prf_samples(s, d):
     return P.samples(table(s, d, "documents"), "text", "doc_id")
 
 
-@query("val_columns")
+@query("val_columns", "SELECT count(*) AS rows FROM documents")
 def val_columns(s, d):
     return V.require_columns(table(s, d, "documents"), "doc_id", "text").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -131,7 +131,13 @@ def val_suspicious(s, d):
     return V.suspicious(table(s, d, "pages"), "html")
 
 
-@query("val_report")
+_VR = f"""WITH x AS (SELECT doc_id, source, text, length(trim(text)) AS n, {W.format(t='trim(text)')} AS w FROM documents),
+ r AS (SELECT count(*) AS rows, round(100.0 * count(*) FILTER (source IS NULL) / greatest(count(*), 1), 2) AS nl, round(100.0 * count(*) FILTER (text IS NULL) / greatest(count(*), 1), 2) AS nt, count(*) FILTER (n = 0) AS empty, count(*) FILTER (n > 0 AND n < 100) AS short_chars, count(*) FILTER (n > 0 AND w < 20) AS short_words, count(*) - count(DISTINCT doc_id) AS duplicate_ids, count(*) FILTER (len(regexp_extract_all(coalesce(text, ''), '<[^>]+>')) > 10) AS html_heavy FROM x),
+ f AS (SELECT *, (SELECT count(*) FROM (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(*) < 5)) AS rare FROM r)
+ SELECT nl <= 10 AND nt <= 10 AS passed, concat_ws('; ', CASE WHEN nl > 10 THEN 'label: too many nulls' END, CASE WHEN nt > 10 THEN 'text: too many nulls' END) AS errors, concat_ws('; ', CASE WHEN nl > 0 AND nl <= 10 THEN 'label: nulls' END, CASE WHEN nt > 0 AND nt <= 10 THEN 'text: nulls' END, CASE WHEN empty > 0 THEN 'empty texts' END, CASE WHEN short_chars > 0 THEN 'short texts' END, CASE WHEN rare > 0 THEN 'rare labels' END, CASE WHEN duplicate_ids > 0 THEN 'duplicate ids' END, CASE WHEN html_heavy > 0 THEN 'html' END) AS warnings, rows, empty, short_chars, short_words, duplicate_ids, rare, html_heavy FROM f"""
+
+
+@query("val_report", _VR)
 def val_report(s, d):
     return V.report(table(s, d, "documents"), "doc_id", "source", "text")
 
