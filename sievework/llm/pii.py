@@ -177,5 +177,5 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
             arrays = [pa.array(out, pa.string()) if i == place else b.column(i) for i in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays(arrays, b.schema.names)
 
-    done = docs.mapInArrow(common.tidy(run), docs.schema)
+    done = common.settled(docs.mapInArrow(common.tidy(run), docs.schema), "redacted")
     return done.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType)) if length_col and length_col in docs.columns else done

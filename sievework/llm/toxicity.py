@@ -272,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[held, -1]), pa.array(np.r_[df[held], rows])], ["term", "df"])
 
-    counts = source.select("_text").mapInArrow(common.tidy(frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    counts = common.settled(source.select("_text").mapInArrow(common.tidy(frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")), "frequencies").toArrow()
     df = np.zeros(len(terms) + 1)
     df[counts.column("term").to_numpy()] = counts.column("df").to_numpy()  # the last, -1, has the rows
     factor = association(yes, no, n1, n0)
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
                 yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array([index.vote(*f, prior) for f in found], pa.float64())], ["row", "vote"])
 
     votes = np.zeros(len(ids))
-    for r in rows.where(F.size("term") > 0).select("id", "term", "count").repartition(12).mapInArrow(common.tidy(left_out), "row long, vote double").collect():
+    for r in common.settled(rows.where(F.size("term") > 0).select("id", "term", "count").repartition(12).mapInArrow(common.tidy(left_out), "row long, vote double"), "votes").collect():
         votes[r.row] = r.vote
     shared.destroy()
     alone = [(c, share[c]) for c, k in bare.items() for _ in range(k)]
@@ -360,7 +360,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     evidence[i] = ",".join(f"{index.ids[x]}:{int(index.toxic[x])}:{c:.3f}" for x, c in zip(ids[:3], cosine[:3], strict=True))
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(score, pa.float64()), pa.array(evidence, pa.string())], ["id", "score", "evidence"])
 
-    scored = source.mapInArrow(common.tidy(run), f"id {id_type}, score double, evidence string")
+    scored = common.settled(source.mapInArrow(common.tidy(run), f"id {id_type}, score double, evidence string"), "scores")
     out = F.crc32(F.col("id").cast("string").cast("binary")) % folds == 0
     return scored.select(F.col("id").alias(id_col), F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
@@ -381,4 +381,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             kept = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 
-    return marked.mapInArrow(common.tidy(run), docs.schema)
+    # written here, as the batches of a table that is written elsewhere hold ten times as many texts
+    return common.settled(marked.mapInArrow(common.tidy(run), docs.schema), "clean")
