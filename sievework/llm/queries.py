@@ -75,6 +75,33 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import warc
+
+    pages = _table(spark, sf_dir, "pages")
+    records = warc.read(warc.write(pages), payload=False)
+    number = lambda c: F.col(c).cast(pages.schema["page_id"].dataType)
+    return records.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import conversation_trie
+
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import fill_in_middle
+
+    out = fill_in_middle.transform(_table(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -145,5 +172,35 @@ _BENCHMARK = f"""WITH i AS (SELECT item_id::VARCHAR AS item, w, least(10, len(w)
  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (r) LEFT JOIN who USING (r)"""
 
 
+#: The base32 SHA-1 of h, 40 hexadecimal digits.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31))::BIGINT, 1)), '')"
+
+_WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+ r AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS k, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to FROM r"""
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda x, b: list_reduce(list_concat([xor(x, b)], range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"
+
+_TRIE = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, conv_id - conv_id % 5 AS donor, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+ r AS (SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = donor AND pos <= h UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+ s AS (SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY own, pos) AS turns, list(strlen(text) ORDER BY own, pos) AS sizes FROM r GROUP BY conv_id),
+ f AS (SELECT c.conv_id, coalesce(turns, []) AS turns, coalesce(sizes, []) AS sizes FROM c LEFT JOIN s USING (conv_id)),
+ p AS (SELECT conv_id, d, turns[1:d] AS path, turns[1:d - 1] AS above, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes, d = len(turns) AS ends FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM f)),
+ n AS (SELECT path, d, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM p GROUP BY path, d),
+ k AS (SELECT above AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY above),
+ x AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS own FROM n LEFT JOIN k USING (path)),
+ u AS (SELECT path[1:a] AS path, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM x) GROUP BY ALL)
+ SELECT x.conv_id, x.d::BIGINT AS depth, q.conv_id AS parent_conv_id, x.n_convs, x.n_children::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(x.ends) AS ends_sha256 FROM x JOIN u USING (path) LEFT JOIN n q ON x.d > 0 AND q.path = x.above"""
+
+_MIDDLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ g AS (SELECT *, len(u) AS n, list_transform(range(4), lambda k: ('0x' || substr(h, 8 * k + 1, 8))::BIGINT) AS v FROM d),
+ c AS (SELECT *, least(v[1] % (n + 1), v[2] % (n + 1)) AS lo, greatest(v[1] % (n + 1), v[2] % (n + 1)) AS hi, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR v[3] % 100 >= 50 THEN 'plain' WHEN v[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g),
+ p AS (SELECT *, array_to_string(u[1:lo], '') AS prefix, array_to_string(u[lo + 1:hi], '') AS middle, array_to_string(u[hi + 1:], '') AS suffix FROM c)
+ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+ sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _license_sql(), "op3_suffix_dedup": _REPEATS, "op4_ngram_join": _SHINGLES, "op5_embedding_dedup": _VECTORS, "op6_url_filter": _url_sql(), "op9_benchmark_decontamination": _BENCHMARK}
+    return {"op2_license_scan": _license_sql(), "op3_suffix_dedup": _REPEATS, "op4_ngram_join": _SHINGLES, "op5_embedding_dedup": _VECTORS, "op6_url_filter": _url_sql(), "op9_benchmark_decontamination": _BENCHMARK, "op11_warc": _WARC, "op12_conversation_trie": _TRIE, "op13_fill_in_middle": _MIDDLE}
