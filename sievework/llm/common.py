@@ -14,6 +14,8 @@ from ..functions import tables
 
 #: The separators of the word form `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`: ASCII but for digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Those at both ends; a run in the middle is looked at once, as only its first separator is tried and nothing is given back.
+OUTER = rf"\A{SEPARATORS}|(?<!{SEPARATORS[:-1]}){SEPARATORS}+\z"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,7 +63,7 @@ def ascii_lower(text: Column) -> Column:
 
 def word_array(text: Column) -> Column:
     """The lower-cased words of a text in order; null and blank texts have none."""
-    inner = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), f"^{SEPARATORS}|{SEPARATORS}$", "")
+    inner = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), OUTER, "")
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SEPARATORS, -1))
 
 

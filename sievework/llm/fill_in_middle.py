@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -67,7 +68,7 @@ def unit_widths(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return widths, np.searchsorted(stops, at, "right")
 
 
-@F.arrow_udf("struct<n: bigint, low: bigint, high: bigint>")
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in ("n", "low", "high")]))
 def _cuts(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
     batch = pa.RecordBatch.from_arrays([text, h1, h2], ["text", "h1", "h2"])
     n, low, high = [], [], []

@@ -1,8 +1,10 @@
 """Plain versions of the operators, for small fixtures."""
 
+import base64
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -169,3 +171,66 @@ def packed(items, capacity):
         b["s"] |= {source} if source >= 0 else set()
         b["c"].add(cluster)
     return out
+
+
+def trie(rows, family=5, heads=9):
+    """conv_id, turn, role, text; every prefix as a tuple."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own.setdefault(c, []).append((turn is not None, turn or 0, hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+
+    def signed(h):
+        return [int.from_bytes(bytes.fromhex(h[k : k + 16]), signed=True) for k in (0, 16)]
+
+    own = {c: [x[3:] for x in sorted(v, key=lambda x: (x[:2], signed(x[2])))] for c, v in own.items()}
+    full = {}
+    for c, v in own.items():
+        donor, h = c - int(math.fmod(c, family)), zlib.crc32(str(c).encode()) % heads
+        full[c] = own.get(donor, [])[:h] + v[h:]
+    members = {}
+    for c, v in full.items():
+        for d in range(len(v) + 1):
+            members.setdefault(tuple(v[:d]), []).append(c)
+    out = {}
+    for path, m in members.items():
+        out[path] = {"n": len(m), "c": min(m), "children": 0, "leaves": 0, "saved": 0, "ends": ",".join(map(str, sorted(c for c in m if len(full[c]) == len(path))))}
+    for path in sorted(out, key=len, reverse=True):
+        x = out[path]
+        x["leaves"] += x["children"] == 0
+        x["saved"] += (x["n"] - 1) * (len(path[-1][1].encode()) if path else 0)
+        if path:
+            up = out[path[:-1]]
+            up["children"] += 1
+            up["leaves"] += x["leaves"]
+            up["saved"] += x["saved"]
+    return [(x["c"], len(p), out[p[:-1]]["c"] if p else None, x["n"], x["children"], x["leaves"], x["saved"], hashlib.sha256(x["ends"].encode()).hexdigest()) for p, x in out.items()]
+
+
+def archived(rows, least=0):
+    """page_id, url, html: id, bytes, digest, kind and what it refers to."""
+    groups = {}
+    for i, u, t in rows:
+        groups.setdefault(t or "", []).append((i is not None, i or 0, u is not None, u or "", i))
+    out = []
+    for t, g in groups.items():
+        raw = t.encode()
+        g = sorted(g, reverse=True)
+        for k, x in enumerate(g):
+            again = k > 0 and len(raw) >= least
+            out.append((x[4], len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", g[0][4] if again else None))
+    return out
+
+
+def middle(i, t):
+    """Units, form, code points of prefix and middle, and output."""
+    t = t or ""
+    units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", t)
+    h = hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()
+    a, b, c, d = (int(h[k : k + 8], 16) for k in (0, 8, 16, 24))
+    low, high = sorted((a % (len(units) + 1), b % (len(units) + 1)))
+    p, m, s = "".join(units[:low]), "".join(units[low:high]), "".join(units[high:])
+    if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or c % 100 >= 50:
+        return len(units), "plain", None, None, t
+    return (len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}") if d % 100 < 80 else (len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
