@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Unicode-aware whitespace.
 SPACE = r"(?U)\s+"
+#: Whitespace at both ends. A run in the middle is looked at once: only its first blank is tried, and nothing is given back.
+OUTER_SPACE = r"\A\s+|(?<!\s)\s++\z"
 
 
 def words(text: Column) -> Column:
@@ -18,7 +20,7 @@ def words(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without whitespace of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"(?U){OUTER_SPACE}", "")
 
 
 def word_count(text: Column) -> Column:

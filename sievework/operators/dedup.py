@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,24 +18,32 @@ from . import text as X
 def exact(df: DataFrame, key: str, text: str) -> DataFrame:
     """Adds `_dup_hash`, `_exact_dup`, `_exact_dup_of`: the least id of a hash is canonical. Blank, null and `nan` texts are exempt.
 
-    Only ids and hashes are shuffled, and of these only repeated ones are joined; texts stay where they are if the repeated hashes
-    are few, and go to a task by id, not by hash, otherwise. Nulls have no hash and aren't shuffled by it.
+    Ids and hashes alone are grouped and joined by hash, where very frequent hashes are broadcast; what comes out, the copies' ids, is
+    joined to the rows by id and hash. So no text is ever dealt by hash, and rows without a hash take no part.
     """
     t = F.trim(F.coalesce(F.col(text), F.lit("")))
     hashed = df.withColumn("_dup_hash", F.when((t != "") & (t != "nan"), C.content_hash(F.col(text))))
-    slim = hashed.select(F.col(key).alias("_k"), "_dup_hash").where("_dup_hash is not null")
+    slim = T.stored(hashed.select(F.col(key).alias("_k"), "_dup_hash").where("_dup_hash is not null"), "hashes")
     groups = slim.groupBy("_dup_hash").agg(F.min("_k").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    groups = T.stored(groups, "copies").drop("_n")
-    few = groups.limit(SMALL + 1).count() <= SMALL
-    out = hashed.join(F.broadcast(groups) if few else groups, "_dup_hash", "left")
-    dup = F.coalesce(F.col(key) != F.col("_first"), F.lit(False))
-    return out.withColumn("_exact_dup", dup).withColumn("_exact_dup_of", F.when(dup, F.col("_first"))).select(*df.columns, "_dup_hash", "_exact_dup", "_exact_dup_of")
-
-
+    groups = T.stored(groups, "copies")
+    # a hash of more than a 2^20th of all rows is hot; there are at most 2^20 of them
+    most = max(FREQUENT, slim.count() >> 20)
+    hot = F.broadcast(groups.where(F.col("_n") > most))
+    copies = slim.join(hot, "_dup_hash").unionByName(slim.join(hot.select("_dup_hash"), "_dup_hash", "left_anti").join(groups.where(F.col("_n") <= most), "_dup_hash"))
+    copies = T.stored(copies.where("_k <> _first").select(F.col("_k").alias(key), "_dup_hash", "_first").distinct(), "copies")
+    few = copies.limit(SMALL + 1).count() <= SMALL
+    out = hashed.join(F.broadcast(copies) if few else copies, [key, "_dup_hash"], "left")
+    dup = F.col("_first").isNotNull()
+    return out.withColumn("_exact_dup", dup).withColumn("_exact_dup_of", F.col("_first")).select(*df.columns, "_dup_hash", "_exact_dup", "_exact_dup_of")
+
+
+#: A hash with more rows than this may be hot.
+FREQUENT = 1000
 #: Rows of a table that is broadcast after it was counted.
 SMALL = 1 << 18
-#: Rows of a term that are paired; more are compared in blocks of `BLOCK` rows.
-PAIRED, BLOCK = 64, 500
+#: Rows of an index entry that are paired; a longer entry is split by a further common term, up to DEPTH terms, and then compared in
+#: blocks of BLOCK rows.
+PAIRED, DEPTH, BLOCK = 32, 4, 500
 
 
 def vectors(df: DataFrame, key: str, text: str, max_terms: int = 10_000, stop: list[str] | None = None) -> DataFrame:
@@ -93,35 +102,70 @@ def _compared(rows: list[tuple], other: list[tuple] | None, threshold: float) ->
 def near(df: DataFrame, key: str, text: str, threshold: float = 0.95, max_terms: int = 10_000, stop: list[str] | None = None) -> DataFrame:
     """(key, parent, score): the most similar earlier row with a TF-IDF cosine of at least the threshold, first on ties.
 
-    All-pairs prefix filter: with terms from rare to frequent, two unit vectors of cosine t or more share a term within the
-    shortest prefix whose remainder has a norm below t. Rows of equal vectors are one row. Only prefix terms meet: a term of up to
-    `PAIRED` rows gives pairs, which are verified once; the rows of a more frequent one are compared in blocks by matrix products
-    that return one parent for each row, so no group is multiplied out and none meets in one task.
+    An index of common terms with bounds. An entry is a set of terms T, and a row is in it if T can be the first |T| terms, from rare to
+    frequent, that it has in common with another: the norm of its weights on T and behind T must reach the threshold. Each posting keeps
+    the weights on T and the norm of those behind; rows a and b of an entry are a candidate if a's weights times b's on T, and the
+    product of both norms, together reach the threshold. Entries of one term come first. An entry of up to `PAIRED` rows gives pairs; a
+    longer one is split by the next common term, and a part of its own has the rows that can reach the threshold on T alone. So the
+    work for a row is bounded by what its entries may hold, not by how frequent its terms are. Only rows that still have `DEPTH` terms in
+    common, which are near copies as a rule, are compared in blocks by matrix products that return one parent for each row.
+    Rows of equal vectors are one row.
     """
     kind = df.schema[key].dataType.simpleString()
     packed = T.stored(vectors(df, key, text, max_terms, stop).groupBy("terms", "weights").agg(F.array_sort(F.collect_set(key)).alias("keys")).select(F.col("keys")[0].alias("k"), "keys", "terms", "weights"), "vectors")
     same = packed.where(F.size("keys") > 1).select(F.explode(F.expr("slice(keys, 2, size(keys) - 1)")).alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("s"))
-
-    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The terms of each prefix, with the norm of what is left from each on."""
-        for x in batches:
-            owner, terms, left = [], [], []
-            for i, (t, w) in enumerate(zip(x.column("terms"), x.column("weights"), strict=True)):
-                rest = np.sqrt(np.cumsum(w.values.to_numpy()[::-1] ** 2)[::-1])
-                n = int((rest >= threshold - 1e-9).sum())
-                owner.append(np.full(n, i))
-                terms.append(t.values.to_numpy()[:n])
-                left.append(rest[:n])
-            flat = [np.concatenate(v) if v else np.zeros(0) for v in (owner, terms, left)]
-            yield pa.RecordBatch.from_arrays([x.column("k").take(pa.array(flat[0].astype(np.int64))), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(float))], ["k", "term", "left"])
-
-    prefix = T.stored(packed.select("k", "terms", "weights").mapInArrow(shortest, f"k {kind}, term int, left double"), "prefixes")
-    sizes = prefix.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # max_terms rows at most
-    met = prefix.join(F.broadcast(sizes), "term")
-    few = met.where(F.col("n") <= PAIRED)
-    # from their first common term on, two rows can't have a cosine above the product of what is left of both
-    pairs = few.select(F.col("k").alias("a"), "term", F.col("left").alias("la")).join(few.select(F.col("k").alias("b"), "term", F.col("left").alias("lb")), "term")
-    pairs = pairs.where((F.col("a") > F.col("b")) & (F.col("la") * F.col("lb") >= threshold - 1e-9)).select("a", "b").distinct()
+    goal = threshold - 1e-9
+
+    def postings(depth: int):
+        """From k, terms, weights and `at`, for each entry that is split the places of its terms in the row: the postings of longer ones."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                owner, at, held, rest, last = [], [], [], [], []
+                for i, (w, entries) in enumerate(zip(x.column("weights"), x.column("at").to_pylist(), strict=True)):
+                    square = w.values.to_numpy() ** 2
+                    behind = np.append(np.cumsum(square[::-1])[::-1], 0.0)
+                    for entry in entries:
+                        on = square[entry].sum()
+                        first = entry[-1] + 1 if entry else 0
+                        # the norm on T, on the further term and behind it shrinks with every term passed over
+                        more = first + np.flatnonzero(on + behind[first:-1] >= goal**2)
+                        if entry and on >= goal**2:
+                            owner.append([i])
+                            at.append(np.array([[*entry, -1]]))
+                            rest.append([0.0])
+                        if len(more):
+                            owner.append(np.full(len(more), i))
+                            at.append(np.column_stack([np.tile(entry, (len(more), 1)), more]) if entry else more[:, None])
+                            rest.append(np.sqrt(behind[more + 1]))
+                rows = np.concatenate(owner).astype(np.int64) if owner else np.zeros(0, np.int64)
+                places = np.concatenate(at).astype(np.int32) if at else np.zeros((0, depth), np.int32)
+                start = x.column("weights").offsets.to_numpy().astype(np.int64) - x.column("weights").offsets[0].as_py()
+                flat = [x.column(c).flatten().to_numpy() for c in ("terms", "weights")]
+                take = lambda v, none: np.where(places >= 0, v[np.minimum(start[rows][:, None] + np.maximum(places, 0), len(v) - 1)], none) if len(v) else np.zeros(places.shape)
+                lists = lambda v, t: pa.FixedSizeListArray.from_arrays(pa.array(v.ravel().astype(t)), depth).cast(pa.list_(pa.from_numpy_dtype(t)))
+                yield pa.RecordBatch.from_arrays([x.column("k").take(pa.array(rows)), lists(take(flat[0], -1), np.int32), lists(places, np.int32), lists(take(flat[1], 0.0), np.float64), pa.array(np.concatenate(rest) if rest else np.zeros(0))], ["k", "entry", "at", "on", "rest"])
+
+        return run
+
+    schema = f"k {kind}, entry array<int>, at array<int>, on array<double>, rest double"
+    todo, pairs, blocks = packed.select("k", "terms", "weights", F.array(F.array().cast("array<int>")).alias("at")), [], []
+    for depth in range(1, DEPTH + 1):
+        met = T.stored(todo.mapInArrow(postings(depth), schema).withColumn("h", F.xxhash64("entry")), "postings")
+        sizes = T.stored(met.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+        few = met.join(sizes.where(F.col("n") <= PAIRED).select("h"), "h")
+        a, b = (few.select(F.col("k").alias(c), "h", *[F.col("on")[i].alias(f"{c}{i}") for i in range(depth)], F.col("rest").alias(f"{c}r")) for c in "ab")
+        bound = F.col("ar") * F.col("br")
+        for i in range(depth):
+            bound = bound + F.col(f"a{i}") * F.col(f"b{i}")
+        pairs.append(a.join(b, "h").where((F.col("a") > F.col("b")) & (bound >= goal)).select("a", "b"))
+        long = met.join(sizes.where(F.col("n") > PAIRED), "h")
+        ended = F.lit(True) if depth == DEPTH else F.col("entry")[depth - 1] < 0
+        blocks.append(long.where(ended).select("k", "h", "n"))
+        if depth == DEPTH or not long.limit(1).count():
+            break
+        todo = long.where(~ended).groupBy("k").agg(F.collect_list("at").alias("at")).join(packed.select("k", "terms", "weights"), "k").select("k", "terms", "weights", "at")
+    pairs = reduce(DataFrame.unionByName, pairs).distinct()
     side = lambda c: packed.select(F.col("k").alias(c), F.col("terms").alias(f"t{c}"), F.col("weights").alias(f"w{c}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +178,8 @@ def near(df: DataFrame, key: str, text: str, threshold: float = 0.95, max_terms:
 
     checked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "wa", "tb", "wb").mapInArrow(verify, f"a {kind}, b {kind}, s double")
 
-    many = met.where(F.col("n") > PAIRED).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("k", "term"), F.col("parts")).cast("int"))
-    tasks = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("k", "term", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
+    many = reduce(DataFrame.unionByName, blocks).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("k", "h"), F.col("parts")).cast("int"))
+    tasks = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("k", "h", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
     tasks = tasks.join(packed.select("k", "terms", "weights"), "k")
 
     def block(names: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +191,8 @@ def near(df: DataFrame, key: str, text: str, threshold: float = 0.95, max_terms:
         id_arrow = x.schema.field("k").type
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], id_arrow), pa.array([f[1] for f in found], id_arrow), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "s"])
 
-    blocks = tasks.groupBy("term", "i", "j").applyInArrow(block, f"a {kind}, b {kind}, s double")
-    found = same.unionByName(checked.where(F.col("s") >= threshold)).unionByName(blocks)
+    compared = tasks.groupBy("h", "i", "j").applyInArrow(block, f"a {kind}, b {kind}, s double")
+    found = same.unionByName(checked.where(F.col("s") >= threshold)).unionByName(compared)
     top = found.groupBy("a").agg(F.min(F.struct((-F.round("s", 9)).alias("o"), "b", "s")).alias("m"))
     return top.select(F.col("a").alias(key), F.col("m.b").alias("parent"), F.round("m.s", 4).alias("score"))
 

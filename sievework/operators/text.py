@@ -64,7 +64,7 @@ def unicode_clean(text: Column, compose: bool = True) -> Column:
 
 def remove_artifacts(text: Column) -> Column:
     """Repeated headers once, then runs of bullets, line ends, control characters, rules, runs of marks, blanks and empty lines."""
-    out = F.regexp_replace(text, rf"(?iU)({HEADERS})(\s*[:\-•]?\s*\1)+", "$1")
+    out = F.regexp_replace(text, rf"(?iU)({HEADERS})(\s*+(?:[:\-•]\s*+)?\1)+", "$1")
     for pattern, by in ARTIFACTS:
         out = F.regexp_replace(out, pattern, by)
     return out
@@ -86,7 +86,7 @@ def clean(df: DataFrame, text: str, compose: bool = True, mask: bool = False, mi
     t = remove_artifacts(unicode_clean(t, compose))
     if mask:
         t = mask_contacts(t)
-    out = df.withColumn(text, F.regexp_replace(t, r"^\s+|\s+$", "")).withColumn("_text_clean_flag", flag(F.col(text), min_chars))
+    out = df.withColumn(text, F.regexp_replace(t, C.OUTER_SPACE, "")).withColumn("_text_clean_flag", flag(F.col(text), min_chars))
     return out.where("_text_clean_flag = 'ok'") if drop_flagged else out
 
 
@@ -109,7 +109,8 @@ def first_match(text: Column, pattern: str) -> Column:
 
 
 def email(text: Column) -> Column:
-    return F.lower(first_match(text, f"(?U){FIRST_EMAIL}"))
+    # a match can only begin where a run of its characters does
+    return F.lower(first_match(text, rf"(?U)(?<![\w.+-]){FIRST_EMAIL}"))
 
 
 def phone(text: Column) -> Column:
