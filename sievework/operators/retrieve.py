@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import tables as T
 
 
 #: Queries and corpus rows of a block.
@@ -55,18 +56,56 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, min_score: float | None
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, average: float = 50.0) -> DataFrame:
-    """(query, id, score), idf 1 and a fixed average length; repeated query terms count. docs, queries: id, text."""
-    words = lambda df: df.select("id", F.explode(C.words(F.lower("text"))).alias("term"))
-    tf = words(docs).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    length = docs.select("id", C.word_count(F.col("text")).alias("dl"))
-    asked = words(queries).groupBy(F.col("id").alias("query"), "term").agg(F.count(F.lit(1)).alias("times"))
-    part = F.col("times") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
-    return tf.join(asked, "term").join(length, "id").groupBy("query", "id").agg(F.sum(part).alias("score"))
+#: Query terms that are broadcast after they were counted; more are joined by a shuffle.
+TERMS = 1 << 18
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, average: float = 50.0, sample: int = 16) -> DataFrame:
+    """(query, id, score, rank): the k best documents of each query that share a term with it, the smaller id on ties (scores to nine
+    places). idf is 1 and the average length fixed; repeated query terms count. docs, queries: id, text.
+
+    Top k by score bounds: words are reduced to query terms before anything is counted or shuffled, and postings are dealt by document
+    and term. The k-th best score within a `sample`-th of the documents is a floor of the result. A query's terms whose highest
+    scores together stay below its floor, the most frequent first, can't lift a document by themselves: their postings aren't joined with
+    the query, but only added to documents that its other terms found and that can still reach the floor. So the result is exact.
+    """
+    asked = queries.select(F.col("id").alias("query"), F.explode(C.words(F.lower("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = T.stored(asked, "asked")
+    few = asked.count() <= TERMS
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    words = docs.select("id", C.words(F.lower("text")).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    tf = words.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    worth = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
+    postings = T.stored(tf.select("id", "term", worth.alias("worth")), "postings")
+    score = F.sum(F.col("times") * F.col("worth")).alias("score")
+
+    def top(scores: DataFrame) -> DataFrame:
+        # Spark keeps k rows of each query in every task before it shuffles them
+        order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
+        return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    some = postings.where(F.pmod(F.xxhash64("id"), F.lit(sample)) == 0).join(small(asked), "term").groupBy("query", "id").agg(score)
+    floors = top(some).groupBy("query").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).drop("n")
+    bounds = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("worth").alias("most"))
+    upto = Window.partitionBy("query").orderBy(F.desc("df"), "term")
+    plan = asked.join(bounds, "term").join(floors, "query", "left").withColumn("bound", F.sum(F.col("times") * F.col("most")).over(upto))
+    plan = T.stored(plan.select("query", "term", "times", "floor", "bound", (F.coalesce(F.col("bound") < F.col("floor") - SLACK, F.lit(False))).alias("spare")), "plan")
+    left = plan.groupBy("query").agg(F.coalesce(F.max(F.when(F.col("spare"), F.col("bound"))), F.lit(0.0)).alias("left"), F.coalesce(F.first("floor"), F.lit(0.0)).alias("floor"))
+    found = postings.join(small(plan.where("not spare").select("query", "term", "times")), "term").groupBy("query", "id").agg(score)
+    found = T.stored(found.join(small(left), "query").where(F.col("score") + F.col("left") >= F.col("floor") - SLACK).select("query", "id", "score"), "found")
+    rest = postings.join(small(plan.where("spare").select("term").distinct()), "term", "left_semi").groupBy("id").agg(F.collect_list(F.struct("term", "worth")).alias("w"))
+    rest = found.join(rest, "id").select("query", "id", F.explode("w").alias("w")).select("query", "id", "w.term", "w.worth")
+    rest = rest.join(small(plan.where("spare").select("query", "term", "times")), ["query", "term"]).groupBy("query", "id").agg(score)
+    return top(found.unionByName(rest).groupBy("query", "id").agg(F.sum("score").alias("score")))
+
+
+#: What sums of scores may be off by.
+SLACK = 1e-6
 
 
 def hybrid(semantic: DataFrame, lexical: DataFrame, k: int = 3, weights: tuple[float, float] = (0.7, 0.3), least: float = 0.1) -> DataFrame:
-    """Semantic top 2k and lexical top 2k (as a share of the query's best), weighted and added; the k best above `least`."""
+    """Semantic top 2k and lexical top 2k (as a share of the query's best), weighted and added; the k best above `least`. Both sides
+    have 2k rows of each query at least, where there are as many."""
     best = lambda df: df.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))).where(F.col("r") <= 2 * k)
     s = best(semantic.where("score >= 0.1")).select("query", "id", F.col("score").alias("s"))
     x = best(lexical.where("score > 0"))

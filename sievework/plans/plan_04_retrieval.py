@@ -133,33 +133,40 @@ _BM = r"""dw AS (SELECT doc_id AS id, unnest(w) AS term, len(w) AS dl FROM (SELE
  bm AS (SELECT query, id, sum(times * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / 50))) AS score FROM tf JOIN qt USING (term) GROUP BY ALL)"""
 
 
-def _bm(s, d):
-    return R.bm25(_docs(s, d).select(F.col("doc_id").alias("id"), "text"), table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+def _bm(s, d, k):
+    return R.bm25(_docs(s, d).select(F.col("doc_id").alias("id"), "text"), table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), k)
 
 
-@query("lex_bm25", f"WITH {_BM} SELECT query, id, round(score, 5) AS score FROM bm")
-def lex_bm25(s, d):
-    return _bm(s, d).withColumn("score", F.round("score", 5))
+_LEX = _BM + ", lx AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id)::INT AS rank FROM bm)"
 
 
-_LEX = _BM + ", lx AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id)::INT AS rank FROM bm)"
+@query("lex_bm25", f"WITH {_LEX} SELECT query, id, round(score, 5) AS score, rank FROM lx WHERE rank <= 10")
+def lex_bm25(s, d):
+    return _bm(s, d, 10).withColumn("score", F.round("score", 5))
 
 
-@query("ret_hybrid")
-def ret_hybrid(s, d):
-    semantic = R.topk(_docs(s, d).select(F.col("doc_id").alias("id"), C.hash_embedding(F.col("text")).alias("vector")), table(s, d, "benchmark").select(F.col("item_id").alias("id"), C.hash_embedding(F.col("text")).alias("vector")), 6)
-    return R.hybrid(semantic, _bm(s, d))
+def _unit(name, id, t):
+    """768 numbers of each text that has a word with a sum of code points above 0."""
+    return f"{name} AS (WITH {_EMB.format(id=id, t=t)} SELECT id, list_transform(list_concat(v, list_transform(range(768 - len(v)), lambda i: 0.0)), lambda x: x::DOUBLE / l) AS v FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM te) WHERE l > 0)"
 
 
-def _ranked(s, d):
-    from pyspark.sql import Window
+_HYBRID = f"""WITH {_LEX}, {_unit("de", "doc_id", "documents")}, {_unit("qe", "item_id", "benchmark")},
+ p AS (SELECT qe.id AS query, de.id AS id, round(list_inner_product(de.v, qe.v), 9) AS s FROM de, qe),
+ sm AS (SELECT query, id, s FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS r FROM p) WHERE r <= 6 AND s >= 0.1),
+ xm AS (SELECT query, id, score / max(score) OVER (PARTITION BY query) AS x FROM lx WHERE rank <= 6 AND score > 0),
+ b AS (SELECT query, id, round(0.7 * coalesce(s, 0) + 0.3 * coalesce(x, 0), 3) AS score FROM sm FULL JOIN xm USING (query, id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank FROM b) SELECT query, id, score, rank FROM r WHERE rank <= 3 AND score > 0.1"""
+
 
-    return _bm(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")))
+@query("ret_hybrid", _HYBRID)
+def ret_hybrid(s, d):
+    semantic = R.topk(_docs(s, d).select(F.col("doc_id").alias("id"), C.hash_embedding(F.col("text")).alias("vector")), table(s, d, "benchmark").select(F.col("item_id").alias("id"), C.hash_embedding(F.col("text")).alias("vector")), 6)
+    return R.hybrid(semantic, _bm(s, d, 6))
 
 
 @query("ret_fallback_answer", f"WITH {_LEX} SELECT query, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS answer FROM lx JOIN documents ON doc_id = id WHERE rank <= 2 GROUP BY query")
 def ret_fallback_answer(s, d):
-    out = R.fallback_answer(_ranked(s, d), _docs(s, d).select(F.col("doc_id").alias("id"), "text"))
+    out = R.fallback_answer(_bm(s, d, 2), _docs(s, d).select(F.col("doc_id").alias("id"), "text"))
     return out.withColumn("answer", F.md5("answer"))
 
 
