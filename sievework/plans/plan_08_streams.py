@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..sources import files as S
+from ..sources import keyed as K
 from ..streaming import streams as T
 from .base import profiles, registrar, table
 
@@ -18,9 +19,9 @@ def _events(s, d):
     return table(s, d, "events")
 
 
-@query("str_ingest_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+@query("str_ingest_dedup", "SELECT user_id, event_type, epoch_us(min(ts)) AS first, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")
 def str_ingest_dedup(s, d):
-    return T.ingest_dedup(_events(s, d), ["user_id", "event_type"], "ts").select("user_id", "event_type")
+    return T.ingest_dedup(_events(s, d), ["user_id", "event_type"], "ts", ["event_id"]).select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("first"), "event_id")
 
 
 SKILLS, SYNONYMS = ["Python", "Java", "SQL", "Docker", "Kubernetes", "Machine Learning", "C++"], [("golang", "Go"), ("k8s", "Kubernetes")]
@@ -36,11 +37,12 @@ def str_enrich(s, d):
 @query("str_screen", "SELECT user_id, arg_max(event_type, (event_id % 3, ts, event_id)) AS result, arg_max(event_id, (event_id % 3, ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def str_screen(s, d):
     # three batches of all events, of which one comes twice
-    path = tables.new_path(s, "screened")
-    write = T.upsert_sink(path, "user_id", F.struct("ts", "event_id"))
+    events = _events(s, d).select("user_id", "event_type", "ts", "event_id")
+    results = K.KeyedTable(s, tables.new_path(s, "screened"), events.schema, ["user_id"])
+    sink = results.sink(F.struct("ts", "event_id"))
     for number in (0, 1, 2, 1):
-        write(_events(s, d).where(F.col("event_id") % 3 == number), number)
-    return T.read_upserts(s.read.parquet(path), "user_id").select("user_id", F.col("event_type").alias("result"), "event_id")
+        sink(events.where(F.col("event_id") % 3 == number), number)
+    return results.read().select("user_id", F.col("event_type").alias("result"), "event_id")
 
 
 @query("str_stage_window", "SELECT epoch_us(date_trunc('day', ts)) // 1000000 AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -59,9 +61,9 @@ def str_rate(s, d):
     return out.select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "user_id", "n")
 
 
-@query("str_latest_stage", "SELECT user_id, arg_max(event_type, (ts, event_type)) AS stage FROM events GROUP BY user_id")
+@query("str_latest_stage", "SELECT user_id, arg_max(event_type, (ts, event_type)) AS stage, epoch_us(max(ts)) AS since FROM events GROUP BY user_id")
 def str_latest_stage(s, d):
-    return T.latest_stage(_events(s, d), "user_id", "ts", "event_type")
+    return T.latest_stage(_events(s, d), "user_id", "ts", "event_type").select("user_id", F.col("event_type").alias("stage"), F.unix_micros(F.col("ts").cast("timestamp")).alias("since"))
 
 
 def _folder(s, name: str) -> str:

@@ -1,23 +1,49 @@
 """Structured Streaming forms of the pipeline. Each takes a streaming or a batch frame: the same plan serves both, so a stream
-that has seen all rows equals its batch twin."""
+that has seen all rows equals its batch twin. Results of streams are put into a `sources.keyed.KeyedTable`, whose sink takes each batch
+once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions import columns as C
 from ..operators import skills as S
 from ..operators import text as X
+from . import state
+
+
+def _millis(interval: str) -> int:
+    """Of an interval like `1 hour`."""
+    n, unit = interval.split()
+    return int(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
+
+
+def ingest_dedup(uploads: DataFrame, keys: list[str], ts: str, order: list[str] | None = None, late: str = "1 hour", forget: str = "7 days") -> DataFrame:
+    """The first upload of each key, by time and then by the `order` columns.
+
+    A stream holds the first row that it has seen and gives it out when the watermark passes it, as then no earlier one can come; it
+    drops further uploads of the key until the watermark is `forget` past the first. A batch needs neither. Rows without time are left out.
+    """
+    order = order or []
+    rows = uploads.where(F.col(ts).isNotNull())
+    if not uploads.isStreaming:
+        return rows.groupBy(*keys).agg(F.min_by(F.struct(*uploads.columns), F.struct(ts, *order)).alias("r")).select("r.*")
+    rows, held = _timed(rows, ts, late)
+    first = state.First(held, "__at", order, _millis(forget))
+    return _untimed(rows.groupBy(*keys).transformWithState(first, held, "Append", "EventTime"), uploads, ts)
+
 
+def _timed(rows: DataFrame, ts: str, late: str) -> tuple[DataFrame, StructType]:
+    """rows with watermark and a column of microseconds, and the schema of what state holds of them."""
+    rows = rows.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp"))).withWatermark(ts, late)
+    return rows, StructType([f for f in rows.schema.fields if f.name != ts])
 
-def ingest_dedup(uploads: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
-    """First upload of each key; a stream forgets keys after the watermark, a batch doesn't need one."""
-    if uploads.isStreaming:
-        return uploads.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
-    return uploads.dropDuplicates(keys)
+
+def _untimed(out: DataFrame, like: DataFrame, ts: str, *more: str) -> DataFrame:
+    back = F.timestamp_micros("__at").cast(like.schema[ts].dataType).alias(ts)
+    return out.select(*[back if c == ts else c for c in like.columns], *more)
 
 
 def enrich(docs: DataFrame, text: str, skills: list[str], synonyms: list[tuple[str, str]], categories: dict[str, str]) -> DataFrame:
@@ -48,22 +74,17 @@ def rate_limit(events: DataFrame, ts: str, user: str, limit: int, size: str = "1
     return stage_windows(events, ts, user, size, slide, late).where(F.col("n") > limit)
 
 
-def latest_stage(events: DataFrame, key: str, ts: str, stage: str) -> DataFrame:
-    """The newest stage of each key; in a stream for complete or update mode."""
-    return events.groupBy(key).agg(F.max_by(stage, F.struct(ts, stage)).alias("stage"))
-
-
-def upsert_sink(path: str, key: str, order: Column) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each batch is written under its own number, so a repeated batch replaces itself; read with read_upserts()."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return write
-
-
-def read_upserts(df: DataFrame, key: str) -> DataFrame:
-    """The row of the last batch of each key; df was read from the sink's folder."""
-    cols = [c for c in df.columns if c != "batch"]
-    return df.groupBy(key).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select("r.*")
+def latest_stage(events: DataFrame, key: str, ts: str, stage: str, late: str = "1 hour", idle: str = "30 days") -> DataFrame:
+    """key, ts and stage: the newest stage of each key, the larger on ties. Rows without time are left out.
+
+    A stream (for update mode) gives a row, `closed` false, whenever a key's stage is a newer one, whatever order rows come in within
+    the watermark, and one with `closed` true when the watermark is `idle` past the newest; then it forgets the key. In a batch
+    `closed` is false.
+    """
+    rows = events.where(F.col(ts).isNotNull()).select(key, ts, stage)
+    if not events.isStreaming:
+        return rows.groupBy(key).agg(F.max_by(F.struct(ts, stage), F.struct(ts, stage)).alias("r")).select(key, "r.*", F.lit(False).alias("closed"))
+    timed, held = _timed(rows, ts, late)
+    newest = state.Latest(held, "__at", [stage], _millis(idle))
+    schema = StructType([*held.fields, StructField("closed", BooleanType())])
+    return _untimed(timed.groupBy(key).transformWithState(newest, schema, "Update", "EventTime"), rows, ts, "closed")
