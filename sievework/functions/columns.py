@@ -1,11 +1,15 @@
-"""Column expressions shared by the operators. All stay inside the JVM."""
+"""Column expressions shared by the operators. All but the embedding stay inside the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Unicode-aware whitespace.
 SPACE = r"(?U)\s+"
@@ -85,14 +89,24 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def hash_embedding(text: Column, dims: int = 768) -> Column:
-    """Offline embedding: dimension i is the sum of code points of word i, lower-cased, mod 100, in hundredths; L2-normalised."""
-    raw = F.transform(F.slice(words(F.lower(text)), 1, dims), lambda w: (F.aggregate(F.transform(F.filter(F.split(w, ""), lambda c: c != ""), lambda c: F.ascii(c)), F.lit(0), lambda s, c: s + c) % 100) / 100.0)
+def _embedder(dims: int) -> Callable[[Column], Column]:
+    def run(texts: pa.Array) -> pa.Array:
+        flat, sizes = texts.flatten(), pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out = np.zeros((len(texts), dims))
+        if len(flat):
+            points = np.frombuffer("".join(flat.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            chars = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+            value = np.add.reduceat(points, np.cumsum(chars) - chars, dtype=np.int64) % 100 / 100.0
+            length = np.sqrt(np.bincount(owner, value * value, len(texts)))
+            out[owner, place] = value / np.where(length > 0, length, 1)[owner]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
 
-    def padded(r: Column) -> Column:
-        return F.slice(F.concat(r, F.array_repeat(F.lit(0.0), dims)), 1, dims)
+    return F.arrow_udf(run, ArrayType(DoubleType()))
 
-    def scaled(r: Column) -> Column:
-        return let(F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n > 0, F.transform(padded(r), lambda x: x / n)).otherwise(padded(r)))
 
-    return let(raw, scaled)
+def hash_embedding(text: Column, dims: int = 768) -> Column:
+    """Offline embedding: dimension i is the sum of code points of word i, lower-cased, mod 100, in hundredths; L2-normalised. Words are
+    split by Spark, sums and lengths are those of a whole Arrow batch."""
+    return _embedder(dims)(F.slice(words(F.lower(text)), 1, dims))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.keyed import KeyedTable
+
 
 def normalize(df: DataFrame, label: str, mapping: DataFrame, lower: bool = False, strict: bool = False, unknown: str = "Unknown") -> DataFrame:
     """Adds `_role_normalized` and `_role_changed` (against the untrimmed label). mapping: source, target."""
@@ -63,6 +65,12 @@ def catalog_sync(old: DataFrame, new: DataFrame, key: str = "slug") -> DataFrame
     return joined.select(key, *(F.coalesce(f"n_{c}", f"o_{c}").alias(c) for c in fields), F.coalesce("fresh", "o_is_active").alias("is_active"))
 
 
+def sync_catalog(catalog: KeyedTable, new: DataFrame, number: int | None = None) -> bool:
+    """catalog_sync() into a stored catalogue, of which only the buckets of the new entries are rewritten; once for each number."""
+    newer = {c: lambda old, new: F.coalesce(new, old) for c in catalog.rest if c != "is_active"}
+    return catalog.merge(new.withColumn("is_active", F.lit(True)), writer="sync", number=number, resolve=newer)
+
+
 def exclude_classes(df: DataFrame, label: str, names: list[str]) -> DataFrame:
     """Rows of other classes, with ids by sorted class. Ids come from the distinct labels, not from a sort of the rows."""
     kept = df.where(~F.col(label).isin(names))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import tables
+from ..sources.keyed import KeyedTable
 
 #: Weights of the parts of a match, and those without required skills.
 WEIGHTS = {"semantic": 0.25, "skills": 0.40, "projects": 0.15, "experience": 0.10, "education": 0.10}
@@ -174,6 +176,18 @@ def improvements(analysed: DataFrame) -> Column:
     return F.when(F.size(both) == 0, F.array(*map(F.lit, usual))).otherwise(both)
 
 
+def screen(applications: KeyedTable, results: KeyedTable, scored: DataFrame, number: int) -> None:
+    """Puts a batch of scored applications in: each one's result is written or replaced whole, and `score` of the application set;
+    scores of applications that aren't there are left out of it. Both tables take a batch once, so one that comes again, or again
+    after it broke off between the two, changes nothing that was written.
+
+    scored: the keys of both tables, `final`, and the columns of results.
+    """
+    scored = tables.stored(scored.select(*results.keys, *results.rest), "scored")
+    results.merge(scored, writer="screen", number=number)
+    applications.merge(scored.select(*applications.keys, F.col("final").alias("score")), writer="screen", number=number, matched_only=True)
+
+
 def rank(results: DataFrame, group: str, value: str, key: str, least: float = 0.0) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc(value), key)
     return results.where(F.col(value) >= least).withColumn("rank", F.row_number().over(w))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import dedup as D
 from ..operators import labels as L
+from ..sources.keyed import KeyedTable
 from .base import registrar, table
 
 QUERIES: dict = {}
@@ -137,7 +139,11 @@ def tax_catalog_sync(s, d):
     # the old and the new catalogue overlap in part
     old = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("slug"), F.col("p_name").alias("title"), (F.col("p_size") > 25).alias("is_active"))
     new = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("slug"), F.upper("p_name").alias("title"))
-    return L.catalog_sync(old, new)
+    catalog = KeyedTable(s, tables.new_path(s, "catalog"), old.schema, ["slug"])
+    catalog.merge(old)
+    for number in (0, 0):  # the second time changes nothing
+        L.sync_catalog(catalog, new, number)
+    return catalog.read()
 
 
 @query("tax_exclude_classes", "SELECT c_custkey, c_mktsegment, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INT AS class_id FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")

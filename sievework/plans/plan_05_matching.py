@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import tables
 from ..operators import match as M
 from ..operators import quality as Q
 from ..operators import skills as S
 from ..operators import text as X
+from ..sources.keyed import KeyedTable
 from .base import PROFILE_WORDS, PROFILES, profiles, registrar, table
 
 QUERIES: dict = {}
@@ -310,9 +312,20 @@ _APPS = "ap AS (SELECT doc_id, (doc_id + unnest(range(0, 1 + doc_id % 3))) % ((S
 _SCREEN = _PAIRS.replace("FROM df JOIN jf ON jf.item_id = df.doc_id % ((SELECT max(item_id) FROM benchmark) + 1)", "FROM ap JOIN df USING (doc_id) JOIN jf ON jf.item_id = ap.item_id")
 
 
-@query("mat_batch_screen", f"WITH {_APPS}, {_SCREEN} SELECT item_id, doc_id, final::DOUBLE AS final, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id)::INT AS rank FROM pf")
+@query("mat_batch_screen", f"WITH {_APPS}, {_SCREEN} SELECT item_id, doc_id, final::DOUBLE AS final, final::DOUBLE AS score, round(semantic, 6)::DOUBLE AS semantic, len(matched)::INT AS n_matched, len(missing)::INT AS n_missing, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id)::INT AS rank FROM pf")
 def mat_batch_screen(s, d):
-    return M.rank(M.score(_matched(s, d, _links(s, d, 2)), "config"), "item_id", "final", "doc_id").select("item_id", "doc_id", "final", "rank")
+    # every application has a score of nothing yet, and those of even documents an old result
+    links = tables.stored(_links(s, d, 2), "links")
+    key = ["item_id", "doc_id"]
+    applications = KeyedTable(s, tables.new_path(s, "applications"), "item_id long, doc_id long, stage string, score double", key)
+    results = KeyedTable(s, tables.new_path(s, "results"), "item_id long, doc_id long, final double, semantic double, skills double, matched array<string>, missing array<string>", key)
+    applications.merge(links.select("item_id", "doc_id", F.lit("applied").alias("stage")))
+    results.merge(links.where("doc_id % 2 = 0").select("item_id", "doc_id", F.lit(0.0).alias("final")))
+    scored = M.score(_matched(s, d, links), "config")
+    M.screen(applications, results, scored, 0)
+    M.screen(applications, results, scored.limit(0), 0)  # delivered again
+    done = M.rank(results.read(), "item_id", "final", "doc_id").join(applications.read(), key)
+    return done.select("item_id", "doc_id", "final", "score", F.round("semantic", 6).alias("semantic"), F.size("matched").alias("n_matched"), F.size("missing").alias("n_missing"), "rank")
 
 
 _SIGNALS = " + ".join("regexp_matches(lower(text), '" + "|".join(w.replace(".", r"\.") for w in ws) + "')::INT" for ws in M.SIGNALS.values())
