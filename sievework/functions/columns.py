@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 #: Unicode-aware whitespace.
 SPACE = r"(?U)\s+"
+#: The characters that it stands for.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Whitespace at both ends. A run in the middle is looked at once: only its first blank is tried, and nothing is given back.
 OUTER_SPACE = r"\A\s+|(?<!\s)\s++\z"
 
@@ -90,14 +93,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _embedder(dims: int) -> Callable[[Column], Column]:
+    token = re.compile(f"[^{WHITE}]+")
+
     def run(texts: pa.Array) -> pa.Array:
-        flat, sizes = texts.flatten(), pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+        found = [[m[0] for m in itertools.islice(token.finditer(t), dims)] if t else [] for t in texts.to_pylist()]
+        sizes = np.array([len(x) for x in found], np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         out = np.zeros((len(texts), dims))
-        if len(flat):
-            points = np.frombuffer("".join(flat.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-            chars = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(owner):
+            flat = list(itertools.chain.from_iterable(found))
+            points = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), np.uint32)
+            chars = np.array(list(map(len, flat)), np.int64)
             value = np.add.reduceat(points, np.cumsum(chars) - chars, dtype=np.int64) % 100 / 100.0
             length = np.sqrt(np.bincount(owner, value * value, len(texts)))
             out[owner, place] = value / np.where(length > 0, length, 1)[owner]
@@ -107,6 +114,6 @@ def _embedder(dims: int) -> Callable[[Column], Column]:
 
 
 def hash_embedding(text: Column, dims: int = 768) -> Column:
-    """Offline embedding: dimension i is the sum of code points of word i, lower-cased, mod 100, in hundredths; L2-normalised. Words are
-    split by Spark, sums and lengths are those of a whole Arrow batch."""
-    return _embedder(dims)(F.slice(words(F.lower(text)), 1, dims))
+    """Offline embedding: dimension i is the sum of code points of word i, lower-cased, mod 100, in hundredths; L2-normalised. Sums
+    and lengths are those of a whole Arrow batch."""
+    return _embedder(dims)(F.lower(text))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import tables
+from ..functions import phrases, tables
 from ..sources.keyed import KeyedTable
 
 #: Weights of the parts of a match, and those without required skills.
@@ -217,33 +217,43 @@ def _strings(words: list[str]) -> Column:
     return F.array(*map(F.lit, words)).cast("array<string>")
 
 
-def _whole(word: str) -> str:
-    return r"(?U)\b\Q" + word + r"\E\b"
-
-
 def role_terms(text: Column, roles: list[Role]) -> tuple[Column, Column]:
-    """The catalogue's terms that a text holds: names and aliases anywhere, and names, aliases and skills as whole words."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """The catalogue's terms that a text holds: names and aliases anywhere, and names, aliases and skills as whole words. One pass over
+    the text finds all."""
     names = sorted({t.lower() for n, _, aliases, _ in roles for t in [n, *aliases]})
-    every = sorted({*names, *(t.lower() for *_, skills in roles for t in skills)})
-    held = F.filter(_strings(every), lambda t: F.contains(low, t))
-    whole = _list(*(F.when(low.rlike(_whole(t)), t) for t in every))
-    return F.array_intersect(_strings(names), held), whole
+    every = names + sorted({t.lower() for *_, skills in roles for t in skills} - set(names))
+    hits = phrases.found(F.lower(F.coalesce(text, F.lit(""))), every)
+    terms = _strings(every)
+    named = lambda places: F.transform(places, lambda k: F.get(terms, k))
+    return named(F.filter(hits["held"], lambda k: k < len(names))), named(hits["whole"])
+
+
+def _catalogue(roles: list[Role]) -> Column:
+    """The roles as one constant, so a plan doesn't grow with them."""
+    row = lambda i, r: F.struct(F.lit(i).alias("ord"), F.lit(r[0]).alias("name"), F.lit(r[0].lower()).alias("low"), F.lit(r[1]).alias("class"), _strings(r[2]).alias("aliases"), _strings(r[3]).alias("skills"))
+    return F.array(*(row(i, r) for i, r in enumerate(roles)))
+
 
+def _in_order(terms: Column, there: Column) -> Column:
+    return F.filter(terms, lambda t: F.array_contains(there, F.lower(t)))
 
-def _in_order(terms: list[str], there: Column) -> Column:
-    return F.filter(_strings(terms), lambda t: F.array_contains(there, F.lower(t)))
+
+def _share(part: Column, whole: Column, points: float) -> Column:
+    return F.when(whole > 0, points * part / whole).otherwise(0.0)
 
 
 def score_roles(held: Column, whole: Column, roles: list[Role]) -> Column:
     """An array of (ord, name, class, hits, score) for all roles, from role_terms(): 3.5 for the name, 2.5 for each alias, 1.2 for each
     skill and 3.0 for the share of skills."""
-    out = []
-    for i, (name, cls, aliases, skills) in enumerate(roles):
-        hits = F.size(_in_order(skills, whole))
-        points = F.when(F.array_contains(held, name.lower()), 3.5).otherwise(0.0) + 2.5 * F.size(_in_order(aliases, held)) + 1.2 * hits + (3.0 * hits / len(skills) if skills else F.lit(0.0))
-        out.append(F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"), F.lit(cls).alias("class"), hits.alias("hits"), F.round(points, 6).alias("score")))
-    return F.array(*out)
+
+    def scored(r: Column) -> Column:
+        def of(hits: Column) -> Column:
+            points = F.when(F.array_contains(held, r["low"]), 3.5).otherwise(0.0) + 2.5 * F.size(_in_order(r["aliases"], held)) + 1.2 * hits + _share(hits, F.size(r["skills"]), 3.0)
+            return F.struct(r["ord"].alias("ord"), r["name"].alias("name"), r["class"].alias("class"), hits.alias("hits"), F.round(points, 6).alias("score"))
+
+        return C.let(F.size(_in_order(r["skills"], whole)), of)
+
+    return F.transform(_catalogue(roles), scored)
 
 
 def best_role(scores: Column) -> Column:
@@ -283,14 +293,14 @@ def suggest_roles(text: Column, whole: Column, own_skills: Column, roles: list[R
     kind = "array<struct<role:string,score:int,skills:array<string>>>"
 
     def judged(have: Column) -> Column:
-        out = []
-        for i, (name, _, aliases, skills) in enumerate(roles):
-            if name.lower().startswith("general "):
-                continue
-            hits = _in_order(skills, have)
-            raw = F.when(F.array_contains(whole, name.lower()), 35.0).otherwise(0.0) + F.when(F.size(_in_order(aliases, whole)) > 0, 20.0).otherwise(0.0) + 8.0 * F.size(hits) + (35.0 * F.size(hits) / len(skills) if skills else F.lit(0.0))
-            out.append(F.struct((-raw).alias("order"), F.lit(i).alias("ord"), F.lit(name).alias("role"), F.slice(hits, 1, 6).alias("skills")))
-        return F.slice(F.array_sort(F.array(*out)), 1, k)
+        def points(r: Column) -> Column:
+            def of(hits: Column) -> Column:
+                raw = F.when(F.array_contains(whole, r["low"]), 35.0).otherwise(0.0) + F.when(F.size(_in_order(r["aliases"], whole)) > 0, 20.0).otherwise(0.0) + 8.0 * F.size(hits) + _share(F.size(hits), F.size(r["skills"]), 35.0)
+                return F.struct((-raw).alias("order"), r["ord"].alias("ord"), r["name"].alias("role"), F.slice(hits, 1, 6).alias("skills"))
+
+            return C.let(_in_order(r["skills"], have), of)
+
+        return F.slice(F.array_sort(F.transform(F.filter(_catalogue(roles), lambda r: ~r["low"].startswith("general ")), points)), 1, k)
 
     percent = lambda x: F.when(x["order"] < 0, F.least(F.lit(96), F.bround(F.round(60 + F.least(-x["order"], F.lit(60.0)) / 60.0 * 36, 6), 0).cast("int"))).otherwise(55)
     have = C.let(F.array_union(whole, F.transform(own_skills, lambda x: F.lower(x))), judged)

@@ -392,6 +392,9 @@ ROLES = [
     ("Teacher", "EDUCATION", ["Instructor"], ["Education", "Degree", "Science"]),
     ("Accountant", "FINANCE", ["Bookkeeper"], []),
 ]
+_FIELDS, _JOBS_OF_FIELD = ["Cloud", "Network", "Security", "Web", "Research", "Systems", "Product"], ["Engineer", "Analyst", "Architect", "Consultant", "Tester", "Trainer", "Lead"]
+#: 58 roles in all.
+ROLES += [(f"{f} {j}", ["INFORMATION-TECHNOLOGY", "BUSINESS", "EDUCATION", "FINANCE"][(i + k) % 4], [f"{j} of {f} Services"], [["Python", "SQL", "Docker", "Java"][i % 4], ["Users", "Lead", "Manage"][k % 3], f]) for i, f in enumerate(_FIELDS) for k, j in enumerate(_JOBS_OF_FIELD)]
 CLASSES = {"en": "information-technology", "fr": "Business", "de": "EDUCATION", "es": "finance"}
 
 
