@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+
 STAGES = ["applied", "screening", "shortlisted", "interview", "offer", "hired"]
 ADVANCED = ["shortlisted", "interview", "technical", "final", "offer", "hired"]
 
@@ -167,3 +169,85 @@ def patch(base: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> D
     c = changes.select(key, *(F.col(f).alias(f"_new_{f}") for f in fields))
     out = base.join(c, key, "left")
     return out.select(*(F.coalesce(f"_new_{x}", x).alias(x) if x in fields else F.col(x) for x in base.columns))
+
+
+def patch_supplied(base: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Partial update by presence: of `fields`, those that a change names in its array `supplied` take its value, null included."""
+    c = changes.select(key, F.col("supplied").alias("_supplied"), *(F.col(f).alias(f"_new_{f}") for f in fields))
+    out = base.join(c, key, "left")
+    return out.select(*(F.when(F.array_contains("_supplied", x), F.col(f"_new_{x}")).otherwise(F.col(x)).alias(x) if x in fields else F.col(x) for x in base.columns))
+
+
+#: States in which a job can begin, and what a field has that wasn't given.
+FIRST_STATES, JOB_DEFAULTS = ["draft", "published", "active"], {"required_skills": "", "experience_required": 0, "location": "Remote", "job_type": "Full-time", "salary": "", "department": ""}
+
+
+def create_jobs(requests: DataFrame, users: DataFrame, recruiters: DataFrame, organizations: DataFrame, company: str, weights: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """New jobs and new recruiters. A user without a recruiter gets one, named by user name, e-mail or `Recruiter`; a user without
+    an organisation takes the first one; a state that a job can't begin in, and null, becomes `published`; fields that are null or that
+    requests don't have take their defaults, scoring weights too.
+
+    requests: job_id, user_id, title, and any of status, company_name, scoring_config and the fields with defaults; users: user_id, username,
+    email, org_id; recruiters: recruiter_id, user_id, company_name; organizations: org_id.
+    """
+    given = lambda c, kind: F.col(c) if c in requests.columns else F.lit(None).cast(kind)
+    known = recruiters.groupBy("user_id").agg(F.min_by(F.struct("recruiter_id", "company_name"), "recruiter_id").alias("r"))
+    first = organizations.agg(F.min("org_id").alias("first_org"))
+    r = requests.select("*", given("company_name", "string").alias("_company")).join(users, "user_id", "left").join(known, "user_id", "left").crossJoin(F.broadcast(first))  # one row on the right
+    made = F.sha2(F.concat(F.lit("recruiter:"), F.col("user_id").cast("string")), 256)
+    name = F.coalesce(F.nullif("username", F.lit("")), F.nullif(F.split_part("email", F.lit("@"), F.lit(1)), F.lit("")), F.lit("Recruiter"))
+    new = r.where("r is null").groupBy("user_id").agg(F.first(made).alias("recruiter_id"), F.first(name).alias("name"), F.coalesce(F.min_by("_company", F.struct("job_id")), F.lit(company)).alias("company_name"))
+    r = r.join(new.select("user_id", F.col("company_name").alias("new_company")), "user_id", "left")
+    state = F.when(F.col("status").isin(*FIRST_STATES), F.col("status")).otherwise("published") if "status" in requests.columns else F.lit("published")
+    fields = [F.coalesce(given(c, "string" if isinstance(v, str) else "int"), F.lit(v)).alias(c) for c, v in JOB_DEFAULTS.items()]
+    config = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
+    jobs = r.select("job_id", F.coalesce(F.col("r.recruiter_id").cast("string"), made).alias("recruiter_id"), F.coalesce("org_id", "first_org").alias("org_id"), "title", *fields, F.coalesce("_company", "r.company_name", "new_company").alias("company_name"), F.coalesce(given("scoring_config", "map<string,double>"), config).alias("scoring_config"), state.alias("status"))
+    return jobs, new
+
+
+def publish_jobs(jobs: DataFrame, requests: DataFrame, recruiters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs with those published that their recruiter, or a user who is none, asked for; and the refused requests. requests: job_id, user_id."""
+    asked = requests.distinct().join(recruiters.groupBy("user_id").agg(F.min("recruiter_id").cast("string").alias("asking")), "user_id", "left")
+    asked = asked.join(jobs.select("job_id", F.col("recruiter_id").cast("string").alias("owner")), "job_id")
+    allowed = F.col("asking").isNull() | F.col("asking").eqNullSafe(F.col("owner"))
+    done = asked.where(allowed).select("job_id", F.lit("published").alias("status")).distinct()
+    return patch(jobs, done, "job_id", ["status"]), asked.where(~allowed).select("job_id", "user_id")
+
+
+def upsert_profiles(base: DataFrame, changes: DataFrame, key: str, lists: list[str], csv: list[str], years: list[str]) -> DataFrame:
+    """base with a change of each key: only supplied fields are taken. Values come as text: `csv` fields are split at commas, `lists` hold the
+    one value, `years` that aren't numbers become null. Keys that base doesn't have are added with what was supplied.
+
+    changes: key, supplied (array of names), and the fields as strings.
+    """
+    fields = [c for c in base.columns if c != key]
+
+    def typed(c: str):
+        if c in csv:
+            return F.when(F.col(c).isNotNull(), C.csv_items(F.col(c)))
+        if c in lists:
+            return F.array(F.col(c))
+        return F.trim(c).try_cast("int") if c in years else F.col(c)
+
+    ch = changes.select(key, "supplied", *(typed(c).alias(c) for c in fields))
+    known = patch_supplied(base, ch, key, fields)
+    fresh = ch.join(base.select(key), key, "left_anti")
+    return known.unionByName(fresh.select(key, *(F.when(F.array_contains("supplied", c), F.col(c)).alias(c) for c in fields)))
+
+
+def lookup(df: DataFrame, wanted: DataFrame, on: list[str], fold: list[str] | None = None) -> DataFrame:
+    """The rows of df whose `on` values are wanted; of `fold` columns blanks at the ends and case don't count. Nulls find nothing."""
+    same = lambda c: F.lower(F.trim(c)) if c in (fold or []) else F.col(c)
+    keys = wanted.select(*(same(c).alias(f"_{c}") for c in on)).distinct()
+    match = F.lit(True)
+    for c in on:
+        match = match & (same(c) == F.col(f"_{c}"))
+    return df.join(keys, match, "left_semi")
+
+
+def candidate_applications(applications: DataFrame, jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """Applications with title, company and kind of their job, and score and skills of their match where there is one (results: app_id,
+    final, matched)."""
+    j = jobs.select("job_id", F.col("title").alias("job_title"), "company_name", F.col("kind").alias("job_type"))
+    m = results.select("app_id", F.col("final").alias("match_score"), F.col("matched").alias("matched_skills"))
+    return applications.join(j, "job_id", "left").join(m, "app_id", "left")

@@ -38,7 +38,8 @@ def text_quality(df: DataFrame, text: str, min_chars: int = 100, min_words: int
 def label_distribution(df: DataFrame, label: str, min_count: int = 5, named: int = 10) -> DataFrame:
     """How many labels are rare, and the first of them by name."""
     rare = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < min_count)
-    return rare.agg(F.count(F.lit(1)).alias("rare"), F.array_join(F.slice(F.sort_array(F.collect_list(label)), 1, named), ",").alias("named"))
+    first = rare.orderBy(label).limit(named).agg(F.array_join(F.sort_array(F.collect_list(label)), ",").alias("named"))  # `named` rows at most
+    return rare.agg(F.count(F.lit(1)).alias("rare")).crossJoin(first)  # one row each
 
 
 def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
@@ -46,10 +47,11 @@ def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
 
 
 def suspicious(df: DataFrame, text: str, most_tags: int = 10) -> DataFrame:
-    """Tag-heavy and symbol-only rows; a row can count twice."""
+    """Tag-heavy rows, and rows of symbols and digits only; a row can count twice."""
     t = F.coalesce(F.col(text), F.lit(""))
     heavy = F.regexp_count(t, F.lit("<[^>]+>")) > most_tags
-    symbols = F.trim(t).rlike(r"^[^\p{L}]+$") & ~F.trim(t).rlike(r"^\p{N}+$") & ~F.trim(t).rlike(r"\p{N}")
+    # what is neither a letter nor a number other than a digit
+    symbols = C.strip(t).rlike(r"\A[^\p{L}\p{Nl}\p{No}]+\z")
     return df.agg(F.count_if(heavy).alias("html_heavy"), F.count_if(symbols).alias("symbol_only"))
 
 

@@ -126,9 +126,11 @@ def val_duplicate_ids(s, d):
     return V.duplicate_ids(table(s, d, "lineitem"), "l_orderkey")
 
 
-@query("val_suspicious", r"SELECT count(*) FILTER (len(regexp_extract_all(html, '<[^>]+>')) > 10) AS html_heavy, count(*) FILTER (regexp_matches(trim(html), '^[^\p{L}\p{N}]+$')) AS symbol_only FROM pages")
+@query("val_suspicious", r"SELECT count(*) FILTER (len(regexp_extract_all(x, '<[^>]+>')) > 10) AS html_heavy, count(*) FILTER (regexp_matches(trim(x), '^[^\p{L}\p{Nl}\p{No}]+$')) AS symbol_only FROM (SELECT html AS x FROM pages UNION ALL SELECT page_id || ' -- ' || length(html) FROM pages)")
 def val_suspicious(s, d):
-    return V.suspicious(table(s, d, "pages"), "html")
+    # the pages, and of each a line of numbers and marks
+    pages = table(s, d, "pages")
+    return V.suspicious(pages.select("html").unionByName(pages.select(F.concat("page_id", F.lit(" -- "), F.length("html")).alias("html"))), "html")
 
 
 _VR = f"""WITH x AS (SELECT doc_id, source, text, length(trim(text)) AS n, {W.format(t='trim(text)')} AS w FROM documents),

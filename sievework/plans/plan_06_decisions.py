@@ -139,21 +139,28 @@ def occ_hierarchy(s, d):
     return D.hierarchy(_a(s, d), s.range(10).select(F.col("id").cast("int").alias("class"), F.floor(F.col("id") / 3).cast("int").alias("family")))
 
 
-RULES = [(r"\bidiot\b", "toxic"), (r"\bder\b", "de"), (r"\bles\b", "fr"), (r"\blos\b", "es"), (r"\bthe\b", "en")]
+#: 22 rules in order; the words are those of the tables.
+RULES = [
+    (["idiot", "stupid"], "toxic", "an insult"), (["click here", "subscribe now", "all rights reserved"], "junk", "boilerplate"),
+    *(([a], lang, f"{lang} words: {a}") for lang, pairs in {"de": ["die der", "der die", "und die", "die und", "in die"], "es": ["de los", "que el", "el de", "los que", "de el"], "fr": ["les des", "des les", "la de", "de la", "que la"], "en": ["in the", "to the", "and the", "of the", "the and"]}.items() for a in pairs),
+]
+INDUSTRY = (["es", "de"], [(["que", "con"], "fr", 0.90), (["the"], "en", 0.90), (["en", "ung"], "de", 0.85)], ["tion", "ment"], ["aux", "and"], ["en"])
 _HEAD = r"array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')[1:{n}], ' ')"
-_RULE = "CASE " + " ".join(f"WHEN regexp_matches({_HEAD.format(n=n)}, '{p}') THEN '{t}'" for n in (80, 200) for p, t in RULES) + " END"
-AUD = f"au AS (SELECT doc_id, lang, {_RULE} AS rule, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words, CASE WHEN doc_id % 9 = 0 THEN 'en' ELSE lang END AS predicted, (doc_id % 10) / 10.0 AS confidence FROM documents)"
+_FIRST = lambda n: "CASE " + " ".join(f"WHEN regexp_matches({_HEAD.format(n=n)}, '(?:^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(ps)})(?:$|[^\\p{{L}}\\p{{N}}_])') THEN {i}" for i, (ps, _, _) in enumerate(RULES)) + " END"
+_NAMED = lambda c, k: f"CASE {c} " + " ".join(f"WHEN {i} THEN '{r[k]}'" for i, r in enumerate(RULES)) + " END"
+AUD = f"a0 AS (SELECT *, {_FIRST(80)} AS near, {_FIRST(200)} AS far FROM documents), au AS (SELECT doc_id, lang, text, coalesce({_NAMED('near', 1)}, {_NAMED('far', 1)}) AS rule, coalesce({_NAMED('near', 2)}, {_NAMED('far', 2)} || '{A.LATER}') AS reason, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words, CASE WHEN doc_id % 9 = 0 THEN 'en' ELSE lang END AS predicted, (doc_id % 10) / 10.0 AS confidence FROM a0)"
 _DECIDE = "CASE WHEN rule = lang THEN 'CORRECT_LABEL' WHEN rule IS NOT NULL THEN CASE WHEN predicted = rule OR confidence > 0.6 THEN 'LIKELY_MISLABELED' ELSE 'AMBIGUOUS' END WHEN predicted <> lang AND confidence > 0.7 THEN 'POSSIBLY_NOISY' ELSE 'CORRECT_LABEL' END"
 
 
 def _audit(s, d):
     docs = table(s, d, "documents")
-    return docs.select("doc_id", "lang", A.rule_match(F.col("text"), RULES).alias("rule"), C.word_count(F.col("text")).alias("words"), F.when(F.col("doc_id") % 9 == 0, "en").otherwise(F.col("lang")).alias("predicted"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"))
+    docs = docs.withColumn("match", A.rule_match(F.col("text"), RULES))
+    return docs.select("doc_id", "lang", "text", F.col("match.target").alias("rule"), F.col("match.reason").alias("reason"), C.word_count(F.col("text")).alias("words"), F.when(F.col("doc_id") % 9 == 0, "en").otherwise(F.col("lang")).alias("predicted"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"))
 
 
-@query("aud_rule_match", f"WITH {AUD} SELECT doc_id, rule FROM au")
+@query("aud_rule_match", f"WITH {AUD} SELECT doc_id, rule, reason FROM au")
 def aud_rule_match(s, d):
-    return _audit(s, d).select("doc_id", "rule")
+    return _audit(s, d).select("doc_id", "rule", "reason")
 
 
 @query("aud_decide", f"WITH {AUD} SELECT doc_id, {_DECIDE} AS status FROM au")
@@ -161,13 +168,18 @@ def aud_decide(s, d):
     return _audit(s, d).select("doc_id", A.decide(F.col("rule"), F.col("lang"), F.col("predicted"), F.col("confidence")).alias("status"))
 
 
-_BLIND = "CASE WHEN rule = lang THEN {0} WHEN rule IS NOT NULL AND words >= 80 THEN {1} WHEN rule IS NOT NULL THEN {2} WHEN words < 20 THEN {3} ELSE {4} END"
+def _blind_sql() -> str:
+    labels, cases, levels, setting, own = INDUSTRY
+    some = lambda ws: "(" + " OR ".join(f"contains({_HEAD.format(n=80)}, '{w}')" for w in ws) + ")"
+    quoted = lambda ws: ", ".join(f"'{w}'" for w in ws)
+    row = lambda status, audited, sure: f"{{'status': '{status}', 'audited': {audited}, 'confidence': {sure}::DOUBLE}}"
+    tagged = "CASE " + " ".join(f"WHEN {some(ws)} THEN {row(A.WRONG, repr(t), c)}" for ws, t, c in cases) + f" ELSE {row(A.UNSURE, 'lang', 0.6)} END"
+    return f"CASE WHEN rule = lang THEN {row(A.CORRECT, 'lang', 1.0)} WHEN rule IS NOT NULL THEN {row(A.WRONG, 'rule', 0.95)} WHEN lang IN ({quoted(labels)}) THEN {tagged} WHEN {some(levels)} AND {some(setting)} AND lang NOT IN ({quoted(own)}) THEN {row(A.UNSURE, 'lang', 0.65)} ELSE {row(A.CORRECT, 'lang', 0.85)} END"
 
 
-@query("aud_blind", f"WITH {AUD} SELECT doc_id, " + _BLIND.format("'CORRECT_LABEL'", "'LIKELY_MISLABELED'", "'AMBIGUOUS'", "'POSSIBLY_NOISY'", "'CORRECT_LABEL'") + " AS status, (" + _BLIND.format(1.0, 0.95, 0.65, 0.6, 0.85) + ")::DOUBLE AS confidence FROM au")
+@query("aud_blind", f"WITH {AUD}, b AS (SELECT doc_id, {_blind_sql()} AS b FROM au) SELECT doc_id, b.status AS status, b.audited AS audited, b.confidence AS confidence FROM b")
 def aud_blind(s, d):
-    status, sure = A.decide_blind(F.col("rule"), F.col("lang"), F.col("words"))
-    return _audit(s, d).select("doc_id", status.alias("status"), sure.alias("confidence"))
+    return _audit(s, d).select("doc_id", A.decide_blind(F.col("rule"), F.col("lang"), F.col("text"), INDUSTRY).alias("b")).select("doc_id", "b.*")
 
 
 @query("aud_apply_verdicts", f"WITH {AUD}, v AS (SELECT doc_id, rule AS audited, {_DECIDE} AS status FROM au WHERE doc_id % 3 = 0) SELECT d.doc_id, d.lang, CASE WHEN coalesce(v.status, 'CORRECT_LABEL') = 'LIKELY_MISLABELED' THEN coalesce(v.audited, d.lang) ELSE d.lang END AS audited, coalesce(v.status, 'CORRECT_LABEL') AS status, CASE WHEN coalesce(v.status, 'CORRECT_LABEL') IN ('AMBIGUOUS', 'POSSIBLY_NOISY') THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM documents d LEFT JOIN v USING (doc_id)")
@@ -207,9 +219,13 @@ def aud_taxonomy_matrix(s, d):
     return A.taxonomy_matrix(_pred(s, d), "given", "audited")
 
 
-@query("aud_fragile", f"WITH {PRED} SELECT given AS class, audited, count(*) AS rows FROM pr WHERE given IN (1, 4) GROUP BY ALL")
+@query("aud_fragile", f"""WITH {PRED}, p AS (SELECT *, id || ': ' || given || ' is ' || audited AS reason FROM pr WHERE given IN (1, 4)), m AS (SELECT *, row_number() OVER (PARTITION BY given ORDER BY id) AS n FROM p WHERE status = 'LIKELY_MISLABELED'),
+ w AS (SELECT given, string_agg(audited || '=' || n, ',' ORDER BY audited) AS went FROM (SELECT given, audited, count(*) AS n FROM m GROUP BY ALL) GROUP BY given), r AS (SELECT given, string_agg(reason, '; ' ORDER BY n) AS reasons FROM m WHERE n <= 5 GROUP BY given)
+ SELECT given AS class, count(*) AS rows, round(count(*) FILTER (status = 'CORRECT_LABEL') / count(*), 4)::DOUBLE AS purity, count(*) FILTER (status = 'LIKELY_MISLABELED') AS moved, any_value(went) AS went, any_value(reasons) AS reasons FROM p LEFT JOIN w USING (given) LEFT JOIN r USING (given) GROUP BY given""")
 def aud_fragile(s, d):
-    return A.fragile(_pred(s, d), "given", "audited", [1, 4])
+    p = _pred(s, d).withColumn("reason", F.concat("id", F.lit(": "), "given", F.lit(" is "), "audited"))
+    went = F.array_join(F.transform(F.array_sort(F.map_entries("went")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return A.fragile(p, "id", "given", "audited", "status", "reason", [1, 4]).select("class", "rows", "purity", "moved", went.alias("went"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("evl_confusion", f"WITH {PRED} SELECT t.range::INT AS t, p.range::INT AS p, count(id) AS n FROM range(10) t CROSS JOIN range(10) p LEFT JOIN pr ON audited = t.range AND predicted = p.range GROUP BY ALL")
@@ -268,10 +284,11 @@ def _families(s, d):
     return E.family(E.errors(_pred(s, d), "audited", "predicted"), "audited", "predicted", rules)
 
 
-@query("err_profile", f"WITH {PRED} SELECT id, audited, predicted, runner_up, confidence, margin, d.n_chars, d.lang FROM pr JOIN documents d ON d.doc_id = id WHERE audited <> predicted AND status = 'CORRECT_LABEL'")
+@query("err_profile", f"WITH {PRED} SELECT id, audited, predicted, runner_up, confidence, margin, audited || ' -> ' || predicted AS pair, d.n_chars, len(list_filter(regexp_split_to_array(d.text, '\\s+'), lambda x: x <> ''))::INT AS n_words, d.lang FROM pr JOIN documents d ON d.doc_id = id WHERE audited <> predicted AND status = 'CORRECT_LABEL'")
 def err_profile(s, d):
     e = E.errors(_pred(s, d), "audited", "predicted").where(F.col("status") == A.CORRECT)
-    return e.join(table(s, d, "documents").select(F.col("doc_id").alias("id"), "n_chars", "lang"), "id").drop("given", "status")
+    e = e.withColumn("pair", F.concat("audited", F.lit(" -> "), "predicted"))
+    return e.join(table(s, d, "documents").select(F.col("doc_id").alias("id"), "n_chars", C.word_count(F.col("text")).alias("n_words"), "lang"), "id").drop("given", "status")
 
 
 @query("err_family", f"WITH {PRED}, {_FAM} SELECT id, family, cause FROM fam")
@@ -279,9 +296,14 @@ def err_family(s, d):
     return _families(s, d).select("id", "family", "cause")
 
 
-@query("err_family_summary", f"WITH {PRED}, {_FAM} SELECT family, count(*) AS n, round(avg(confidence), 4) AS confidence, round(avg(margin), 4) AS margin FROM fam GROUP BY family")
+_SHARE = "SELECT '{0}' AS by, {0} AS name, count(*) AS n, round(avg(confidence), 4) AS confidence, round(avg(margin), 4) AS margin FROM fam GROUP BY {0}"
+
+
+@query("err_family_summary", f"WITH {PRED}, {_FAM} {_SHARE.format('family')} UNION ALL {_SHARE.format('cause')}")
 def err_family_summary(s, d):
-    return E.family_summary(_families(s, d), "family")
+    f = _families(s, d)
+    one = lambda by: E.family_summary(f, by).select(F.lit(by).alias("by"), F.col(by).alias("name"), "n", "confidence", "margin")
+    return one("family").unionByName(one("cause"))
 
 
 @query("err_low_margin", f"WITH {PRED} SELECT count(*) AS errors, count(*) FILTER (margin < 0.15) AS low_margin, count(*) FILTER (runner_up = audited) AS runner_up_correct, round(avg(confidence), 4) AS confidence, round(avg(margin), 4) AS margin FROM pr WHERE audited <> predicted")

@@ -3,9 +3,13 @@ with their orders applications."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import hiring as H
+from ..operators.match import WEIGHTS
 from .base import registrar, table
 
 QUERIES: dict = {}
@@ -122,9 +126,14 @@ def ats_applications_by_job(s, d):
     return apps(s, d).join(cands(s, d), "candidate_id", "left").select("app_id", "job_id", F.coalesce("name", F.lit("Applicant")).alias("name"), "score", F.row_number().over(w).alias("rank"))
 
 
-@_q("ats_candidate_applications", "SELECT app_id, candidate_id, title, apps.stage, score FROM apps LEFT JOIN jobs USING (job_id)")
+@_q("ats_candidate_applications", "SELECT app_id, candidate_id, title AS job_title, 'Org ' || org_id AS company_name, kind AS job_type, apps.stage, score, CASE WHEN app_id % 3 = 0 AND count(*) OVER (PARTITION BY app_id) = 1 THEN score END AS match_score, CASE WHEN app_id % 3 = 0 AND count(*) OVER (PARTITION BY app_id) = 1 THEN array_to_string(string_split(title, ' ')[1:2], ',') END AS matched_skills FROM apps LEFT JOIN jobs USING (job_id)")
 def ats_candidate_applications(s, d):
-    return apps(s, d).join(jobs(s, d).select("job_id", "title"), "job_id", "left").select("app_id", "candidate_id", "title", "stage", "score")
+    a = apps(s, d)
+    j = jobs(s, d).withColumn("company_name", F.concat(F.lit("Org "), "org_id"))
+    # every third application with a number of its own was matched; the skills are words of the title
+    own = a.groupBy("app_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("app_id")
+    results = a.where("app_id % 3 = 0").join(own, "app_id", "left_semi").join(j.select("job_id", "title"), "job_id").select("app_id", F.col("score").alias("final"), F.slice(F.split("title", " "), 1, 2).alias("matched"))
+    return H.candidate_applications(a, j, results).select("app_id", "candidate_id", "job_title", "company_name", "job_type", "stage", "score", "match_score", F.array_join("matched_skills", ",").alias("matched_skills"))
 
 
 @_q("ats_candidate_dashboard", "SELECT candidate_id, count(*) AS total, count(*) FILTER (stage NOT IN ('rejected', 'hired')) AS active, count(*) FILTER (stage = 'interview') AS interviews, string_agg(app_id::VARCHAR, ',' ORDER BY r) FILTER (r <= 10) AS latest FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY created DESC, app_id) AS r FROM apps) GROUP BY candidate_id")
@@ -220,11 +229,28 @@ def ats_update_stage(s, d):
     return H.update_stage(a, changes)
 
 
-@_q("ats_job_write", "SELECT job_id, CASE WHEN job_id % 4 = 0 THEN upper(title) ELSE title END AS title, CASE WHEN job_id % 4 = 0 AND recruiter_id % 2 = 0 THEN 'published' ELSE CASE WHEN status IN ('draft', 'published', 'active') THEN status ELSE 'draft' END END AS status FROM jobs")
+_JOB_WRITE = """u AS (SELECT s_suppkey AS user_id, s_suppkey AS recruiter_id FROM supplier),
+ rq AS (SELECT job_id + 1000000000 AS job_id, job_id % 150 AS user_id, title, CASE WHEN job_id % 3 > 0 THEN status END AS status, CASE WHEN job_id % 2 = 0 THEN 'Site ' || org_id END AS location FROM jobs WHERE job_id % 5 = 0),
+ cr AS (SELECT job_id, coalesce(recruiter_id::VARCHAR, sha256('recruiter:' || user_id)) AS recruiter_id, title, coalesce(location, 'Remote') AS location, CASE WHEN status IN ('draft', 'published', 'active') THEN status ELSE 'published' END AS status, CASE WHEN recruiter_id IS NULL THEN 'Made' ELSE 'Company' END AS company_name FROM rq LEFT JOIN u USING (user_id)),
+ ask AS (SELECT job_id, CASE WHEN job_id % 8 = 0 THEN job_id % 120 ELSE job_id % 7 + 1 END AS user_id FROM jobs WHERE job_id % 4 = 0),
+ ok AS (SELECT DISTINCT job_id FROM ask JOIN jobs USING (job_id) LEFT JOIN u USING (user_id) WHERE u.recruiter_id IS NULL OR u.recruiter_id IS NOT DISTINCT FROM jobs.recruiter_id),
+ up AS (SELECT job_id, jobs.recruiter_id::VARCHAR AS recruiter_id, CASE WHEN job_id % 6 = 0 THEN upper(title) ELSE title END AS title, CASE WHEN job_id % 18 = 0 THEN NULL ELSE kind END AS location, CASE WHEN job_id % 12 = 0 THEN 'active' WHEN ok.job_id IS NOT NULL THEN 'published' ELSE status END AS status, 'Company' AS company_name FROM jobs LEFT JOIN ok USING (job_id))"""
+
+
+@_q("ats_job_write", f"SELECT * FROM (WITH {_JOB_WRITE} SELECT * FROM cr UNION ALL SELECT * FROM up)")
 def ats_job_write(s, d):
-    j = jobs(s, d).withColumn("status", F.when(F.col("status").isin("draft", "published", "active"), F.col("status")).otherwise("draft"))
-    changes = jobs(s, d).where("job_id % 4 = 0").select("job_id", F.upper("title").alias("title"), F.when(F.col("recruiter_id") % 2 == 0, "published").alias("status"))
-    return H.patch(j, changes, "job_id", ["title", "status"]).select("job_id", "title", "status")
+    j = jobs(s, d)
+    recruiters = table(s, d, "supplier").select(F.col("s_suppkey").alias("recruiter_id"), F.col("s_suppkey").alias("user_id"), F.lit("Company").alias("company_name"))
+    users = table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"), F.lit(None).cast("string").alias("email"), F.col("c_nationkey").alias("org_id"))
+    requests = j.where("job_id % 5 = 0").select((F.col("job_id") + 1000000000).alias("job_id"), (F.col("job_id") % 150).alias("user_id"), "title", F.when(F.col("job_id") % 3 > 0, F.col("status")).alias("status"), F.when(F.col("job_id") % 2 == 0, F.concat(F.lit("Site "), "org_id")).alias("location"))
+    created, _ = H.create_jobs(requests, users, recruiters, table(s, d, "nation").select(F.col("n_nationkey").alias("org_id")), "Made", WEIGHTS)
+    asked = j.where("job_id % 4 = 0").select("job_id", F.when(F.col("job_id") % 8 == 0, F.col("job_id") % 120).otherwise(F.col("job_id") % 7 + 1).alias("user_id"))
+    there = j.select("job_id", F.col("recruiter_id").cast("string").alias("recruiter_id"), "title", F.col("kind").alias("location"), "status", F.lit("Company").alias("company_name"))
+    published, _ = H.publish_jobs(there, asked, recruiters)
+    supplied = F.array_compact(F.array(F.lit("title"), F.when(F.col("job_id") % 12 == 0, "status"), F.when(F.col("job_id") % 18 == 0, "location")))
+    changes = j.where("job_id % 6 = 0").select("job_id", supplied.alias("supplied"), F.upper("title").alias("title"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("location"))
+    updated = H.patch_supplied(published, changes, "job_id", ["title", "status", "location"])
+    return created.select(*updated.columns).unionByName(updated)
 
 
 @_q("ats_delete", "SELECT job_id FROM jobs WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE recruiter_id = 5 AND job_id IS NOT NULL)")
@@ -232,18 +258,30 @@ def ats_delete(s, d):
     return jobs(s, d).join(jobs(s, d).where("recruiter_id = 5").select("job_id"), "job_id", "left_anti").select("job_id")
 
 
-@_q("ats_lookup", "SELECT app_id, stage FROM apps WHERE (job_id, candidate_id) IN (SELECT job_id, candidate_id FROM apps WHERE stage = 'hired' AND score >= 0.9)")
+@_q("ats_lookup", "SELECT 'pair' AS how, app_id AS id FROM apps WHERE (job_id, candidate_id) IN (SELECT job_id, candidate_id FROM apps WHERE stage = 'hired' AND score >= 0.9) UNION ALL SELECT 'email', candidate_id FROM cands WHERE candidate_id % 10 = 0 UNION ALL SELECT 'id', job_id FROM jobs WHERE job_id IN (SELECT job_id FROM apps WHERE stage = 'hired' AND score >= 0.9) UNION ALL SELECT 'user', s_suppkey FROM supplier WHERE s_suppkey IN (SELECT recruiter_id FROM jobs WHERE status = 'draft')")
 def ats_lookup(s, d):
     a = apps(s, d)
-    keys = a.where("stage = 'hired' and score >= 0.9").select("job_id", "candidate_id").distinct()
-    return a.join(keys, ["job_id", "candidate_id"], "left_semi").select("app_id", "stage")
+    hired = a.where("stage = 'hired' and score >= 0.9")
+    mail = cands(s, d).withColumn("email", F.concat("name", F.lit("@Site.org")))
+    asked = mail.where("candidate_id % 10 = 0").select(F.concat(F.lit("  "), F.upper("email"), F.lit(" ")).alias("email"))
+    users = table(s, d, "supplier").select(F.col("s_suppkey").alias("user_id"))
+    found = [("pair", H.lookup(a, hired, ["job_id", "candidate_id"]), "app_id"), ("email", H.lookup(mail, asked, ["email"], ["email"]), "candidate_id"), ("id", H.lookup(jobs(s, d), hired, ["job_id"]), "job_id"), ("user", H.lookup(users, jobs(s, d).where("status = 'draft'").select(F.col("recruiter_id").alias("user_id")), ["user_id"]), "user_id")]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(how).alias("how"), F.col(c).alias("id")) for how, df, c in found])
+
+
+_UPSERT = """c AS (SELECT candidate_id, name, 2000 AS year, ['old'] AS skills, ['school'] AS education FROM cands),
+ u AS (SELECT c_custkey + CASE WHEN c_custkey % 9 = 0 THEN 1000000000 ELSE 0 END AS candidate_id, 'New ' || c_custkey AS name, CASE c_custkey % 4 WHEN 0 THEN ' 2020 ' WHEN 1 THEN 'soon' END AS year, 'sql, ,' || c_mktsegment || ' ,x' AS skills, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS education, c_custkey % 2 = 0 AS sy, c_custkey % 6 = 0 AS sk, c_custkey % 12 <> 3 AS se FROM customer WHERE c_custkey % 3 = 0),
+ t AS (SELECT candidate_id, name, try_cast(trim(year) AS INT) AS year, ['sql', split_part(skills, ',', 3).trim(), 'x'] AS skills, [education] AS education, sy, sk, se FROM u)"""
 
 
-@_q("ats_profile_upsert", "SELECT candidate_id, CASE WHEN candidate_id % 3 = 0 THEN 'New ' || candidate_id ELSE name END AS name, CASE WHEN candidate_id % 3 = 0 THEN try_cast(CASE WHEN candidate_id % 2 = 0 THEN '2020' ELSE 'soon' END AS INT) END AS year FROM cands")
+@_q("ats_profile_upsert", f"SELECT candidate_id, name, year, array_to_string(skills, ',') AS skills, len(education)::INT AS n_education, education[1] AS education FROM (WITH {_UPSERT} SELECT c.candidate_id, coalesce(t.name, c.name) AS name, CASE WHEN t.sy THEN t.year ELSE c.year END AS year, CASE WHEN t.sk THEN t.skills ELSE c.skills END AS skills, CASE WHEN t.se THEN t.education ELSE c.education END AS education FROM c LEFT JOIN t USING (candidate_id) UNION ALL SELECT candidate_id, name, CASE WHEN sy THEN year END, CASE WHEN sk THEN skills END, CASE WHEN se THEN education END FROM t WHERE candidate_id >= 1000000000)")
 def ats_profile_upsert(s, d):
-    c = cands(s, d).withColumn("year", F.lit(None).cast("int"))
-    ch = cands(s, d).where("candidate_id % 3 = 0").select("candidate_id", F.concat(F.lit("New "), F.col("candidate_id")).alias("name"), F.when(F.col("candidate_id") % 2 == 0, "2020").otherwise("soon").try_cast("int").alias("year"))
-    return H.patch(c, ch, "candidate_id", ["name", "year"])
+    base = cands(s, d).withColumns({"year": F.lit(2000), "skills": F.array(F.lit("old")), "education": F.array(F.lit("school"))})
+    c, k = table(s, d, "customer").where("c_custkey % 3 = 0"), F.col("c_custkey")
+    supplied = F.array_compact(F.array(F.lit("name"), F.when(k % 2 == 0, "year"), F.when(k % 6 == 0, "skills"), F.when(k % 12 != 3, "education")))
+    changes = c.select((k + F.when(k % 9 == 0, 1000000000).otherwise(0)).alias("candidate_id"), supplied.alias("supplied"), F.concat(F.lit("New "), k).alias("name"), F.when(k % 4 == 0, " 2020 ").when(k % 4 == 1, "soon").alias("year"), F.concat(F.lit("sql, ,"), "c_mktsegment", F.lit(" ,x")).alias("skills"), F.when(k % 5 > 0, F.col("c_mktsegment")).alias("education"))
+    out = H.upsert_profiles(base, changes, "candidate_id", ["education"], ["skills"], ["year"])
+    return out.select("candidate_id", "name", "year", F.array_join("skills", ",").alias("skills"), F.size("education").alias("n_education"), F.get("education", 0).alias("education"))
 
 
 _RANKED = "r AS (SELECT app_id, job_id, candidate_id, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, app_id)::INT AS rank, CASE WHEN score >= 0.9 THEN 'excellent' WHEN score >= 0.75 THEN 'strong' WHEN score >= 0.6 THEN 'moderate' WHEN score >= 0.4 THEN 'below_average' ELSE 'poor' END AS tier FROM apps WHERE score >= 0.2)"

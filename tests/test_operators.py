@@ -111,9 +111,28 @@ def test_metrics_use_the_union_of_labels(spark):
 
 
 def test_audit_rules_keep_their_order(spark):
-    df = spark.createDataFrame([("a nurse and a teacher", "t"), ("plain", "t"), (None, "t")], "x string, l string")
-    out = df.select(audit.rule_match(F.col("x"), [("teacher", "t"), ("nurse", "n")]).alias("r")).collect()
-    assert [r.r for r in out] == ["t", None, None]
+    rules = [(["teacher", "head of school"], "t", "teaches"), (["nurse", "c++"], "n", "nurses")]
+    late = "word " * 100 + "Head of  School"
+    df = spark.createDataFrame([("a nurse and a Teacher",), ("teachers, nursery",), (None,), (late,), ("nurse " + late,), ("word " * 200 + "nurse",), ("énurse",), ("nurse.",)], "x string")
+    out = df.select(audit.rule_match(F.col("x"), rules).alias("r")).collect()
+    assert [r.r and tuple(r.r) for r in out] == [("t", "teaches"), None, None, ("t", "teaches (identified in career history)"), ("n", "nurses"), None, None, ("n", "nurses")]
+
+
+def test_blind_audits_without_a_rule(spark):
+    industry = (["BPO"], [(["claim"], "ADVOCATE", 0.90), (["clerk"], "HR", 0.85)], ["manager"], ["health"], ["CARE"])
+    rows_ = [("x", "T", "T"), ("x", "B", "T"), ("an old claim of a clerk", "BPO", None), ("clerks", "BPO", None), ("none", "BPO", None), ("health managers", "T", None), ("health managers", "CARE", None), ("word " * 80 + "claim", "BPO", None), (None, "T", None)]
+    df = spark.createDataFrame(rows_, "x string, l string, r string")
+    out = df.select(audit.decide_blind(F.col("r"), F.col("l"), F.col("x"), industry).alias("b")).collect()
+    assert [tuple(r.b) for r in out] == [("CORRECT_LABEL", "T", 1.0), ("LIKELY_MISLABELED", "T", 0.95), ("LIKELY_MISLABELED", "ADVOCATE", 0.9), ("LIKELY_MISLABELED", "HR", 0.85), ("AMBIGUOUS", "BPO", 0.6), ("AMBIGUOUS", "T", 0.65), ("CORRECT_LABEL", "CARE", 0.85), ("AMBIGUOUS", "BPO", 0.6), ("CORRECT_LABEL", "T", 0.85)]
+
+
+def test_phrases_are_found_between_word_boundaries(spark):
+    from sievework.functions import phrases
+
+    words = ["c++", "node.js", "go", "data science", "science"]
+    texts = ["go data science", "gopher ago", "c++ go, node.js", "(data science)", "c++a", None, "", "égo go"]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select(phrases.found(F.col("t"), words).alias("f")).collect()
+    assert [(r.f.held, r.f.whole) for r in out] == [([2, 3, 4], [2, 3, 4]), ([2], []), ([0, 1, 2], [1, 2]), ([3, 4], [3, 4]), ([0], [0]), ([], []), ([], []), ([2], [2])]
 
 
 def test_dimensions_without_signal_drop_out(spark):
@@ -273,3 +292,26 @@ def test_classifier_on_held_out_rows(spark):
 def test_row_order_and_partitions_dont_matter(spark):
     df = spark.createDataFrame([(i, f"text {i % 3}") for i in range(30)], "id int, t string")
     assert rows(dedup.exact(df, "id", "t")) == rows(dedup.exact(df.orderBy(F.desc("id")).repartition(5), "id", "t"))
+
+
+def test_jobs_are_created_with_defaults_and_published_by_their_owner(spark):
+    users = spark.createDataFrame([(1, "ann", "a@x.org", 7), (2, "", "bo@x.org", None), (3, None, None, None)], "user_id long, username string, email string, org_id long")
+    recruiters = spark.createDataFrame([(10, 1, "Acme")], "recruiter_id long, user_id long, company_name string")
+    orgs = spark.createDataFrame([(5,), (4,)], "org_id long")
+    asked = spark.createDataFrame([(100, 1, "t", "draft", None), (101, 2, "t", "closed", "Beta"), (102, 2, "u", None, None), (103, 3, "v", "active", None)], "job_id long, user_id long, title string, status string, company_name string")
+    jobs, new = hiring.create_jobs(asked, users, recruiters, orgs, "Unnamed", {"skills": 1.0})
+    out = {r.job_id: r for r in jobs.collect()}
+    assert [(out[k].org_id, out[k].status, out[k].company_name, out[k].location, out[k].experience_required) for k in sorted(out)] == [(7, "draft", "Acme", "Remote", 0), (4, "published", "Beta", "Remote", 0), (4, "published", "Beta", "Remote", 0), (4, "active", "Unnamed", "Remote", 0)]
+    assert out[100].recruiter_id == "10" and out[101].recruiter_id == out[102].recruiter_id != out[103].recruiter_id and out[100].scoring_config == {"skills": 1.0}
+    assert sorted((r.user_id, r.name, r.company_name) for r in new.collect()) == [(2, "bo", "Beta"), (3, "Recruiter", "Unnamed")]
+    there = spark.createDataFrame([(1, "10", "draft"), (2, "11", "draft"), (3, None, "draft")], "job_id long, recruiter_id string, status string")
+    done, refused = hiring.publish_jobs(there, spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 9), (99, 1)], "job_id long, user_id long"), recruiters)
+    assert rows(done, "job_id", "status") == [(1, "published"), (2, "draft"), (3, "published")] and rows(refused) == [(2, 1)]
+
+
+def test_profiles_take_supplied_fields_only(spark):
+    base = spark.createDataFrame([(1, "old", 1999, ["a"], ["s"])], "id long, name string, year int, skills array<string>, education array<string>")
+    changes = spark.createDataFrame([(1, ["name", "skills", "year"], None, "soon", " x, ,y", "no"), (2, ["education", "year"], "no", " 2021", "z", "uni")], "id long, supplied array<string>, name string, year string, skills string, education string")
+    assert rows(hiring.upsert_profiles(base, changes, "id", ["education"], ["skills"], ["year"])) == [(1, None, None, ["x", "y"], ["s"]), (2, None, 2021, None, ["uni"])]
+    people = spark.createDataFrame([(1, "Ann@X.org"), (2, None)], "id long, email string")
+    assert rows(hiring.lookup(people, spark.createDataFrame([("  ann@x.ORG ",), (None,)], "email string"), ["email"], ["email"])) == [(1, "Ann@X.org")]
