@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import ranks
 
 STAGES = ["applied", "screening", "shortlisted", "interview", "offer", "hired"]
 ADVANCED = ["shortlisted", "interview", "technical", "final", "offer", "hired"]
@@ -99,7 +100,8 @@ def candidate_search(candidates: DataFrame, applications: DataFrame, text: str =
 
 
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    """The rows of a page in order; the order should tell rows apart."""
+    return ranks.page(df, order, number, size)
 
 
 def orphan_jobs(jobs: DataFrame, recruiters: DataFrame, title: str = r"^Lead AI Engineer [0-9a-f]{8}$") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import phrases, tables
+from ..functions import phrases, ranks, tables
 from ..sources.keyed import KeyedTable
 
 #: Weights of the parts of a match, and those without required skills.
@@ -189,17 +189,19 @@ def screen(applications: KeyedTable, results: KeyedTable, scored: DataFrame, num
 
 
 def rank(results: DataFrame, group: str, value: str, key: str, least: float = 0.0) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.desc(value), key)
-    return results.where(F.col(value) >= least).withColumn("rank", F.row_number().over(w))
+    """Rows with a value from `least` on, with their rank in the group, the smaller key first on ties. A large group is ranked in several
+    tasks."""
+    return ranks.ranked(results.where(F.col(value) >= least), [group], [F.desc(value), key])
 
 
 def rank_page(ranked: DataFrame, group: str, value: str, page: int = 1, per_page: int = 50) -> DataFrame:
     """A page of each group of rank()'s rows with the page's statistics; `total` and `pages` are those of the whole group. A group
     without rows on the page has none."""
-    total = Window.partitionBy(group)
-    here = ranked.withColumn("total", F.max("rank").over(total)).where(F.col("rank").between((page - 1) * per_page + 1, page * per_page))
-    stats = {"avg_score": F.round(F.avg(value).over(total), 3), "max_score": F.round(F.max(value).over(total), 3), "min_score": F.round(F.min(value).over(total), 3), "above_80": F.count_if(F.col(value) >= 0.80).over(total)}
-    return here.withColumns(stats).withColumn("pages", F.ceil(F.col("total") / per_page).cast("int"))
+    here = ranked.where(F.col("rank").between((page - 1) * per_page + 1, page * per_page))
+    stats = {"avg_score": F.round(F.avg(value), 3), "max_score": F.round(F.max(value), 3), "min_score": F.round(F.min(value), 3), "above_80": F.count_if(F.col(value) >= 0.80)}
+    shown = here.groupBy(group).agg(*(c.alias(n) for n, c in stats.items()))
+    total = ranked.groupBy(group).agg(F.max("rank").alias("total"))
+    return here.join(total, group).join(shown, group).withColumn("pages", F.ceil(F.col("total") / per_page).cast("int"))
 
 
 def tier(value: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..operators import hiring as H
 from ..operators.match import WEIGHTS
 from .base import registrar, table
@@ -122,8 +123,9 @@ def ats_application_detail(s, d):
 def ats_applications_by_job(s, d):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("job_id").orderBy(F.desc_nulls_last("score"), "app_id")
-    return apps(s, d).join(cands(s, d), "candidate_id", "left").select("app_id", "job_id", F.coalesce("name", F.lit("Applicant")).alias("name"), "score", F.row_number().over(w).alias("rank"))
+    # line numbers repeat over orders, so the candidate tells applications of one number apart
+    ranked = ranks.ranked(apps(s, d), ["job_id"], [F.desc_nulls_last("score"), "app_id", "candidate_id"])
+    return ranked.join(cands(s, d), "candidate_id", "left").select("app_id", "job_id", F.coalesce("name", F.lit("Applicant")).alias("name"), "score", "rank")
 
 
 @_q("ats_candidate_applications", "SELECT app_id, candidate_id, title AS job_title, 'Org ' || org_id AS company_name, kind AS job_type, apps.stage, score, CASE WHEN app_id % 3 = 0 AND count(*) OVER (PARTITION BY app_id) = 1 THEN score END AS match_score, CASE WHEN app_id % 3 = 0 AND count(*) OVER (PARTITION BY app_id) = 1 THEN array_to_string(string_split(title, ' ')[1:2], ',') END AS matched_skills FROM apps LEFT JOIN jobs USING (job_id)")

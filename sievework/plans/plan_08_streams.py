@@ -120,21 +120,25 @@ def src_relational(s, d):
     return t["orders"].agg(F.count(F.lit(1)).alias("orders")).crossJoin(t["customer"].agg(F.count(F.lit(1)).alias("customers")))
 
 
-@query("src_text_docs", "SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM (SELECT source, translate(text, chr(10) || chr(13), '  ') AS text FROM documents) GROUP BY source")
+@query("src_text_docs", "SELECT doc_id, md5(text) AS h, length(text) AS chars, 'utf-8' AS encoding FROM documents WHERE lang <> 'es' UNION ALL SELECT doc_id, md5(text), length(text), CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'latin-1' ELSE 'utf-8' END FROM documents WHERE lang = 'es'")
 def src_text_docs(s, d):
     path = _folder(s, "texts")
-    # documents are lines of files of bounded size
-    table(s, d, "documents").select("source", F.translate("text", "\n\r", "  ").alias("value")).write.partitionBy("source").option("maxRecordsPerFile", 500).text(path)
-    files = S.texts(s, path + "/source=*/*.txt").select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), F.explode(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("line"))
-    return files.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("line").cast("long")).alias("chars"))
+    docs = table(s, d, "documents").select("doc_id", "text", F.when(F.col("lang") == "es", "ISO-8859-1").otherwise("UTF-8").alias("encoding"))
+    # a file for each document, whole; those in Spanish in Latin-1
+    for encoding in ("UTF-8", "ISO-8859-1"):
+        rows = docs.where(F.col("encoding") == encoding).select("doc_id", F.encode("text", encoding).alias("content"))
+        rows.mapInPandas(S.file_writer(path), "doc_id long").write.format("noop").mode("overwrite").save()
+    files = S.texts(s, path + "/*.txt")
+    return files.select(F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("long").alias("doc_id"), F.md5("text").alias("h"), F.length("text").cast("long").alias("chars"), "encoding")
 
 
-@query("src_encoding_fallback", "SELECT coalesce(max(w), 'none') AS warning, count(*) AS n, sum(length(split_part(t, ',', 1)))::BIGINT AS chars FROM (SELECT doc_id || chr(9) || translate(text, chr(9) || chr(10) || chr(13), '   ') AS t, 'read as latin-1' AS w FROM documents)")
+@query("src_encoding_fallback", "SELECT 'read as latin-1' AS warning, count(*) AS n, sum(length(CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE split_part(t, ',', 1) END))::BIGINT AS chars FROM (SELECT doc_id, doc_id || chr(9) || translate(text, chr(9) || chr(10) || chr(13), '   ') AS t FROM documents)")
 def src_encoding_fallback(s, d):
-    # a TSV in Latin-1, which the fallback reads with commas: what stands before the first one is the first column
-    path = _folder(s, "latin") + ".tsv"
-    rows = table(s, d, "documents").select("doc_id", F.translate("text", "\t\n\r", "   ").alias("text"))
-    rows.write.option("encoding", "ISO-8859-1").csv(path, sep="\t", header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    # a TSV source of files in UTF-8 and in Latin-1, which are read with commas: what stands before the first one is the first column
+    path = _folder(s, "mixed") + ".tsv"
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("clé"), F.translate("text", "\t\n\r", "   ").alias("text"))
+    for rest, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        rows.where(F.col("clé") % 2 == rest).write.mode("append").option("encoding", encoding).csv(path, sep="\t", header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     back, warning = S.load_any_encoding(s, path, "first string")
     return back.agg(F.lit(warning or "none").alias("warning"), F.count(F.lit(1)).alias("n"), F.sum(F.length("first").cast("long")).alias("chars"))
 

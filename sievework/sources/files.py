@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -49,13 +51,17 @@ def load(spark: SparkSession, path: str, schema: StructType | str | None = None,
 
 
 def load_any_encoding(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, str | None]:
-    """A delimited source and a warning. If a file of it isn't UTF-8, all are read again as Latin-1, always with a comma as separator."""
+    """A delimited source and a warning. Files that aren't UTF-8 are read as Latin-1, with a comma as separator; the others as they are.
+    Files are told apart by their paths, which the driver lists in any case."""
     kind = _suffix(guard(spark, path))
-    lines = spark.read.format("text").load(path).select(F.is_valid_utf8(F.col("value")).alias("valid"))
+    lines = spark.read.format("text").load(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    by_file = lines.groupBy("file").agg(F.bool_and("valid").alias("valid")).collect()
+    good, bad = (sorted(r.file for r in by_file if r.valid == v) for v in (True, False))
     options = {"header": True, "escape": '"', "quote": '"'}
-    if not lines.where("not valid").limit(1).count():
-        return spark.read.schema(schema).options(sep=SEPARATORS[kind], **options).csv(path), None
-    return spark.read.schema(schema).options(sep=",", encoding="ISO-8859-1", **options).csv(path), "read as latin-1"
+    parts = [spark.read.schema(schema).options(sep=SEPARATORS[kind], **options).csv(good or path)] if good or not bad else []
+    if bad:
+        parts.append(spark.read.schema(schema).options(sep=",", encoding="ISO-8859-1", **options).csv(bad))
+    return reduce(DataFrame.unionByName, parts), "read as latin-1" if bad else None
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -65,6 +71,24 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.when(valid, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1")).alias("text"), F.when(valid, "utf-8").otherwise("latin-1").alias("encoding"))
 
 
+def file_writer(folder: str):
+    """For mapInPandas over (doc_id, content): writes each content as a whole file `<doc_id>.txt` through Arrow's file systems. A task that is
+    repeated writes the same files again."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(folder)
+        store.create_dir(at, recursive=True)
+        for b in batches:
+            for i, content in zip(b["doc_id"], b["content"], strict=True):
+                with store.open_output_stream(f"{at}/{i}.txt", compression=None) as out:
+                    out.write(bytes(content))
+            yield b[["doc_id"]]
+
+    return run
+
+
 def relational(spark: SparkSession, folder: str, required: list[str]) -> dict[str, DataFrame]:
     """The required tables of a folder of Parquet tables; refused if one is missing."""
     if missing := [t for t in required if not _exists(spark, f"{folder}/{t}.parquet")]:
@@ -72,8 +96,28 @@ def relational(spark: SparkSession, folder: str, required: list[str]) -> dict[st
     return {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in required}
 
 
-def relational_jdbc(spark: SparkSession, url: str, required: list[str], **options: str) -> dict[str, DataFrame]:
-    return {t: spark.read.format("jdbc").options(url=url, dbtable=t, **options).load() for t in required}
+def relational_jdbc(spark: SparkSession, url: str, required: dict[str, str | None], partitions: int = 8, **options: str) -> dict[str, DataFrame]:
+    """The required tables of a database; refused if its catalogue lacks one. required: a table and the numeric column by whose bounds it is
+    read in so many partitions; without a column, or without rows, a table is read in one task."""
+    manager = spark._jvm.java.sql.DriverManager
+    if "driver" in options:
+        spark._jvm.java.lang.Class.forName(options["driver"])
+    connection = manager.getConnection(url, options.get("user", ""), options.get("password", "")) if "user" in options else manager.getConnection(url)
+    try:
+        found, known = connection.getMetaData().getTables(None, None, "%", None), set()
+        while found.next():
+            known.add(found.getString("TABLE_NAME").lower())
+    finally:
+        connection.close()
+    if missing := [t for t in required if t.lower().rsplit(".", 1)[-1] not in known]:
+        raise SourceError(f"missing tables: {', '.join(missing)}")
+    reader = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more)
+    out = {}
+    for name, column in required.items():
+        ends = reader(query=f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {name}").load().first() if column else None
+        bounds = {"partitionColumn": column, "lowerBound": str(ends[0]), "upperBound": str(ends[1] + 1), "numPartitions": str(partitions)} if ends and ends[0] is not None else {}
+        out[name] = reader(dbtable=name, **bounds).load()
+    return out
 
 
 def write_csv(df: DataFrame, path: str) -> None:

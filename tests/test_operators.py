@@ -315,3 +315,20 @@ def test_profiles_take_supplied_fields_only(spark):
     assert rows(hiring.upsert_profiles(base, changes, "id", ["education"], ["skills"], ["year"])) == [(1, None, None, ["x", "y"], ["s"]), (2, None, 2021, None, ["uni"])]
     people = spark.createDataFrame([(1, "Ann@X.org"), (2, None)], "id long, email string")
     assert rows(hiring.lookup(people, spark.createDataFrame([("  ann@x.ORG ",), (None,)], "email string"), ["email"], ["email"])) == [(1, "Ann@X.org")]
+
+
+def test_ranks_over_ranges_equal_windows(spark):
+    from pyspark.sql import Window
+
+    from sievework.functions import ranks
+
+    rnd = random.Random(3)
+    data = [(rnd.choice(["hot"] * 8 + ["a", "b", None]), rnd.choice([None, 0.1, 0.5, 0.5, 0.9]), i) for i in range(500)]
+    df = spark.createDataFrame(data, "g string, v double, id int").repartition(5)
+    order = [F.desc_nulls_last("v"), "id"]
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    assert sorted(rows(ranks.ranked(df, ["g"], order)), key=repr) == sorted(rows(want), key=repr)
+    every = [r.id for r in df.orderBy(*order).collect()]
+    for number, size in ((1, 7), (3, 50), (100, 5), (101, 5), (1, 1000)):
+        assert [r.id for r in ranks.page(df, order, number, size).collect()] == every[(number - 1) * size : number * size]
+    assert ranks.ranked(df.limit(0), ["g"], order).count() == 0 and ranks.page(df.limit(0), order, 1, 5).count() == 0

@@ -177,3 +177,27 @@ def test_files(spark, tmp_path):
     for bad in ("x.pdf", "none.csv"):
         with pytest.raises(files.SourceError):
             files.guard(spark, str(tmp_path / bad))
+
+
+def test_a_source_with_files_in_two_encodings(spark, tmp_path):
+    folder = tmp_path / "mixed.tsv"
+    folder.mkdir()
+    (folder / "a.tsv").write_bytes("k\tv\n1\tcafé, noir\n".encode())
+    (folder / "b.tsv").write_bytes("k\tv\n2,thé\n".encode("latin-1"))
+    (folder / "c.tsv").write_bytes(b"k\tv\n3\tplain\n")
+    back, warning = files.load_any_encoding(spark, str(folder), "k string, v string")
+    assert sorted(map(tuple, back.collect())) == [("1", "café, noir"), ("2", "thé"), ("3", "plain")] and warning == "read as latin-1"
+    (folder / "b.tsv").unlink()
+    assert files.load_any_encoding(spark, str(folder), "k string, v string")[1] is None
+
+
+def test_tables_over_jdbc_are_read_in_parts(spark):
+    url, driver = "jdbc:derby:memory:sieve;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    orders = spark.range(100).select(F.col("id").cast("int").alias("K"), (F.col("id") * 2).cast("int").alias("V"))
+    for name, df in (("ORDERS", orders), ("NOTHING", orders.limit(0)), ("SMALL", orders.limit(3))):
+        df.coalesce(1).write.format("jdbc").options(url=url, dbtable=name, driver=driver).mode("overwrite").save()
+    got = files.relational_jdbc(spark, url, {"ORDERS": "K", "NOTHING": "K", "SMALL": None}, 5, driver=driver)
+    assert got["ORDERS"].rdd.getNumPartitions() == 5 and got["SMALL"].rdd.getNumPartitions() == 1 and got["NOTHING"].count() == 0
+    same(got["ORDERS"], orders)
+    with pytest.raises(files.SourceError, match="ABSENT"):
+        files.relational_jdbc(spark, url, {"ORDERS": "K", "ABSENT": None}, driver=driver)
