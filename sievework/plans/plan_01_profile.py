@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import profile as P
 from ..operators import validate as V
 from .base import registrar, table
@@ -23,13 +24,29 @@ def _summary_sql() -> str:
         size, digits = (f"length({c})", 1) if kind == "string" else (c, 4)
         parts.append(f"""SELECT '{c}' AS "column", '{kind}' AS dtype, count(*) - count({c}) AS null_count,
             round(100.0 * (count(*) - count({c})) / count(*), 2)::DOUBLE AS null_pct, count(DISTINCT {c}) AS unique_count,
-            min({size})::DOUBLE AS least, max({size})::DOUBLE AS most, round(avg({size}), {digits}) AS mean FROM documents""")
+            min({size})::DOUBLE AS least, max({size})::DOUBLE AS most, round(avg({size}), {digits}) AS mean,
+            (SELECT string_agg(v, ' | ' ORDER BY doc_id) FROM (SELECT doc_id, substr({c}::VARCHAR, 1, 120) AS v FROM documents WHERE {c} IS NOT NULL ORDER BY doc_id LIMIT 5)) AS samples FROM documents""")
     return " UNION ALL ".join(parts)
 
 
 @query("prf_schema_summary", _summary_sql())
 def prf_schema_summary(s, d):
-    return P.schema_summary(table(s, d, "documents"))
+    return P.schema_summary(table(s, d, "documents"), "doc_id").withColumn("samples", F.array_join("samples", " | "))
+
+
+_SKETCHED = " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, min({x})::DOUBLE AS least, max({x})::DOUBLE AS most, round(avg({x}), 4)::DOUBLE AS mean, true AS distinct_is_near, true AS median_is_near FROM documents""" for c, x in ((c, f"length({c})" if k == "string" else c) for c, k in DOC_COLUMNS))
+
+
+@query("prf_sketches", _SKETCHED)
+def prf_sketches(s, d):
+    # stored for two parts of the documents and merged; the estimates are held against exact figures
+    docs = table(s, d, "documents")
+    stored = tables.stored(P.sketches(docs.where("doc_id % 3 = 0")).unionByName(P.sketches(docs.where("doc_id % 3 <> 0"))), "sketches")
+    estimated = P.from_sketches(P.merged_sketches(stored))
+    exact = P.schema_summary(docs).select("column", F.col("unique_count").alias("n"))
+    medians = docs.agg(*(F.median(F.length(c) if k == "string" else F.col(c)).alias(c) for c, k in DOC_COLUMNS)).select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("exact")) for c, _ in DOC_COLUMNS))))
+    near = lambda a, b, part: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(2.0), F.abs(F.col(b)) * part)
+    return estimated.join(exact, "column").join(medians, "column").select("column", "rows", "nulls", "least", "most", F.round("mean", 4).alias("mean"), near("unique_count", "n", 0.06).alias("distinct_is_near"), near("median", "exact", 0.1).alias("median_is_near"))
 
 
 _STATS = "SELECT '{u}' AS unit, min(n)::DOUBLE AS least, max(n)::DOUBLE AS most, round(avg(n), 2) AS mean, round(median(n), 2)::DOUBLE AS median, round(stddev_samp(n), 2) AS std FROM (SELECT {e} AS n FROM documents)"
@@ -81,12 +98,17 @@ def prf_quality_report(s, d):
     return P.quality_report(checks, P.schema_summary(docs))
 
 
-@query("prf_manifest")
+@query("prf_manifest", r"SELECT count(*) AS rows, count(DISTINCT source) AS labels, count(DISTINCT doc_id) AS ids, bit_xor(('0x' || substr(md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, '\N'), coalesce(source, '\N'), coalesce(text, '\N'))), 1, 15))::BIGINT) AS fingerprint, '42' AS seed, '1' AS version FROM documents")
 def prf_manifest(s, d):
     return P.manifest(table(s, d, "documents"), "doc_id", "source", "text", seed="42", version="1")
 
 
-@query("prf_inspection_report")
+_REPORT = f"""WITH st AS ({_STATS.format(u="chars", e="length(text)")} UNION ALL {_STATS.format(u="words", e=W.format(t="text"))}), cl AS (SELECT source, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS pct FROM documents GROUP BY source)
+ SELECT '## Text ' || unit AS section, '- least ' || least || ', most ' || most || ', mean ' || mean || ', median ' || median AS line FROM st UNION ALL SELECT '## Classes', '- ' || coalesce(source, 'null') || ': ' || n || ' (' || pct || ' %)' FROM cl
+ UNION ALL """ + " UNION ALL ".join(f"SELECT '## Nulls', '- {c}: ' || (count(*) - count({c})) FROM documents" for c, _ in DOC_COLUMNS)
+
+
+@query("prf_inspection_report", _REPORT)
 def prf_inspection_report(s, d):
     return P.inspection_report(table(s, d, "documents"), "doc_id", "source", "text")
 

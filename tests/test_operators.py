@@ -332,3 +332,19 @@ def test_ranks_over_ranges_equal_windows(spark):
     for number, size in ((1, 7), (3, 50), (100, 5), (101, 5), (1, 1000)):
         assert [r.id for r in ranks.page(df, order, number, size).collect()] == every[(number - 1) * size : number * size]
     assert ranks.ranked(df.limit(0), ["g"], order).count() == 0 and ranks.page(df.limit(0), order, 1, 5).count() == 0
+
+
+def test_sketches_of_parts_make_those_of_the_whole(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 500).alias("n"), F.concat(F.lit("t"), F.col("id")).alias("t"), F.lit(None).cast("string").alias("none"), (F.col("id") % 2 == 0).alias("flag"))
+    stored = profile.sketches(df.where("t < 't2'")).unionByName(profile.sketches(df.where("t >= 't2'"))).unionByName(profile.sketches(df.limit(0)))
+    out = {r.column: r for r in profile.from_sketches(profile.merged_sketches(stored)).collect()}
+    assert (out["n"].rows, out["n"].nulls, out["n"].least, out["n"].most) == (3000, 1000, 0.0, 499.0) and abs(out["n"].median - 250) < 15
+    assert abs(out["t"].unique_count - 3000) < 90 and out["t"].most == 5.0 and out["flag"].unique_count == 2 and out["flag"].median is None
+    assert (out["none"].nulls, out["none"].unique_count, out["none"].mean, out["none"].median) == (3000, 0, None, None)
+
+
+def test_schema_summary_counts_values_and_repeats(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "a", None), (2, None, "a"), (3, "", "b" * 200)], "id int, x string, y string")
+    out = {r.column: r for r in profile.schema_summary(df, "id", 2, 5).collect()}
+    assert (out["x"].null_count, out["x"].unique_count, out["x"].samples) == (1, 2, ["a", "a"]) and out["y"].samples == ["a", "bbbbb"] and out["id"].unique_count == 3
+    assert rows(profile.duplicate_rows(df, "id")) == [(1, 1)] and rows(profile.duplicate_rows(spark.createDataFrame([("a", None), (None, "a")], "x string, y string"), "x")) == [(0, 0)]
