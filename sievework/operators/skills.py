@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
+
+from ..functions import tables as T
 
 TOKEN = r"[a-zA-Z0-9.+#]+"
 
@@ -80,28 +83,60 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def _budget(n: int, m: int, least: float) -> int:
+    """Insertions and deletions that a ratio of at least `least` allows between strings of n and m characters."""
+    return int((1 - least / 100) * (n + m) + 1e-9)
+
+
+def _segments(m: int, least: float) -> list[tuple[int, int]]:
+    """(start, length) of the even parts of a string of m characters, one more than any string within its ratio differs in places."""
+    share = least / 100 / (2 - least / 100)
+    parts = min(m, _budget(int(m / share + 1e-9), m, least) + 1)
+    return [(i * m // parts, (i + 1) * m // parts - i * m // parts) for i in range(parts)]
+
+
+def _signatures(text: Column, least: float, known: bool) -> Column:
+    """Keys of strings, of which two within the ratio share one. A known string has its segments, by its length and their number; any
+    other has, for each length that the ratio allows, what it has near the place of each segment: of one more segment than there are
+    differences, one is untouched, and stands no further off than there are differences."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        share, parts, out = least / 100 / (2 - least / 100), {}, []
+        for t in texts.to_pylist():
+            n, keys = len(t or ""), set()
+            for m in [n] if known else range(max(1, -int(-n * share // 1)), int(n / share + 1e-9) + 1):
+                k = _budget(n, m, least)
+                for i, (start, size) in enumerate(parts.setdefault(m, _segments(m, least))):
+                    for at in [start] if known else range(max(0, start - k), min(n - size, start + k) + 1):
+                        keys.add(f"{m}:{i}:{t[at : at + size]}")
+            out.append(sorted(keys))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(run, ArrayType(StringType()))(text)
+
+
 def fuzzy(toks: DataFrame, key: str, skills: DataFrame, least: float = 92.0, min_chars: int = 4, found: DataFrame | None = None, enough: int = 3) -> DataFrame:
     """The most similar skill of each distinct token, for rows of which the other layers found fewer than `enough` skills (found: key,
-    skill). Case counts, as tokens are lower-case and skills are taken as they are written. Candidates share two neighbouring
-    characters and have a length that the ratio allows; distinct tokens are compared once for all documents."""
+    skill). Case counts, as tokens are lower-case and skills are taken as they are written. Candidates share a segment (see
+    `_signatures`); distinct tokens are compared once for all documents."""
     if found is not None:
         rich = found.groupBy(key).agg(F.count_distinct("skill").alias("n")).where(F.col("n") >= enough).select(key)
         toks = toks.join(rich, key, "left_anti")
-
-    def bigrams(c: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))))
-
-    names = toks.where(F.length("token") >= min_chars).select("token").distinct().select("token", F.explode(bigrams(F.col("token"))).alias("b"))
-    known = skills.select("skill", F.explode(bigrams(F.col("skill"))).alias("b"))
-    ratio = least / 100 / (2 - least / 100)
-    near = names.join(known, "b").where((F.length("skill") >= F.length("token") * ratio) & (F.length("token") >= F.length("skill") * ratio)).select("token", "skill").distinct()
+    names = toks.where(F.length("token") >= min_chars).select("token").distinct().select("token", F.explode(_signatures(F.col("token"), least, False)).alias("s"))
+    known = T.stored(skills.select("skill").distinct().where("skill <> ''").select("skill", F.explode(_signatures(F.col("skill"), least, True)).alias("s")), "segments")
+    few = known.limit(SEGMENTS + 1).count() <= SEGMENTS
+    near = names.join(F.broadcast(known) if few else known, "s").select("token", "skill").distinct()
     # an indel distance is at least the Levenshtein distance, which the JVM knows
     most = (1 - least / 100) * (F.length("token") + F.length("skill"))
     scored = near.where(F.levenshtein("token", "skill") <= most + 1e-9).withColumn("r", indel_ratio("token", "skill")).where(F.col("r") >= least)
-    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("r"), "skill"))).where("n = 1").select("token", "skill")
+    best = scored.groupBy("token").agg(F.min_by("skill", F.struct(-F.col("r"), "skill")).alias("skill"))
     return toks.join(best, "token").select(key, "skill").distinct()
 
 
+#: Segments of a dictionary that are broadcast after they were counted.
+SEGMENTS = 1 << 18
+
+
 def extract(*layers: DataFrame, key: str) -> DataFrame:
     """Sorted distinct union of the layers."""
     out = layers[0]

@@ -348,3 +348,18 @@ def test_schema_summary_counts_values_and_repeats(spark):
     out = {r.column: r for r in profile.schema_summary(df, "id", 2, 5).collect()}
     assert (out["x"].null_count, out["x"].unique_count, out["x"].samples) == (1, 2, ["a", "a"]) and out["y"].samples == ["a", "bbbbb"] and out["id"].unique_count == 3
     assert rows(profile.duplicate_rows(df, "id")) == [(1, 1)] and rows(profile.duplicate_rows(spark.createDataFrame([("a", None), (None, "a")], "x string, y string"), "x")) == [(0, 0)]
+
+
+@pytest.mark.parametrize("least", [92.0, 80.0, 65.0])
+def test_fuzzy_skills_equal_a_comparison_of_all(spark, least):
+    rnd = random.Random(int(least))
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 26))) for _ in range(60)] + ["", "é" * 9]
+    tokens = [(k, "".join(c for c in w if rnd.random() > 0.06) + rnd.choice(["", "a", "bc"])) for k, w in enumerate(words * 3)] + [(999, "é" * 10)]
+    ratio = lambda a, b: skills.indel_ratio.func(__import__("pandas").Series([a]), __import__("pandas").Series([b]))[0]
+    want = set()
+    for k, t in tokens:
+        best = min(((-ratio(t, w), w) for w in words if w), default=None) if len(t) >= 4 else None
+        if best and -best[0] >= least:
+            want.add((k, best[1]))
+    out = skills.fuzzy(spark.createDataFrame(tokens, "id long, token string"), "id", spark.createDataFrame([(w,) for w in words], "skill string"), least)
+    assert set(rows(out)) == want and len(want) > 10
