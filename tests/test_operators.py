@@ -157,7 +157,7 @@ def test_skills(spark):
 def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "spark sql spark"), (2, "pandas")], "id long, text string")
     q = spark.createDataFrame([(9, "spark")], "id long, text string")
-    assert [r.id for r in retrieve.bm25(docs, q).collect()] == [1]
+    assert [r.id for r in retrieve.bm25(docs, q, 5).collect()] == [1]
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "id long, vector array<double>")
     top = retrieve.topk(v, v.where("id = 1"), 3)
     assert [r.id for r in top.orderBy("rank").collect()] == [1, 2, 3]
@@ -363,3 +363,23 @@ def test_fuzzy_skills_equal_a_comparison_of_all(spark, least):
             want.add((k, best[1]))
     out = skills.fuzzy(spark.createDataFrame(tokens, "id long, token string"), "id", spark.createDataFrame([(w,) for w in words], "skill string"), least)
     assert set(rows(out)) == want and len(want) > 10
+
+
+@pytest.mark.parametrize(("k", "sample"), [(3, 1), (3, 4), (1, 1), (500, 2)])
+def test_bm25_keeps_the_best_of_all_scores(spark, k, sample):
+    rnd = random.Random(k)
+    words = ["the"] * 30 + ["of"] * 10 + [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 60)))) for i in range(200)] + [(500, None), (501, ""), (502, "the"), (503, "the")]
+    queries = [(1, "w1 w2 the"), (2, "the"), (3, "of w3 w3 W4 the"), (4, "absent"), (5, None)]
+    want = []
+    for q, text in queries:
+        scores = {}
+        for i, t in docs:
+            own = (t or "").split()
+            s = sum(own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.25 + 0.75 * len(own) / 50)) for w in (text or "").lower().split())
+            if s:
+                scores[i] = s
+        best = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:k]
+        want += [(q, i, round(scores[i], 6), n + 1) for n, i in enumerate(best)]
+    out = retrieve.bm25(spark.createDataFrame(docs, "id long, text string").repartition(7), spark.createDataFrame(queries, "id long, text string"), k, sample=sample)
+    assert sorted((r.query, r.id, round(r.score, 6), r["rank"]) for r in out.collect()) == sorted(want)
