@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+import pyarrow as pa
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, Vector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +16,35 @@ from ..functions import columns as C
 from ..functions import tables as T
 
 
+class FrequentTerms(Estimator):
+    """The vocabulary of `_terms`: of the terms that stand in `least` rows or more, the `terms` most frequent, ties by the term itself.
+    Terms are counted where they stand; only the vocabulary, of a bounded size, reaches the driver. The model counts them in `_counts`."""
+
+    def __init__(self, terms: int, least: int) -> None:
+        super().__init__()
+        self.terms, self.least = terms, least
+
+    def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
+        # each place of a term, and each term once for its row
+        marked = lambda terms, rows: F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(rows).alias("rows")))
+        places = dataset.select(F.inline(F.concat(marked("_terms", 0), marked(F.array_distinct("_terms"), 1))))
+        counts = places.groupBy("term").agg(F.count_if(F.col("rows") == 0).alias("n"), F.sum("rows").alias("rows"))
+        most = counts.where(F.col("rows") >= self.least).orderBy(F.desc("n"), "term").limit(self.terms).collect()
+        return CountVectorizerModel.from_vocabulary([r.term for r in most], inputCol="_terms", outputCol="_counts")
+
+
 class Sublinear(Transformer):
-    """1 + ln of the counts of `_counts`, in `_tf`; only what is not 0 is touched."""
+    """1 + ln of the counts of `_counts`, in `_tf`; only what is not 0 is touched, and each Arrow batch as one array."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        scaled = F.udf(lambda v: _log_counts(v), VectorUDT())
-        return dataset.withColumn("_tf", scaled("_counts"))
+        return dataset.withColumn("_tf", F.arrow_udf(_log_counts, VectorUDT())("_counts"))
 
 
-def _log_counts(v: Vector) -> SparseVector:
-    v = v if isinstance(v, SparseVector) else SparseVector(len(v), [(i, x) for i, x in enumerate(v.toArray()) if x])
-    return SparseVector(v.size, v.indices, 1 + np.log(v.values))
+def _log_counts(counts: pa.Array) -> pa.Array:
+    """Sparse vectors as Arrow stores them: kind, size, indices and values."""
+    kind, size, indices, values = (counts.field(i) for i in range(4))
+    logs = pa.array(1 + np.log(values.values.to_numpy(zero_copy_only=False)))
+    return pa.StructArray.from_arrays([kind, size, indices, pa.ListArray.from_arrays(values.offsets, logs, type=values.type)], fields=list(counts.type), mask=counts.is_null())
 
 
 class Embedding(Transformer):
@@ -39,13 +58,13 @@ class Embedding(Transformer):
         return dataset.withColumn("_embedding", array_to_vector(F.transform(C.hash_embedding(F.col("text")), lambda x: x * self.scale)))
 
 
-def features(terms: int = 5000, least: float = 2.0, embedding: float = 0.3) -> Pipeline:
+def features(terms: int = 5000, least: int = 2, embedding: float = 0.3) -> Pipeline:
     """In `features`: words and pairs of words of `text` with sublinear counts, weighted by idf, of length 1, and beside them the embedding
     times `embedding` (none if that is 0)."""
     tokens = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
     both = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
-    counts = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=terms, minDF=least)
+    counts = FrequentTerms(terms, least)
     weighed = [Sublinear(), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_unit")]
     parts = [Embedding(embedding), VectorAssembler(inputCols=["_unit", "_embedding"], outputCol="features")] if embedding else [VectorAssembler(inputCols=["_unit"], outputCol="features")]
     return Pipeline(stages=[tokens, pairs, both, counts, *weighed, *parts])

@@ -171,7 +171,7 @@ def spl_stratified_group(s, d):
     return _split(s, d).select("doc_id", "lang", "_split")
 
 
-@query("spl_ratio_guard")
+@query("spl_ratio_guard", f"WITH {_SPLIT.replace('n * 0.15', 'n * 0.1')} SELECT _split, count(*) AS count FROM sp GROUP BY _split")
 def spl_ratio_guard(s, d):
     return L.split(_docs(s, d).select("doc_id", "lang", F.md5("text").alias("g")), "g", "lang", (0.8, 0.1, 0.1)).groupBy("_split").count()
 

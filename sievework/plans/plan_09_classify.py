@@ -16,15 +16,31 @@ def _docs(s, d):
     return table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", F.when(F.col("doc_id") % 11 == 0, 0.5).otherwise(1.0).alias("weight"))
 
 
-@query("occ_features")
+_FEATURES = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 2) AS w FROM documents),
+ t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+ c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL),
+ v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) AS idf FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY sum(n) DESC, term LIMIT 5000),
+ x AS (SELECT doc_id, term, (1 + ln(n)) * idf AS x FROM c JOIN v USING (term)),
+ f AS (SELECT doc_id, count(*) FILTER (x <> 0)::INT AS terms, sum(x) / sqrt(sum(x * x)) AS weights, max(x) / sqrt(sum(x * x)) AS heaviest FROM x GROUP BY doc_id),
+ e AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')[1:768], lambda x: (list_sum(list_transform(string_split(x, ''), lambda c: unicode(c)))::BIGINT % 100) / 100.0::DOUBLE) AS e FROM documents),
+ m AS (SELECT doc_id, 0.3 * list_sum(list_transform(range(1, len(e) + 1), lambda i: i * e[i])) / nullif(sqrt(list_sum(list_transform(e, lambda y: y * y))), 0) AS embedding FROM e)
+ SELECT doc_id, coalesce(terms, 0)::INT AS terms, round(coalesce(weights, 0), 6) AS weights, round(coalesce(heaviest, 0), 6) AS heaviest, round(coalesce(embedding, 0), 4) AS embedding FROM documents LEFT JOIN f USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+@query("occ_features", _FEATURES)
 def occ_features(s, d):
+    """Of the features of each document: terms with a weight, the sum of the weights, the largest, and the embedding as a sum weighted
+    by place, so that no two dimensions can be exchanged."""
     from pyspark.ml.functions import vector_to_array
 
     from ..operators import classify as K
 
     docs = _docs(s, d)
-    out = K.features().fit(docs).transform(docs)
-    return out.select("doc_id", F.size(F.filter(vector_to_array("features"), lambda x: x != 0)).alias("terms"))
+    found = K.features().fit(docs).transform(docs)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    terms, embedded = vector_to_array("_unit"), vector_to_array("_embedding")
+    held = found.select("doc_id", F.filter(terms, lambda x: x != 0).alias("x"), F.transform(embedded, lambda x, i: x * (i + 1)).alias("e"))
+    return held.select("doc_id", F.size("x").alias("terms"), F.round(total("x"), 6).alias("weights"), F.round(F.coalesce(F.array_max("x"), F.lit(0.0)), 6).alias("heaviest"), F.round(total("e"), 4).alias("embedding"))
 
 
 @query("occ_train")

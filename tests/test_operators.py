@@ -289,6 +289,20 @@ def test_classifier_on_held_out_rows(spark):
         assert best.where((F.col("c") == F.when(F.col("id") % 2 == 0, "a").otherwise("b")) & (F.abs(F.col("p") - 1) < 1e-6)).count() == 20
 
 
+def test_vocabulary_and_sublinear_counts(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from sievework.operators import classify
+
+    df = spark.createDataFrame([(1, "bb aa aa aa"), (2, "bb aa"), (3, "cc dd dd"), (4, "cc dd"), (5, "alone alone alone alone"), (6, "")], "id int, text string")
+    model = classify.features(terms=4, embedding=0).fit(df)
+    # aa 4, dd 3, then the first of those with 2 by name, in any order of the rows; a word of one row is none
+    assert model.stages[3].vocabulary == ["aa", "dd", "bb", "bb aa"] == classify.features(terms=4, embedding=0).fit(df.orderBy(F.desc("id")).repartition(3)).stages[3].vocabulary
+    tf = {r.id: [round(x, 9) for x in r.tf] for r in model.transform(df.repartition(2)).select("id", vector_to_array("_tf").alias("tf")).collect()}
+    three, two = round(1 + math.log(3), 9), round(1 + math.log(2), 9)
+    assert tf == {1: [three, 0, 1, 1], 2: [1, 0, 1, 1], 3: [0, two, 0, 0], 4: [0, 1, 0, 0], 5: [0] * 4, 6: [0] * 4}
+
+
 def test_row_order_and_partitions_dont_matter(spark):
     df = spark.createDataFrame([(i, f"text {i % 3}") for i in range(30)], "id int, t string")
     assert rows(dedup.exact(df, "id", "t")) == rows(dedup.exact(df.orderBy(F.desc("id")).repartition(5), "id", "t"))
