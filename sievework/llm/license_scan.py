@@ -7,7 +7,8 @@ words long and start at every multiple of c, so each run of c words stands in on
 order, rarest in the corpus first, by document counts over all documents. A block that holds a share `threshold` of a template's
 distinct tokens holds one of its prefix, the first size - need + 1 tokens; the length filter drops blocks with fewer template
 tokens than needed, the positional filter drops matches after which too few tokens are left on either side, and the rest is
-verified.
+verified. The blocks of templates of up to `SHORT` words are far longer than these, so a few common words could meet in them by
+chance: such a template must also hold its share within a run of words / threshold words of the block, of which the score is taken.
 
 Templates and phrases are small inputs of bounded size. Results: null or empty texts have no words, no places and score 0;
 repeated rows get equal results; an empty table gives an empty one. Extra columns are ignored.
@@ -70,6 +71,8 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 LEAST_CLASS = 8
+#: Templates of up to so many words are looked for in runs of their own length.
+SHORT = 16
 
 
 def _class(words: int) -> int:
@@ -79,6 +82,11 @@ def _class(words: int) -> int:
     return size
 
 
+def _run(words: int, threshold: float) -> int:
+    """Words of a run that may hold a template of `words` words."""
+    return ceil(words / threshold - 1e-9)
+
+
 def _template_rows(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[int, str, list[str], int]]:
     """Number, label, distinct words and count of words of each template, by the words' own definition. As many rows as templates."""
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, label string, text string")
@@ -106,7 +114,7 @@ def _all(conditions: list[Column]) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9, phrases: list | None = None, templates: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Two frames. Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest share of a
-    template that a block holds; 1 for a phrase). Per match: _id, _h, size and start (words) of the block, label, template, score."""
+    template that a block, or a run if it is short, holds; 1 for a phrase). Per match: _id, _h, size and start (words) of the block, label, template, score."""
     spark = docs.sparkSession
     phrases = [(p.split(" "), label) for p, label in (phrases or PHRASES)]
     rows = _template_rows(spark, templates or TEMPLATES)
@@ -129,8 +137,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     counts = seen.select(F.explode("present").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     df = {r.token: r.df for r in counts.collect()}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (df.get(w, 0), w)))}
-    ordered = spark.createDataFrame([(t, label, sorted(tokens, key=rank.get), need[t], _class(n)) for t, label, tokens, n in rows], "template int, label string, tokens array<string>, need int, size int")
-    prefix = ordered.select("template", "label", "tokens", "need", "size", F.posexplode(F.expr("slice(tokens, 1, size(tokens) - need + 1)")).alias("i", "token"))
+    ordered = spark.createDataFrame([(t, label, sorted(tokens, key=rank.get), need[t], _class(n), _run(n, threshold)) for t, label, tokens, n in rows], "template int, label string, tokens array<string>, need int, size int, run int")
+    prefix = ordered.select("template", "label", "tokens", "need", "size", "run", F.posexplode(F.expr("slice(tokens, 1, size(tokens) - need + 1)")).alias("i", "token"))
     by_rank = _strings(sorted(vocabulary, key=rank.get))
 
     texts = seen.where("_text is not null")
@@ -140,15 +148,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
     def blocks_of(size: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - size - 1), F.lit(size))
-        return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("start"), held(F.slice("words", i + 1, 2 * size)).alias("block")))
+        whole = lambda i: F.slice("words", i + 1, 2 * size) if size <= SHORT else F.lit(None).cast("array<string>")
+        return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("start"), held(F.slice("words", i + 1, 2 * size)).alias("block"), whole(i).alias("whole")))
 
     least = {c: min(need[t] for t, *_, n in rows if _class(n) == c) for c in classes}
     enough = lambda x: F.coalesce(*(F.when(x["size"] == c, F.size(x["block"]) >= n) for c, n in least.items()))
     every = F.filter(F.concat(*(blocks_of(c) for c in classes)), enough)
     blocks = of_words.select("_id", "_h", F.explode(every).alias("b")).select("_id", "_h", "b.*")
-    probes = blocks.select("_id", "_h", "size", "start", "block", F.posexplode("block").alias("j", "token"))
+    probes = blocks.select("_id", "_h", "size", "start", "block", "whole", F.posexplode("block").alias("j", "token"))
     candidates = probes.join(F.broadcast(prefix), ["token", "size"]).where((F.size("block") >= F.col("need")) & (F.lit(1) + F.least(F.size("tokens") - F.col("i") - 1, F.size("block") - F.col("j") - 1) >= F.col("need")))
-    verified = candidates.select("_id", "_h", "size", "start", "label", "template", "need", F.size(F.array_intersect("block", "tokens")).alias("common"), F.size("tokens").alias("all")).where("common >= need")
+    # the most tokens of the template that a run, or the block if the template is long, holds
+    runs = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("whole") - F.col("run")))
+    in_run = F.array_max(F.transform(runs, lambda i: F.size(F.array_intersect("tokens", F.slice("whole", i + 1, F.col("run"))))))
+    in_block = F.size(F.array_intersect("block", "tokens"))
+    held_most = F.when(in_block < F.col("need"), 0).when(F.col("whole").isNull(), in_block).otherwise(in_run)
+    verified = candidates.select("_id", "_h", "size", "start", "label", "template", "need", held_most.alias("common"), F.size("tokens").alias("all")).where("common >= need")
     matches = common.settled(verified.select("_id", "_h", "size", "start", "label", "template", (F.col("common") / F.col("all")).alias("score")).distinct(), "matches")
 
     best = matches.groupBy("_id", "_h").agg(F.collect_set("label").alias("more"), F.max("score").alias("share")).withColumnRenamed("_id", "m_id").withColumnRenamed("_h", "m_h")

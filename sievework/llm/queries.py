@@ -125,10 +125,11 @@ def _license_sql() -> str:
     texts = ", ".join(f"({k}, '{label}', '{' '.join(t.split()).lower()}')" for k, (label, t) in enumerate(L.TEMPLATES))
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), pl AS (SELECT r, doc_id, w, {places} FROM d),
  t0 AS (SELECT k, label, {_WORDS} AS tw FROM (VALUES {texts}) v(k, label, text)),
- t AS (SELECT k, label, list_distinct(tw) AS tokens, ceil(0.9 * len(list_distinct(tw)) - 1e-9) AS need, greatest(8, 2 ** ceil(log2(len(tw))))::BIGINT AS size FROM t0),
+ t AS (SELECT k, label, list_distinct(tw) AS tokens, ceil(0.9 * len(list_distinct(tw)) - 1e-9) AS need, greatest(8, 2 ** ceil(log2(len(tw))))::BIGINT AS size, ceil(len(tw) / 0.9 - 1e-9)::BIGINT AS run FROM t0),
  c AS (SELECT d.r, w, t.* FROM d, t WHERE len(list_intersect(w, tokens)) >= need),
- bl AS (SELECT r, k, label, tokens, need, w[i + 1 : i + 2 * size] AS b FROM (SELECT *, unnest(range(0, greatest(1, len(w) - size), size)) AS i FROM c)),
- m AS (SELECT r, label, len(list_intersect(tokens, b)) / len(tokens) AS share FROM bl WHERE len(list_intersect(tokens, b)) >= need),
+ bl AS (SELECT r, k, label, tokens, need, size, run, w[i + 1 : i + 2 * size] AS b FROM (SELECT *, unnest(range(0, greatest(1, len(w) - size), size)) AS i FROM c)),
+ h AS (SELECT *, CASE WHEN size > {L.SHORT} THEN len(list_intersect(tokens, b)) ELSE list_max(list_transform(range(0, greatest(1, len(b) - run + 1)), lambda i: len(list_intersect(tokens, b[i + 1 : i + run])))) END AS most FROM bl WHERE len(list_intersect(tokens, b)) >= need),
+ m AS (SELECT r, label, most / len(tokens) AS share FROM h WHERE most >= need),
  b AS (SELECT r, list(DISTINCT label) AS more, max(share) AS share FROM m GROUP BY r)
  SELECT doc_id, len(w)::BIGINT AS n_words, len({every})::BIGINT AS n_base, list_min({every})::BIGINT AS first_word, list_max({every})::BIGINT AS last_word, array_to_string(list_sort({base}), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat({base}, coalesce(more, [])))), ',') AS labels, CASE WHEN len({every}) > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score FROM pl LEFT JOIN b USING (r)"""
 

@@ -134,7 +134,7 @@ def judged(u, rules):
 
 
 def licensed(t, phrases, templates, threshold=0.9):
-    """Base places and labels, and all labels and the score, by sets of words in windows."""
+    """Base places and labels, and all labels and the score, by sets of words in windows; of short templates in runs of their length."""
     w, starts, base, labels, score = WORD.findall(lower(t)), [], set(), set(), 0.0
     for p, label in phrases:
         p = p.split(" ")
@@ -148,7 +148,9 @@ def licensed(t, phrases, templates, threshold=0.9):
             size *= 2
         need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
         for i in range(0, max(1, len(w) - size), size):
-            both = len(tokens & set(w[i : i + 2 * size]))
+            block = w[i : i + 2 * size]
+            run = len(block) if size > 16 else math.ceil(len(own) / threshold - 1e-9)
+            both = max(len(tokens & set(block[k : k + run])) for k in range(max(1, len(block) - run + 1)))
             if both >= need:
                 labels.add(label)
                 score = max(score, both / len(tokens))

@@ -144,6 +144,12 @@ def test_license_sentences_across_lines(spark):
     assert out[90].labels == "" and out[90].score == 0.0
 
 
+def test_scattered_words_are_no_license(spark):
+    rows = [(1, "under the tree the mit students released a new car without any license plate"), (2, "version control of the apache helicopter, 2 licensed pilots under license 0"), (3, "x y released, under the MIT -- license z"), (4, "a licensed under (the) apache license ver 2.0 b")]
+    out = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, DOC))[0].collect()}
+    assert out[1] == out[2] == ("", 0.0) and out[3] == ("mit", 1.0) and out[4][0] == "apache"
+
+
 def test_license_scan_equals_a_plain_one(spark):
     rnd = random.Random(14)
     words = sorted({w for _, t in license_scan.TEMPLATES for w in brute.WORD.findall(brute.lower(t))})
