@@ -144,7 +144,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     texts = seen.where("_text is not null")
     # array_intersect keeps the order of its first argument, so the block's tokens come in the global order
     held = lambda words: F.array_intersect(by_rank, words)
-    of_words = texts.select("_id", "_h", common.word_array(F.col("_text")).alias("words")).distinct()
+    # texts stay where they are; what repeated rows find twice is one match below
+    of_words = texts.select("_id", "_h", common.word_array(F.col("_text")).alias("words"))
 
     def blocks_of(size: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - size - 1), F.lit(size))
