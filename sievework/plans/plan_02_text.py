@@ -94,7 +94,17 @@ def txt_match_key(s, d):
     return _docs(s, d).select("doc_id", F.md5(X.match_key(F.col("text"))).alias("match_key"))
 
 
-@query("txt_chunk_paragraph")
+# pieces are paragraphs, or words of long ones; a fold over their lengths numbers the chunks
+_CHUNKS = rf"""WITH b AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda p: trim(p)), lambda p: p <> '') AS b FROM documents),
+ q AS (SELECT doc_id, flatten(list_transform(b, lambda p: CASE WHEN length(p) > 500 THEN list_transform({WL.format(t='p')}, lambda w, i: {{'w': w, 'g': ' ', 'f': i = 1}}) ELSE [{{'w': p, 'g': chr(10), 'f': false}}] END)) AS x FROM b),
+ r AS (SELECT doc_id, x, list_reduce(list_transform(x, lambda y: {{'l': length(y.w), 'f': y.f, 'c': [0]}}), lambda a, y: CASE WHEN y.f OR a.l + y.l + 1 > 500 THEN {{'l': y.l, 'f': y.f, 'c': list_append(a.c, a.c[-1] + 1)}} ELSE {{'l': a.l + 1 + y.l, 'f': y.f, 'c': list_append(a.c, a.c[-1])}} END).c AS c FROM q WHERE len(x) > 0),
+ u AS (SELECT doc_id, unnest(x) AS y, unnest(c) AS chunk, generate_subscripts(c, 1) AS k FROM r),
+ n AS (SELECT *, coalesce(lag(chunk) OVER (PARTITION BY doc_id ORDER BY k) <> chunk, true) AS opens FROM u),
+ h AS (SELECT doc_id, chunk, string_agg(CASE WHEN opens THEN y.w ELSE y.g || y.w END, '' ORDER BY k) AS body FROM n GROUP BY doc_id, chunk)
+ SELECT doc_id, chunk::INT AS chunk, coalesce(right(lag(body) OVER (PARTITION BY doc_id ORDER BY chunk), 50) || ' ', '') || body AS chunk_text FROM h"""
+
+
+@query("txt_chunk_paragraph", _CHUNKS)
 def txt_chunk_paragraph(s, d):
     return X.paragraphs(_docs(s, d), "doc_id", "text")
 

@@ -186,7 +186,16 @@ def ret_rrf(s, d):
     return R.rrf(a, b).withColumn("score", F.round("score", 8))
 
 
-@query("ret_mmr")
+def _mmr_sql(k: int = 5) -> str:
+    """One step for each rank: the candidate of the most worth, given the pairs with those taken before."""
+    steps = [" t1 AS (SELECT query, arg_min(id, o) AS id, 1 AS rank FROM c GROUP BY query)"]
+    for i in range(2, k + 1):
+        open_ones = f"SELECT c.query, c.id, c.o, 0.7 * c.score - 0.3 * max(s) AS worth FROM c JOIN p ON p.query = c.query AND p.a = c.id JOIN t{i - 1} t ON t.query = c.query AND t.id = p.b WHERE NOT EXISTS (SELECT 1 FROM t{i - 1} x WHERE x.query = c.query AND x.id = c.id) GROUP BY c.query, c.id, c.o, c.score"
+        steps.append(f" t{i} AS (SELECT * FROM t{i - 1} UNION ALL SELECT query, arg_max(id, (worth, -o)), {i} FROM ({open_ones}) GROUP BY query)")
+    return f"WITH {_TOPK}, c AS (SELECT query, id, score, rank AS o, embedding::DOUBLE[] AS v FROM vk JOIN embeddings ON vec_id = id WHERE rank <= 20), p AS (SELECT a.query, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM c a JOIN c b ON a.query = b.query)," + ",".join(steps) + f" SELECT query, id, rank::INT AS rank FROM t{k}"
+
+
+@query("ret_mmr", _mmr_sql())
 def ret_mmr(s, d):
     return R.mmr(_top(s, d, 20).join(_vectors(s, d), "id"))
 
