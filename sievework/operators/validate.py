@@ -36,9 +36,9 @@ def text_quality(df: DataFrame, text: str, min_chars: int = 100, min_words: int
 
 
 def label_distribution(df: DataFrame, label: str, min_count: int = 5, named: int = 10) -> DataFrame:
-    """How many labels are rare, and the first of them by name."""
+    """How many labels are rare, and the first of them by name; null if none is."""
     rare = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < min_count)
-    first = rare.orderBy(label).limit(named).agg(F.array_join(F.sort_array(F.collect_list(label)), ",").alias("named"))  # `named` rows at most
+    first = rare.orderBy(label).limit(named).agg(F.when(F.count(F.lit(1)) > 0, F.array_join(F.sort_array(F.collect_list(label)), ",")).alias("named"))  # `named` rows at most
     return rare.agg(F.count(F.lit(1)).alias("rare")).crossJoin(first)  # one row each
 
 

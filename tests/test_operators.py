@@ -397,3 +397,8 @@ def test_bm25_keeps_the_best_of_all_scores(spark, k, sample):
         want += [(q, i, round(scores[i], 6), n + 1) for n, i in enumerate(best)]
     out = retrieve.bm25(spark.createDataFrame(docs, "id long, text string").repartition(7), spark.createDataFrame(queries, "id long, text string"), k, sample=sample)
     assert sorted((r.query, r.id, round(r.score, 6), r["rank"]) for r in out.collect()) == sorted(want)
+
+
+def test_without_rare_labels_none_is_named(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), ("b",)], "l string")
+    assert rows(validate.label_distribution(df, "l", 2)) == [(0, None)] and rows(validate.label_distribution(df, "l", 3)) == [(2, "a,b")]
