@@ -43,6 +43,12 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.when(whole == 0, 0.0).otherwise(100.0 * part / whole), digits)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """As SQL over binary doubles: the product with the power of ten is rounded, half away from zero. Spark's own round takes the
+    shortest decimal for the number, so it goes up at 0.2579875, whose double is below."""
+    return F.round(x * 10.0**digits, 0) / 10.0**digits
+
+
 def half_even(x: Column, digits: int) -> Column:
     return F.bround(x, digits)
 

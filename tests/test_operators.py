@@ -402,3 +402,9 @@ def test_bm25_keeps_the_best_of_all_scores(spark, k, sample):
 def test_without_rare_labels_none_is_named(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), ("b",)], "l string")
     assert rows(validate.label_distribution(df, "l", 2)) == [(0, None)] and rows(validate.label_distribution(df, "l", 3)) == [(2, "a,b")]
+
+
+def test_families_of_equal_mass_to_six_places_are_tied(spark):
+    p = spark.createDataFrame([(1, 0, 0.4000002), (1, 3, 0.2), (1, 4, 0.2000001), (2, 0, 0.7), (2, 3, 0.1)], "id long, class int, p double")
+    families = spark.createDataFrame([(c, c // 3) for c in range(6)], "class int, family int")
+    assert rows(decide.hierarchy(p, families), "id", "family", "predicted") == [(1, 1, 4), (2, 0, 0)]
