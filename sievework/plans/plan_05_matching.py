@@ -268,17 +268,17 @@ def _scored(s, d):
 
 @query("mat_score", f"WITH {_PAIRS} SELECT doc_id, item_id, round(semantic, 6)::DOUBLE AS semantic, round(skills, 6)::DOUBLE AS skills, round(raw, 6)::DOUBLE AS raw, final::DOUBLE AS final, floor(calibrated * 100)::INT AS percent FROM pf")
 def mat_score(s, d):
-    return _scored(s, d).select("doc_id", "item_id", F.round("semantic", 6).alias("semantic"), F.round("skills", 6).alias("skills"), F.round("raw", 6).alias("raw"), "final", "percent")
+    return _scored(s, d).select("doc_id", "item_id", *(C.rounded(F.col(c), 6).alias(c) for c in ("semantic", "skills", "raw")), "final", "percent")
 
 
 @query("mat_projects", f"WITH {_PAIRS} SELECT doc_id, round(projects, 6)::DOUBLE AS projects, psim IS NOT NULL AS own FROM ps")
 def mat_projects(s, d):
-    return _pairs(s, d).select("doc_id", F.round("projects", 6).alias("projects"), F.col("doc_id_project").isNotNull().alias("own"))
+    return _pairs(s, d).select("doc_id", C.rounded(F.col("projects"), 6).alias("projects"), F.col("doc_id_project").isNotNull().alias("own"))
 
 
 @query("mat_experience", f"WITH {_PAIRS} SELECT doc_id, have::DOUBLE AS have, need, round(experience, 6)::DOUBLE AS experience FROM ps")
 def mat_experience(s, d):
-    return _pairs(s, d).select("doc_id", "have", "need", F.round("experience", 6).alias("experience"))
+    return _pairs(s, d).select("doc_id", "have", "need", C.rounded(F.col("experience"), 6).alias("experience"))
 
 
 @query("mat_education", f"WITH {_PAIRS} SELECT doc_id, education::DOUBLE AS education FROM ps")
@@ -325,7 +325,7 @@ def mat_batch_screen(s, d):
     M.screen(applications, results, scored, 0)
     M.screen(applications, results, scored.limit(0), 0)  # delivered again
     done = M.rank(results.read(), "item_id", "final", "doc_id").join(applications.read(), key)
-    return done.select("item_id", "doc_id", "final", "score", F.round("semantic", 6).alias("semantic"), F.size("matched").alias("n_matched"), F.size("missing").alias("n_missing"), "rank")
+    return done.select("item_id", "doc_id", "final", "score", C.rounded(F.col("semantic"), 6).alias("semantic"), F.size("matched").alias("n_matched"), F.size("missing").alias("n_missing"), "rank")
 
 
 _SIGNALS = " + ".join("regexp_matches(lower(text), '" + "|".join(w.replace(".", r"\.") for w in ws) + "')::INT" for ws in M.SIGNALS.values())

@@ -408,3 +408,9 @@ def test_families_of_equal_mass_to_six_places_are_tied(spark):
     p = spark.createDataFrame([(1, 0, 0.4000002), (1, 3, 0.2), (1, 4, 0.2000001), (2, 0, 0.7), (2, 3, 0.1)], "id long, class int, p double")
     families = spark.createDataFrame([(c, c // 3) for c in range(6)], "class int, family int")
     assert rows(decide.hierarchy(p, families), "id", "family", "predicted") == [(1, 1, 4), (2, 0, 0)]
+
+
+def test_numbers_are_rounded_as_binary_products(spark):
+    x = [(0.2579875, 0.257987), (0.5214785, 0.521478), (0.5, 0.5), (-0.0000015, -0.000002), (12.3456789, 12.345679)]
+    df = spark.createDataFrame(x, "x double, want double")
+    assert [tuple(r) for r in df.select(C.rounded(F.col("x"), 6), "want").collect()] == [(b, b) for _, b in x]
