@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +104,62 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
 
 #: What sums of scores may be off by.
 SLACK = 1e-6
+#: Documents that are scored at once, and cells of a matrix of query terms by queries.
+SLICE, CELLS = 128, 1 << 23
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, average: float = 50.0) -> DataFrame:
+    """(query, id, score): bm25()'s scores of all pairs that share a term. Ids of docs are unique.
+
+    A document meets all queries where it is read, so neither its words nor the scores are shuffled: its query terms are a row of a
+    matrix, and a product with the matrix of terms by queries gives its scores. Queries are cut into parts whose matrix is bounded; the
+    terms of all are sent to the executors after they were counted, and more than `TERMS` are joined by a shuffle.
+    """
+    asked = queries.select(F.col("id").alias("query"), F.explode(C.words(F.lower("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = T.stored(asked, "asked")
+    words = docs.select("id", C.words(F.lower("text")).alias("w"))
+    if asked.count() > TERMS:
+        tf = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        worth = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
+        return tf.select("id", "term", worth.alias("worth")).join(asked, "term").groupBy("query", "id").agg(F.sum(F.col("times") * F.col("worth")).alias("score"))
+    held = asked.orderBy("query", "term").toArrow()  # TERMS rows at most
+    names, at = np.unique(held.column("query").to_numpy(), return_inverse=True)
+    terms = held.column("term").combine_chunks().dictionary_encode()
+    known, term, times = terms.dictionary, terms.indices.to_numpy(), held.column("times").to_numpy()
+    parts, first = [], 0  # (places in names, from and up to; the part's terms; where they and their queries are; times)
+    while first < len(names):
+        last = min(len(names), first + max(1, CELLS // len(known)))
+        here = (at >= first) & (at < last)
+        own, column = np.unique(term[here], return_inverse=True)
+        parts.append((first, last, own, column, at[here] - first, times[here]))
+        first = last
+    kinds = [df.schema["id"].dataType.simpleString() for df in (queries, docs)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrices = []
+        for first, last, own, row, column, n in parts:
+            m = np.zeros((len(own), last - first))
+            m[row, column] = n
+            matrices.append((first, own, m))
+        for x in batches:
+            for start in range(0, x.num_rows, step):
+                some = x.slice(start, step)
+                w = some.column("w")
+                length = pc.list_value_length(w).to_numpy()
+                found = pc.index_in(w.flatten(), value_set=known)
+                place = found.fill_null(-1).to_numpy()
+                owner = np.repeat(np.arange(len(length)), length)[place >= 0]
+                tf = np.zeros((len(length), len(known)))
+                np.add.at(tf, (owner, place[place >= 0]), 1.0)
+                worth = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / average))[:, None])
+                for first, own, m in matrices:
+                    score = worth[:, own] @ m
+                    i, j = np.nonzero(score)
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(first + j)), some.column("id").take(pa.array(i)), pa.array(score[i, j])], ["query", "id", "score"])
+
+    step = max(1, min(SLICE, CELLS // max(1, len(known))))
+    query_ids = pa.array(names, held.schema.field("query").type)
+    return words.mapInArrow(run, f"query {kinds[0]}, id {kinds[1]}, score double")
 
 
 def hybrid(semantic: DataFrame, lexical: DataFrame, k: int = 3, weights: tuple[float, float] = (0.7, 0.3), least: float = 0.1) -> DataFrame:

@@ -142,9 +142,10 @@ def _bm(s, d, k):
 _LEX = _BM + ", lx AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id)::INT AS rank FROM bm)"
 
 
-@query("lex_bm25", f"WITH {_LEX} SELECT query, id, round(score, 5) AS score, rank FROM lx WHERE rank <= 10")
+@query("lex_bm25", f"WITH {_BM} SELECT query, id, round(score, 5) AS score FROM bm")
 def lex_bm25(s, d):
-    return _bm(s, d, 10).withColumn("score", F.round("score", 5))
+    scores = R.bm25_scores(_docs(s, d).select(F.col("doc_id").alias("id"), "text"), table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return scores.withColumn("score", C.rounded(F.col("score"), 5))
 
 
 def _unit(name, id, t):

@@ -414,3 +414,29 @@ def test_numbers_are_rounded_as_binary_products(spark):
     x = [(0.2579875, 0.257987), (0.5214785, 0.521478), (0.5, 0.5), (-0.0000015, -0.000002), (12.3456789, 12.345679)]
     df = spark.createDataFrame(x, "x double, want double")
     assert [tuple(r) for r in df.select(C.rounded(F.col("x"), 6), "want").collect()] == [(b, b) for _, b in x]
+
+
+@pytest.mark.parametrize(("terms", "cells"), [(1 << 18, 1 << 23), (1 << 18, 10), (0, 10)])
+def test_bm25_scores_are_those_of_all_pairs_with_a_term_in_common(spark, monkeypatch, terms, cells):
+    monkeypatch.setattr(retrieve, "TERMS", terms)
+    monkeypatch.setattr(retrieve, "CELLS", cells)
+    rnd = random.Random(5)
+    words = ["the"] * 30 + [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 60)))) for i in range(300)] + [(500, None), (501, ""), (502, "the"), (503, "The\nw1")]
+    queries = [(1, "w1 w2 the"), (2, "the"), (3, "of w3 w3 W4 the"), (4, "absent"), (5, None)]
+    want = []
+    for q, text in queries:
+        for i, t in docs:
+            own = (t or "").lower().split()
+            s = sum(own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.25 + 0.75 * len(own) / 50)) for w in (text or "").lower().split())
+            want += [(q, i, round(s, 6))] * (s > 0)
+    out = retrieve.bm25_scores(spark.createDataFrame(docs, "id long, text string").repartition(3), spark.createDataFrame(queries, "id long, text string"))
+    assert sorted((r.query, r.id, round(r.score, 6)) for r in out.collect()) == sorted(want) and len(want) > 600
+    assert retrieve.bm25_scores(out.selectExpr("id", "'the' AS text"), spark.createDataFrame([(5, None)], "id long, text string")).count() == 0
+
+
+def test_the_bm25_query_keeps_every_score(spark):
+    from sievework.plans import plan_04_retrieval
+
+    out = plan_04_retrieval.QUERIES["lex_bm25"](spark, "/root/testdata/sf0.001")
+    assert out.groupBy("query").count().agg(F.max("count")).first()[0] > 10 and "rank" not in plan_04_retrieval.ORACLE["lex_bm25"].split("SELECT")[-1]
