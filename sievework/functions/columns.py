@@ -98,10 +98,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _embedder(dims: int) -> Callable[[Column], Column]:
+#: Texts whose words are held at once.
+TEXTS = 256
+
+
+def _embedder(dims: int) -> Callable[[pa.Array], pa.Array]:
     token = re.compile(f"[^{WHITE}]+")
 
-    def run(texts: pa.Array) -> pa.Array:
+    def some(texts: pa.Array) -> np.ndarray:
         found = [[m[0] for m in itertools.islice(token.finditer(t), dims)] if t else [] for t in texts.to_pylist()]
         sizes = np.array([len(x) for x in found], np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
@@ -114,12 +118,18 @@ def _embedder(dims: int) -> Callable[[Column], Column]:
             value = np.add.reduceat(points, np.cumsum(chars) - chars, dtype=np.int64) % 100 / 100.0
             length = np.sqrt(np.bincount(owner, value * value, len(texts)))
             out[owner, place] = value / np.where(length > 0, length, 1)[owner]
+        return out
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = np.empty((len(texts), dims))
+        for start in range(0, len(texts), TEXTS):
+            out[start : start + TEXTS] = some(texts.slice(start, TEXTS))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
 
-    return F.arrow_udf(run, ArrayType(DoubleType()))
+    return run
 
 
 def hash_embedding(text: Column, dims: int = 768) -> Column:
     """Offline embedding: dimension i is the sum of code points of word i, lower-cased, mod 100, in hundredths; L2-normalised. Sums
-    and lengths are those of a whole Arrow batch."""
-    return _embedder(dims)(F.lower(text))
+    and lengths are those of `TEXTS` rows of an Arrow batch at once."""
+    return F.arrow_udf(_embedder(dims), ArrayType(DoubleType()))(F.lower(text))

@@ -15,8 +15,29 @@ from ..functions import columns as C
 from ..functions import tables as T
 
 
-#: Queries and corpus rows of a block.
-QUERY_BLOCK, ROW_BLOCK = 1024, 50_000
+#: Queries and corpus rows of a block, and queries that are scored at once.
+QUERY_BLOCK, ROW_BLOCK, AT_ONCE = 1024, 16_384, 64
+
+
+def _best_of_block(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """topk() of one block of queries and one of rows, without ranks."""
+    owner, ids, scores = [], [], []
+    names = held.column("id").to_numpy(zero_copy_only=False) if held.num_rows else np.zeros(0)
+    order = np.unique(names, return_inverse=True)[1]
+    sizes = [np.array([len(v) for v in t.column("vector")], np.int64) for t in (asked, held)]
+    for n in set(sizes[0]) & set(sizes[1]) - {0}:
+        some, there = (np.flatnonzero(x == n) for x in sizes)
+        x, y = (np.stack([t.column("vector")[int(i)].values.to_numpy(zero_copy_only=False) for i in at]) for t, at in ((asked, some), (held, there)))
+        for start in range(0, len(some), AT_ONCE):
+            score = np.round(x[start : start + AT_ONCE] @ y.T, 9)
+            for i, row in zip(some[start : start + AT_ONCE], score, strict=True):
+                good = np.flatnonzero(~np.isnan(row))
+                top = good[np.lexsort((order[there[good]], -row[good]))][:k]
+                owner.append(np.full(len(top), i))
+                ids.append(there[top])
+                scores.append(row[top])
+    join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
+    return pa.table({"query": asked.column("id").take(join(owner, np.int64)), "id": held.column("id").take(join(ids, np.int64)), "score": join(scores, float)})
 
 
 def topk(corpus: DataFrame, queries: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
@@ -35,22 +56,7 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, min_score: float | None
     right = full(corpus).withColumn("r", F.pmod(F.xxhash64("id"), F.lit(r_blocks)).cast("int")).withColumn("q", numbers(q_blocks))
 
     def best(_: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
-        owner, ids, scores = [], [], []
-        names = held.column("id").to_numpy(zero_copy_only=False) if held.num_rows else np.zeros(0)
-        order = np.unique(names, return_inverse=True)[1]
-        sizes = [np.array([len(v) for v in t.column("vector")], np.int64) for t in (asked, held)]
-        for n in set(sizes[0]) & set(sizes[1]) - {0}:
-            some, there = (np.flatnonzero(x == n) for x in sizes)
-            x, y = (np.stack([t.column("vector")[int(i)].values.to_numpy(zero_copy_only=False) for i in at]) for t, at in ((asked, some), (held, there)))
-            score = np.round(x @ y.T, 9)
-            for i, row in zip(some, score, strict=True):
-                good = np.flatnonzero(~np.isnan(row))
-                top = good[np.lexsort((order[there[good]], -row[good]))][:k]
-                owner.append(np.full(len(top), i))
-                ids.append(there[top])
-                scores.append(row[top])
-        join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
-        return pa.table({"query": asked.column("id").take(join(owner, np.int64)), "id": held.column("id").take(join(ids, np.int64)), "score": join(scores, float)})
+        return _best_of_block(asked, held, k)
 
     kinds = [df.schema["id"].dataType.simpleString() for df in (queries, corpus)]
     found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(best, f"query {kinds[0]}, id {kinds[1]}, score double")

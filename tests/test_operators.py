@@ -440,3 +440,35 @@ def test_the_bm25_query_keeps_every_score(spark):
 
     out = plan_04_retrieval.QUERIES["lex_bm25"](spark, "/root/testdata/sf0.001")
     assert out.groupBy("query").count().agg(F.max("count")).first()[0] > 10 and "rank" not in plan_04_retrieval.ORACLE["lex_bm25"].split("SELECT")[-1]
+
+
+def _peak(f):
+    """(result, MB of Python and numpy at the most)."""
+    import tracemalloc
+
+    tracemalloc.start()
+    out = f()
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, most
+
+
+def test_a_block_of_vectors_needs_no_memory_for_all_its_scores():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    asked, held = (pa.table({"id": pa.array(np.arange(n)), "vector": pa.array(list(rnd.random((n, 4))))}) for n in (1024, 16_384))
+    out, most = _peak(lambda: retrieve._best_of_block(asked, held, 2))
+    assert out.num_rows == 2048 and most < 60  # all scores: 134 MB
+    x, y = (np.stack(t.column("vector").to_numpy()) for t in (asked, held))
+    assert out.column("id").to_pylist()[:2] == list(np.argsort(-np.round(x[0] @ y.T, 9), kind="stable")[:2])
+
+
+def test_an_embedding_holds_the_words_of_few_texts_at_once():
+    import pyarrow as pa
+
+    texts = pa.array([f"w{i} " + "ab cd " * 200 for i in range(2000)] + [None, ""])
+    out, most = _peak(lambda: C._embedder(8 * 50)(texts))
+    assert most < 2002 * 400 * 8 / 1e6 * 2 + 20 and len(out) == 2002  # the result twice, and a part's words
+    assert out.slice(1999, 1).equals(C._embedder(400)(texts.slice(1999, 1))) and not any(out[2000].as_py())
