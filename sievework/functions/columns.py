@@ -53,6 +53,19 @@ def half_even(x: Column, digits: int) -> Column:
     return F.bround(x, digits)
 
 
+def one_decimal(x: Column) -> Column:
+    """A number from 0 on with one decimal, as C and Python write it: the double's exact value decides, halves go to the even digit.
+    `format_string` takes the shortest decimal for the number and halves up: 2.25 gives 2.3, and 0.35, whose double is below, 0.4."""
+    part = x - F.floor(x)
+    # both products are exact, so the sign of their sum is that of the distance to the half
+    high = F.floor(part * 2**20) / 2**20
+    tenth = F.floor(part * 10)
+    over = (20 * high - (2 * tenth + 1)) + 20 * (part - high)
+    tenth = tenth + F.when((over > 0) | ((over == 0) & (tenth % 2 == 1)), 1).otherwise(0)
+    # a double of 2^53 or more is whole
+    return F.when(x < 2.0**53, F.concat((F.floor(x) + F.when(tenth == 10, 1).otherwise(0)).cast("string"), F.lit("."), (tenth % 10).cast("string"))).otherwise(F.format_string("%.1f", x))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

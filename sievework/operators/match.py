@@ -76,7 +76,7 @@ def _or(items: Column, default: str) -> Column:
 def explain(scored: DataFrame) -> DataFrame:
     """Adds summary, strengths, improvements, advice, match_ratio and meets_requirement. scored: as from score(), with have and need."""
     c = F.col
-    hits, gaps, have, need = F.size("matched"), F.size("missing"), F.format_string("%.1f", c("have")), c("need").cast("int").cast("string")
+    hits, gaps, have, need = F.size("matched"), F.size("missing"), C.one_decimal(c("have")), c("need").cast("int").cast("string")
     say = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
     # fixed values: texts and thresholds
     strong = _list(
@@ -113,7 +113,7 @@ def recommend(scored: DataFrame, most: int = 5) -> DataFrame:
     """The first missing skills, the experience gap and advice without any match."""
     rest = _list(
         F.when(F.size("missing") > 0, F.concat(F.lit("Consider acquiring or highlighting experience in: "), _first(F.col("missing"), most), F.lit("."))),
-        F.when((F.col("need") > 0) & (F.col("have") < F.col("need")), F.format_string("Target role requests %d years; resume indicates approximately %.1f years.", F.col("need").cast("int"), F.col("have"))),
+        F.when((F.col("need") > 0) & (F.col("have") < F.col("need")), F.concat(F.format_string("Target role requests %d years; resume indicates approximately ", F.col("need").cast("int")), C.one_decimal(F.col("have")), F.lit(" years."))),
         F.when((F.size("needed") > 0) & (F.size("matched") == 0), "Align the technical terms in your experience sections directly with the target job keywords."),
     )
     return scored.withColumn("recommendations", rest)

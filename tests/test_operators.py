@@ -472,3 +472,10 @@ def test_an_embedding_holds_the_words_of_few_texts_at_once():
     out, most = _peak(lambda: C._embedder(8 * 50)(texts))
     assert most < 2002 * 400 * 8 / 1e6 * 2 + 20 and len(out) == 2002  # the result twice, and a part's words
     assert out.slice(1999, 1).equals(C._embedder(400)(texts.slice(1999, 1))) and not any(out[2000].as_py())
+
+
+def test_one_decimal_is_that_of_the_exact_double(spark):
+    values = [0.0, 0.05, 0.25, 0.35, 0.45, 0.95, 0.96, 1.05, 1.25, 2.25, 2.675, 7.75, 8.35, 9.95, 10.05, 12.25, 99.95, 1234567.85, 4503599627370495.5]
+    values += [random.Random(3).randrange(10**7) / 10 ** (1 + k % 6) for k in range(200)]
+    found = spark.createDataFrame([(x,) for x in values], "x double").select("x", C.one_decimal(F.col("x")).alias("t")).collect()
+    assert [r.t for r in found] == [f"{r.x:.1f}" for r in found]
