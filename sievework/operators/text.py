@@ -169,32 +169,38 @@ SECTIONS = {
 
 
 def sections(text: Column, synonyms: dict[str, list[str]] | None = None) -> Column:
-    """A map of section to text by a fold over the lines: a line that starts with a synonym, or holds one before a colon, opens its
-    section and is dropped; lines before the first are `general`; a later section of the same name replaces the earlier one, unless
-    no line follows its header. The order of `synonyms` decides between several. No shuffle."""
+    """A map of section to text: a line that starts with a synonym, or holds one before a colon, opens its section and is dropped; lines
+    before the first are `general`; a later section of the same name replaces the earlier one, unless no line follows its header. The order
+    of `synonyms` decides between several. No shuffle; lines are looked at once and joined once, so the work grows with the text."""
     synonyms = synonyms or SECTIONS
-    kind = "struct<open:string,body:array<string>,found:map<string,string>>"
+    spans = "map<string,struct<first:int,stop:int>>"
+
+    def opens(low: Column, names: list[str]) -> Column:
+        words = "|".join(f"\\Q{w.lower()}\\E" for n in names for w in synonyms[n])
+        return low.rlike(f"^(?:{words})") | (low.contains(":") & low.rlike(f"(?:{words}):"))
 
     def head(line: Column) -> Column:
-        low, out = C.strip(F.lower(line)), F.lit(None).cast("string")
-        for name in reversed(list(synonyms)):
-            words = "|".join(f"\\Q{w.lower()}\\E" for w in synonyms[name])
-            out = F.when(low.rlike(f"^(?:{words})|(?:{words}):"), F.lit(name)).otherwise(out)
-        return out
+        def of(low: Column) -> Column:
+            out = F.lit(None).cast("string")
+            for name in reversed(list(synonyms)):
+                out = F.when(opens(low, [name]), F.lit(name)).otherwise(out)
+            return F.when(opens(low, list(synonyms)), out)
+
+        return C.let(C.strip(F.lower(line)), of)
 
-    def closed(s: Column) -> Column:
-        rest = F.map_filter(s["found"], lambda k, v: k != s["open"])
-        return F.when(F.size(s["body"]) == 0, s["found"]).otherwise(F.map_concat(rest, F.create_map(s["open"], C.strip(F.array_join(s["body"], "\n")))))
+    def last(heads: Column, lines: Column) -> Column:
+        """The lines, from and to, of each name's last section that has any."""
+        ranges = F.transform(heads, lambda x, i: F.struct(x["name"].alias("name"), (x["at"] + 1).alias("first"), F.coalesce(F.get(heads, i + 1)["at"], F.size(lines)).alias("stop")))
+        put = lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["name"]), F.create_map(x["name"], F.struct(x["first"].alias("first"), x["stop"].alias("stop")))).cast(spans)
+        return F.aggregate(F.filter(ranges, lambda x: x["stop"] > x["first"]), F.create_map().cast(spans), put)
 
-    def step(s: Column, x: Column) -> Column:
-        opened = F.struct(x["head"].alias("open"), F.array().cast("array<string>").alias("body"), closed(s).alias("found"))
-        more = F.struct(s["open"].alias("open"), F.concat(s["body"], F.array(x["line"])).alias("body"), s["found"].alias("found"))
-        return F.when(x["head"].isNotNull(), opened.cast(kind)).otherwise(more.cast(kind))
+    def found(lines: Column) -> Column:
+        headed = F.filter(F.transform(lines, lambda x, i: F.struct(head(x).alias("name"), i.alias("at"))), lambda x: x["name"].isNotNull())
+        ranges = C.let(F.concat(F.array(F.struct(F.lit("general").alias("name"), F.lit(-1).alias("at"))), headed), lambda heads: last(heads, lines))
+        return F.transform_values(ranges, lambda k, v: C.strip(F.array_join(F.slice(lines, v["first"] + 1, v["stop"] - v["first"]), "\n")))
 
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\R\z", "")
-    as_lines = F.transform(F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\R", -1)), lambda x: F.struct(x.alias("line"), head(x).alias("head")))
-    start = F.struct(F.lit("general").alias("open"), F.array().cast("array<string>").alias("body"), F.create_map().cast("map<string,string>").alias("found")).cast(kind)
-    return F.aggregate(as_lines, start, step, closed)
+    return C.let(F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\R", -1)), found)
 
 
 #: Words of titles; what opens and what ends each field.
