@@ -6,6 +6,8 @@ of pages is estimated from the words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,15 @@ SECTIONS = {
     "Summary / Objective": r"\b(professional summary|executive summary|career summary|summary|objective|career objective|about me)\b",
     "Projects / Certifications": r"\b(projects|key projects|certifications|certificates|licenses|achievements|publications)\b",
 }
+#: Each match of a section's pattern holds one of these, whatever its case.
+HELD = {
+    "Contact Information": ["email", "phone", "linkedin", "github", "portfolio", "contact", "@"],
+    "Work Experience / History": ["experience", "employment history", "work history", "career history"],
+    "Skills & Competencies": ["skills", "core competencies", "technologies", "proficiencies"],
+    "Education & Qualifications": ["education", "academic background", "qualifications", "degree", "university", "college", "bachelor", "master", "phd"],
+    "Summary / Objective": ["summary", "objective", "about me"],
+    "Projects / Certifications": ["projects", "certifications", "certificates", "licenses", "achievements", "publications"],
+}
 #: Contact patterns, bullet marks, numbers that tell a result, date styles.
 EMAIL, PHONE = r"[\w.-]+@[\w.-]+\.\w+", r"(\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
 LINKEDIN, GITHUB = r"linkedin\.com/in/|linkedin:\s*@?[\w-]+", r"github\.com/|github:\s*@?[\w-]+"
@@ -50,7 +61,7 @@ PAST = {
     "configure": "configured", "optimize": "optimized", "engineer": "engineered", "spearhead": "spearheaded",
 }
 #: What opens and what closes the experience section.
-OPENS, CLOSES = ("experience", "employment", "work history"), ("education", "skills", "certifications", "projects")
+OPENS, CLOSES = ["experience", "employment", "work history"], ["education", "skills", "certifications", "projects"]
 FEW_WORDS = 5
 
 
@@ -73,13 +84,24 @@ def _names(conditions: dict[str, Column]) -> Column:
 
 def contact(text: Column) -> dict[str, Column]:
     t = _text(text)
-    return {"has_email": t.rlike(f"(?U){EMAIL}"), "has_phone": t.rlike(f"(?U){PHONE}"), "has_linkedin": t.rlike(f"(?iU){LINKEDIN}"), "has_github": t.rlike(f"(?iU){GITHUB}")}
+    return {"has_email": t.contains("@") & t.rlike(f"(?U){EMAIL}"), "has_phone": t.rlike(f"(?U){PHONE}"), "has_linkedin": t.rlike(f"(?iU){LINKEDIN}"), "has_github": t.rlike(f"(?iU){GITHUB}")}
+
+
+def _holds(text: Column, words: list[str]) -> Column:
+    return reduce(Column.__or__, (text.contains(w) for w in words))
+
+
+def _missing(detected: Column) -> Column:
+    return F.array_except(F.array(*map(F.lit, SECTIONS)), detected)
 
 
 def sections(text: Column) -> tuple[Column, Column]:
-    """detected and missing section names, in order."""
-    has = {n: _text(text).rlike(f"(?iU){p}") for n, p in SECTIONS.items()}
-    return _names(has), _names({n: ~h for n, h in has.items()})
+    """detected and missing section names, in order. A pattern is looked for only where a word of it stands."""
+    t = _text(text)
+    # the four letters beyond ASCII that patterns without case take for letters of ASCII: dotted I, dotless i, long s, the Kelvin sign
+    low = F.lower(F.translate(t, "\u0130\u0131\u017f\u212a", "iisk"))
+    detected = C.let(low, lambda x: _names({n: _holds(x, HELD[n]) & t.rlike(f"(?iU){p}") for n, p in SECTIONS.items()}))
+    return detected, _missing(detected)
 
 
 def _is_bullet(line: Column) -> Column:
@@ -111,7 +133,7 @@ def long_paragraphs(text: Column, most: int = 65) -> Column:
 def typos(text: Column, most: int = 4) -> Column:
     """The first known misspellings, as word and suggestion; a repeated one counts each time."""
     known = _map(TYPOS)
-    words = F.transform(C.words(F.lower(_text(text))), lambda w: F.regexp_replace(w, r"(?U)[^\w]", ""))
+    words = C.words(F.regexp_replace(F.lower(_text(text)), r"(?U)[^\w\s]+", ""))
     hits = F.slice(F.filter(words, lambda w: w.isin(*TYPOS)), 1, most)
     return F.transform(hits, lambda w: F.struct(w.alias("word"), F.element_at(known, w).alias("suggested")))
 
@@ -124,28 +146,32 @@ def repeated_words(text: Column) -> Column:
 def tense(lined: Column) -> Column:
     """Lines of the experience section that begin with a verb of the present: current, suggested; in order of place.
 
-    A line that names the section opens it, a line that names another closes it; both are looked at in one fold.
+    A line that names the section opens it, a line that names another closes it; only such lines and those that begin with a verb are folded.
     """
     kind = "struct<open:boolean,found:array<struct<current:string,suggested:string>>>"
     past = _map(PAST)
 
-    def names(line: Column, words: tuple[str, ...]) -> Column:
-        return line.rlike("|".join(words))
-
-    def step(state: Column, line: Column) -> Column:
-        low = F.lower(line)
-        inside = F.when(names(low, OPENS), True).when(names(low, CLOSES), False).otherwise(state["open"])
-        bare = C.strip(F.regexp_replace(line, r"(?U)^[•\-*▪▫►✓\d.]+\s*", ""))
-        first = F.lower(F.get(C.words(bare), 0))
-        short = F.concat(F.substring(bare, 1, 45), F.when(F.length(bare) > 45, "...").otherwise(""))
-        verb = F.element_at(past, first)
-        rest = F.substr(short, F.length(first) + 2)
-        hit = F.array(F.struct(short.alias("current"), C.strip(F.concat(F.initcap(verb), F.lit(" "), rest)).alias("suggested")))
-        more = F.when(inside & first.isin(*PAST), F.concat(state["found"], hit)).otherwise(state["found"])
+    def seen(line: Column) -> Column:
+        # the first word behind marks and numbers
+        first = F.lower(F.regexp_extract(line, r"(?U)^[•\-*▪▫►✓\d.]*+\s*+(\S+)", 1))
+        turn = C.let(F.lower(line), lambda low: F.when(_holds(low, OPENS), True).when(_holds(low, CLOSES), False))
+        return F.struct(line.alias("line"), turn.alias("turn"), F.element_at(past, first).alias("verb"), F.length(first).alias("skip"))
+
+    def step(state: Column, x: Column) -> Column:
+        inside = F.coalesce(x["turn"], state["open"])
+        bare = C.strip(F.regexp_replace(x["line"], r"(?U)^[•\-*▪▫►✓\d.]+\s*", ""))
+
+        def hit(bare: Column) -> Column:
+            short = F.concat(F.substring(bare, 1, 45), F.when(F.length(bare) > 45, "...").otherwise(""))
+            rest = F.substr(short, x["skip"] + 2)
+            return F.array(F.struct(short.alias("current"), C.strip(F.concat(F.initcap(x["verb"]), F.lit(" "), rest)).alias("suggested")))
+
+        more = F.when(inside & x["verb"].isNotNull(), F.concat(state["found"], C.let(bare, hit))).otherwise(state["found"])
         return F.struct(inside.alias("open"), more.alias("found")).cast(kind)
 
     start = F.struct(F.lit(False).alias("open"), F.array().cast("array<struct<current:string,suggested:string>>").alias("found")).cast(kind)
-    return F.aggregate(lined, start, step, lambda s: s["found"])
+    told = F.filter(F.transform(lined, seen), lambda x: x["turn"].isNotNull() | x["verb"].isNotNull())
+    return F.aggregate(told, start, step, lambda s: s["found"])
 
 
 def grammar(repeated: Column, tenses: Column) -> Column:
@@ -205,11 +231,10 @@ def grade(score: Column) -> Column:
 def analyse(df: DataFrame, text: str) -> DataFrame:
     """Adds the features, the eight subscores, overall, grade and `is_ats_friendly`; texts of fewer than five words have 0 and `F`."""
     t = F.col(text)
-    detected, missing = sections(t)
     out = df.withColumn("lines", lines(t))
     lined = F.col("lines")
-    out = out.withColumns({**contact(t), **bullets(lined), "detected": detected, "missing": missing, "verbs": action_verbs(t), "metric_count": metrics(t), "long_paragraphs": long_paragraphs(t), "spelling": typos(t), "grammar": grammar(repeated_words(t), tense(lined)), "dates": date_formats(t), "words": C.word_count(t)}).drop("lines")
-    out = out.withColumn("pages", pages(F.col("words"))).withColumn("readable", F.col("words") >= FEW_WORDS)
+    out = out.withColumns({**contact(t), **bullets(lined), "detected": sections(t)[0], "verbs": action_verbs(t), "metric_count": metrics(t), "long_paragraphs": long_paragraphs(t), "spelling": typos(t), "grammar": grammar(repeated_words(t), tense(lined)), "dates": date_formats(t), "words": C.word_count(t)}).drop("lines")
+    out = out.withColumn("missing", _missing(F.col("detected"))).withColumn("pages", pages(F.col("words"))).withColumn("readable", F.col("words") >= FEW_WORDS)
     out = out.withColumns({k: F.when(F.col("readable"), v).otherwise(0) for k, v in subscores().items()})
     total = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0))
     out = out.withColumn("overall", F.when(F.col("readable"), F.greatest(F.lit(10), F.least(F.lit(100), F.bround(F.round(total, 6), 0).cast("int")))).otherwise(0))

@@ -3,6 +3,7 @@
 import math
 import random
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -479,3 +480,25 @@ def test_one_decimal_is_that_of_the_exact_double(spark):
     values += [random.Random(3).randrange(10**7) / 10 ** (1 + k % 6) for k in range(200)]
     found = spark.createDataFrame([(x,) for x in values], "x double").select("x", C.one_decimal(F.col("x")).alias("t")).collect()
     assert [r.t for r in found] == [f"{r.x:.1f}" for r in found]
+
+
+def test_section_patterns_match_only_where_a_held_word_stands(spark):
+    for name, pattern in quality.SECTIONS.items():
+        for part in pattern.replace(r"\b(", "").replace(r")\b", "").split("|"):
+            assert any(w in part for w in quality.HELD[name]), (name, part)
+    odd = ["my sKills", "ſkılls", "skİlls", "SKILLS", "unskills", "skillset", "a@b.c", "a@b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "id long, t string")
+    found = {r.id: r.d for r in df.select("id", quality.sections(F.col("t"))[0].alias("d")).collect()}
+    plain_way = {r.id: [n for n in quality.SECTIONS if r[n]] for r in df.select("id", *(F.col("t").rlike(f"(?iU){p}").alias(n) for n, p in quality.SECTIONS.items())).collect()}
+    assert found == plain_way and all(found[i] == ["Skills & Competencies"] for i in range(4)) and found[6] == ["Contact Information"] and not found[4]
+
+
+def test_sections_and_tense_cost_in_proportion_to_the_lines(spark):
+    """A fold that copied all lines of a section for each further line took the square of them."""
+    many = 40_000
+    body = "Experience\n" + "\n".join(f"- manage item {i}" for i in range(many))
+    df = spark.createDataFrame([(1, body)], "id long, t string")
+    started = time.time()
+    found = df.select(F.length(text.sections(F.col("t"))["experience"]).alias("n")).first().n
+    assert found == len(body) - len("Experience\n") and time.time() - started < 20
+    assert rows(spark.createDataFrame([(1, "a\nSkills:\n\nTools\nx\ny\nSkills\nExperience\n z \nEducation\n")], "id long, t string").select(F.to_json(text.sections(F.col("t"))))) == [('{"general":"a","skills":"x\\ny","experience":"z"}',)]
