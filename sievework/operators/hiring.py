@@ -123,19 +123,30 @@ def migrate(users: DataFrame, existing: DataFrame, candidates: DataFrame, recrui
     """Five tables with new keys. Users take the id of an existing user of the same e-mail, else a hash; candidates and recruiters need their
     user; jobs without a known recruiter go to the first one; applications need job and candidate, and go otherwise.
 
+    Joins deal the old keys only, which are short; new ones are made of them at the end. Applications tell the new keys of their user and
+    recruiter too, so no table need be joined by hashes.
+
     users, existing: user_id, email; candidates: candidate_id, user_id; recruiters: recruiter_id, user_id; jobs: job_id, recruiter_id;
     applications: app_id, job_id, candidate_id.
     """
     key = lambda name, c: F.sha2(F.concat(F.lit(f"{name}:"), F.col(c).cast("string")), 256)
+    user = F.coalesce(F.col("old").cast("string"), key("user", "user_id"))
     known = existing.groupBy(F.lower("email").alias("email")).agg(F.min("user_id").alias("old"))
-    u = users.join(known, F.lower(users["email"]) == known["email"], "left").select("user_id", F.coalesce(F.col("old").cast("string"), key("user", "user_id")).alias("new_user"))
-    c = candidates.join(u, "user_id").select("candidate_id", key("candidate", "candidate_id").alias("new_candidate"), "new_user")
-    r = recruiters.join(u, "user_id").select("recruiter_id", key("recruiter", "recruiter_id").alias("new_recruiter"), "new_user")
-    first = r.agg(F.min_by("new_recruiter", "recruiter_id").alias("first"))
-    j = jobs.join(r.select("recruiter_id", "new_recruiter"), "recruiter_id", "left").crossJoin(F.broadcast(first))  # one row on the right
-    j = j.select("job_id", key("job", "job_id").alias("new_job"), F.coalesce("new_recruiter", "first").alias("new_recruiter"))
-    a = applications.join(j.select("job_id", "new_job"), "job_id").join(c.select("candidate_id", "new_candidate"), "candidate_id").select("app_id", key("application", "app_id").alias("new_app"), "new_job", "new_candidate")
-    return {"users": u, "candidates": c, "recruiters": r, "jobs": j, "applications": a}
+    u = users.join(known, F.lower(users["email"]) == known["email"], "left").select("user_id", "old")
+    c = candidates.join(u, "user_id").select("candidate_id", "user_id", "old")
+    r = recruiters.join(u, "user_id").select("recruiter_id", "user_id", "old")
+    first = r.agg(F.min("recruiter_id").alias("first"))
+    j = jobs.join(r.select("recruiter_id", F.col("recruiter_id").alias("own")), "recruiter_id", "left").crossJoin(F.broadcast(first))  # one row on the right
+    j = j.select("job_id", F.coalesce("own", "first").alias("recruiter"))
+    a = applications.select("app_id", "job_id", "candidate_id").join(j, "job_id").join(c, "candidate_id")
+    new = {"new_job": key("job", "job_id"), "new_candidate": key("candidate", "candidate_id"), "new_user": user, "new_recruiter": key("recruiter", "recruiter")}
+    return {
+        "users": u.select("user_id", user.alias("new_user")),
+        "candidates": c.select("candidate_id", *(new[k].alias(k) for k in ("new_candidate", "new_user"))),
+        "recruiters": r.select("recruiter_id", key("recruiter", "recruiter_id").alias("new_recruiter"), user.alias("new_user")),
+        "jobs": j.select("job_id", *(new[k].alias(k) for k in ("new_job", "new_recruiter"))),
+        "applications": a.select("app_id", key("application", "app_id").alias("new_app"), *(x.alias(k) for k, x in new.items())),
+    }
 
 
 def apply_new(existing: DataFrame, wanted: DataFrame, score: float = 0.85) -> DataFrame:

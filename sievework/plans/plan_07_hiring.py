@@ -215,7 +215,7 @@ def ats_remap_keys(s, d):
     existing = customers.where("c_custkey % 7 = 0").select((F.col("c_custkey") + 5000).alias("user_id"), F.upper("c_name").alias("email"))
     people = cands(s, d).where("candidate_id % 5 <> 0").withColumn("user_id", F.col("candidate_id"))
     t = H.migrate(users, existing, people, recs(s, d).withColumn("user_id", F.lit(1000000) + F.col("recruiter_id")), jobs(s, d), apps(s, d))
-    return t["applications"].join(t["jobs"].drop("job_id"), "new_job").join(t["candidates"].drop("candidate_id"), "new_candidate").select("app_id", "new_app", "new_job", "new_candidate", "new_user", "new_recruiter")
+    return t["applications"].select("app_id", "new_app", "new_job", "new_candidate", "new_user", "new_recruiter")
 
 
 @_q("ats_apply", "SELECT job_id, candidate_id, stage, score FROM apps UNION ALL SELECT job_id, candidate_id, 'applied', 0.85::DOUBLE FROM (SELECT DISTINCT job_id + 1 AS job_id, candidate_id FROM apps WHERE stage = 'hired') w WHERE NOT EXISTS (SELECT 1 FROM apps a WHERE a.job_id = w.job_id AND a.candidate_id = w.candidate_id)")

@@ -1,5 +1,6 @@
 """Operators on small frames."""
 
+import hashlib
 import math
 import random
 import sys
@@ -502,3 +503,20 @@ def test_sections_and_tense_cost_in_proportion_to_the_lines(spark):
     found = df.select(F.length(text.sections(F.col("t"))["experience"]).alias("n")).first().n
     assert found == len(body) - len("Experience\n") and time.time() - started < 20
     assert rows(spark.createDataFrame([(1, "a\nSkills:\n\nTools\nx\ny\nSkills\nExperience\n z \nEducation\n")], "id long, t string").select(F.to_json(text.sections(F.col("t"))))) == [('{"general":"a","skills":"x\\ny","experience":"z"}',)]
+
+
+def test_migration_deals_no_new_key(spark):
+    """New keys are hashes of 64 characters; joins take the old ones."""
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    users = frame([(1, "a@x"), (2, "b@x"), (11, "r@x")], "user_id long, email string")
+    t = hiring.migrate(users, frame([(7, "B@X")], "user_id long, email string"), frame([(1, 1), (2, 2), (3, 3)], "candidate_id long, user_id long"), frame([(5, 11), (6, 12)], "recruiter_id long, user_id long"), frame([(20, 5), (21, 6), (22, None)], "job_id long, recruiter_id long"), frame([(1, 20, 1), (2, 21, 2), (3, 22, 3), (4, 23, 1)], "app_id long, job_id long, candidate_id long"))
+    sha = lambda name, key: hashlib.sha256(f"{name}:{key}".encode()).hexdigest()
+    assert rows(t["applications"], "app_id", "new_app", "new_job", "new_candidate", "new_user", "new_recruiter") == [
+        (1, sha("application", 1), sha("job", 20), sha("candidate", 1), sha("user", 1), sha("recruiter", 5)),
+        (2, sha("application", 2), sha("job", 21), sha("candidate", 2), "7", sha("recruiter", 5)),
+    ]
+    assert rows(t["jobs"]) == sorted([(j, sha("job", j), sha("recruiter", 5)) for j in (20, 21, 22)], key=repr)
+    assert rows(t["candidates"]) == sorted([(1, sha("candidate", 1), sha("user", 1)), (2, sha("candidate", 2), "7")], key=repr)
+    assert rows(t["recruiters"]) == [(5, sha("recruiter", 5), sha("user", 11))]
+    plan = t["applications"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") < plan.index("Join") and "sha2(" not in plan[plan.index("Join") :]
