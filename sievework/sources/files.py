@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -64,15 +66,46 @@ def load_any_encoding(spark: SparkSession, path: str, schema: StructType | str)
     return reduce(DataFrame.unionByName, parts), "read as latin-1" if bad else None
 
 
-def texts(spark: SparkSession, path: str) -> DataFrame:
-    """Whole documents: path, text, encoding. Bytes that aren't UTF-8 are read as Latin-1, and the encoding says so."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def _decoded(files: DataFrame) -> DataFrame:
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     return files.select("path", F.when(valid, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1")).alias("text"), F.when(valid, "utf-8").otherwise("latin-1").alias("encoding"))
 
 
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """Whole documents: path, text, encoding. Bytes that aren't UTF-8 are read as Latin-1, and the encoding says so. The driver lists the
+    files; texts_of() needs no list."""
+    return _decoded(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+#: Bytes of files that are passed on together.
+TOGETHER = 1 << 22
+
+
+def texts_of(paths: DataFrame) -> DataFrame:
+    """As texts(), of the files that a table names in `path`. Tasks read them through Arrow's file systems, so neither names nor states of
+    files come to the driver; empty files, which Spark's reader leaves out, are read too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            names, held, size = [], [], 0
+            for name in b.column("path").to_pylist():
+                store, at = fs.FileSystem.from_uri(name)
+                with store.open_input_stream(at, compression=None) as source:
+                    held.append(source.read())
+                names.append(name)
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], ["path", "content"])
+                    names, held, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], ["path", "content"])
+
+    return _decoded(paths.select("path").mapInArrow(run, "path string, content binary"))
+
+
 def file_writer(folder: str):
-    """For mapInPandas over (doc_id, content): writes each content as a whole file `<doc_id>.txt` through Arrow's file systems. A task that is
+    """For mapInPandas over (doc_id, content), to (doc_id, path): writes each content as a whole file `<doc_id>.txt` through Arrow's file systems. A task that is
     repeated writes the same files again."""
 
     def run(batches):
@@ -84,7 +117,7 @@ def file_writer(folder: str):
             for i, content in zip(b["doc_id"], b["content"], strict=True):
                 with store.open_output_stream(f"{at}/{i}.txt", compression=None) as out:
                     out.write(bytes(content))
-            yield b[["doc_id"]]
+            yield b[["doc_id"]].assign(path=[f"{folder}/{i}.txt" for i in b["doc_id"]])
 
     return run
 

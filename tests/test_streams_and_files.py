@@ -201,3 +201,14 @@ def test_tables_over_jdbc_are_read_in_parts(spark):
     same(got["ORDERS"], orders)
     with pytest.raises(files.SourceError, match="ABSENT"):
         files.relational_jdbc(spark, url, {"ORDERS": "K", "ABSENT": None}, driver=driver)
+
+
+def test_texts_of_named_files_are_those_of_the_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "TOGETHER", 10)
+    folder = f"file://{tmp_path}/texts"
+    contents = [(1, "caf\xe9".encode()), (2, "caf\xe9".encode("latin-1")), (3, b""), (4, b"longer than ten bytes"), (5, b"\r\n x\n")]
+    written = spark.createDataFrame(contents, "doc_id long, content binary").coalesce(1).mapInPandas(files.file_writer(folder), "doc_id long, path string").localCheckpoint()
+    assert sorted((r.doc_id, r.path) for r in written.collect()) == [(i, f"{folder}/{i}.txt") for i in range(1, 6)]
+    both = [sorted((r.path.rsplit("/", 1)[1], r.text, r.encoding) for r in x.collect()) for x in (files.texts_of(written), files.texts(spark, folder + "/*.txt"))]
+    # Spark's reader leaves empty files out
+    assert both[0] == sorted([*both[1], ("3.txt", "", "utf-8")]) and len(both[0]) == 5
