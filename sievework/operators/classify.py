@@ -2,49 +2,180 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import NGram, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import tables as T
 
 
+#: Rows whose words are held at once, and words that may travel with a function.
+ROWS, WORDS = 1024, 1 << 18
+
+
+def _counts(keys: np.ndarray, owner: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys (from 0, below `many`), their places, and the rows (owners) that hold them."""
+    held, places = np.unique(owner * many + keys, return_counts=True)
+    names, at = np.unique(held % many, return_inverse=True)
+    return names, np.bincount(at, places, len(names)).astype(np.int64), np.bincount(at, minlength=len(names)).astype(np.int64)
+
+
+def _words(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, int]]:
+    """For `ROWS` lower-case texts at a time: all words in one array, the text of each, and how many texts these are."""
+    every = re.compile(r"\w{2,}").findall
+    for start in range(0, len(texts), ROWS):
+        found = [every(t) if t else [] for t in texts.slice(start, ROWS).to_pylist()]
+        yield pa.array(list(itertools.chain.from_iterable(found)), pa.string()), np.repeat(np.arange(len(found)), list(map(len, found))), len(found)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for flat, owner, _ in itertools.chain.from_iterable(_words(x.column(0)) for x in batches):
+        coded = flat.dictionary_encode()
+        names, n, rows = _counts(coded.indices.to_numpy(), owner, max(1, len(coded.dictionary)))
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(names)), pa.array(n), pa.array(rows)], ["term", "n", "rows"])
+
+
+def _pair_counts(known: list[str]):
+    """Of pairs of neighbours that are both known: the first's number times the known ones, plus the second's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, many = pa.array(known, pa.string()), len(known)
+        for flat, owner, _ in itertools.chain.from_iterable(_words(x.column(0)) for x in batches):
+            code = pc.index_in(flat, value_set=names).fill_null(-1).to_numpy().astype(np.int64)
+            at = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0) & (owner[:-1] == owner[1:]))
+            pairs, own = np.unique(code[at] * many + code[at + 1], return_inverse=True)
+            keys, n, rows = _counts(own, owner[at], max(1, len(pairs)))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[keys]), pa.array(n), pa.array(rows)], ["pair", "n", "rows"])
+
+    return run
+
+
+def _named(known: list[str]):
+    def run(pairs: pa.Array) -> pa.Array:
+        first, second = np.divmod(pairs.to_numpy(zero_copy_only=False).astype(np.int64), len(known))
+        names = pa.array(known, pa.string())
+        return pc.binary_join_element_wise(names.take(pa.array(first)), names.take(pa.array(second)), " ")
+
+    return F.arrow_udf(run, "string")
+
+
 class FrequentTerms(Estimator):
-    """The vocabulary of `_terms`: of the terms that stand in `least` rows or more, the `terms` most frequent, ties by the term itself.
-    Terms are counted where they stand; only the vocabulary, of a bounded size, reaches the driver. The model counts them in `_counts`."""
+    """The vocabulary of `text`, words and pairs of neighbours: of the terms that stand in `least` rows or more, the `terms` most frequent, ties by
+    the term itself. Only the vocabulary, of a bounded size, and the words that its pairs can have reach the driver.
+
+    A pair stands in no more places and rows than each of its words. So words are counted first, and of the pairs only those whose
+    words are both as frequent as the last of the `terms` most frequent words. Where more than `WORDS` words are (by ties), all are
+    counted where they stand in `_terms`.
+    """
 
     def __init__(self, terms: int, least: int) -> None:
         super().__init__()
         self.terms, self.least = terms, least
 
-    def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
-        # each place of a term, and each term once for its row
-        marked = lambda terms, rows: F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(rows).alias("rows")))
-        places = dataset.select(F.inline(F.concat(marked("_terms", 0), marked(F.array_distinct("_terms"), 1))))
-        counts = places.groupBy("term").agg(F.count_if(F.col("rows") == 0).alias("n"), F.sum("rows").alias("rows"))
-        most = counts.where(F.col("rows") >= self.least).orderBy(F.desc("n"), "term").limit(self.terms).collect()
-        return CountVectorizerModel.from_vocabulary([r.term for r in most], inputCol="_terms", outputCol="_counts")
+    def _fit(self, dataset: DataFrame) -> TermWeights:
+        summed = lambda df, key: df.groupBy(key).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where(F.col("rows") >= self.least)
+        best = lambda df: df.orderBy(F.desc("n"), "term").limit(self.terms).collect()
+        words = T.stored(summed(dataset.select(F.lower("text")).mapInArrow(_word_counts, "term string, n long, rows long"), "term"), "words")
+        most = best(words)
+        floor = most[-1].n if len(most) == self.terms else 0
+        known = sorted(r.term for r in words.where(F.col("n") >= floor).select("term").limit(WORDS + 1).collect())
+        if len(known) > WORDS:
+            # each place of a term, and each term once for its row
+            marked = lambda terms, rows: F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(1 - rows).alias("n"), F.lit(rows).alias("rows")))
+            most = best(summed(dataset.select(F.inline(F.concat(marked("_terms", 0), marked(F.array_distinct("_terms"), 1)))), "term"))
+        elif known:
+            pairs = summed(dataset.select(F.lower("text")).mapInArrow(_pair_counts(known), "pair long, n long, rows long"), "pair").where(F.col("n") >= floor)
+            most = sorted(most + best(pairs.select(_named(known)("pair").alias("term"), "n", "rows")), key=lambda r: (-r.n, r.term))[: self.terms]
+        every = dataset.count()
+        return TermWeights([r.term for r in most], [float(np.log((every + 1.0) / (r.rows + 1.0))) for r in most])
 
 
-class Sublinear(Transformer):
-    """1 + ln of the counts of `_counts`, in `_tf`; only what is not 0 is touched, and each Arrow batch as one array."""
+class TermWeights(Transformer):
+    """From `text`, sparse vectors over the vocabulary: 1 + ln of the counts of terms in `_tf`, and in `_unit` these times idf, of length 1. Words
+    are looked up and counted for `ROWS` rows of an Arrow batch at once."""
+
+    def __init__(self, vocabulary: list[str], idf: list[float]) -> None:
+        super().__init__()
+        self.vocabulary, self.idf = vocabulary, idf
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumn("_tf", F.arrow_udf(_log_counts, VectorUDT())("_counts"))
+        return dataset.withColumn("_tf", F.arrow_udf(_log_counts(self.vocabulary), VectorUDT())(F.lower("text"))).withColumn("_unit", F.arrow_udf(_weighed(self.idf), VectorUDT())("_tf"))
 
 
-def _log_counts(counts: pa.Array) -> pa.Array:
+def _vectors(size: int, offsets: np.ndarray, indices: np.ndarray, values: np.ndarray) -> pa.Array:
     """Sparse vectors as Arrow stores them: kind, size, indices and values."""
-    kind, size, indices, values = (counts.field(i) for i in range(4))
-    logs = pa.array(1 + np.log(values.values.to_numpy(zero_copy_only=False)))
-    return pa.StructArray.from_arrays([kind, size, indices, pa.ListArray.from_arrays(values.offsets, logs, type=values.type)], fields=list(counts.type), mask=counts.is_null())
+    at, n = pa.array(offsets.astype(np.int32)), len(offsets) - 1
+    lists = [pa.ListArray.from_arrays(at, pa.array(indices.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(values.astype(float)))]
+    return pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), *lists], ["type", "size", "indices", "values"])
+
+
+def _log_counts(vocabulary: list[str]):
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [v.split(" ") for v in vocabulary]
+        known = sorted({w for p in parts for w in p})
+        number = {w: i for i, w in enumerate(known)}
+        names, single = pa.array(known, pa.string()), np.full(len(known) + 1, -1)
+        for i, p in enumerate(parts):
+            if len(p) == 1:
+                single[number[p[0]]] = i
+        double = sorted((number[p[0]] * len(known) + number[p[1]], i) for i, p in enumerate(parts) if len(p) == 2)
+        pairs, place = np.array([x for x, _ in double], np.int64), np.array([i for _, i in double], np.int64)
+        size, lengths, indices, counts = len(vocabulary), [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for flat, owner, rows in _words(texts):
+            code = pc.index_in(flat, value_set=names).fill_null(-1).to_numpy().astype(np.int64)
+            one = single[code]
+            cells = [owner[one >= 0] * size + one[one >= 0]]
+            if len(pairs):
+                at = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0) & (owner[:-1] == owner[1:]))
+                key = code[at] * len(known) + code[at + 1]
+                found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+                hit = pairs[found] == key
+                cells.append(owner[at[hit]] * size + place[found[hit]])
+            held, n = np.unique(np.concatenate(cells), return_counts=True)
+            lengths.append(np.bincount(held // max(1, size), minlength=rows))
+            indices.append(held % max(1, size))
+            counts.append(1 + np.log(n))
+        return _vectors(size, np.cumsum(np.concatenate(lengths)), np.concatenate(indices), np.concatenate(counts))
+
+    return run
+
+
+def _weighed(idf: list[float]):
+    def run(tf: pa.Array) -> pa.Array:
+        lists = tf.field("indices")
+        length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        index = lists.flatten().to_numpy()
+        x = tf.field("values").flatten().to_numpy() * np.array(idf)[index]
+        owner = np.repeat(np.arange(len(tf)), length)
+        norm = np.sqrt(np.bincount(owner, x * x, len(tf)))
+        return _vectors(len(idf), np.r_[0, np.cumsum(length)], index, x / np.where(norm > 0, norm, 1)[owner])
+
+    return run
+
+
+def values(vector: str) -> Column:
+    """The values other than 0 of a sparse vector, in order."""
+
+    def run(vectors: pa.Array) -> pa.Array:
+        lists = vectors.field("values")
+        x = lists.flatten().to_numpy()
+        ends = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        kept = np.r_[0, np.cumsum(x != 0)]
+        return pa.ListArray.from_arrays(pa.array(kept[ends].astype(np.int32)), pa.array(x[x != 0]))
+
+    return F.arrow_udf(run, "array<double>")(vector)
 
 
 class Embedding(Transformer):
@@ -55,19 +186,29 @@ class Embedding(Transformer):
         self.scale = scale
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumn("_embedding", array_to_vector(F.transform(C.hash_embedding(F.col("text")), lambda x: x * self.scale)))
+        return dataset.withColumn("_embedding", F.arrow_udf(_scaled(self.scale), VectorUDT())(F.lower("text")))
+
+
+def _scaled(scale: float):
+    """The embeddings as dense vectors."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        x, n = C._embedder(768)(texts), len(texts)
+        lists = pa.ListArray.from_arrays(x.offsets, pa.array(x.values.to_numpy() * scale))
+        return pa.StructArray.from_arrays([pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), lists], ["type", "size", "indices", "values"])
+
+    return run
 
 
 def features(terms: int = 5000, least: int = 2, embedding: float = 0.3) -> Pipeline:
     """In `features`: words and pairs of words of `text` with sublinear counts, weighted by idf, of length 1, and beside them the embedding
     times `embedding` (none if that is 0)."""
+    # only terms of a table whose words tie in great number are made of these
     tokens = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
     both = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
-    counts = FrequentTerms(terms, least)
-    weighed = [Sublinear(), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_unit")]
     parts = [Embedding(embedding), VectorAssembler(inputCols=["_unit", "_embedding"], outputCol="features")] if embedding else [VectorAssembler(inputCols=["_unit"], outputCol="features")]
-    return Pipeline(stages=[tokens, pairs, both, counts, *weighed, *parts])
+    return Pipeline(stages=[tokens, pairs, both, FrequentTerms(terms, least), *parts])
 
 
 def _index(label: str) -> StringIndexer:

@@ -38,8 +38,8 @@ def occ_features(s, d):
     docs = _docs(s, d)
     found = K.features().fit(docs).transform(docs)
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    terms, embedded = vector_to_array("_unit"), vector_to_array("_embedding")
-    held = found.select("doc_id", F.filter(terms, lambda x: x != 0).alias("x"), F.transform(embedded, lambda x, i: x * (i + 1)).alias("e"))
+    embedded = vector_to_array("_embedding")
+    held = found.select("doc_id", K.values("_unit").alias("x"), F.transform(embedded, lambda x, i: x * (i + 1)).alias("e"))
     return held.select("doc_id", F.size("x").alias("terms"), F.round(total("x"), 6).alias("weights"), F.round(F.coalesce(F.array_max("x"), F.lit(0.0)), 6).alias("heaviest"), F.round(total("e"), 4).alias("embedding"))
 
 

@@ -305,6 +305,23 @@ def test_vocabulary_and_sublinear_counts(spark):
     assert tf == {1: [three, 0, 1, 1], 2: [1, 0, 1, 1], 3: [0, two, 0, 0], 4: [0, 1, 0, 0], 5: [0] * 4, 6: [0] * 4}
 
 
+def test_pairs_of_rare_words_are_not_counted(spark, monkeypatch):
+    import pyarrow as pa
+
+    from sievework.operators import classify
+
+    texts = pa.RecordBatch.from_arrays([pa.array(["aa bb rare aa bb", "bb aa bb", None, ""])], ["t"])
+    out = next(classify._pair_counts(["aa", "bb"])(iter([texts])))
+    assert out.to_pydict() == {"pair": [1, 2], "n": [3, 1], "rows": [2, 1]}
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(" ".join(f"w{int(rnd.expovariate(0.2))}" for _ in range(30)),) for _ in range(40)], "text string")
+    model = classify.features(terms=20, embedding=0).fit(df).stages[3]
+    # as all terms counted where they stand
+    monkeypatch.setattr(classify, "WORDS", 1)
+    plain = classify.features(terms=20, embedding=0).fit(df).stages[3]
+    assert (model.vocabulary, model.idf) == (plain.vocabulary, plain.idf) and any(" " in v for v in model.vocabulary)
+
+
 def test_row_order_and_partitions_dont_matter(spark):
     df = spark.createDataFrame([(i, f"text {i % 3}") for i in range(30)], "id int, t string")
     assert rows(dedup.exact(df, "id", "t")) == rows(dedup.exact(df.orderBy(F.desc("id")).repartition(5), "id", "t"))
