@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from ..functions import columns as C
 from ..functions import tables as T
 
 TOKEN = r"[a-zA-Z0-9.+#]+"
@@ -19,7 +20,8 @@ def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def by_synonym(toks: DataFrame, key: str, synonyms: DataFrame) -> DataFrame:
-    """synonyms: synonym, skill."""
+    """synonyms: synonym, skill; up to `SMALL` of them are broadcast after they were counted."""
+    synonyms = F.broadcast(synonyms) if synonyms.limit(SMALL + 1).count() <= SMALL else synonyms
     return toks.join(synonyms, F.col("token") == F.lower("synonym")).select(key, "skill").distinct()
 
 
@@ -47,8 +49,20 @@ def found(text: Column, skills: list[str], synonyms: list[tuple[str, str]], long
     return F.sort_array(F.array_union(exact_ones, other))
 
 
-#: A dictionary of up to so many rows is looked up inside the scan.
-SMALL = 4096
+#: A dictionary of up to so many rows is looked up inside the scan, and one of up to FEW rows in the whole text at once.
+SMALL, FEW = 4096, 64
+
+
+def _runs_of(text: Column, longest: int, names: list[str]) -> Column:
+    """Those of the names that are among `_runs`: between single blanks, where a name with a blank less than a run has words is one."""
+
+    def among(t: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(F.contains(t, F.lit(f" {g} ")), F.lit(g)) for g in names if g.count(" ") < longest)).cast("array<string>"))
+
+    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s,;:()\[\]!?\"']+", " "))
+    # as `[.]+$` in each token, where $ stands before a last line end too
+    clean = F.regexp_replace(F.concat(F.lit(" "), spaced, F.lit(" ")), r"(?<![.])[.]++(?=[\u0085\u2028\u2029]? )", "")
+    return C.let(F.when(spaced != "", clean).otherwise(F.lit("")), among)
 
 
 def exact(df: DataFrame, key: str, text: str, skills: DataFrame, longest: int = 3) -> DataFrame:
@@ -60,7 +74,7 @@ def exact(df: DataFrame, key: str, text: str, skills: DataFrame, longest: int =
     if len(few) <= SMALL:
         if not few:
             return df.select(key, F.lit(None).cast("string").alias("skill")).where("false")
-        runs = F.array_intersect(runs, F.array(*(F.lit(r.g) for r in few)))
+        runs = F.array_intersect(runs, F.array(*(F.lit(r.g) for r in few))) if len(few) > FEW else _runs_of(F.col(text), longest, sorted({r.g for r in few if r.g is not None}))
         known = F.broadcast(known)
     hits = df.select(key, F.explode(F.array_distinct(runs)).alias("g"))
     return hits.join(known, "g").select(key, "skill").distinct()
@@ -115,25 +129,53 @@ def _signatures(text: Column, least: float, known: bool) -> Column:
     return F.arrow_udf(run, ArrayType(StringType()))(text)
 
 
+def _sharing(text: Column, known: list[tuple[str, str]], least: float) -> Column:
+    """The skills that share a key of `_signatures` with a string; known: skill and key. Only keys of the dictionary's lengths are looked at."""
+    lengths = {}
+    for skill, key in known:
+        m, i, segment = key.split(":", 2)
+        lengths.setdefault(int(m), {}).setdefault(int(i), {}).setdefault(segment, []).append(skill)
+
+    def run(texts: pa.Array) -> pa.Array:
+        share, out = least / 100 / (2 - least / 100), []
+        parts = {m: [(*_segments(m, least)[i], held) for i, held in of.items()] for m, of in lengths.items()}
+        for t in texts.to_pylist():
+            n, skills = len(t or ""), set()
+            for m in range(max(1, -int(-n * share // 1)), int(n / share + 1e-9) + 1):
+                if m in parts:
+                    k = _budget(n, m, least)
+                    for start, size, held in parts[m]:
+                        for at in range(max(0, start - k), min(n - size, start + k) + 1):
+                            skills.update(held.get(t[at : at + size], ()))
+            out.append(sorted(skills))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(run, ArrayType(StringType()))(text)
+
+
 def fuzzy(toks: DataFrame, key: str, skills: DataFrame, least: float = 92.0, min_chars: int = 4, found: DataFrame | None = None, enough: int = 3) -> DataFrame:
     """The most similar skill of each distinct token, for rows of which the other layers found fewer than `enough` skills (found: key,
     skill). Case counts, as tokens are lower-case and skills are taken as they are written. Candidates share a segment (see
-    `_signatures`); distinct tokens are compared once for all documents."""
-    if found is not None:
-        rich = found.groupBy(key).agg(F.count_distinct("skill").alias("n")).where(F.col("n") >= enough).select(key)
-        toks = toks.join(rich, key, "left_anti")
-    names = toks.where(F.length("token") >= min_chars).select("token").distinct().select("token", F.explode(_signatures(F.col("token"), least, False)).alias("s"))
+    `_signatures`); distinct tokens are compared once for all documents. Rows with enough skills are taken out of the hits, so tokens
+    are never dealt by row."""
+    names = toks.where(F.length("token") >= min_chars).select("token").distinct()
     known = T.stored(skills.select("skill").distinct().where("skill <> ''").select("skill", F.explode(_signatures(F.col("skill"), least, True)).alias("s")), "segments")
-    few = known.limit(SEGMENTS + 1).count() <= SEGMENTS
-    near = names.join(F.broadcast(known) if few else known, "s").select("token", "skill").distinct()
+    some = known.limit(SEGMENTS + 1).collect()  # bounded by SEGMENTS
+    if len(some) <= SEGMENTS:
+        near = names.select("token", F.explode(_sharing(F.col("token"), [(r.skill, r.s) for r in some], least)).alias("skill"))
+    else:
+        near = names.select("token", F.explode(_signatures(F.col("token"), least, False)).alias("s")).join(known, "s").select("token", "skill").distinct()
     # an indel distance is at least the Levenshtein distance, which the JVM knows
     most = (1 - least / 100) * (F.length("token") + F.length("skill"))
     scored = near.where(F.levenshtein("token", "skill") <= most + 1e-9).withColumn("r", indel_ratio("token", "skill")).where(F.col("r") >= least)
-    best = scored.groupBy("token").agg(F.min_by("skill", F.struct(-F.col("r"), "skill")).alias("skill"))
-    return toks.join(best, "token").select(key, "skill").distinct()
+    best = T.stored(scored.groupBy("token").agg(F.min_by("skill", F.struct(-F.col("r"), "skill")).alias("skill")), "best")
+    hits = toks.join(F.broadcast(best) if best.limit(SEGMENTS + 1).count() <= SEGMENTS else best, "token").select(key, "skill").distinct()
+    if found is None:
+        return hits
+    return hits.join(found.groupBy(key).agg(F.count_distinct("skill").alias("n")).where(F.col("n") >= enough).select(key), key, "left_anti")
 
 
-#: Segments of a dictionary that are broadcast after they were counted.
+#: Segments of a dictionary that travel with a function, and tokens that are broadcast, after they were counted.
 SEGMENTS = 1 << 18
 
 

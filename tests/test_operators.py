@@ -322,6 +322,24 @@ def test_pairs_of_rare_words_are_not_counted(spark, monkeypatch):
     assert (model.vocabulary, model.idf) == (plain.vocabulary, plain.idf) and any(" " in v for v in model.vocabulary)
 
 
+def test_fuzzy_deals_no_tokens_by_row_and_names_stand_as_runs(spark, monkeypatch):
+    toks = spark.createDataFrame([(1, "pythonn"), (1, "java"), (2, "pythonn")], "id long, token string")
+    known = spark.createDataFrame([("python",)], "skill string")
+    rich = spark.createDataFrame([(2, x) for x in "abc"], "id long, skill string")
+    out = skills.fuzzy(toks, "id", known, 90.0, found=rich)
+    # rows with enough skills leave the hits, behind the join with the matched tokens
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(out) == [(1, "python")] and plan.index("LeftAnti") < plan.index("Join Inner")
+    monkeypatch.setattr(skills, "SEGMENTS", 0)
+    assert rows(skills.fuzzy(toks, "id", known, 90.0, found=rich)) == [(1, "python")]
+    texts = ["a b", "A, b... c", "ab", "a.b", "... a", "a ... b", "", None, "  ", "(b) a.\u0085 c", "b a b c d", "x.....a", "[a];b."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    names = spark.createDataFrame([(x,) for x in ("a", "A b", "b c", "a  b", "", " a", "a b c d", "a\u0085 c", "b")], "skill string")
+    got = rows(skills.exact(df, "id", "t", names))
+    monkeypatch.setattr(skills, "FEW", 0)
+    assert got == rows(skills.exact(df, "id", "t", names)) and len(got) > 15
+
+
 def test_row_order_and_partitions_dont_matter(spark):
     df = spark.createDataFrame([(i, f"text {i % 3}") for i in range(30)], "id int, t string")
     assert rows(dedup.exact(df, "id", "t")) == rows(dedup.exact(df.orderBy(F.desc("id")).repartition(5), "id", "t"))
