@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import columns as C
 
@@ -133,27 +136,52 @@ def windows(df: DataFrame, key: str, text: str, size: int = 240, stride: int = 1
     return w.select(key, "w", F.explode(starts).alias("chunk")).select(key, "chunk", F.array_join(F.slice("w", F.col("chunk") * stride + 1, F.lit(size)), " ").alias("chunk_text"))
 
 
-def paragraphs(df: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
-    """Paragraph-greedy chunks of at most `size` characters; long paragraphs are split at words, the tail carried on; every chunk
-    begins with the last `overlap` characters of its predecessor. One fold per row, no shuffle."""
-    kind = "struct<done:array<string>,open:string>"
-    blocks = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
-
-    def closed(state: Column) -> Column:
-        return F.when(state["open"] == "", state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
+def _chunks(size: int) -> Callable[[pa.Array], pa.Array]:
+    gap, word = re.compile("\n[ \\t-\\r]*\n"), re.compile(f"[^{C.WHITE}]+")
+
+    def of(text: str) -> list[str]:
+        done, parts, length = [], [], 0
+
+        def close() -> None:
+            nonlocal parts, length
+            if parts:
+                done.append("".join(parts))
+            parts, length = [], 0
+
+        def add(piece: str, glue: str) -> None:
+            nonlocal length
+            if length + len(piece) + 1 > size:
+                close()
+            elif parts:
+                parts.append(glue)
+                length += 1
+            parts.append(piece)
+            length += len(piece)
+
+        for p in gap.split(text):
+            p = p.strip(" ")
+            if len(p) > size:
+                # starts anew, word by word; its last part stays open for the next paragraph
+                close()
+                for m in word.finditer(p):
+                    add(m[0], " ")
+            elif p:
+                add(p, "\n")
+        close()
+        return done
+
+    def run(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        parts = [pa.array([of(t) if t else [] for t in texts.slice(start, C.TEXTS).to_pylist()], kind) for start in range(0, len(texts), C.TEXTS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return run
 
-    def add(state: Column, piece: Column, glue: str) -> Column:
-        joined = F.when(state["open"] == "", piece).otherwise(F.concat(state["open"], F.lit(glue), piece))
-        fits = F.length(state["open"]) + F.length(piece) + 1 <= size
-        return F.when(fits, F.struct(state["done"].alias("done"), joined.alias("open"))).otherwise(F.struct(closed(state).alias("done"), piece.alias("open"))).cast(kind)
 
-    def block(state: Column, p: Column) -> Column:
-        # a paragraph beyond the size starts anew, word by word; its last part stays open for the next paragraph
-        fresh = F.struct(closed(state).alias("done"), F.lit("").alias("open")).cast(kind)
-        return F.when(F.length(p) > size, F.aggregate(C.words(p), fresh, lambda s, w: add(s, w, " "))).otherwise(add(state, p, "\n"))
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")).cast(kind)
-    chunks = F.aggregate(blocks, start, block, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+def paragraphs(df: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
+    """Paragraph-greedy chunks of at most `size` characters; long paragraphs are split at words, the tail carried on; every chunk
+    begins with the last `overlap` characters of its predecessor. One pass over each text, by Arrow batch, no shuffle."""
+    chunks = F.arrow_udf(_chunks(size), ArrayType(StringType()))(F.col(text))
     rows = df.select(key, chunks.alias("chunks")).select(key, "chunks", F.posexplode("chunks").alias("chunk", "body"))
     tail = F.when(F.col("chunk") > 0, F.expr(f"right(chunks[chunk - 1], {overlap})"))
     return rows.select(key, "chunk", F.when(tail.isNotNull(), F.concat(tail, F.lit(" "), F.col("body"))).otherwise(F.col("body")).alias("chunk_text"))

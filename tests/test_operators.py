@@ -340,6 +340,17 @@ def test_fuzzy_deals_no_tokens_by_row_and_names_stand_as_runs(spark, monkeypatch
     assert got == rows(skills.exact(df, "id", "t", names)) and len(got) > 15
 
 
+def test_chunks_of_odd_texts_without_a_fold_in_the_plan(spark):
+    from sievework.operators import text as X
+
+    texts = [None, "", " \n\n \x85", "aa bb\n\n cc ", "aaaa bbbb\u3000cccc dd\n \t\nee", "x" * 12 + " yy\n\nzz", "\U0001f600" * 9 + "\n\n" + "b"]
+    out = X.paragraphs(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", 10, 3)
+    # nothing is folded by an interpreted lambda for each word
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    smile = "\U0001f600"
+    assert rows(out) == [(2, 0, "\x85"), (3, 0, "aa bb\ncc"), (4, 0, "aaaa bbbb"), (4, 1, "bbb cccc dd\nee"), (5, 0, "x" * 12), (5, 1, "xxx yy\nzz"), (6, 0, smile * 9), (6, 1, smile * 3 + " b")]
+
+
 def test_row_order_and_partitions_dont_matter(spark):
     df = spark.createDataFrame([(i, f"text {i % 3}") for i in range(30)], "id int, t string")
     assert rows(dedup.exact(df, "id", "t")) == rows(dedup.exact(df.orderBy(F.desc("id")).repartition(5), "id", "t"))
