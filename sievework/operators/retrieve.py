@@ -71,40 +71,44 @@ TERMS = 1 << 18
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, average: float = 50.0, sample: int = 16) -> DataFrame:
     """(query, id, score, rank): the k best documents of each query that share a term with it, the smaller id on ties (scores to nine
-    places). idf is 1 and the average length fixed; repeated query terms count. docs, queries: id, text.
+    places). idf is 1 and the average length fixed; repeated query terms count. docs, queries: id, text. Ids of docs are unique.
 
-    Top k by score bounds: words are reduced to query terms before anything is counted or shuffled, and postings are dealt by document
+    Up to `TERMS` query terms: documents are scored where they are read, and of each slice only those leave that can be among the k best
+    of a query (see bm25_scores), so a task's memory doesn't grow with its documents.
+
+    More, top k by score bounds: words are reduced to query terms before anything is counted or shuffled, and postings are dealt by document
     and term. The k-th best score within a `sample`-th of the documents is a floor of the result. A query's terms whose highest
     scores together stay below its floor, the most frequent first, can't lift a document by themselves: their postings aren't joined with
     the query, but only added to documents that its other terms found and that can still reach the floor. So the result is exact.
     """
     asked = queries.select(F.col("id").alias("query"), F.explode(C.words(F.lower("text"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = T.stored(asked, "asked")
-    few = asked.count() <= TERMS
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    words = docs.select("id", C.words(F.lower("text")).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    tf = words.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    worth = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
-    postings = T.stored(tf.select("id", "term", worth.alias("worth")), "postings")
-    score = F.sum(F.col("times") * F.col("worth")).alias("score")
 
     def top(scores: DataFrame) -> DataFrame:
         # Spark keeps k rows of each query in every task before it shuffles them
         order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
         return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    some = postings.where(F.pmod(F.xxhash64("id"), F.lit(sample)) == 0).join(small(asked), "term").groupBy("query", "id").agg(score)
+    if asked.count() <= TERMS:
+        return top(bm25_scores(docs, queries, k1, b, average, k))
+    words = docs.select("id", C.words(F.lower("text")).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    tf = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    worth = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
+    postings = T.stored(tf.select("id", "term", worth.alias("worth")), "postings")
+    score = F.sum(F.col("times") * F.col("worth")).alias("score")
+
+    some = postings.where(F.pmod(F.xxhash64("id"), F.lit(sample)) == 0).join(asked, "term").groupBy("query", "id").agg(score)
     floors = top(some).groupBy("query").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).drop("n")
     bounds = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("worth").alias("most"))
     upto = Window.partitionBy("query").orderBy(F.desc("df"), "term")
     plan = asked.join(bounds, "term").join(floors, "query", "left").withColumn("bound", F.sum(F.col("times") * F.col("most")).over(upto))
     plan = T.stored(plan.select("query", "term", "times", "floor", "bound", (F.coalesce(F.col("bound") < F.col("floor") - SLACK, F.lit(False))).alias("spare")), "plan")
     left = plan.groupBy("query").agg(F.coalesce(F.max(F.when(F.col("spare"), F.col("bound"))), F.lit(0.0)).alias("left"), F.coalesce(F.first("floor"), F.lit(0.0)).alias("floor"))
-    found = postings.join(small(plan.where("not spare").select("query", "term", "times")), "term").groupBy("query", "id").agg(score)
-    found = T.stored(found.join(small(left), "query").where(F.col("score") + F.col("left") >= F.col("floor") - SLACK).select("query", "id", "score"), "found")
-    rest = postings.join(small(plan.where("spare").select("term").distinct()), "term", "left_semi").groupBy("id").agg(F.collect_list(F.struct("term", "worth")).alias("w"))
+    found = postings.join(plan.where("not spare").select("query", "term", "times"), "term").groupBy("query", "id").agg(score)
+    found = T.stored(found.join(left, "query").where(F.col("score") + F.col("left") >= F.col("floor") - SLACK).select("query", "id", "score"), "found")
+    rest = postings.join(plan.where("spare").select("term").distinct(), "term", "left_semi").groupBy("id").agg(F.collect_list(F.struct("term", "worth")).alias("w"))
     rest = found.join(rest, "id").select("query", "id", F.explode("w").alias("w")).select("query", "id", "w.term", "w.worth")
-    rest = rest.join(small(plan.where("spare").select("query", "term", "times")), ["query", "term"]).groupBy("query", "id").agg(score)
+    rest = rest.join(plan.where("spare").select("query", "term", "times"), ["query", "term"]).groupBy("query", "id").agg(score)
     return top(found.unionByName(rest).groupBy("query", "id").agg(F.sum("score").alias("score")))
 
 
@@ -114,8 +118,9 @@ SLACK = 1e-6
 SLICE, CELLS = 128, 1 << 23
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, average: float = 50.0) -> DataFrame:
-    """(query, id, score): bm25()'s scores of all pairs that share a term. Ids of docs are unique.
+def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, average: float = 50.0, k: int | None = None) -> DataFrame:
+    """(query, id, score): bm25()'s scores of all pairs that share a term. Ids of docs are unique. With k, pairs are left out that k others of
+    the same query and slice of documents surpass by more than `SLACK`.
 
     A document meets all queries where it is read, so neither its words nor the scores are shuffled: its query terms are a row of a
     matrix, and a product with the matrix of terms by queries gives its scores. Queries are cut into parts whose matrix is bounded; the
@@ -160,7 +165,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float =
                 worth = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / average))[:, None])
                 for first, own, m in matrices:
                     score = worth[:, own] @ m
-                    i, j = np.nonzero(score)
+                    kept = score > 0
+                    if k is not None and k < len(score):
+                        kept &= score >= np.partition(score, len(score) - k, axis=0)[len(score) - k] - SLACK
+                    i, j = np.nonzero(kept)
                     yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(first + j)), some.column("id").take(pa.array(i)), pa.array(score[i, j])], ["query", "id", "score"])
 
     step = max(1, min(SLICE, CELLS // max(1, len(known))))

@@ -351,6 +351,28 @@ def test_chunks_of_odd_texts_without_a_fold_in_the_plan(spark):
     assert rows(out) == [(2, 0, "\x85"), (3, 0, "aa bb\ncc"), (4, 0, "aaaa bbbb"), (4, 1, "bbb cccc dd\nee"), (5, 0, "x" * 12), (5, 1, "xxx yy\nzz"), (6, 0, smile * 9), (6, 1, smile * 3 + " b")]
 
 
+def test_phrases_of_a_batch_hold_some_texts_at_once():
+    import pyarrow as pa
+
+    from sievework.functions import phrases
+
+    texts = pa.array(["x" * 5000 + " art of work"] * 3000 + [None, "", "part of workers"])
+    out, most = _peak(lambda: phrases._finder(["art", "of work"])(texts))
+    assert most < 5 and out.field("held").to_pylist() == [[0, 1]] * 3000 + [[], [], [0, 1]] and out.field("whole").to_pylist() == [[0, 1]] * 3000 + [[], [], []]
+    assert len(phrases._finder(["art"])(texts.slice(0, 0))) == 0
+
+
+def test_bm25_of_few_terms_leaves_only_what_can_be_among_the_best(spark, monkeypatch):
+    rnd = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(["the", "of", "a", "b", "c"], k=rnd.randint(1, 9)))) for i in range(300)], "id long, text string").coalesce(1)
+    queries = spark.createDataFrame([(1, "the a"), (2, "of b b")], "id long, text string")
+    slim = retrieve.bm25_scores(docs, queries, k=2)
+    assert slim.count() < retrieve.bm25_scores(docs, queries).count() / 4
+    best = rows(retrieve.bm25(docs, queries, 2).selectExpr("query", "id", "round(score, 6)", "rank"))
+    monkeypatch.setattr(retrieve, "TERMS", 0)
+    assert best == rows(retrieve.bm25(docs, queries, 2).selectExpr("query", "id", "round(score, 6)", "rank")) and len(best) == 4
+
+
 def test_row_order_and_partitions_dont_matter(spark):
     df = spark.createDataFrame([(i, f"text {i % 3}") for i in range(30)], "id int, t string")
     assert rows(dedup.exact(df, "id", "t")) == rows(dedup.exact(df.orderBy(F.desc("id")).repartition(5), "id", "t"))
