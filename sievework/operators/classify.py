@@ -1,4 +1,4 @@
-"""Text classification with MLlib: features, a weighted multinomial model, a calibrated linear SVC, and decisions for whole tables."""
+"""Text classification with MLlib: features, a weighted multinomial model, a calibrated linear SVC (of arrays, all classes and folds in each pass), and decisions for whole tables."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import NGram, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -215,8 +215,8 @@ def _index(label: str) -> StringIndexer:
     return StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
 
 
-def train(df: DataFrame, label: str, weight: str | None = None, terms: int = 5000, iterations: int = 20, embedding: float = 0.3) -> PipelineModel:
-    """df: text, the label, and a sample weight."""
+def train(df: DataFrame, label: str, weight: str | None = None, terms: int = 5000, iterations: int = 1000, embedding: float = 0.3) -> PipelineModel:
+    """df: text, the label, and a sample weight. A fit ends when it has converged, or after so many iterations."""
     model = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=iterations, regParam=0.01, **({"weightCol": weight} if weight else {}))
     return Pipeline(stages=[_index(label), *features(terms, embedding=embedding).getStages(), model]).fit(df)
 
@@ -231,37 +231,113 @@ def predict(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
     return scored.select(F.col(key).alias("id"), F.inline(p))
 
 
+def _matrix(vectors: pa.StructArray, size: int) -> np.ndarray:
+    """Vectors, sparse or dense, as rows of a matrix with a last column of ones for the intercept."""
+    held, n = vectors.field("values"), len(vectors)
+    length = pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+    x, owner = held.flatten().to_numpy(), np.repeat(np.arange(n), length)
+    place = np.arange(len(x)) - np.repeat(np.cumsum(length) - length, length)
+    sparse = np.repeat(vectors.field("type").to_numpy(zero_copy_only=False) == 0, length)
+    place[sparse] = vectors.field("indices").flatten().to_numpy()
+    out = np.zeros((n, size + 1))
+    out[owner, place] = x
+    out[:, size] = 1
+    return out
+
+
+def _descent(size: int, most: int, least: float = 1e-4, memory: int = 10) -> Iterator[np.ndarray]:
+    """Minimises a smooth convex function by L-BFGS: yields points, is sent value and gradient, returns the best. It ends when the gradient has
+    shrunk to `least` of the first one, or after `most` steps."""
+    x = np.zeros(size)
+    f, g = yield x
+    goal, steps = least * np.linalg.norm(g), []
+    for _ in range(most):
+        if np.linalg.norm(g) <= goal:
+            break
+        d, used = -g, []
+        for s, y in reversed(steps):
+            used.append(s @ d / (s @ y))
+            d = d - used[-1] * y
+        if steps:
+            d = d * (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1])
+        for (s, y), by in zip(steps, reversed(used), strict=True):
+            d = d + s * (by - y @ d / (s @ y))
+        length = 1.0 if steps else min(1.0, 1 / np.linalg.norm(g))
+        while True:
+            there = x + length * d
+            value, slope = yield there
+            if value <= f + 1e-4 * length * (g @ d) or length < 1e-12:
+                break
+            length /= 2
+        if value > f:
+            break
+        s, y = there - x, slope - g
+        steps = [*steps, (s, y)][-memory:] if s @ y > 0 else steps
+        x, f, g = there, value, slope
+    return x
+
+
 class CalibratedSVC:
-    """One linear SVC for each class against the rest, rows weighted so that classes count alike; a logistic curve for each class, fitted on
-    the margins of rows that were held out in one of `folds` folds by hash, turns margins into probabilities."""
+    """One linear SVC with squared hinge loss for each class against the rest, rows weighted so that classes count alike; a logistic curve for each
+    class, fitted on the margins of rows that were held out in one of `folds` folds by hash, turns margins into probabilities.
 
-    def __init__(self, label: str, terms: int = 2500, folds: int = 5, iterations: int = 20, embedding: float = 0.2) -> None:
-        self.label, self.terms, self.folds, self.iterations, self.embedding = label, terms, folds, iterations, embedding
+    The models of all classes and folds are fitted together: a pass over the rows gives loss and gradient of each, and each takes its own
+    steps until it has converged, or for `iterations`.
+    """
 
-    def _svc(self, df: DataFrame):
-        one = LinearSVC(featuresCol="features", labelCol="_label", weightCol="_weight", maxIter=self.iterations, regParam=0.01)
-        return OneVsRest(classifier=one, featuresCol="features", labelCol="_label", weightCol="_weight").fit(df)
+    #: Rows that are a matrix at once.
+    BLOCK = 256
+
+    def __init__(self, label: str, terms: int = 5000, folds: int = 5, iterations: int = 5000, embedding: float = 0.3, penalty: float = 0.01) -> None:
+        self.label, self.terms, self.folds, self.iterations, self.embedding, self.penalty = label, terms, folds, iterations, embedding, penalty
+
+    def _fitted(self, rows: DataFrame, size: int, classes: np.ndarray, fold_weights: dict[int, float]) -> np.ndarray:
+        """Coefficients by fold, class and feature; the last fold is that of all rows. classes: the weight of a row of each."""
+        k, spread = len(classes), rows.sparkSession.sparkContext.defaultParallelism
+        held_by = [sum(w for f, w in fold_weights.items() if f != g) or 1.0 for g in range(self.folds + 1)]
+        models = [_descent(size + 1, self.iterations) for _ in range((self.folds + 1) * k)]
+        at, done = {m: next(x) for m, x in enumerate(models)}, np.zeros((len(models), size + 1))
+        self.passes = 0
+        while at:
+            names = np.array(sorted(at))
+            slopes = _slopes(np.column_stack([at[m] for m in names]), names // k, names % k, classes, self.BLOCK)
+            # one part of a gradient for each core and model, summed by model
+            parts = rows.coalesce(spread).mapInArrow(slopes, "model int, loss double, gradient binary").groupBy("model").applyInArrow(_summed, "model int, loss double, gradient binary").collect()
+            self.passes += 1
+            for r in parts:
+                m = int(names[r.model])
+                share = held_by[m // k]
+                # the intercept isn't penalised
+                w = at[m] * np.r_[np.ones(size), 0.0]
+                try:
+                    at[m] = models[m].send((r.loss / share + self.penalty / 2 * (w @ w), np.frombuffer(r.gradient) / share + self.penalty * w))
+                except StopIteration as end:
+                    done[m] = end.value
+                    del at[m]
+        return done.reshape(self.folds + 1, k, size + 1)
 
     def fit(self, df: DataFrame) -> CalibratedSVC:
         """df: text and the label."""
         self.prepare = Pipeline(stages=[_index(self.label), *features(self.terms, embedding=self.embedding).getStages()]).fit(df)
         self.names = self.prepare.stages[0].labels
-        # written, as each class of each fold reads them
-        rows = T.stored(self.prepare.transform(df).select("_label", "features", F.pmod(F.xxhash64("text"), F.lit(self.folds)).alias("_fold")), "features")
-        sizes = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each class
-        total, of = sum(sizes.values()), F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, 1.0 / (len(sizes) * n))))
-        rows = rows.withColumn("_weight", F.element_at(of, F.col("_label")) * total)
-        held = None
-        for fold in range(self.folds):
-            part = self._svc(rows.where(F.col("_fold") != fold)).transform(rows.where(F.col("_fold") == fold)).select("_label", "_weight", vector_to_array("rawPrediction").alias("margins"))
-            held = part if held is None else held.unionByName(part)
+        # written, as each pass reads them
+        fold = F.pmod(F.xxhash64("text"), F.lit(self.folds)).cast("int")
+        rows = T.stored(self.prepare.transform(df).select(F.col("_label").cast("int").alias("_label"), "features", fold.alias("_fold")), "features")
+        sizes = {(r["_label"], r["_fold"]): r["n"] for r in rows.groupBy("_label", "_fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each class and fold
+        total, k = sum(sizes.values()), len(self.names)
+        classes = np.array([total / (k * sum(n for (c, _), n in sizes.items() if c == i)) for i in range(k)])
+        by_fold = {f: sum(n * classes[c] for (c, g), n in sizes.items() if g == f) for f in range(self.folds)}
+        first = rows.select(F.col("features").alias("f")).head()
+        self.size = first.f.size if first else 0
+        fitted = self._fitted(rows, self.size, classes, by_fold)
+        self.coefficients = fitted[-1]
+        weight = F.element_at(F.array(*map(F.lit, classes.tolist())), F.col("_label") + 1)
+        held = T.stored(rows.select("_label", weight.alias("_weight"), F.arrow_udf(_margins(fitted[:-1], self.BLOCK), "array<double>")("features", "_fold").alias("margins")), "margins")
         self.curves = []
-        held = T.stored(held, "margins")
-        for i in range(len(self.names)):
+        for i in range(k):
             points = held.select((F.col("_label") == i).cast("double").alias("y"), "_weight", array_to_vector(F.array(F.col("margins")[i])).alias("x"))
             curve = LogisticRegression(featuresCol="x", labelCol="y").fit(points)
             self.curves.append((float(curve.coefficients[0]), float(curve.intercept)))
-        self.model = self._svc(rows)
         return self
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
@@ -269,8 +345,48 @@ class CalibratedSVC:
         scored = df.select(key, F.coalesce("text", F.lit("")).alias("text"))
         for stage in self.prepare.stages[1:]:
             scored = stage.transform(scored)
-        margins = vector_to_array("rawPrediction")
+        margins = F.col("margins")
         raw = [1 / (1 + F.exp(-(a * margins[i] + b))) for i, (a, b) in enumerate(self.curves)]
-        out = self.model.transform(scored).select(F.col(key).alias("id"), F.array(*raw).alias("p"))
+        held = scored.select(F.col(key).alias("id"), F.arrow_udf(_margins(self.coefficients[None], self.BLOCK), "array<double>")("features", F.lit(0)).alias("margins"))
+        out = held.select("id", F.array(*raw).alias("p"))
         total = F.aggregate("p", F.lit(1e-12), lambda s, x: s + x)
         return out.select("id", F.inline(F.transform("p", lambda x, i: F.struct(F.element_at(F.array(*map(F.lit, self.names)), i + 1).alias("class"), (x / total).alias("p")))))
+
+
+def _slopes(points: np.ndarray, fold: np.ndarray, kind: np.ndarray, classes: np.ndarray, many: int):
+    """Over the rows of a task, the loss and its gradient at a point (a column) of each model, whose rows are those of other folds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, slope = np.zeros(points.shape[1]), np.zeros(points.shape)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, many):
+                part = batch.slice(begin, many)
+                x, label = _matrix(part.column("features"), len(points) - 1), part.column("_label").to_numpy()
+                y = np.where(label[:, None] == kind, 1.0, -1.0)
+                short = np.maximum(0, 1 - y * (x @ points))
+                weight = classes[label][:, None] * (part.column("_fold").to_numpy()[:, None] != fold)
+                loss += (weight * short**2).sum(0)
+                slope += x.T @ (-2 * weight * y * short)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(loss)), pa.int32()), pa.array(loss), pa.array([v.tobytes() for v in slope.T], pa.binary())], ["model", "loss", "gradient"])
+
+    return run
+
+
+def _summed(parts: pa.Table) -> pa.Table:
+    slope = sum(np.frombuffer(v.as_py()) for v in parts.column("gradient"))
+    return pa.table({"model": parts.column("model").slice(0, 1), "loss": [pc.sum(parts.column("loss")).as_py()], "gradient": pa.array([slope.tobytes()], pa.binary())})
+
+
+def _margins(models: np.ndarray, many: int):
+    """The margins of each class by the models of a row's fold; models: by fold, class and feature."""
+
+    def run(vectors: pa.Array, fold: pa.Array) -> pa.Array:
+        out = [np.zeros((0, models.shape[1]))]
+        for begin in range(0, len(vectors), many):
+            x, at = _matrix(vectors.slice(begin, many), models.shape[2] - 1), fold.slice(begin, many).to_numpy(zero_copy_only=False)
+            every = (x @ models.reshape(-1, models.shape[2]).T).reshape(len(x), *models.shape[:2])
+            out.append(every[np.arange(len(x)), at])
+        flat = np.concatenate(out)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+
+    return run

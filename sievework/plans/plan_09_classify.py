@@ -50,7 +50,7 @@ def occ_train(s, d):
     docs = _docs(s, d)
     seen, held = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
     out = None
-    for name, found in (("logistic", K.predict(K.train(seen, "lang", "weight"), held, "doc_id")), ("svc", K.CalibratedSVC("lang", folds=3, iterations=10).fit(seen).predict(held, "doc_id"))):
+    for name, found in (("logistic", K.predict(K.train(seen, "lang", "weight"), held, "doc_id")), ("svc", K.CalibratedSVC("lang").fit(seen).predict(held, "doc_id"))):
         best = found.groupBy("id").agg(F.max_by("class", F.struct("p", "class")).alias("predicted"))
         row = best.join(docs.select(F.col("doc_id").alias("id"), "lang"), "id").agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("held_out"), F.count_if(F.col("predicted") == F.col("lang")).alias("right"))
         out = row if out is None else out.unionByName(row)

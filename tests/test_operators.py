@@ -291,6 +291,46 @@ def test_classifier_on_held_out_rows(spark):
         assert best.where((F.col("c") == F.when(F.col("id") % 2 == 0, "a").otherwise("b")) & (F.abs(F.col("p") - 1) < 1e-6)).count() == 20
 
 
+def test_svc_converges_in_each_fold_and_the_query_leaves_its_size(spark, monkeypatch):
+    from sievework.operators import classify
+    from sievework.plans import plan_09_classify
+
+    rnd = random.Random(3)
+    words = ["red", "green", "blue", "one", "two", "six", "up", "down"]
+    # noise keeps the classes from being separable, so a few steps don't reach the end
+    df = spark.createDataFrame([(i, " ".join(rnd.choice(words[: 5 + i % 3]) for _ in range(6)), "abc"[i % 3]) for i in range(90)], "id int, text string, label string")
+    held = {}
+    fitted = classify.CalibratedSVC._fitted
+    monkeypatch.setattr(classify.CalibratedSVC, "_fitted", lambda self, rows, *more: held.setdefault("w", (held.setdefault("rows", rows.collect()), fitted(self, rows, *more))[1]))
+    svc = classify.CalibratedSVC("label", terms=50).fit(df)
+    x = classify.np.array([[*r.features.toArray(), 1.0] for r in held["rows"]])
+    label, fold = (classify.np.array([r[c] for r in held["rows"]]) for c in ("_label", "_fold"))
+    assert held["w"].shape == (6, 3, x.shape[1]) and svc.passes > 10
+
+    def slope(w, g, c):
+        y, weight = classify.np.where(label == c, 1.0, -1.0), 30 / classify.np.bincount(label)[label] * (fold != g)
+        return x.T @ (-2 * weight * y * classify.np.maximum(0, 1 - y * (x @ w))) / weight.sum() + 0.01 * classify.np.r_[w[:-1], 0]
+
+    for g in range(6):
+        for c in range(3):
+            assert classify.np.linalg.norm(slope(held["w"][g, c], g, c)) <= 2e-4 * classify.np.linalg.norm(slope(0 * held["w"][g, c], g, c))
+
+    class Made(Exception):
+        pass
+
+    def made(*args, **options):
+        raise Made(real(*args, **options))
+
+    real = classify.CalibratedSVC
+    monkeypatch.setattr(classify, "CalibratedSVC", made)
+    monkeypatch.setattr(classify, "train", lambda *args: None)
+    monkeypatch.setattr(classify, "predict", lambda *args: None)
+    with pytest.raises(Made) as found:
+        plan_09_classify.occ_train(spark, "/root/testdata/sf0.001")
+    asked = found.value.args[0]
+    assert (asked.terms, asked.folds, asked.iterations) == (5000, 5, 5000)
+
+
 def test_vocabulary_and_sublinear_counts(spark):
     from pyspark.ml.functions import vector_to_array
 
